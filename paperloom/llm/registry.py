@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import exact_dedup
+from paperloom.llm import exact_dedup, simhash
 
 import corpus_pipeline
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op5_simhash": simhash.op5_simhash,
     }
 
 
