@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import exact_dedup, simhash
+from paperloom.llm import decontamination, exact_dedup, simhash
 
 import corpus_pipeline
 
@@ -15,10 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op5_simhash": simhash.op5_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"pipeline": corpus_pipeline.ORACLE_SQL, "op1_exact_dedup": exact_dedup.OP1_SQL}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL, "op1_exact_dedup": exact_dedup.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL}
     return {k: v for k, v in sql.items() if v}
