@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, exact_dedup, simhash
+from paperloom.llm import decontamination, exact_dedup, language, packing, simhash
 
 import corpus_pipeline
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_packing": packing.op3_packing,
+        "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
     }
 
