@@ -15,6 +15,8 @@ from paperloom.llm.common import documents, id_remainder
 
 #: Bytes of a language's dictionary, bytes of text compressed at once, compression level.
 DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 64 << 10, 4096, 6
+#: Texts of fewer bytes take a level that searches harder, so that fewer end in a tie.
+SHORT_BYTES, SHORT_LEVEL = 512, 12
 #: Labelled documents of a language that the sample is expected to have, and their size in bytes where there are such.
 SAMPLE_DOCS, SAMPLE_SIZES = 128, (300, 8000)
 #: Relative saving over the runner-up below which a language is not accepted.
@@ -36,21 +38,24 @@ class Languages:
     def __init__(self, texts: dict[str, list[bytes]]) -> None:
         self.names = sorted(texts)
         self.contents = {name: b"\n".join(texts[name])[-DICTIONARY_BYTES:] for name in self.names}
-        self.compressors: list | None = None
+        self.compressors: dict[int, list] = {}
 
     def __getstate__(self) -> dict:
-        return {"names": self.names, "contents": self.contents, "compressors": None}
+        return {"names": self.names, "contents": self.contents, "compressors": {}}
 
-    def sizes(self, letters: bytes) -> list[int]:
-        """Compressed bytes by language, over the whole text in chunks."""
-        if self.compressors is None:
-            self.compressors = []
+    def at_level(self, level: int) -> list:
+        if level not in self.compressors:
+            self.compressors[level] = []
             for name in self.names:
                 own = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=LEVEL)
-                self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+                own.precompute_compress(level=level)
+                self.compressors[level].append(zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return self.compressors[level]
+
+    def sizes(self, letters: bytes) -> list[int]:
+        """Compressed bytes by language, over the whole text in chunks."""
         chunks = [letters[at : at + CHUNK_BYTES] for at in range(0, len(letters), CHUNK_BYTES)]
-        return [sum(len(c.compress(x)) for x in chunks) for c in self.compressors]
+        return [sum(len(c.compress(x)) for x in chunks) for c in self.at_level(SHORT_LEVEL if len(letters) < SHORT_BYTES else LEVEL)]
 
     def best(self, text: str | None) -> tuple[str, float]:
         """The language and its margin: the relative saving over the next best (1 where there is no other)."""
