@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, exact_dedup, language, licenses, packing, sharding, simhash
+from paperloom.llm import decontamination, exact_dedup, language, licenses, lm, packing, sharding, simhash, warc
 
 import corpus_pipeline
 
@@ -19,11 +19,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
+        "op7_warc": warc.op7_warc,
         "op8_sharding": sharding.op8_sharding,
         "op9_licenses": licenses.op9_licenses,
+        "op10_lm_scoring": lm.op10_lm_scoring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"pipeline": corpus_pipeline.ORACLE_SQL, "op1_exact_dedup": exact_dedup.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL, "op9_licenses": licenses.OP9_SQL}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL, "op1_exact_dedup": exact_dedup.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL, "op9_licenses": licenses.OP9_SQL, "op7_warc": warc.OP7_SQL}
     return {k: v for k, v in sql.items() if v}
