@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, exact_dedup, language, licenses, lm, packing, sharding, simhash, warc
+from paperloom.llm import decontamination, exact_dedup, language, licenses, lm, packing, sharding, simhash, token_store, warc
 
 import corpus_pipeline
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
+        "op6_token_store": token_store.op6_token_store,
         "op7_warc": warc.op7_warc,
         "op8_sharding": sharding.op8_sharding,
         "op9_licenses": licenses.op9_licenses,
