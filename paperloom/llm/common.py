@@ -40,6 +40,12 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Hands rows to Python in batches of at most 8 MB, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, whatever the case."""
     have = {c.lower() for c in df.columns}
@@ -53,6 +59,7 @@ def row_ids(df: DataFrame, columns: list[str]) -> DataFrame:
 
     ``df`` has to be a scan or another plan that gives the same rows in the same partitions whenever it runs.
     """
+    bounded(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("uid"), *(F.col(f"`{c}`") for c in columns))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import as_bytes, documents, fresh, plain_words, row_ids, written
+from paperloom.llm.common import as_bytes, bounded, documents, plain_words, row_ids, written
 
 #: Words of a window.
 WINDOW = 10
@@ -181,6 +181,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents"
     """
     if how not in ("documents", "spans"):
         raise ValueError(f"how is 'documents' or 'spans', not {how!r}")
+    bounded(docs.sparkSession)
     place = docs.columns.index(text)
     for block in benchmark_blocks(benchmark, item_key, item_text, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import documents, id_remainder
+from paperloom.llm.common import bounded, documents, id_remainder
 
 #: Bytes of a language's dictionary, bytes of text compressed at once, compression level.
 DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 64 << 10, 4096, 6
@@ -118,6 +118,7 @@ def identified(docs: DataFrame, languages: Languages, key: str = "doc_id", text:
     relative saving over the runner-up. ``rejected`` is true where that is below ``margin`` or the text is null or has
     no letter, for which ``lang_pred`` is ``und``. Only the text is looked at. Without labelled rows everything is ``und``.
     """
+    bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,7 @@ def identified(docs: DataFrame, languages: Languages, key: str = "doc_id", text:
 
 def accepted(docs: DataFrame, languages: Languages, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is not rejected."""
+    bounded(docs.sparkSession)
     sent, place = docs.sparkSession.sparkContext.broadcast(languages), docs.columns.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

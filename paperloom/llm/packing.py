@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import documents, written
+from paperloom.llm.common import bounded, documents, written
 from paperloom.llm.tokens import encoder, end_bytes, vocabulary
 
 LENGTH = 1024
@@ -177,6 +177,7 @@ def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     Null texts are empty: one piece with the end id. Null or repeated ids and repeated rows are packed row by row.
     An empty table gives an empty result; other columns are not read.
     """
+    bounded(docs.sparkSession)
     made = written(pieces(docs, key, text, tokenizer_path, length, end_id), "pieces")
     counts = made.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("task", "length", "n", F.coalesce("before", F.lit(0)).alias("before")), "piece-counts")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit integers")
 
 #: Words whose ids a worker keeps; when the table is full, further words are encoded anew each time.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Words that are encoded together.
+ENCODED = 4000
+_L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: Letters, perhaps marks, perhaps the same again in a new line: the tokenizers cut such a word at these places.
+SIMPLE = re.compile(f"([{_L}]+)([{_P}]*)(?:\n([{_L}]+)([{_P}]*))?")
 #: A space after white space and before white space or the end: only there a cut before the space could change ids.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: The cuts that never change ids: before a space that follows a non-space or precedes one.
@@ -16,6 +25,16 @@ SAFE_CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 _ENCODERS: dict[str, WordwiseEncoder] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -24,7 +43,7 @@ def vocabulary(name: str) -> str:
 
 
 class WordwiseEncoder:
-    """Encodes texts as the tokenizer does, looking at each distinct word once.
+    """Encodes texts as the tokenizer does, looking at each kept word once.
 
     The tokenizers cut at white space before they merge, so a text's ids are those of its words one after another, each
     word with the space before it. Texts are cut before spaces only, and where spaces stand next to other white space
@@ -37,28 +56,83 @@ class WordwiseEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
-        self.kept: dict[str, bytes] = {"": b""}
+        #: Ids of words with a space before them, by the word, and of what starts a text.
+        self.spaced: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
+
+        #: Ids of the pieces of simple words.
+        self.pieces: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as file:
+            shape = json.load(file)
+        cut, plain = shape["pre_tokenizer"]["type"], shape["normalizer"]
+        lowers = bool(plain) and any(x["type"] == "Lowercase" for x in plain.get("normalizers", []))
+        #: True: a piece has the space before it. False: lower-cased, spaces dropped. None: words are not taken apart here.
+        self.spaces = True if cut == "ByteLevel" and not plain else False if lowers and shape["model"]["end_of_word_suffix"] == "</w>" else None
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
+            got = array("I", [x.id for x in tokens]).tobytes()
+            if len(self.pieces) < KEPT_WORDS:
+                self.pieces[piece] = got
+        return got
+
+    def _simple(self, word: str, before: str) -> bytes | None:
+        """The ids of a simple word from those of its pieces; None for other words."""
+        found = SIMPLE.fullmatch(word) if self.spaces is not None and len(word) < 60 else None
+        if not found:
+            return None
+        letters, marks, letters2, marks2 = found.groups("")
+        if self.spaces:
+            return self._piece(before + letters) + self._piece(marks) + (self._piece("\n") + self._piece(letters2) + self._piece(marks2) if letters2 else b"")
+        return self._piece(letters.lower()) + self._piece(marks) + self._piece(letters2.lower()) + self._piece(marks2)
+
+    def _encoded(self, new: list[str], before: str, kept: dict[str, bytes]) -> dict[str, bytes]:
+        """The ids of new words; they are kept while there is room."""
+        extra: dict[str, bytes] = {}
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if UNSAFE.search(text):
-            return SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        def put(word: str, ids: bytes) -> None:
+            (kept if len(kept) < KEPT_WORDS and len(word) < 60 else extra)[word] = ids
+
+        other = []
+        for word in new:
+            ids = self._simple(word, before)
+            if ids is None:
+                other.append(word)
+            else:
+                put(word, ids)
+        for at in range(0, len(other), ENCODED):
+            part = other[at : at + ENCODED]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
+                put(word, array("I", found.ids).tobytes())
+        return extra
+
+    def _looked_up(self, words: list[list[str]], before: str, kept: dict[str, bytes]) -> list[list[bytes]]:
+        get = kept.get
+        out = [[get(w) for w in ws] for ws in words]
+        missing = [(k, [i for i, x in enumerate(got) if x is None]) for k, got in enumerate(out) if None in got]
+        extra = self._encoded(list({words[k][i] for k, at in missing for i in at}), before, kept)
+        for k, at in missing:
+            for i in at:
+                out[k][i] = extra[words[k][i]] if words[k][i] in extra else kept[words[k][i]]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        units = [self.cut(t) for t in texts]
-        kept = self.kept
-        new = list({u for us in units for u in us if u not in kept})
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (kept if len(kept) < KEPT_WORDS and len(unit) < 200 else extra)[unit] = np.array(found.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([kept[u] if u in kept else extra[u] for u in us]) for us in units]
-        return [b"".join([kept[u] for u in us]) for us in units]
+        starts, rest = [], []
+        for text in texts:
+            if UNSAFE.search(text):
+                first, *words = SAFE_CUT.split(text)
+                if not all(w.startswith(" ") for w in words):  # the text starts with a space and is cut there too
+                    raise AssertionError("a cut that is not before a space")
+                words = [w[1:] for w in words]
+            else:
+                first, *words = text.split(" ")
+            starts.append([first])
+            rest.append(words)
+        heads, tails = self._looked_up(starts, "", self.first), self._looked_up(rest, " ", self.spaced)
+        return [b"".join(h + t) for h, t in zip(heads, tails, strict=True)]
 
 
 def encoder(path: str) -> WordwiseEncoder:
