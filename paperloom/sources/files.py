@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import re
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
     """``path, stem, text, front_matter`` of Markdown files; the front matter is a map of ``key: value`` lines."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     head = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
     pairs = F.filter(F.transform(F.split(head, "\n"), lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(line, r"^[^:]*:", "")), "^[\"']|[\"']$", "").alias("value"))), lambda x: x["key"] != "")
     return rows.select("path", stem_of("path").alias("stem"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", "").alias("text"), F.map_from_entries(F.array_distinct(pairs)).alias("front_matter"))
@@ -54,11 +56,28 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
     head = bytes(first["head"]) if first else b""
     encoding = next((e for e in ENCODINGS if _decodes(head.rpartition(b"\n")[0] or head, e)), "utf-8")
     sep = delimiter_of(head.decode(encoding, "replace").split("\n", 1)[0])
-    rows = spark.read.option("header", True).option("sep", sep).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).option("multiLine", True).csv(path)
+    if encoding.startswith("utf-8"):
+        rows = spark.read.option("header", True).option("sep", sep).option("multiLine", True).csv(path)
+    else:
+        names = next(csv.reader(io.StringIO(head.decode(encoding, "replace")), delimiter=sep))
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_legacy_rows(sep), "cells array<string>")
+        rows = rows.select(*(F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)))
     rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
     return rows.filter(F.trim(F.concat_ws("", *(F.col(f"`{c}`") for c in rows.columns))) != "")
 
 
+def _legacy_rows(sep: str):
+    """Rows of files in encodings that Spark's reader does not take, without the header; such files are small."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for content in part.column(0).to_pylist():
+                rows = list(csv.reader(io.StringIO(decoded(content)), delimiter=sep))[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["cells"])
+
+    return run
+
+
 def _decodes(content: bytes, encoding: str) -> bool:
     try:
         content.decode(encoding)
