@@ -132,3 +132,29 @@ def trashed_names(files: DataFrame) -> DataFrame:
     """Names without collisions: the second file of a name gets ``__1`` and so on."""
     n = F.row_number().over(Window.partitionBy(file_name("file_key")).orderBy("file_key")) - 1
     return files.select("file_key", F.when(n == 0, file_name("file_key")).otherwise(F.concat(file_name("file_key"), F.lit("__"), n.cast("string"))).alias("trash_name"))
+
+
+def located(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """``ref, file_key``: the file of a stored key; where a folder was renamed, the first of its type with that name."""
+    direct = files.select(F.col("file_key").alias("ref"), F.col("file_key").alias("same"))
+    named = files.groupBy(F.get(path_parts("file_key"), F.lit(0)).alias("folder"), file_name("file_key").alias("name")).agg(F.min("file_key").alias("found"))
+    rows = refs.withColumn("folder", F.get(path_parts("ref"), F.lit(0))).withColumn("name", file_name("ref"))
+    return rows.join(direct, "ref", "left").join(named, ["folder", "name"], "left").select("ref", F.coalesce("same", "found").alias("file_key"))
+
+
+def saved_images(images: DataFrame) -> DataFrame:
+    """Images with ``saved_as``: the name under which their content was first saved in their document."""
+    w = Window.partitionBy("doc_id", "hash").orderBy("page", "seq")
+    name = F.concat_ws("_", F.lit("p"), F.first("page").over(w), F.first("seq").over(w))
+    return images.withColumn("saved_as", name).withColumn("is_new", F.row_number().over(w) == 1)
+
+
+def used_elsewhere(refs: DataFrame) -> DataFrame:
+    """References whose path another page of the document has too."""
+    w = Window.partitionBy("doc_id", "path")
+    return refs.withColumn("_a", F.min("page").over(w)).withColumn("_b", F.max("page").over(w)).filter("_a <> _b").drop("_a", "_b")
+
+
+def shard(files: DataFrame, part: int, parts: int, key: str = "file_key") -> DataFrame:
+    """The ``part``-th of ``parts`` portions of the files. A hash deals them, so no order over all files is needed."""
+    return files.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)

@@ -242,3 +242,99 @@ def descendants(tree: DataFrame, kinds: tuple[str, ...], depth: int = 6) -> Data
         level = level.join(up, ["doc_id", "ancestor"]).filter("next IS NOT NULL").select("doc_id", "block_id", F.col("next").alias("ancestor"), "kind")
         out = out.unionByName(level)
     return out.filter(F.col("kind").isin(*kinds)).select("doc_id", "block_id", "ancestor")
+
+
+def subtitles(spans: DataFrame, titles: DataFrame, close: float = 0.1, ratio: float = 5.0) -> DataFrame:
+    """``doc_id, subtitle`` of covers: the first text of the second largest size at most ``ratio`` sizes under the title.
+
+    ``titles(doc_id, size, y1)`` of page 0.
+    """
+    rows = spans.filter("page = 0").join(titles.select("doc_id", F.col("size").alias("t_size"), F.col("y1").alias("t_y1")), "doc_id").filter(F.col("size") < F.col("t_size") - close)
+    second = F.max("size").over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("second", second).filter(F.abs(F.col("size") - F.col("second")) < close)
+    under = (F.col("y0") - F.col("t_y1") >= 0) & (F.col("y0") - F.col("t_y1") <= F.col("second") * ratio)
+    return rows.filter(under).groupBy("doc_id").agg(F.min_by("text", F.struct("y0", "span_no")).alias("subtitle"))
+
+
+def placed_orphans(blocks: DataFrame, orphans: DataFrame, y_weight: float = 5.0) -> DataFrame:
+    """``doc_id, page, block_no, place``: blocks in order with each orphan behind the nearest block."""
+    pairs = side(orphans, "a_", "block_no").join(side(blocks, "b_", "block_no"), PAGE)
+    far = Box.of("a_").center_distance(Box.of("b_"), y_weight=y_weight, absolute=True)
+    anchor = pairs.groupBy(*PAGE, F.col("a_id").alias("block_no")).agg(F.min_by("b_id", F.struct(far, F.col("b_id"))).alias("anchor"))
+    every = blocks.select(*PAGE, "block_no", F.col("block_no").alias("anchor"), F.lit(0).alias("late")).unionByName(orphans.select(*PAGE, "block_no").join(anchor, [*PAGE, "block_no"], "left").select(*PAGE, "block_no", "anchor", F.lit(1).alias("late")))
+    w = Window.partitionBy(*PAGE).orderBy(F.asc_nulls_last("anchor"), "late", "block_no")
+    return every.withColumn("place", F.row_number().over(w) - 1).select(*PAGE, "block_no", "place")
+
+
+def fitted_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """Cells as large as the lines that were assigned to them (``lines(doc_id, page, cell_no, x0..y1)``)."""
+    own = merged_boxes(lines, [*PAGE, "cell_no"]).select(*PAGE, "cell_no", *(F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")))
+    rows = cells.join(own, [*PAGE, "cell_no"], "left")
+    return rows.select(*PAGE, "cell_no", *(f(F.col(c), F.coalesce(f"l_{c}", c)).alias(c) for c, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))))
+
+
+def merged_dollar_columns(cells: DataFrame) -> DataFrame:
+    """Cells without columns of dollar signs: a column of nothing but ``$`` or blanks, without spans, whose right
+    neighbour has the same rows, joins that neighbour; columns to the right move left."""
+    per_col = cells.groupBy("table_id", "col_id").agg(F.every(F.trim("text").isin("", "$")).alias("dollars"), F.max("colspan").alias("widest"), F.count("*").alias("n"), F.array_sort(F.collect_list("row_id")).alias("rows"))
+    into = cells.select("table_id", F.explode_outer(F.when(F.col("colspan") > 1, F.sequence(F.col("col_id") + 1, F.col("col_id") + F.col("colspan") - 1))).alias("col_id")).filter("col_id IS NOT NULL").distinct().withColumn("spanned", F.lit(True))
+    following = per_col.select("table_id", (F.col("col_id") - 1).alias("col_id"), F.col("rows").alias("next_rows"))
+    cols = per_col.join(into, ["table_id", "col_id"], "left").join(following, ["table_id", "col_id"], "left")
+    use = F.col("dollars") & (F.col("n") > 1) & (F.col("widest") == 1) & F.col("spanned").isNull() & F.coalesce(F.col("rows") == F.col("next_rows"), F.lit(False))
+    w = Window.partitionBy("table_id").orderBy("col_id")
+    cols = cols.withColumn("use", use).withColumn("shift", F.sum(F.col("use").cast("int")).over(w)).select("table_id", "col_id", "use", "shift")
+    rows = cells.join(cols, ["table_id", "col_id"])
+    before = rows.filter("use").select("table_id", "row_id", (F.col("col_id") + 1).alias("col_id"), F.col("text").alias("sign"))
+    out = rows.filter("NOT use").join(before, ["table_id", "row_id", "col_id"], "left")
+    return out.select("table_id", "row_id", (F.col("col_id") - F.col("shift")).alias("col_id"), F.concat(F.coalesce("sign", F.lit("")), "text").alias("text"))
+
+
+def table_runs(tables: DataFrame, page_height: float, tall: float = 0.6, near: float = 20.0) -> DataFrame:
+    """Tables with ``island``: those that go on across pages (alone there and tall) or beside and under each other.
+
+    ``tables(doc_id, page, pos, x0..y1, n_rows, n_cols)``. A row match always counts, as in the rule's own wording.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page", "pos")
+    rows = tables.withColumn("alone", F.count("*").over(Window.partitionBy(*PAGE)) == 1).withColumn("p", F.lag(F.struct("page", "x0", "y0", "x1", "y1", "n_cols", "alone")).over(w))
+    height, width = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    p_height, p_width = F.col("p.y1") - F.col("p.y0"), F.col("p.x1") - F.col("p.x0")
+    across = (F.col("p.page") == F.col("page") - 1) & (F.greatest(height, p_height) / page_height > tall) & (F.col("alone") | F.col("p.alone"))
+    beside = (F.col("p.page") == F.col("page")) & (p_height / height).between(0.75, 1.25) & (F.abs(F.col("x0") - F.col("p.x1")) < near) & (F.abs(F.col("y0") - F.col("p.y0")) < near)
+    under = (F.col("p.page") == F.col("page")) & (p_width / width).between(0.75, 1.25) & (F.abs(F.col("y0") - F.col("p.y1")) < near) & (F.abs(F.col("x0") - F.col("p.x0")) < near) & (F.abs(F.col("n_cols") - F.col("p.n_cols")) < 2)
+    return rows.withColumn("island", F.sum(F.when(F.coalesce(across | beside | under, F.lit(False)), 0).otherwise(1)).over(w)).drop("p", "alone")
+
+
+def nested_lists(items: DataFrame, page_width: float, least: float = 0.01) -> DataFrame:
+    """List items with ``level``: the number of open items further left; an item closes those that are not.
+
+    A fold over each group's items in order that carries the stack of left edges.
+    """
+    step_x = page_width * least
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x0")))
+    start = F.struct(F.array().cast("array<double>").alias("stack"), F.array().cast("array<struct<pos:int,level:int>>").alias("out"))
+
+    def step(state: Column, item: Column) -> Column:
+        opened = F.filter(state["stack"], lambda x: x + step_x < item["x0"])
+        return F.struct(F.concat(opened, F.array(item["x0"])).alias("stack"), F.concat(state["out"], F.array(F.struct(item["pos"].alias("pos"), F.size(opened).alias("level")))).alias("out"))
+
+    return items.groupBy("doc_id", "group_no").agg(F.aggregate(ordered, start, step)["out"].alias("out")).select("doc_id", "group_no", F.explode("out").alias("o")).select("doc_id", "group_no", "o.*")
+
+
+def ordered_by_offset(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``place``: by the mean offset of their characters; blocks without one stand behind the last that has
+    one, or before the first."""
+    w = Window.partitionBy(*PAGE).orderBy("pos")
+    before = F.last("offset", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("offset", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    key = F.coalesce("offset", before, after - 0.5, F.lit(0.0))
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(key, F.col("offset").isNull(), "pos")) - 1)
+
+
+def footnotes_last(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``place``: page headers first, footnotes last, the rest in order between."""
+    rank = F.when(F.col("kind") == "header", 0).when(F.col("kind") == "footnote", 2).otherwise(1)
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(rank, "pos")) - 1)
+
+
+def table_of_contents(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("kind = 'heading'").select("doc_id", "page", "pos", F.trim("text").alias("title"), "y0").orderBy("doc_id", "page", "pos")
