@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: RFC 4122 name space for URLs' sibling, DNS, as hexadecimal digits.
+#: The DNS name space of RFC 4122 as hexadecimal digits.
 NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 #: The code points that count as a space in extracted text.
-SPACES = "   ​　"
+SPACES = "\u2003\u2002\u00a0\u200b\u3000"
 _NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
