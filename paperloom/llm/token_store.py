@@ -27,31 +27,44 @@ CHUNK, RECIPE = 0, 1
 RECIPES = "part int, pos long, uid long, doc_id {id}, start long, n_tokens long, sizes binary, leaves binary, root string"
 
 
-def rolling(ids: np.ndarray) -> np.ndarray:
-    """A hash of each id with the ``WINDOW - 1`` before it."""
-    own = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    own ^= own >> np.uint64(32)
-    out = np.zeros(len(ids), np.uint64)
-    for k in range(min(WINDOW, len(ids))):
-        out[k:] += own[: len(ids) - k] << np.uint64(k)
-    return out >> np.uint64(WINDOW)
-
-
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a stream of ids end. A cut depends on the ids before it only, so equal passages cut alike."""
-    low = np.uint64((1 << CUT_BITS) - 1)
+def cut_places(streams: list[np.ndarray]) -> list[list[int]]:
+    """For each stream of ids the places after which a chunk may end.
+
+    A place's hash covers its id and the ``WINDOW - 1`` before it in the same stream, so equal passages have equal
+    places. All streams are hashed in one go, with room between them where nothing adds to the hash.
+    """
+    if not streams:
+        return []
+    sizes = np.array([len(s) for s in streams])
+    starts = np.concatenate(([0], np.cumsum(sizes + WINDOW)[:-1]))
+    own = np.zeros(int((sizes + WINDOW).sum()), np.uint32)
+    for start, ids in zip(starts.tolist(), streams, strict=True):
+        own[start : start + len(ids)] = ids + np.uint32(1)
+    own *= np.uint32(0x9E3779B1)
+    own ^= own >> np.uint32(15)
+    out = own.copy()
+    for k in range(1, WINDOW):
+        out[k:] += own[:-k] << np.uint32(k)
+    low = np.uint32((1 << CUT_BITS) - 1)
+    places = np.flatnonzero(out >> np.uint32(WINDOW) & low == low)
+    cut = np.searchsorted(places, np.stack([starts, starts + sizes]))
+    return [(places[a:b] - start + 1).tolist() for a, b, start in zip(cut[0], cut[1], starts, strict=True)]
+
+
+def chunk_ends(size: int, places: list[int]) -> list[int]:
+    """Where the chunks of a stream end: at a place between ``LEAST_IDS`` and ``MOST_IDS`` from the start, and at its end."""
     ends, start = [], 0
-    for at in (np.flatnonzero(rolling(ids) & low == low) + 1).tolist():
+    for at in places:
         while at - start > MOST_IDS:
             start += MOST_IDS
             ends.append(start)
         if at - start >= LEAST_IDS:
             ends.append(at)
             start = at
-    while len(ids) - start > MOST_IDS:
+    while size - start > MOST_IDS:
         start += MOST_IDS
         ends.append(start)
-    return [*ends, len(ids)] if start < len(ids) else ends
+    return [*ends, size] if start < size else ends
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -100,10 +113,10 @@ def cut_documents(source: DataFrame, tokenizer_path: str, end_id: int, id_type:
             uids, doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
             for first in range(0, len(texts), TEXTS):
                 rows = []
-                for k, ids in enumerate(own.encode([t or "" for t in texts[first : first + TEXTS]]), first):
-                    ids += end
+                streams = [ids + end for ids in own.encode([t or "" for t in texts[first : first + TEXTS]])]
+                for k, (ids, places) in enumerate(zip(streams, cut_places([np.frombuffer(x, "<u4") for x in streams]), strict=True), first):
                     at, leaves, sizes = 0, [], []
-                    for stop in chunk_ends(np.frombuffer(ids, "<u4")):
+                    for stop in chunk_ends(len(ids) // 4, places):
                         chunk = ids[4 * at : 4 * stop]
                         digest = hashlib.sha256(chunk).digest()
                         leaves.append(digest)

@@ -11,8 +11,10 @@ from array import array
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit integers")
 
-#: Words whose ids a worker keeps; when the table is full, further words are encoded anew each time.
+#: Words whose ids a worker keeps: those that it meets again, until the table is full; others are encoded each time.
 KEPT_WORDS = 300_000
+#: Marks for words that were met once, a byte each by the word's hash.
+MET = 1 << 22
 #: Words that are encoded together.
 ENCODED = 4000
 _L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
@@ -58,6 +60,7 @@ class WordwiseEncoder:
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
         #: Ids of words with a space before them, by the word, and of what starts a text.
         self.spaced: dict[str, bytes] = {}
+        self.met, self.met_pieces = bytearray(MET), bytearray(MET)
         self.first: dict[str, bytes] = {"": b""}
 
         #: Ids of the pieces of simple words.
@@ -69,13 +72,20 @@ class WordwiseEncoder:
         #: True: a piece has the space before it. False: lower-cased, spaces dropped. None: words are not taken apart here.
         self.spaces = True if cut == "ByteLevel" and not plain else False if lowers and shape["model"]["end_of_word_suffix"] == "</w>" else None
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, before: str, letters: str) -> bytes:
+        piece = before + letters
         got = self.pieces.get(piece)
         if got is None:
-            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
-            got = array("I", [x.id for x in tokens]).tobytes()
-            if len(self.pieces) < KEPT_WORDS:
-                self.pieces[piece] = got
+            plain = "Ġ" + letters if before else letters  # the space's character in a byte-level vocabulary
+            if not letters.isascii() or letters == "\n":
+                plain = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            got = array("I", [x.id for x in self.tokenizer.model.tokenize(plain)]).tobytes()
+            at = hash(piece) & MET - 1
+            if self.met_pieces[at]:
+                if len(self.pieces) < KEPT_WORDS:
+                    self.pieces[piece] = got
+            else:
+                self.met_pieces[at] = 1
         return got
 
     def _simple(self, word: str, before: str) -> bytes | None:
@@ -84,16 +94,23 @@ class WordwiseEncoder:
         if not found:
             return None
         letters, marks, letters2, marks2 = found.groups("")
-        if self.spaces:
-            return self._piece(before + letters) + self._piece(marks) + (self._piece("\n") + self._piece(letters2) + self._piece(marks2) if letters2 else b"")
-        return self._piece(letters.lower()) + self._piece(marks) + self._piece(letters2.lower()) + self._piece(marks2)
+        own = self._piece
+        if not self.spaces:
+            return own("", letters.lower()) + own("", marks) + own("", letters2.lower()) + own("", marks2)
+        out = own(before, letters) + own("", marks)
+        return out + own("", "\n") + own("", letters2) + own("", marks2) if letters2 else out
 
     def _encoded(self, new: list[str], before: str, kept: dict[str, bytes]) -> dict[str, bytes]:
         """The ids of new words; they are kept while there is room."""
         extra: dict[str, bytes] = {}
 
         def put(word: str, ids: bytes) -> None:
-            (kept if len(kept) < KEPT_WORDS and len(word) < 60 else extra)[word] = ids
+            at = hash(word) & MET - 1
+            if self.met[at] and len(kept) < KEPT_WORDS and len(word) < 60:
+                kept[word] = ids
+            else:
+                self.met[at] = 1
+                extra[word] = ids
 
         other = []
         for word in new:
