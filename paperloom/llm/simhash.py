@@ -219,7 +219,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     fps = written(rows.groupBy("fp").agg(head.alias("head")), "distinct-fingerprints")
     roots = star_components(near_links(fps.select("fp"), distance, blocks, tile)).withColumnRenamed("node", "fp")
     rooted = written(fps.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
-    heads = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    heads = written(rooted.groupBy("root").agg(F.min("head").alias("head")), "component-heads")
     members = rooted.select("fp", "root").join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head_uid"))
     return rows.join(members, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"))
 
