@@ -81,8 +81,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Of equal payloads of ``least_bytes`` or more, the row with the least id (of several, the first) is the response and
     the others revisit it. Payloads are equal when their SHA-256 and length are. Only digests meet for this: the first
-    row of each repeated payload is found with partial sums, and pages are joined to it by row number, so no task gets
-    all copies of a payload. A task writes archives under names of its own and renames them when complete, so a repeated
+    row of each repeated payload is found with partial sums and written, so that the join of the digests to it has no
+    aggregate under it and the adaptive planner can split a payload with very many copies. A task writes archives under names of its own and renames them when complete, so a repeated
     task leaves the same files; readers use the returned table, which lists complete ones only.
 
     Null payloads are empty; a null id sorts last and is left out of the record; a null url is ''.
@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     rows = rows.select("uid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keys = rows.select("uid", "page_id", "url", F.length("payload").alias("size"), F.sha2("payload", 256).alias("digest")).filter(F.col("size") >= least_bytes)
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid", "url")).alias("first")
-    repeated = keys.groupBy("digest", "size").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = written(keys.groupBy("digest", "size").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-payloads")
     revisits = keys.select("uid", "digest", "size").join(repeated, ["digest", "size"]).filter("uid <> first.uid").select("uid", "first")
     folder = qualified(spark, path)
 
