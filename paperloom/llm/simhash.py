@@ -29,17 +29,25 @@ PROBE = 64
 ROWS, SMALL = 200_000, 128
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: bit j is 1 if it is set in over half of the shingles' hashes; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hash of each run of so many words, or of all words where they are fewer; none without words."""
     words = spaced_words(text)
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(1, len(words) - shingle + 1)
     cuts = zip(starts[:last].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, last)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, last)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text: bit j is 1 if it is set in over half of the shingles' hashes; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    last = len(hashes)
+    if not last:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, last, 4096):
         part = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -215,19 +223,33 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     ids sort last. An empty table gives an empty result; other columns are not read.
     """
     rows = written(fingerprinted(docs, key, text, shingle), "fingerprints")
+    fps = distinct(rows)
+    return members(rows, fps, near_links(fps.select("fp"), distance, blocks, tile))
+
+
+def distinct(rows: DataFrame) -> DataFrame:
+    """``fp, head``: the first of the rows with each ``fp``."""
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    fps = written(rows.groupBy("fp").agg(head.alias("head")), "distinct-fingerprints")
-    roots = star_components(near_links(fps.select("fp"), distance, blocks, tile)).withColumnRenamed("node", "fp")
+    return written(rows.groupBy("fp").agg(head.alias("head")), "distinct-fingerprints")
+
+
+def members(rows: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """``uid, doc_id, fp, component_id, kept`` for ``rows(uid, doc_id, fp)`` and links of their distinct ``fp``."""
+    roots = star_components(links).withColumnRenamed("node", "fp")
     rooted = written(fps.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
     heads = written(rooted.groupBy("root").agg(F.min("head").alias("head")), "component-heads")
-    members = rooted.select("fp", "root").join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head_uid"))
-    return rows.join(members, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"))
+    own = rooted.select("fp", "root").join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head_uid"))
+    return rows.join(own, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates."""
+    return kept_rows(docs, near_groups(docs, key, text, **options))
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     uid = fresh(docs, "uid")
-    kept = near_groups(docs, key, text, **options).filter("kept").select(F.col("uid").alias(uid))
+    kept = groups.filter("kept").select(F.col("uid").alias(uid))
     return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
