@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import norm, to_number
 
 CONFIDENCE = {"low": 0, "medium": 1, "high": 2}
+#: Known names of a broadcast block.
+KNOWN_BLOCK = 100_000
 
 
 def melted(wide: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -74,15 +76,23 @@ def as_markdown(rows: DataFrame) -> DataFrame:
     return rows.select("attr", "project", F.concat_ws("", F.lit("| "), F.concat_ws(" | ", "project", "attr", "value", number), F.lit(" |")).alias("line"))
 
 
-def uniquely_resolved(names: DataFrame, known: DataFrame) -> DataFrame:
+def uniquely_resolved(names: DataFrame, known: DataFrame, block: int = KNOWN_BLOCK) -> DataFrame:
     """``name, project``: equal, else the one known name that holds it, else the one that ends with it, else null.
 
-    ``known(project)`` are the values of a facet, broadcast by their bound of 1,000.
+    Equal names of ``known(project)`` are found by a join on them; what is left is matched against all known names,
+    which are broadcast in blocks of about ``block``, and the counts of the blocks are added up.
     """
-    pairs = names.select("name").distinct().join(F.broadcast(known.select("project").limit(1000)), (F.trim("name") != "") & F.contains(F.col("project"), F.trim("name")), "left")
-    equal, ends = F.col("project") == F.trim("name"), F.endswith(F.col("project"), F.trim("name"))
-    found = pairs.groupBy("name").agg(F.max(F.when(equal, F.col("project"))).alias("same"), F.count("project").alias("n"), F.min("project").alias("one"), F.count_if(ends).alias("n_ends"), F.min(F.when(ends, F.col("project"))).alias("end"))
-    return found.select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("one")), F.when((F.col("n") > 1) & (F.col("n_ends") == 1), F.col("end"))).alias("project"))
+    known = known.filter("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("copies"))
+    asked = names.select("name").distinct().withColumn("key", F.trim("name"))
+    asked = asked.join(known.select(F.col("project").alias("same")), (F.col("key") != "") & (F.col("key") == F.col("same")), "left")
+    rest = asked.filter("same IS NULL AND key <> ''").select("name", "key")
+    ends, parts, blocks = F.endswith(F.col("project"), F.col("key")), None, -(-known.count() // block) or 1
+    for k in range(blocks):
+        own = F.broadcast(known.filter(F.pmod(F.xxhash64("project"), F.lit(blocks)) == k))
+        part = rest.join(own, F.contains(F.col("project"), F.col("key"))).groupBy("name").agg(F.sum("copies").alias("n"), F.min("project").alias("one"), F.sum(F.when(ends, F.col("copies"))).alias("n_ends"), F.min(F.when(ends, F.col("project"))).alias("end"))
+        parts = part if parts is None else parts.unionByName(part)
+    found = parts.groupBy("name").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum("n_ends").alias("n_ends"), F.min("end").alias("end"))
+    return asked.join(found, "name", "left").select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("one")), F.when((F.col("n") > 1) & (F.col("n_ends") == 1), F.col("end"))).alias("project"))
 
 
 def greedily_resolved(mentions: DataFrame, known: DataFrame) -> DataFrame:
