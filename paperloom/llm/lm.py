@@ -3,44 +3,44 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import as_bytes, documents, id_remainder, row_ids, spaced_words, written
+from paperloom.llm.common import as_bytes, documents, id_remainder, qualified, row_ids, shared_dir, spaced_words, store, written
 
 #: The token that ends every text; no word has a space.
 END = b" "
 #: Documents with this remainder of crc32(doc_id as text) modulo 7 are scored but not learned from.
 MODULUS, HELD_OUT = 7, 2
-#: Counts of a bigram below which the model does not hold it; single words are held from half of that.
-LEAST_COUNT = 2
-#: Bits of filter and probes for each entry; the filter's bytes never exceed MOST_BYTES.
-ENTRY_BITS, PROBES, MOST_BYTES = 10, 4, 64 << 20
+#: Words of the longest n-gram.
+ORDER = 3
+#: Bits of filter and probes for each entry.
+ENTRY_BITS, PROBES = 10, 4
 #: Level q of a count is for counts from 2 ** (q - 1); levels go no further than this.
 LEVELS = 48
-#: Weight of the bigram estimate against the single word's.
-WEIGHT = 0.6
-#: Words of a broadcast block of exact counts (16 bytes each).
-BLOCK_WORDS = 6_000_000
-#: Training tokens for each segment of the n-gram counts, and n-grams a task gathers before it sends them on.
-SEGMENT_TOKENS, HELD_GRAMS = 1 << 18, 1 << 21
+#: Bytes of a segment of the filter and of a part of whole segments, files of a part, and bytes of parts that a worker holds at once.
+SEGMENT_BYTES, PART_BYTES, FILES, HELD_BYTES = 256 << 10, 16 << 20, 4, 96 << 20
+#: What is taken off each count of two and more words, and the weight of a longer n-gram, whose context is known, against the shorter ones.
+DISCOUNT, WEIGHT = 0.9, 0.7
+#: Words that are more than one in so many training tokens are broadcast with their exact counts: so many at most.
+FREQUENT = 1 << 16
+#: Training tokens whose n-grams a task gathers before it sends them on.
+HELD_TOKENS = 1 << 20
 #: Bytes of text whose tokens are looked at together, and distinct words that a task counts before it sends them on.
-TEXT_BYTES, HELD_WORDS = 2 << 20, 150_000
-#: Parts in which the driver fetches the filter and a block of counts.
-SLICES = 4
-#: Set in the hashes of single words, not in those of bigrams.
-SINGLE = np.uint64(1 << 63)
+TEXT_BYTES, HELD_WORDS = 4 << 20, 150_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(word: bytes, seed: int = 0) -> int:
-    return xxhash.xxh64_intdigest(word, seed)
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,12 +49,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def single_keys(hashes: np.ndarray) -> np.ndarray:
-    return mixed(hashes) | SINGLE
+def longer(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The keys of the n-grams ``keys`` with one more word."""
+    return mixed(keys * GOLDEN + hashes)
 
 
-def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * GOLDEN + second) & ~SINGLE
+def placed(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each n-gram in the upper half, the rest of its hash, which tells n-grams of a segment apart, in the lower."""
+    return ((keys >> np.uint64(32)) * np.uint64(segments) & ~np.uint64(0xFFFFFFFF)) | (keys & np.uint64(0xFFFFFFFF))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -94,6 +96,15 @@ class TokenTable:
         out[self.starts] = self.numbers[self.starts + self.sizes - 1]
         return out
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the distinct words, of the pair that ends at each token, and of the triple (at a text's first token: of the pair)."""
+        single = mixed(self.hashes)
+        own = self.hashes[self.numbers]
+        pair = longer(single[self.before()], own)
+        triple = longer(np.concatenate((pair[:1], pair[:-1])), own)
+        triple[self.starts] = pair[self.starts]
+        return single, pair, triple
+
 
 def portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``TEXT_BYTES``; a longer text is a run of its own."""
@@ -107,32 +118,47 @@ def portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def positions(keys: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def positions(rests: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """The places of the n-grams' entries for a level, one array for each probe."""
-    a = mixed(keys ^ (np.asarray(level).astype(np.uint64) * GOLDEN))
+    a = mixed(rests ^ np.uint64(level * int(GOLDEN) & (1 << 64) - 1))
     b = mixed(a) | np.uint64(1)
     for k in range(PROBES):
-        yield (a + np.uint64(k) * b) % np.uint64(bits)
+        yield (a + np.uint64(k) * b) % bits
+
+
+def filled(rests: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Bits and bytes of a segment that holds these n-grams: an entry for every level up to an n-gram's own."""
+    levels = level_of(counts)
+    bits = max(64, int(levels.sum()) * ENTRY_BITS)
+    segment = np.zeros(-(-bits // 8), np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for p in positions(rests[levels >= level], level, np.uint64(bits)):
+            np.bitwise_or.at(segment, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7))).astype(np.uint8))
+    return bits, segment
 
 
-class LogFrequencyFilter:
-    """A Bloom filter with an entry for every level up to an n-gram's own, in segments by the n-gram's hash.
+class Part:
+    """Some segments of the log-frequency filter.
 
     Probing goes up level by level until an entry is missing; so a count is never underestimated, and it is overestimated
     by one more level only with the filter's error rate.
     """
 
-    def __init__(self, segments: np.ndarray, bits: int) -> None:
-        self.segments, self.bits = segments, bits
+    def __init__(self, first: int, most: int, segments: list[int], bits: list[int], filters: list[np.ndarray]) -> None:
+        self.first, self.flat = first, np.concatenate([*filters, np.zeros(1, np.uint8)])
+        self.bits, self.base = np.full(most, 64, np.uint64), np.full(most, -1, np.int64)
+        at = 0
+        for segment, n, own in zip(segments, bits, filters, strict=True):
+            self.bits[segment - first], self.base[segment - first] = n, at
+            at += len(own)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base = (keys % np.uint64(len(self.segments))).astype(np.int64) * self.segments.shape[1]
-        flat = self.segments.reshape(-1)
+        segment, rests = (keys >> np.uint64(32)).astype(np.int64) - self.first, keys & np.uint64(0xFFFFFFFF)
+        out, at = np.zeros(len(keys), np.int64), np.flatnonzero(self.base[segment] >= 0)
         for level in range(1, LEVELS + 1):
-            there = np.ones(len(at), bool)
-            for p in positions(keys[at], level, self.bits):
-                there &= flat[base[at] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
+            base, there = self.base[segment[at]], np.ones(len(at), bool)
+            for p in positions(rests[at], level, self.bits[segment[at]]):
+                there &= self.flat[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
             at = at[there]
             if not len(at):
                 break
@@ -140,13 +166,48 @@ class LogFrequencyFilter:
         return out
 
 
-def filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """The bytes of one segment that holds these n-grams."""
-    segment, levels = np.zeros(-(-bits // 8), np.uint8), level_of(counts)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        for p in positions(keys[levels >= level], level, bits):
-            np.bitwise_or.at(segment, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7))).astype(np.uint8))
-    return segment
+class Filter:
+    """The parts of a filter in a shared folder, ``part=k`` for ``each`` segments from ``each * k``.
+
+    A worker that scores holds parts of ``HELD_BYTES`` at most, whatever their number, and reads the others again.
+    """
+
+    def __init__(self, folder: str, segments: int, each: int) -> None:
+        self.folder, self.segments, self.each = folder, segments, each
+        self.held: OrderedDict[int, Part] = OrderedDict()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": OrderedDict()}
+
+    def part(self, k: int) -> Part:
+        if k in self.held:
+            self.held.move_to_end(k)
+            return self.held[k]
+        while self.held and sum(len(p.flat) for p in self.held.values()) + self.each * SEGMENT_BYTES > HELD_BYTES:
+            self.held.popitem(last=False)
+        files, place = store(f"{self.folder}/part={k}")
+        segments, bits, filters = [], [], []
+        for info in files.get_file_info(pafs.FileSelector(place, allow_not_found=True)):
+            if info.base_name.startswith("part-"):
+                with files.open_input_file(info.path) as file:
+                    table = pq.read_table(file)
+                segments += table.column("segment").to_pylist()
+                bits += table.column("bits").to_pylist()
+                filters += [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("filter")]
+        self.held[k] = Part(k * self.each, self.each, segments, bits, filters)
+        return self.held[k]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        keys, parts = placed(keys, self.segments), -(-self.segments // self.each)
+        part = (keys >> np.uint64(32)).astype(np.int64) // self.each
+        by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
+        out = np.zeros(len(keys), np.int64)
+        for k in sorted(range(parts), key=lambda k: k not in self.held):
+            at = by_part[cuts[k] : cuts[k + 1]]
+            if len(at):
+                out[at] = self.part(k).levels(keys[at])
+        return out
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -172,16 +233,16 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys by byte planes, whose upper ones compress, then the counts over 1 with their places."""
+    """Sorted keys of one segment by byte planes, whose upper ones compress, then the counts over 1 with their places."""
     more = np.flatnonzero(counts > 1)
-    planes = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    planes = np.ascontiguousarray((keys & np.uint64(0xFFFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4).T)
     return b"".join([len(keys).to_bytes(8, "little"), planes.tobytes(), more.astype("<u4").tobytes(), np.minimum(counts[more], 2**32 - 1).astype("<u4").tobytes()])
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    keys = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").reshape(-1)
-    rest = np.frombuffer(blob, "<u4", -1, 8 + 8 * n).reshape(2, -1)
+    keys = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 8).reshape(4, n).T).view(">u4").reshape(-1).astype(np.uint64)
+    rest = np.frombuffer(blob, "<u4", -1, 8 + 4 * n).reshape(2, -1)
     counts = np.ones(n, np.int64)
     counts[rest[0]] = rest[1]
     return keys, counts
@@ -197,16 +258,16 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def gram_segments(rows: DataFrame, segments: int) -> DataFrame:
-    """``segment, grams``: hashes and counts of the words and bigrams of some texts, packed by segment."""
+    """``segment, grams``: hashes and counts of the n-grams of some texts, packed by segment."""
 
     def cut(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, counts = added(held)
         held.clear()
-        segment = (keys % np.uint64(segments)).astype(np.int32)
-        by_segment = np.argsort(segment, kind="stable")
-        cuts = np.searchsorted(segment[by_segment], np.arange(segments + 1))
-        own = [(int(k), by_segment[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([packed(keys[at], counts[at]) for _, at in own], pa.binary())], names=["segment", "grams"])
+        segment = (keys >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        ends = np.append(starts[1:], len(keys))
+        blobs = [packed(keys[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(segment[starts]), pa.array(blobs, pa.binary())], names=["segment", "grams"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -214,24 +275,25 @@ def gram_segments(rows: DataFrame, segments: int) -> DataFrame:
             texts = as_bytes(part.column(0))
             for a, b in portions(texts):
                 tokens = TokenTable(texts[a:b])
-                held.append((single_keys(tokens.hashes), np.bincount(tokens.numbers)))
-                held.append(np.unique(bigram_keys(tokens.hashes[tokens.before()], tokens.hashes[tokens.numbers]), return_counts=True))
+                single, pair, triple = tokens.grams()
+                held.append(np.unique(placed(np.concatenate((single[tokens.numbers], pair, np.delete(triple, tokens.starts))), segments), return_counts=True))
                 size += len(tokens.numbers)
-                if size >= HELD_GRAMS:
+                if size >= HELD_TOKENS:
                     yield cut(held)
                     size = 0
         if held:
             yield cut(held)
 
-    return rows.select("text").mapInArrow(run, "segment int, grams binary")
+    return rows.select("text").mapInArrow(run, "segment long, grams binary")
 
 
-def by_segment(each, names: list[str], types: list[pa.DataType]):
-    """A function over rows ``segment, blob`` sorted by segment: ``each(segment, blobs)`` gives a row."""
+def segment_filters(grams: DataFrame, each: int) -> DataFrame:
+    """``part, segment, bits, filter``: all counts of a segment added up, as its entries of the filter."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(segment: int, blobs: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(each(segment, blobs), types, strict=True)], names=names)
+            bits, own = filled(*added([unpacked(b) for b in blobs]))
+            return pa.RecordBatch.from_arrays([pa.array([segment // each]), pa.array([segment]), pa.array([bits]), pa.array([own.tobytes()], pa.binary())], names=["part", "segment", "bits", "filter"])
 
         segment, blobs = None, []
         for part in parts:
@@ -244,162 +306,93 @@ def by_segment(each, names: list[str], types: list[pa.DataType]):
         if blobs:
             yield batch(segment, blobs)
 
-    return run
-
-
-def kept(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-    return counts >= np.where(keys & SINGLE > 0, least // 2, least)
-
-
-def summed_segments(grams: DataFrame) -> DataFrame:
-    """``segment, grams, singles, pairs``: all counts of a segment, and the numbers of its entries by level."""
-
-    def each(segment: int, blobs: list[bytes]) -> tuple:
-        keys, counts = added([unpacked(b) for b in blobs])
-        enough = kept(keys, counts, LEAST_COUNT)
-        keys, counts = keys[enough], counts[enough]
-        levels, single = level_of(counts), keys & SINGLE > 0
-        return segment, packed(keys, counts), *(np.bincount(x, minlength=LEVELS + 1).tolist() for x in (levels[single], levels[~single]))
-
-    schema = "segment int, grams binary, singles array<long>, pairs array<long>"
-    types = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    sorted_grams = grams.repartition("segment").sortWithinPartitions("segment")
-    return sorted_grams.mapInArrow(by_segment(each, ["segment", "grams", "singles", "pairs"], types), schema)
+    files = (F.floor(F.col("segment") / each), F.col("segment") % FILES)
+    return grams.repartition(*files).sortWithinPartitions("segment").mapInArrow(run, "part long, segment long, bits long, filter binary")
 
 
 class Model:
     """What scoring needs: the filter, and the numbers of tokens and of distinct tokens in training."""
 
-    def __init__(self, held: LogFrequencyFilter, tokens: int, vocabulary: int, least: int) -> None:
-        self.held, self.tokens, self.vocabulary, self.least = held, tokens, vocabulary, least
+    def __init__(self, held: Filter, tokens: int, vocabulary: int) -> None:
+        self.held, self.tokens, self.vocabulary = held, tokens, vocabulary
 
     def logs(self, tokens: TokenTable) -> np.ndarray:
-        """log10 of each token's probability: its share of the bigrams of the token before, mixed with its own share."""
-        before = tokens.before()
-        single = count_of(self.held.levels(single_keys(tokens.hashes)))
-        pair = count_of(self.held.levels(bigram_keys(tokens.hashes[before], tokens.hashes[tokens.numbers])))
-        share = np.minimum(1.0, pair / np.maximum(1.0, single[before]))
-        own = (single + 1.0) / (self.tokens + self.vocabulary + 1)
-        return np.log10(WEIGHT * share + (1 - WEIGHT) * np.minimum(1.0, own[tokens.numbers]))
-
-
-def entries_of(singles: list[int], pairs: list[int], least: int) -> int:
-    """Entries of the words counted ``least / 2`` times or more and the bigrams counted ``least`` times or more."""
-    after = int(math.log2(least))
-    return sum(n * q for q, n in enumerate(pairs) if q > after) + sum(n * q for q, n in enumerate(singles) if q >= after)
-
-
-def fitted(rows: DataFrame, tokens: int, vocabulary: int, most_bytes: int = MOST_BYTES) -> Model:
+        """log10 of each token's probability: what the triple and then the pair that end there are of those that begin alike, mixed with its own share."""
+        grams = tokens.grams()
+        cuts = np.cumsum([len(g) for g in grams])[:-1]
+        single, pair, triple = (count_of(x) for x in np.split(self.held.levels(np.concatenate(grams)), cuts))
+        context = single[tokens.before()]
+        earlier = np.concatenate((context[:1], pair[:-1]))
+        earlier[tokens.starts] = context[tokens.starts]
+        out = np.minimum(1.0, (single[tokens.numbers] + 1.0) / (self.tokens + self.vocabulary + 1))
+        for counts, of in ((pair, context), (triple, earlier)):
+            share = np.minimum(1.0, np.maximum(counts - DISCOUNT, 0.0) / np.maximum(1.0, of))
+            out = np.where(of > 0, (1 - WEIGHT) * out + WEIGHT * share, out)
+        return np.log10(out)
+
+
+def fitted(rows: DataFrame, tokens: int, vocabulary: int, part_bytes: int = PART_BYTES) -> Model:
     """The model of ``rows(text)``, which have so many tokens and distinct tokens.
 
-    The filter takes ``ENTRY_BITS`` for each entry. Where all n-grams would exceed ``most_bytes``, the least count
-    doubles until they fit: the filter is broadcast, so its size is bounded, and what it does not hold is smoothed as
-    unseen. Nothing else depends on this bound; all texts are counted.
+    Every n-gram of ``ORDER`` words or fewer is held, however rare. An n-gram has no more entries than places in the
+    texts, so the segments that their number asks for, dealt by hash, hold about ``SEGMENT_BYTES`` each at most.
     """
-    segments = max(16, -(-tokens // SEGMENT_TOKENS))
-    grams = written(summed_segments(gram_segments(rows, segments)), "n-grams")
-    levels = {"singles": [0] * (LEVELS + 1), "pairs": [0] * (LEVELS + 1)}
-    for kind, own in levels.items():
-        for q, n in grams.select(F.posexplode(kind).alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
-            own[q] = n
-    least = LEAST_COUNT
-    while entries_of(**levels, least=least) * ENTRY_BITS > 8 * most_bytes:
-        least *= 2
-    bits = max(64, -(-entries_of(**levels, least=least) * ENTRY_BITS // segments))
-
-    def each(segment: int, blobs: list[bytes]) -> tuple:
-        keys, counts = unpacked(blobs[0])
-        enough = kept(keys, counts, least)
-        return segment, filled(keys[enough], counts[enough], bits).tobytes()
-
-    schema = "segment int, filter binary"
-    space = np.zeros((segments, -(-bits // 8)), np.uint8)
-    for k in range(SLICES):  # most_bytes in all
-        own = grams.select("segment", "grams").filter(F.pmod("segment", F.lit(SLICES)) == k)
-        for segment, part in own.mapInArrow(by_segment(each, ["segment", "filter"], [pa.int32(), pa.binary()]), schema).collect():
-            space[segment] = np.frombuffer(part, np.uint8)
-    return Model(LogFrequencyFilter(space, bits), tokens, vocabulary, least)
-
-
-class Counts:
-    """Exact counts of a block of the vocabulary, by sorted hash."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        by_hash = np.argsort(hashes := hashes.view(np.uint64))
-        self.hashes, self.counts = hashes[by_hash], counts[by_hash].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.counts[at], 0).astype(np.int64)
-
-
-def fetched(block: DataFrame) -> Counts:
-    """A block of counts on the driver, slice by slice."""
-    slices = [block.filter(F.pmod(F.shiftright("h", 32), F.lit(SLICES)) == k).toArrow() for k in range(SLICES)]
-    return Counts(*(np.concatenate([s.column(c).to_numpy() for s in slices]) for c in ("h", "n")))
-
-
-def hashed_counts(counts: DataFrame) -> tuple[DataFrame, int]:
-    """``h, n`` and the seed under which all training words have hashes of their own."""
-    for seed in range(8):
-
-        def run(parts: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                h = np.fromiter((word_hash(w, seed) for w in part.column(0).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(1)], names=["h", "n"])
-
-        out = written(counts.mapInArrow(run, "h long, n long"), "word-hashes")
-        if out.groupBy("h").count().filter("count > 1").isEmpty():
-            return out, seed
-    raise ValueError("words share hashes under every seed")
-
-
-def scored(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    spark, each = rows.sparkSession, max(1, part_bytes // SEGMENT_BYTES)
+    segments = max(1, -(-ORDER * tokens * ENTRY_BITS // (8 * SEGMENT_BYTES)))
+    folder = shared_dir(spark, "log-frequency-filter")
+    filters = segment_filters(gram_segments(rows, segments), each)
+    filters.write.option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("part").parquet(folder)
+    return Model(Filter(qualified(spark, folder), segments, each), tokens, vocabulary)
+
+
+def scored(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
     Counts come from all of ``training(text)``. ``base_score`` adds up log10((c + 1) / (N + V + 1)) with exact counts:
-    their table is broadcast in blocks of about ``block_words`` words, and each block adds its own words' part to every
-    document, so the sums are exact whatever the size of the vocabulary. ``score`` is the model's log10 probability; all
-    its counts come from probes of the broadcast log-frequency filter.
-
-    Null texts are empty and have the end token only. Ids may be null or repeat. Without training rows every count is 0.
+    words over one in ``frequent`` training tokens, of which there are fewer than that, are broadcast; a document's other
+    words are joined to their counts, and as none of those is frequent, the join has no hot key. ``score`` is the model's
+    log10 probability; all its counts come from probes of the log-frequency filter, whose parts go to every worker
+    through the shared folder, some at a time: ``part_bytes`` and ``frequent`` do not change a result.
+
+    Null and empty texts have the end token only; very long ones are looked at as a whole. Ids may be null or repeat,
+    and every row is scored. Without training rows every count is 0; an empty table gives an empty result. Other columns
+    are not read.
     """
     spark, id_type = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    source = row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
     counts = written(word_counts(training), "word-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(fitted(training, total, vocabulary, most_bytes))
-    table, seed = hashed_counts(counts)
-    blocks = -(-vocabulary // block_words) or 1
-    found = None
-    for k in range(blocks):
-        block = spark.sparkContext.broadcast(fetched(table.filter(F.pmod("h", F.lit(blocks)) == k)))
-        part = source.mapInArrow(block_scores(block, model, seed, k == 0), f"uid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-        found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        found = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-    return found.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def block_scores(block, model, seed: int, first: bool):
-    """What one block's words add to each document; the first block also has what does not depend on the words."""
+    often = F.col("n") * F.lit(frequent) > F.lit(total)
+    known = spark.sparkContext.broadcast({bytes(w): n for w, n in counts.filter(often).collect()})  # under ``frequent`` rows
+    model = spark.sparkContext.broadcast(fitted(training, total, vocabulary, part_bytes))
+    schema = f"uid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, word binary, k long"
+    both = written(row_ids(docs, [key, text]).toDF("uid", "doc_id", "text").mapInArrow(text_scores(known, model), schema), "scores")
+    rare = both.filter("word IS NOT NULL").select("uid", "word", "k").join(counts.filter(~often), "word")
+    rest = rare.groupBy("uid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_base"))
+    found = both.filter("word IS NULL").drop("word", "k").join(rest, "uid", "left")
+    known_words, base = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("base_score") + F.coalesce("more_base", F.lit(0.0))
+    return found.select("doc_id", "n_tokens", known_words.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def text_scores(known, model):
+    """A row for each text, with what its frequent words add to the base score, and one for each of its other words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own, names = model.value, ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "k"]
         each = math.log10(own.tokens + own.vocabulary + 1)
         for part in parts:
             texts = as_bytes(part.column(2))
             for a, b in portions(texts):
-                tokens = TokenTable(texts[a:b])
-                c = block.value.of(tokens.hashes if not seed else np.fromiter((word_hash(w, seed) for w in tokens.words), np.uint64, len(tokens.words)))
-                base = tokens.summed(np.log10(c + 1.0)[tokens.numbers])
-                known = tokens.summed((c > 0).astype(np.int64)[tokens.numbers]).astype(np.int64)
-                score = tokens.summed(own.logs(tokens)) if first else np.zeros(b - a)
-                if first:
-                    base = base - tokens.sizes * each
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(tokens.sizes), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["uid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+                tokens, uid = TokenTable(texts[a:b]), part.column(0).slice(a, b - a)
+                c = np.fromiter((known.value.get(w, 0) for w in tokens.words), np.int64, len(tokens.words))
+                base = tokens.summed(np.log10(c + 1.0)[tokens.numbers]) - tokens.sizes * each
+                n_known = tokens.summed((c > 0).astype(np.int64)[tokens.numbers]).astype(np.int64)
+                score, none = tokens.summed(own.logs(tokens)), pa.nulls(b - a, pa.binary())
+                yield pa.RecordBatch.from_arrays([uid, part.column(1).slice(a, b - a), pa.array(tokens.sizes), pa.array(n_known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), none, pa.nulls(b - a, pa.int64())], names=names)
+                other = c[tokens.numbers] == 0
+                pairs, k = np.unique(np.repeat(np.arange(b - a), tokens.sizes)[other] * len(tokens.words) + tokens.numbers[other], return_counts=True)
+                words = pa.array(tokens.words, pa.binary()).take(pa.array(pairs % len(tokens.words)))
+                empty = [pa.nulls(len(pairs), kind) for kind in (part.schema.field(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([uid.take(pa.array(pairs // len(tokens.words))), *empty, words, pa.array(k)], names=names)
 
     return run
 
@@ -409,4 +402,3 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.filter(F.coalesce(id_remainder("doc_id", MODULUS) != HELD_OUT, F.lit(True))).select(F.col("text"))
     found = scored(docs.select("doc_id", "text"), known)
     return found.select("doc_id", F.coalesce(id_remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-

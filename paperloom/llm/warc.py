@@ -9,12 +9,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bounded, row_ids, shared_dir, written
+from paperloom.llm.common import bounded, qualified, row_ids, shared_dir, store, written
 
 #: Bytes of payload from which equal payloads are revisited.
 LEAST_BYTES = 0
@@ -30,19 +29,6 @@ NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 RECORDS = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path and the path in it, on whichever machine this runs."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme that the cluster's configuration gives it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
-
-
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

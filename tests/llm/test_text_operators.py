@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import decontamination as dc
 from paperloom.llm import language, licenses, lm, sharding
+from paperloom.llm.common import written
 from tests.conftest import SF
 from tests.llm.conftest import LONG, rows
 
@@ -91,55 +93,75 @@ def words(text):
     return (text or "").encode().lower().split() + [lm.END]
 
 
-def test_language_model_equals_exact_counts(spark):
-    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    known, pairs = Counter(), Counter()
+def exact_model(docs):
+    """Every count and the score of a text's tokens from exact counts quantised the same way."""
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in docs.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            known.update(w)
-            pairs.update(zip([lm.END, *w[:-1]], w, strict=True))
-    n, v = sum(known.values()), len(known)
+            one.update(w)
+            two.update(zip([lm.END, *w[:-1]], w, strict=True))
+            three.update(zip([lm.END, *w[:-2]], w[:-1], w[1:], strict=True) if len(w) > 1 else ())
+    n, v = sum(one.values()), len(one)
     level = lambda c: 1.5 * 2.0 ** int(math.log2(c)) - 0.5 if c else 0.0
+
+    def score(w):
+        total = 0.0
+        for k, x in enumerate(w):
+            a, b = w[k - 2] if k > 1 else lm.END, w[k - 1] if k else lm.END
+            p = min(1, (level(one[x]) + 1) / (n + v + 1))
+            longest = (three[a, b, x], two[a, b]) if k else (two[b, x], one[b])
+            for count, of in ((two[b, x], one[b]), longest):
+                if of:
+                    p = (1 - lm.WEIGHT) * p + lm.WEIGHT * min(1, max(level(count) - lm.DISCOUNT, 0) / level(of))
+            total += math.log10(p)
+        return total
+
+    return one, n, v, score
+
+
+def test_language_model_equals_exact_counts(spark):
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    known, n, v, score = exact_model(docs)
     off = []
     for r in lm.op10_lm_scoring(spark, SF).collect():
         w = docs[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(known[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((known[x] + 1) / (n + v + 1)) for x in w))
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        own = sum(math.log10(lm.WEIGHT * min(1, (level(pairs[p]) if pairs[p] >= lm.LEAST_COUNT else 0) / max(1, level(known[p[0]]))) + (1 - lm.WEIGHT) * min(1, (level(known[p[1]]) + 1) / (n + v + 1))) for p in zip([lm.END, *w[:-1]], w, strict=True))
-        off.append(abs(r.score - own) / abs(own))
+        off.append(abs(r.score - score(w)) / abs(score(w)))
     assert np.mean(off) < 0.05  # what the filter's error rate adds
 
 
-def test_language_model_in_blocks_and_of_odd_rows(spark, odd, empty):
+def test_language_model_in_parts_and_of_odd_rows(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 4096)
     training = odd.select("text")
-    once = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.scored(odd, training).collect()}
-    blocks = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.scored(odd, training, block_words=5000).collect()}
-    assert once == blocks and {r[1] for r in once if r[0] in (3, 4, 5)} == {1}
+    shown = lambda df: {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()}
+    once = shown(lm.scored(odd, training))
+    assert once == shown(lm.scored(odd, training, part_bytes=4096, frequent=3)) == shown(lm.scored(odd, training, part_bytes=20_000, frequent=10**9))
+    assert {r[1] for r in once if r[0] in (3, 4, 5)} == {1}
     assert lm.scored(empty, training).count() == 0
     unknown = lm.scored(odd, empty.select("text")).collect()
     assert len(unknown) == len(rows()) and {r.n_known for r in unknown} == {0}
 
 
+def test_language_model_tells_repeated_texts_apart(spark):
+    """What occurs twice in training scores above what occurs once, from counts that a pruned model would not hold."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(80))
+    once, twice = [(k, text()) for k in range(40)], [(100 + k, text()) for k in range(10)] * 2
+    docs = written(spark.createDataFrame(once + twice, "doc_id long, text string"), "t")
+    got = [(r.doc_id, r.score / r.n_tokens) for r in lm.scored(docs, docs.select("text")).collect()]
+    assert min(s for i, s in got if i >= 100) > sorted(s for i, s in got if i < 100)[35]
+
+
 def test_filter_never_underestimates():
     rng = np.random.default_rng(0)
-    keys, counts = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
+    keys = np.unique(rng.integers(0, 2**32, 5000).astype(np.uint64))
     counts = rng.integers(1, 5000, len(keys))
-    held = lm.LogFrequencyFilter(lm.filled(keys, counts, 600_000)[None, :], 600_000)
+    bits, own = lm.filled(keys, counts)
+    held = lm.Part(3, 2, [3], [bits], [own])
+    keys |= np.uint64(3 << 32)
     assert (held.levels(keys) >= lm.level_of(counts)).all()
     assert (held.levels(keys) == lm.level_of(counts)).mean() > 0.9
-    assert (held.levels(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.05
-
-
-def test_packed_counts_round_trip():
-    keys, counts = np.array([3, 2**63 + 5, 7], np.uint64), np.array([1, 9, 2**20])
-    got = lm.unpacked(lm.packed(keys, counts))
-    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
-
-
-def test_plain_words_are_those_of_the_pattern():
-    from paperloom.llm.common import plain_words
-
-    for r in rows():
-        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or "")
-        assert [w.decode() for w in plain_words((r[1] or "").encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    assert (held.levels(rng.integers(0, 2**32, 5000).astype(np.uint64) | np.uint64(3 << 32)) > 0).mean() < 0.05
+    assert not held.levels(rng.integers(0, 2**32, 50).astype(np.uint64) | np.uint64(4 << 32)).any()
