@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 o
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is missing (a local session) a temporary folder takes its place.
+    Only a local session may do without that setting: there a temporary folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
@@ -54,6 +57,36 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables in the shared folder that an operator needs only until its result is written.
+
+    As a context manager it removes what is left at the end, also after an error; ``drop`` removes some earlier.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``, for this operator's own use."""
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, out))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, own in list(self.tables):
+            if any(own is t for t in tables):
+                removed(self.spark, path)
+                self.tables.remove((path, own))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*(own for _, own in self.tables))
+
+
 def bounded(spark: SparkSession) -> None:
     """Hands rows to Python in batches of at most 8 MB, so that a worker's memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

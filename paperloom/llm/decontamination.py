@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import as_bytes, bounded, documents, plain_words, row_ids, written
+from paperloom.llm.common import Scratch, as_bytes, bounded, documents, fresh, plain_words, row_ids, written
 
 #: Words of a window.
 WINDOW = 10
@@ -114,13 +115,21 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items, fetched a block of bounded size at a time. A single item is never split."""
-    items = written(benchmark.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "benchmark")
+def benchmark_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int, held: Scratch) -> Iterator[list[tuple[str, bytes]]]:
+    """The distinct items, fetched a block at a time: a block ends with the item that fills ``block_bytes``."""
+    items = held.written(benchmark.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").distinct(), "benchmark")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[(r.item_id, r.text.encode()) for r in (items.filter(dealt == k) if blocks > 1 else items).collect()] for k in range(blocks)]
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-2 * total // block_bytes) or 1))
+    block, size = [], 0
+    for k in range(-(-2 * total // block_bytes) or 1):  # about half a block each
+        for r in items.filter(dealt == k).toLocalIterator():
+            block.append((r.item_id, r.text.encode()))
+            size += len(block[-1][1])
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -128,36 +137,58 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     The windows of the benchmark (``window`` consecutive words; all words of a shorter item) are one broadcast set of
     hashes; every document is scanned once, and each hash that hits is verified word by word. The set is made from
-    ``block_bytes`` of benchmark text at most: a larger benchmark is taken in blocks, each with a scan of its own, whose
-    hit words are united per document.
+    about ``block_bytes`` of benchmark text: a larger benchmark is taken block by block, each with a scan of its own, whose
+    hit words are united per document. The result does not depend on ``block_bytes``.
 
-    Null texts have no words. An item without words or with a null text has no window; a null item id counts as ''.
-    Items with the same id count once. Empty tables give no rows or no hits. Other columns are not read.
+    Null texts have no words, and neither do empty ones; very long ones are scanned whole. An item without words or with
+    a null text has no window; a null item id counts as ''. Items with the same id count once, whatever their texts, and
+    so do repeated items. Ids of documents may be null or repeat. Empty tables give no rows or no hits. Other columns are
+    not read.
     """
     spark, source = docs.sparkSession, row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
-    blocks = benchmark_blocks(benchmark, item_key, item_text, block_bytes)
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(WindowSet(blocks[0], window))
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = sent.value
-            for part in parts:
-                rows = [(n, len(hit), *items_digest({windows.items[k] for k in items})) for n, hit, items in scanned(as_bytes(part.column(2)), windows)]
-                n, hit, count, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["uid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-        found = source.mapInArrow(run, f"uid long, doc_id {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string")
-    else:
-        found = None
-        for block in blocks:
-            part = hit_rows(source, spark.sparkContext.broadcast(WindowSet(block, window)), docs.schema[key].dataType.simpleString())
-            found = part if found is None else found.unionByName(part)
-        one = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))), ",").alias("joined"), F.size(F.array_distinct(F.flatten(F.collect_list("items")))).cast("long").alias("n_items"))
-        found = one.select("uid", "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "n_items", F.sha2("joined", 256).alias("items_sha256"))
-    return found.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def hit_rows(source: DataFrame, sent, id_type: str) -> DataFrame:
+    id_type = docs.schema[key].dataType.simpleString()
+    with Scratch(spark) as held:
+        blocks = benchmark_blocks(benchmark, item_key, item_text, block_bytes, held)
+        first, second = next(blocks, []), next(blocks, None)
+        if second is None:
+            sent = spark.sparkContext.broadcast(WindowSet(first, window))
+
+            def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                windows = sent.value
+                for part in parts:
+                    rows = [(n, len(hit), *items_digest({windows.items[k] for k in items})) for n, hit, items in scanned(as_bytes(part.column(2)), windows)]
+                    n, hit, count, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["uid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+            found = source.mapInArrow(run, f"uid long, doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string")
+        else:
+            one = united(hits_by_block(source, itertools.chain([first, second], blocks), window, id_type, held, every=True))
+            joined = F.array_join("items", ",")
+            found = written(one.select("uid", "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256")), "contamination")
+        return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def hits_by_block(source: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], window: int, id_type: str, held: Scratch, every: bool) -> DataFrame:
+    """``uid, doc_id, n_words, hit, items`` of documents that a block hits, and of ``every`` document for the first block.
+
+    Each block's hits are written before the next block is fetched, so the driver and the workers have one at a time.
+    """
+    found = None
+    for k, block in enumerate(blocks):
+        sent = source.sparkSession.sparkContext.broadcast(WindowSet(block, window))
+        part = held.written(hit_rows(source, sent, id_type, every and not k), "benchmark-hits")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def united(hits: DataFrame) -> DataFrame:
+    """One row per document of ``hits``, with all hit words and items of all blocks, sorted."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return hits.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), every("hit"), every("items"))
+
+
+def hit_rows(source: DataFrame, sent, id_type: str, every: bool) -> DataFrame:
     """``uid, doc_id, n_words, hit, items`` for one block of the benchmark."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +196,8 @@ def hit_rows(source: DataFrame, sent, id_type: str) -> DataFrame:
         for part in parts:
             rows = [(n, hit.tolist(), sorted({windows.items[k] for k in items})) for n, hit, items in scanned(as_bytes(part.column(2)), windows)]
             n, hit, items = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["uid", "doc_id", "n_words", "hit", "items"])
+            out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["uid", "doc_id", "n_words", "hit", "items"])
+            yield out if every else out.filter(pa.array([bool(h) for h in hit], pa.bool_()))
 
     return source.mapInArrow(run, f"uid long, doc_id {id_type}, n_words long, hit array<long>, items array<string>")
 
@@ -177,29 +209,50 @@ def items_digest(items: set[str]) -> tuple[int, str]:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents", key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without contaminated documents (``how='documents'``) or without the spans hit (``'spans'``).
 
-    All columns stay. Spans are cut block by block from the texts, so only the text column differs.
+    All columns stay, and of spans only the text column differs. Hits are looked for in the original texts, and those of
+    all blocks are cut together, so the result does not depend on ``block_bytes``. Null and empty texts have no hits and
+    stay as they are; ids may be null or repeat and repeated rows are judged one by one; names of other columns may clash
+    with any used here. An empty benchmark leaves everything, an empty table stays empty.
     """
     if how not in ("documents", "spans"):
         raise ValueError(f"how is 'documents' or 'spans', not {how!r}")
-    bounded(docs.sparkSession)
-    place = docs.columns.index(text)
-    for block in benchmark_blocks(benchmark, item_key, item_text, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))
-
-        def run(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                texts = as_bytes(part.column(place))
-                hits = [hit for _, hit, _ in scanned(texts, sent.value)]
-                if how == "documents":
-                    yield part.filter(pa.array([not len(h) for h in hits], pa.bool_()))
-                elif any(len(h) for h in hits):
-                    cut = pa.array([old if not len(h) else cut_spans(t, h).decode() for old, t, h in zip(part.column(place).to_pylist(), texts, hits, strict=True)], part.schema.field(place).type)
-                    yield part.set_column(place, part.schema.field(place), cut)
-                else:
-                    yield part
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    spark, place = docs.sparkSession, docs.columns.index(text)
+    bounded(spark)
+
+    def cut(column: pa.Array, hits: list[np.ndarray]) -> pa.Array:
+        return pa.array([old if not len(h) else cut_spans(t, h).decode() for old, t, h in zip(column.to_pylist(), as_bytes(column), hits, strict=True)], column.type)
+
+    with Scratch(spark) as held:
+        blocks = benchmark_blocks(benchmark, item_key, item_text, block_bytes, held)
+        first, second = next(blocks, []), next(blocks, None)
+        if second is None:
+            sent = spark.sparkContext.broadcast(WindowSet(first, window))
+
+            def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part in parts:
+                    hits = [hit for _, hit, _ in scanned(as_bytes(part.column(place)), sent.value)]
+                    if how == "documents":
+                        yield part.filter(pa.array([not len(h) for h in hits], pa.bool_()))
+                    else:
+                        yield part.set_column(place, part.schema.field(place), cut(part.column(place), hits))
+
+            return docs.mapInArrow(run, docs.schema)
+        source = row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
+        found = hits_by_block(source, itertools.chain([first, second], blocks), window, docs.schema[key].dataType.simpleString(), held, every=False)
+        uid, hit = fresh(docs, "uid"), fresh(docs, "hit")
+        hits = written(united(found).select(F.col("uid").alias(uid), F.col("hit").alias(hit)), "benchmark-hits")
+    numbered, own = docs.withColumn(uid, F.monotonically_increasing_id()), [F.col(f"`{c}`") for c in docs.columns]
+    if how == "documents":
+        return numbered.join(hits, uid, "left_anti").select(*own)
+    width = len(docs.columns)
+
+    def both(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hits = [np.array(h or [], np.int64) for h in part.column(width).to_pylist()]
+            rest = part.select(list(range(width)))
+            yield rest.set_column(place, rest.schema.field(place), cut(part.column(place), hits))
+
+    return numbered.join(hits, uid, "left").select(*own, hit).mapInArrow(both, docs.schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ASCII_SPACE, as_bytes, documents, fresh, row_ids, written
+from paperloom.llm.common import ASCII_SPACE, Scratch, as_bytes, documents, fresh, row_ids, written
 
 #: Bytes of content that one open-addressing table may hold before its bucket is partitioned further.
 TABLE_BYTES = 96 << 20
@@ -85,7 +85,7 @@ def grace(records: Iterable[tuple[bytes, tuple]], table_bytes: int = TABLE_BYTES
                     rows.append([])
                 rows[k].append(row)
                 if table.bytes > table_bytes:
-                    spills = [tempfile.TemporaryFile(prefix="grace-") for _ in range(FANOUT)]  # noqa: SIM115
+                    spills = [tempfile.TemporaryFile(prefix="grace-", dir=spill_dir()) for _ in range(FANOUT)]  # noqa: SIM115
                 continue
             k = find(table, content, code >> 6)
             if k >= 0:
@@ -103,6 +103,11 @@ def grace(records: Iterable[tuple[bytes, tuple]], table_bytes: int = TABLE_BYTES
             spill.close()
 
 
+def spill_dir() -> str | None:
+    """The first of the folders that Spark gives this worker for spilled data; a plain Python process has none."""
+    return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
+
+
 def find(table: ContentTable, content: bytes, code: int) -> int:
     """The number of a content that the table has, else -1."""
     mask = len(table.slots) - 1
@@ -198,15 +203,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", table
 
     Nulls: a null text equals an empty one; a null id sorts after all others. Repeated rows: exactly one row of a
     group has ``kept`` true, even when several have the least id. An empty table gives an empty result. Other columns
-    of ``docs`` are not read.
+    of ``docs`` are not read. A very long text is one record, compared whole. The answer is written, without texts, when
+    this returns, and the texts that it was made from are removed.
     """
     source = row_ids(docs, [key, text]).toDF("uid", "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    local = written(source.mapInArrow(locally_grouped(table_bytes), "uid long, doc_id long, rep long, copies long, text_sha256 string, content binary"), "exact-local")
-    heads = local.filter(F.col("copies").isNotNull())
-    buckets = heads.select("uid", "doc_id", "copies", "content", "text_sha256").repartition("text_sha256").drop("text_sha256")
-    groups = buckets.mapInArrow(globally_grouped(table_bytes), "rep long, keep_id long, keep_uid long, group_size long, pad binary").drop("pad")
-    rows = local.select("uid", "doc_id", "rep", "text_sha256")
-    return rows.join(groups, "rep").select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+    with Scratch(docs.sparkSession) as held:
+        local = held.written(source.mapInArrow(locally_grouped(table_bytes), "uid long, doc_id long, rep long, copies long, text_sha256 string, content binary"), "exact-local")
+        heads = local.filter(F.col("copies").isNotNull())
+        buckets = heads.select("uid", "doc_id", "copies", "content", "text_sha256").repartition("text_sha256").drop("text_sha256")
+        groups = held.written(buckets.mapInArrow(globally_grouped(table_bytes), "rep long, keep_id long, keep_uid long, group_size long, pad binary").drop("pad"), "exact-groups")
+        rows = local.select("uid", "doc_id", "rep", "text_sha256")
+        return written(rows.join(groups, "rep").select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256"), "exact-rows")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:

@@ -8,17 +8,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import bounded, documents, id_remainder
 
 #: Bytes of a language's dictionary, bytes of text compressed at once, compression level.
-DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 64 << 10, 4096, 6
-#: Texts of fewer bytes take a level that searches harder, so that fewer end in a tie.
-SHORT_BYTES, SHORT_LEVEL = 512, 12
+DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 64 << 10, 8192, 11
 #: Labelled documents of a language that the sample is expected to have, and their size in bytes where there are such.
 SAMPLE_DOCS, SAMPLE_SIZES = 128, (300, 8000)
+#: Bytes of a language's sample, and characters of a text in it, before digits and marks are taken out.
+SAMPLE_BYTES = 96 << 10
 #: Relative saving over the runner-up below which a language is not accepted.
 MARGIN = 0.001
 UNKNOWN = "und"
@@ -38,24 +38,20 @@ class Languages:
     def __init__(self, texts: dict[str, list[bytes]]) -> None:
         self.names = sorted(texts)
         self.contents = {name: b"\n".join(texts[name])[-DICTIONARY_BYTES:] for name in self.names}
-        self.compressors: dict[int, list] = {}
+        self.compressors: list = []
 
     def __getstate__(self) -> dict:
-        return {"names": self.names, "contents": self.contents, "compressors": {}}
-
-    def at_level(self, level: int) -> list:
-        if level not in self.compressors:
-            self.compressors[level] = []
-            for name in self.names:
-                own = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=level)
-                self.compressors[level].append(zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return self.compressors[level]
+        return {"names": self.names, "contents": self.contents, "compressors": []}
 
     def sizes(self, letters: bytes) -> list[int]:
         """Compressed bytes by language, over the whole text in chunks."""
+        if not self.compressors:
+            for name in self.names:
+                own = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=LEVEL)
+                self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
         chunks = [letters[at : at + CHUNK_BYTES] for at in range(0, len(letters), CHUNK_BYTES)]
-        return [sum(len(c.compress(x)) for x in chunks) for c in self.at_level(SHORT_LEVEL if len(letters) < SHORT_BYTES else LEVEL)]
+        return [sum(len(c.compress(x)) for x in chunks) for c in self.compressors]
 
     def best(self, text: str | None) -> tuple[str, float]:
         """The language and its margin: the relative saving over the next best (1 where there is no other)."""
@@ -84,8 +80,9 @@ def learned(labelled: DataFrame, lang: str = "lang", text: str = "text", key: st
     """Dictionaries from a bounded sample of the labelled rows.
 
     Each language's sample is the documents with the least hashes of their ids, about ``SAMPLE_DOCS`` of them, of
-    ``SAMPLE_SIZES`` bytes where the language has such; equal texts count once. The driver holds this sample, whose size
-    depends on the number of languages only.
+    ``SAMPLE_SIZES`` bytes where the language has such, until they fill ``SAMPLE_BYTES``, to which a longer text is cut
+    here; equal texts and repeated ids (of which the least text stays) count once. The driver holds this sample, whose
+    size depends on the number of languages only. Null and empty texts and null languages are not learned from.
     """
     low, high = SAMPLE_SIZES
     size = F.octet_length(F.col(f"`{text}`"))
@@ -98,10 +95,13 @@ def learned(labelled: DataFrame, lang: str = "lang", text: str = "text", key: st
         return Languages({})
     bounds = [(name, bool(own.get(True)), min(1 << 30, SAMPLE_DOCS * (1 << 30) // own.get(True, own.get(False, 1)))) for name, own in sorted(counts.items())]
     sampled = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, fits boolean, bound long")), ["lang", "fits"]).filter("h <= bound")
+    once = sampled.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"))
+    ahead = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    enough = once.withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("ahead") < SAMPLE_BYTES)
     texts: dict[str, list[bytes]] = defaultdict(list)
-    for name, body, _ in sorted(sampled.select("lang", "text", "h").collect(), key=lambda r: (r.h, r.text)):
+    for name, body, _ in sorted(enough.select("lang", "text", "h").collect(), key=lambda r: r.h):
         letters = letters_of(body)
-        if letters and letters not in texts[name] and sum(map(len, texts[name])) < 1.3 * DICTIONARY_BYTES:
+        if letters and letters not in texts[name]:
             texts[name].append(letters)
     return Languages(purged({name: own for name, own in texts.items() if own}))
 
@@ -115,8 +115,11 @@ def identified(docs: DataFrame, languages: Languages, key: str = "doc_id", text:
     """One row per row of ``docs``: ``doc_id, lang_pred, score, rejected``.
 
     Every whole text is compressed with each language's dictionary, and the smallest result wins; ``score`` is the
-    relative saving over the runner-up. ``rejected`` is true where that is below ``margin`` or the text is null or has
-    no letter, for which ``lang_pred`` is ``und``. Only the text is looked at. Without labelled rows everything is ``und``.
+    relative saving over the runner-up; of equal results the first language by name wins, with a score of 0. ``rejected``
+    is true where the score is below ``margin`` or the text is null, empty or has no letter, for which ``lang_pred`` is
+    ``und`` and the score 0. Very long texts are compressed as a whole, in chunks. Only the text is looked at, so ids may
+    be null or repeat, and equal rows get equal results. Without labelled rows everything is ``und``; an empty table
+    gives an empty result; other columns are not read.
     """
     bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(languages)
@@ -133,7 +136,8 @@ def identified(docs: DataFrame, languages: Languages, key: str = "doc_id", text:
 
 
 def accepted(docs: DataFrame, languages: Languages, text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected."""
+    """The rows of ``docs``, all columns, whose language is not rejected (see ``identified``): ties, null texts and texts
+    without letters go, each of repeated rows is judged alike, an empty table stays empty."""
     bounded(docs.sparkSession)
     sent, place = docs.sparkSession.sparkContext.broadcast(languages), docs.columns.index(text)
 

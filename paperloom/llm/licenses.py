@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from paperloom.llm.common import documents
 
 #: Phrases whose places are counted exactly, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Longer passages that a document may hold with some words changed, and their labels. At most 60 words each.
+#: Passages that a document may hold with some words changed, and their labels.
 PASSAGES = {
     "licensed under cc by nc 4 0": "cc-by-nc",
     "this work is licensed under the gnu general public license version 3": "gpl",
@@ -19,9 +21,19 @@ PASSAGES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "all rights reserved": "reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program": "gpl",
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
 }
-#: Words of a gram, diagonals apart that still merge, share of a passage's grams that a span needs, longest span against the passage.
-K, GAP, COVER, STRETCH = 2, 3, 0.8, 1.5
+#: Words of a gram of a short template and of one of more than SHORT words.
+K, LONG_K, SHORT = 2, 5, 24
+#: Diagonals apart that still merge, share of a passage's words that a span needs, longest span against the passage in halves.
+GAP, COVER, STRETCH_HALVES = 3, 0.8, 3
+#: A span's length in the order that its window looks along; every template's own length is scaled to it.
+SCALE = 1 << 20
 #: The Kelvin sign is the one character outside A-Z that ``lower`` turns into an ASCII letter alone.
 KELVIN = "K"
 
@@ -32,50 +44,74 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str]) -> DataFrame:
-    """``template, label, exact, grams, at, bit, t0, t1``: a row for each gram of each template; fixed and small."""
+def template_grams(phrases: dict[str, str], passages: dict[str, str]) -> list[tuple]:
+    """``template, label, exact, words, k, span, at`` and the gram's words, for each gram of each template.
+
+    ``span`` is the number of places that grams of one span may start at.
+    """
     rows = []
     for number, (text, label, exact) in enumerate([(t, v, True) for t, v in phrases.items()] + [(t, v, False) for t, v in passages.items()]):
         words = text.split()
-        if not K <= len(words) <= 60:
-            raise ValueError(f"a template has {K} to 60 words, not {len(words)}")
-        rows += [(number, label, exact, len(words) - K + 1, at, 1 << at, *words[at : at + K]) for at in range(len(words) - K + 1)]
-    rows.append((-1, "", False, 0, 0, 0, "", ""))
-    values = ", ".join(f"({n}, '{label}', {str(exact).lower()}, {grams}, {at}, {bit}L, '{t0}', '{t1}')" for n, label, exact, grams, at, bit, t0, t1 in rows)
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, exact, grams, at, bit, t0, t1)")
-    return table.withColumn("gram", F.when(F.col("template") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("t0", "t1")))
+        k = K if len(words) <= SHORT else LONG_K
+        if len(words) < K:
+            raise ValueError(f"a template has {K} words or more, not {len(words)}")
+        span = (len(words) if exact else len(words) * STRETCH_HALVES // 2) - k + 1
+        rows += [(number, label, exact, len(words), k, span, at, *words[at : at + k], *[None] * (LONG_K - k)) for at in range(len(words) - k + 1)]
+    return rows
+
+
+def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str]) -> DataFrame:
+    """The grams of the templates with their hash ``gram``, and template -1 for the row that each document sends ahead; fixed and small."""
+    rows = [(-1, "", False, 1, 0, 1, 0, *[None] * LONG_K), *template_grams(phrases, passages)]
+    schema = "template int, label string, exact boolean, words int, k int, span int, at int, " + ", ".join(f"t{j} string" for j in range(LONG_K))
+    gram = F.when(F.col("k") == 0, F.lit(0).cast("long")).when(F.col("k") == K, gram_hash("t", K)).otherwise(gram_hash("t", LONG_K))
+    return spark.createDataFrame(rows, schema).withColumn("gram", gram)
+
+
+def gram_hash(prefix: str, k: int) -> Column:
+    return F.xxhash64(*(f"{prefix}{j}" for j in range(k)))
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, passages: dict[str, str] = PASSAGES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Every rolling word gram of every document is joined, by its hash, to the places it has in the templates, which are
-    broadcast (their number is fixed). A match votes for the diagonal document place minus template place; votes are
-    added up by document, template and diagonal, neighbouring diagonals merge, and a span counts once it is verified: a
-    phrase needs all its words in place on one diagonal; a passage needs ``COVER`` of its grams within a span of
-    ``STRETCH`` times its length, so inserted, dropped or changed words do not hide it. ``score`` is the largest share of
-    a template's grams that any merged diagonal has.
-
-    Each document sends one row ahead of its matches, so the result has all documents from a single scan. Null texts
-    have no words; then ``first_word`` and ``last_word`` are null, labels '' and the score 0. Ids may be null or repeat.
+    Every rolling word gram of every document is joined, by its hash and then word by word, to the places it has in the
+    templates, which are broadcast (their number is fixed). A match votes for the diagonal document place minus template
+    place. Votes of a document and template are laid out by diagonal, and neighbouring diagonals merge: for a phrase only
+    the same one, for a passage those up to ``GAP`` apart, less than it has words. Within a merged run, spans are
+    verified: the grams that start within a stretch of one and a half times the passage's length, from any vote on, have
+    to hold ``COVER`` of the template's words; a phrase needs all its words in place. So inserted, dropped or changed words
+    do not hide a passage, and neither do copies of it next to each other. ``score`` is the largest share of a template's
+    words that a span has.
+
+    Each document sends one row ahead of its matches, so the result has all documents from a single scan. Null and empty
+    texts have no words; then ``first_word`` and ``last_word`` are null, labels '' and the score 0. Very long texts are
+    scanned whole. Ids may be null or repeat, and repeated rows are scanned one by one; an empty table gives an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("doc_id"), F.concat(F.array(F.lit("")), words_of(F.col(f"`{text}`"))).alias("words"))
-    grams = source.select("uid", "doc_id", F.size("words").alias("n"), "words", F.posexplode("words").alias("i", "w0"))
-    grams = grams.select("uid", "doc_id", "n", (F.col("i") - 1).alias("i"), "w0", F.get("words", F.col("i") + 1).alias("w1"))
-    grams = grams.withColumn("gram", F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("w0", "w1")))
-    same = (F.col("i") < 0) & (F.col("template") < 0) | (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("doc_id"), F.concat(F.array(F.lit("")), words_of(F.col(f"`{text}`"))).alias("doc_words"))
+    places = source.select("uid", "doc_id", F.size("doc_words").alias("n"), "doc_words", F.posexplode("doc_words").alias("i", "w0"))
+    places = places.select("uid", "doc_id", "n", (F.col("i") - 1).alias("i"), "w0", *(F.get("doc_words", F.col("i") + j).alias(f"w{j}") for j in range(1, LONG_K)))
+    ahead = F.col("i") < 0
+    short = F.when(ahead, F.lit(0).cast("long")).when(F.col(f"w{K - 1}").isNotNull(), gram_hash("w", K))
+    long = F.when(~ahead & F.col(f"w{LONG_K - 1}").isNotNull(), gram_hash("w", LONG_K))
+    grams = places.withColumn("gram", F.explode(F.array(short, long)))
+    alike = [F.col(f"w{j}") == F.col(f"t{j}") for j in range(LONG_K)]
+    first, rest = reduce(Column.__and__, alike[:K]), reduce(Column.__and__, alike[K:])
+    same = ahead & (F.col("k") == 0) | ~ahead & (F.col("k") > 0) & first & ((F.col("k") == K) | rest)
     votes = grams.join(F.broadcast(templates(spark, phrases, passages)), "gram").filter(same)
-    votes = votes.select("uid", "doc_id", "n", "template", "label", "exact", "grams", "i", (F.col("i") - F.col("at")).alias("diagonal"), "bit")
-    by_diagonal = votes.repartition("uid").groupBy("uid", "template", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("grams").alias("grams"), F.bit_or("bit").alias("bits"), F.min("i").alias("low"), F.max("i").alias("high"))
-    along = Window.partitionBy("uid", "template").orderBy("diagonal")
-    starts = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > GAP), 1).otherwise(0)
-    runs = by_diagonal.withColumn("start", starts).withColumn("run", F.sum("start").over(along))
-    spans = runs.groupBy("uid", "template", "run").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("grams").alias("grams"), F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
-    cover = F.bit_count("bits") / F.col("grams")
-    spans = spans.withColumn("cover", F.when(F.col("template") >= 0, cover)).withColumn("base", F.col("exact") & (F.col("cover") == 1.0))
-    passage = ~F.col("exact") & (F.col("cover") >= COVER) & (F.col("high") - F.col("low") + 1 <= F.col("grams") * STRETCH)
-    start = F.when(F.col("base"), F.col("diagonal")).cast("long")
+    votes = votes.select("uid", "doc_id", "n", "template", "label", "exact", "words", "k", "span", "i", "at", (F.col("i") - F.col("at")).alias("diagonal")).repartition("uid")
+    along = Window.partitionBy("uid", "template").orderBy("diagonal", "i")
+    gap = F.when(F.col("exact"), 0).otherwise(F.least(F.lit(GAP), F.col("words") - 1))
+    runs = votes.withColumn("start", F.when(F.col("diagonal") - F.lag("diagonal").over(along) > gap, 1).otherwise(0)).withColumn("run", F.sum("start").over(along))
+    scaled = F.expr(f"i * {SCALE}L div span")
+    stretch = Window.partitionBy("uid", "template", "run").orderBy("scaled").rangeBetween(0, SCALE - 1)
+    spans = runs.withColumn("scaled", scaled).withColumn("ats", F.collect_set("at").over(stretch))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1)))))
+    spans = spans.withColumn("cover", F.when(F.col("k") > 0, covered / F.col("words"))).withColumn("base", F.col("exact") & F.coalesce(F.col("cover") == 1.0, F.lit(False)))
+    passage = ~F.col("exact") & (F.col("cover") >= COVER)
+    start = F.when(F.col("base"), F.col("i")).cast("long")
 
     def joined(chosen: Column) -> Column:
         return F.array_join(F.array_sort(F.collect_set(F.when(chosen, F.col("label")))), ",")
@@ -88,8 +124,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
-    every = [(t, v, True) for t, v in PHRASES.items()] + [(t, v, False) for t, v in PASSAGES.items()]
-    return ", ".join(f"({k}, '{v}', {str(exact).lower()}, '{t}')" for k, (t, v, exact) in enumerate(every))
+    return ", ".join(f"({n}, '{label}', {str(exact).lower()}, {words}, {k}, {span}, {at}, '{' '.join(t for t in gram if t)}')" for n, label, exact, words, k, span, at, *gram in template_grams(PHRASES, PASSAGES))
 
 
 OP9_SQL = rf"""
@@ -98,29 +133,26 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
-), t AS (
-  SELECT *, string_split(body, ' ') AS tw FROM (VALUES {_template_rows()}) AS v(template, label, exact, body)
 ), tg AS (
-  SELECT template, label, exact, len(tw) - 1 AS grams, p - 1 AS place, tw[p] || ' ' || tw[p + 1] AS gram
-  FROM (SELECT *, unnest(range(1, len(tw))) AS p FROM t)
+  SELECT * FROM (VALUES {_template_rows()}) AS v(template, label, exact, words, k, span, place, gram)
 ), g AS (
-  SELECT uid, i - 1 AS i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT uid, w, unnest(range(1, len(w))) AS i FROM d)
-), diag AS (
-  SELECT uid, template, label, exact, grams, i - place AS diagonal, bit_or(CAST(1 AS BIGINT) << place) AS bits, min(i) AS low, max(i) AS high
-  FROM g JOIN tg USING (gram) GROUP BY ALL
+  SELECT uid, i - 1 AS i, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES ({K}), ({LONG_K})) AS s(k) WHERE len(w) >= k)
+), votes AS (
+  SELECT uid, template, label, exact, words, tg.k AS k, span, i, place, i - place AS diagonal FROM g JOIN tg ON g.k = tg.k AND g.gram = tg.gram
 ), marked AS (
-  SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY uid, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS start
-  FROM diag
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY uid, template ORDER BY diagonal, i)
+                      > CASE WHEN exact THEN 0 ELSE least({GAP}, words - 1) END THEN 1 ELSE 0 END AS start
+  FROM votes
 ), runs AS (
-  SELECT *, sum(start) OVER (PARTITION BY uid, template ORDER BY diagonal) AS run FROM marked
+  SELECT *, sum(start) OVER (PARTITION BY uid, template ORDER BY diagonal, i) AS run, CAST(i AS BIGINT) * {SCALE} // span AS scaled FROM marked
 ), spans AS (
-  SELECT uid, template, label, exact, run, min(diagonal) AS diagonal, bit_count(bit_or(bits)) / grams AS cover, grams, min(low) AS low, max(high) AS high
-  FROM runs GROUP BY uid, template, label, exact, grams, run
+  SELECT *, list(place) OVER (PARTITION BY uid, template, run ORDER BY scaled RANGE BETWEEN CURRENT ROW AND {SCALE - 1} FOLLOWING) AS places FROM runs
 ), verified AS (
-  SELECT *, exact AND cover = 1 AS base,
-         NOT exact AND cover >= {COVER} AND high - low + 1 <= grams * {STRETCH} AS passage FROM spans
+  SELECT *, exact AND cover = 1 AS base, NOT exact AND cover >= {COVER} AS passage
+  FROM (SELECT *, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + k))))) / words AS cover FROM spans)
 ), s AS (
-  SELECT uid, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+  SELECT uid, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
          array_to_string(list_sort(list(DISTINCT label) FILTER (base OR passage)), ',') AS labels, max(cover) AS score
   FROM verified GROUP BY uid

@@ -67,13 +67,24 @@ class SlotMaps:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def latest(self) -> int:
+        """The number of the last version, 0 where none was stored yet."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return 0
+        return self.spark.read.schema(MAP).parquet(self.path).agg(F.max("version")).first()[0] or 0
+
     def store(self, slot_map: DataFrame) -> DataFrame:
+        """Writes the version after the last one and returns it as stored; any other version is refused."""
+        versions = [r.version for r in slot_map.select("version").distinct().limit(2).collect()]
+        if versions != [self.latest() + 1]:
+            raise ValueError(f"version {self.latest() + 1} is next, not {versions}")
         slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(self.path)
-        return self.load()
+        return self.load(versions[0])
 
     def load(self, version: int | None = None) -> DataFrame:
         every = self.spark.read.schema(MAP).parquet(self.path)
-        version = every.agg(F.max("version")).first()[0] if version is None else version
+        version = self.latest() if version is None else version
         return every.filter(F.col("version") == version).select(*(c.split()[0] for c in MAP.split(", ")))
 
     def drop(self) -> None:
@@ -83,10 +94,12 @@ class SlotMaps:
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS, maps: SlotMaps | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, virtual_slot, map_version, shard, slot``.
 
-    Records hash into ``slots`` virtual slots. The bytes of each slot are summed up and stored with the slot map; its
-    rebalanced version, stored next to the first, sends the slots to ``shards`` of near equal size. ``slot`` is the
-    row's place in its shard, gapless from 0: the rows of a shard in earlier scan tasks, plus those before it in its own.
-    Nothing but narrow rows is shuffled, and no task gets a whole shard or slot.
+    Records hash into ``slots`` virtual slots. The bytes of each slot are summed up and measured against the last stored
+    slot map (a new one where ``maps`` has none, which is stored as version 1); its rebalanced version, stored after it,
+    sends the slots to ``shards`` of near equal size. So a second table, or the same after it has grown, moves only slots
+    of shards that hold too much. ``slot`` is the row's place in its shard, gapless from 0: the rows of a shard in
+    earlier scan tasks, plus those before it in its own. Nothing but narrow rows is shuffled, and no task gets a whole
+    shard or slot.
 
     ``size`` is the text's UTF-8 bytes plus 1, null as empty; a null id hashes by the text. Repeated rows count one by
     one. An empty table gives an empty result; other columns are not read.
@@ -96,8 +109,10 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = written(source.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), slot_of("doc_id", "text", slots).alias("virtual_slot"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("uid")), "sharded")
     sizes = slot_sizes(rows.withColumnRenamed("virtual_slot", "slot"))
-    first = maps.store(measured(initial_map(spark, shards, slots), sizes))
-    last = maps.store(rebalanced(first, shards))
+    last = maps.load() if maps.latest() else maps.store(measured(initial_map(spark, shards, slots), sizes))
+    if last.count() != slots:
+        raise ValueError(f"the stored map has {last.count()} slots, not {slots}")
+    last = maps.store(rebalanced(measured(last, sizes), shards))
     placed = rows.join(F.broadcast(last.select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version"))), "virtual_slot")
     ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.groupBy("task", "shard").agg(F.count("*").alias("n")).select("task", "shard", F.coalesce(ahead, F.lit(0)).alias("before"))

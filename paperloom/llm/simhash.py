@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import as_bytes, documents, fresh, row_ids, spaced_words, written
+from paperloom.llm.common import Scratch, as_bytes, documents, fresh, row_ids, spaced_words, written
 from paperloom.llm.graph import star_components
 
 BITS = 64
@@ -19,8 +19,8 @@ BITS = 64
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Parity checks of the covering code of a block.
 CHECKS = 4
-#: Distinct fingerprints up to which three blocks are used; more take two, whose anchors are far more numerous.
-THREE_BLOCKS = 64_000_000
+#: Blocks of a fingerprint. Fewer have far more anchors, each with fewer fingerprints.
+BLOCKS = 3
 #: Fingerprints that one comparison holds; an anchor that attracts more is dealt out in tiles.
 TILE = 20_000
 #: One fingerprint in so many tells which anchors need tiles.
@@ -193,15 +193,14 @@ def compared(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """Links ``a, b`` that connect all of the distinct ``fp`` that are ``distance`` or fewer bits apart.
 
     Anchor points: each fingerprint goes to the anchors within covering radius plus threshold, and is compared with what
     else is there. An anchor that attracts more than about ``tile`` fingerprints is split: they are dealt into slices,
-    and each pair of slices is compared in a tile of its own, so no task has to hold or compare them all.
+    and each pair of slices is compared in a tile of its own, so no task has to hold or compare them all. ``blocks``
+    changes the plan, not the links: with 3 a fingerprint goes to about 45 anchors, with 2 to about 690 smaller ones.
     """
-    if blocks is None:
-        blocks = 3 if fps.count() <= THREE_BLOCKS else 2
     replicas = at_anchors(fps, blocks, distance)
     probe = at_anchors(fps.filter(F.pmod(F.xxhash64("fp"), F.lit(PROBE)) == 0), blocks, distance)
     hot = written(probe.groupBy("block", "anchor").count().filter(F.col("count") > F.lit(tile / PROBE / 2)).select("block", "anchor", F.ceil(F.col("count") * PROBE * 2 / tile).cast("int").alias("m")), "hot-anchors")
@@ -214,7 +213,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = No
     return placed.repartition("place").sortWithinPartitions("place").mapInArrow(compared(distance), "a long, b long")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: ``uid, doc_id, fp, component_id, kept``.
 
     Rows whose fingerprints are ``distance`` or fewer bits apart are linked, and links chain. Equal fingerprints are
@@ -222,24 +221,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     true for one row of it, the first with that id. Null or empty texts have fingerprint 0 and link like others; null
     ids sort last. An empty table gives an empty result; other columns are not read.
     """
-    rows = written(fingerprinted(docs, key, text, shingle), "fingerprints")
-    fps = distinct(rows)
-    return members(rows, fps, near_links(fps.select("fp"), distance, blocks, tile))
+    with Scratch(docs.sparkSession) as held:
+        rows = held.written(fingerprinted(docs, key, text, shingle), "fingerprints")
+        fps = distinct(rows, held)
+        return members(rows, fps, near_links(fps.select("fp"), distance, blocks, tile), held)
 
 
-def distinct(rows: DataFrame) -> DataFrame:
+def distinct(rows: DataFrame, held: Scratch) -> DataFrame:
     """``fp, head``: the first of the rows with each ``fp``."""
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    return written(rows.groupBy("fp").agg(head.alias("head")), "distinct-fingerprints")
+    return held.written(rows.groupBy("fp").agg(head.alias("head")), "distinct-fingerprints")
 
 
-def members(rows: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
-    """``uid, doc_id, fp, component_id, kept`` for ``rows(uid, doc_id, fp)`` and links of their distinct ``fp``."""
+def members(rows: DataFrame, fps: DataFrame, links: DataFrame, held: Scratch) -> DataFrame:
+    """``uid, doc_id, fp, component_id, kept`` for ``rows(uid, doc_id, fp)`` and links of their distinct ``fp``, written."""
     roots = star_components(links).withColumnRenamed("node", "fp")
-    rooted = written(fps.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
-    heads = written(rooted.groupBy("root").agg(F.min("head").alias("head")), "component-heads")
+    rooted = held.written(fps.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    heads = held.written(rooted.groupBy("root").agg(F.min("head").alias("head")), "component-heads")
     own = rooted.select("fp", "root").join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head_uid"))
-    return rows.join(own, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"))
+    return written(rows.join(own, "fp").select("uid", "doc_id", "fp", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept")), "near-groups")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

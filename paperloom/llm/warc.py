@@ -9,16 +9,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bounded, qualified, row_ids, shared_dir, store, written
+from paperloom.llm.common import Scratch, bounded, qualified, removed, row_ids, shared_dir, store, written
 
 #: Bytes of payload from which equal payloads are revisited.
 LEAST_BYTES = 0
 #: Bytes of an archive after which a task begins another, of a split, and of a block that the reader fetches.
 ARCHIVE_BYTES, SPLIT_BYTES, BLOCK_BYTES = 1 << 30, 64 << 20, 1 << 20
+#: Bits of a row number below those of its scan task, and of a scan task's number below those of a folder of decisions.
+TASK_BITS, TOGETHER_BITS = 33, 4
 #: Compressed bytes handed to the decoder at once.
 FEED = 16 << 10
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -62,30 +66,48 @@ def page_record(uid: int, page_id: int | None, url: str | None, payload: bytes,
     return member(headers, http if first else http + payload)
 
 
+def revisits_of(decided: str, task: int) -> dict[int, dict]:
+    """What the rows of a scan task revisit, by row number."""
+    files, place = store(f"{decided}/tasks={task >> TOGETHER_BITS}")
+    out = {}
+    for info in files.get_file_info(pafs.FileSelector(place, allow_not_found=True)):
+        if info.base_name.startswith("part-"):
+            own = pq.read_table(info.path, filesystem=files, partitioning=None, filters=[("uid", ">=", task << TASK_BITS), ("uid", "<", (task + 1) << TASK_BITS)])
+            out |= {r["uid"]: {"page_id": r["page_id"], "uid": r["first_uid"], "url": r["url"]} for r in own.to_pylist()}
+    return out
+
+
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row of ``pages`` into ``path`` and returns the archives: ``path, size, records``.
 
     Of equal payloads of ``least_bytes`` or more, the row with the least id (of several, the first) is the response and
     the others revisit it. Payloads are equal when their SHA-256 and length are. Only digests meet for this: the first
     row of each repeated payload is found with partial sums and written, so that the join of the digests to it has no
-    aggregate under it and the adaptive planner can split a payload with very many copies. A task writes archives under names of its own and renames them when complete, so a repeated
-    task leaves the same files; readers use the returned table, which lists complete ones only.
-
-    Null payloads are empty; a null id sorts last and is left out of the record; a null url is ''.
+    aggregate under it and the adaptive planner can split a payload with very many copies. What each row revisits is
+    written by scan task and picked up there, so payloads go from the scan straight to their archive. A task writes
+    archives under names of its own and renames them when complete, so a repeated task leaves the same files; readers use
+    the returned table, which lists complete ones only.
+
+    Null and empty payloads are equal; a very long one is one record. A null id sorts last and is left out of the record;
+    a null url is ''. Repeated rows have a record each, all but the first a revisit. Without rows there are no archives.
+    ``pages`` has to be a scan or another plan that gives the same rows in the same partitions whenever it runs.
     """
     spark = pages.sparkSession
     rows = row_ids(pages, [key, url, html]).toDF("uid", "page_id", "url", "html")
     rows = rows.select("uid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keys = rows.select("uid", "page_id", "url", F.length("payload").alias("size"), F.sha2("payload", 256).alias("digest")).filter(F.col("size") >= least_bytes)
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid", "url")).alias("first")
-    repeated = written(keys.groupBy("digest", "size").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-payloads")
-    revisits = keys.select("uid", "digest", "size").join(repeated, ["digest", "size"]).filter("uid <> first.uid").select("uid", "first")
-    folder = qualified(spark, path)
+    folder, decided = qualified(spark, path), qualified(spark, shared_dir(spark, "revisits"))
+    with Scratch(spark) as held:
+        first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid", "url")).alias("first")
+        repeated = held.written(keys.groupBy("digest", "size").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-payloads")
+        revisits = keys.select("uid", "digest", "size").join(repeated, ["digest", "size"]).filter("uid <> first.uid").select("uid", "first.page_id", F.col("first.uid").alias("first_uid"), "first.url")
+        of_task = revisits.withColumn("tasks", F.shiftright("uid", TASK_BITS + TOGETHER_BITS))
+        of_task.repartition("tasks").sortWithinPartitions("tasks", "uid").write.partitionBy("tasks").parquet(decided)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = store(folder)
         files.create_dir(place, recursive=True)
-        context = TaskContext.get()
+        context, revisited = TaskContext.get(), None
         out, number, done = None, 0, []
 
         def opened():
@@ -104,7 +126,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         for part in parts:
             for row in part.to_pylist():
                 out = out or opened()
-                out[1].write(page_record(row["uid"], row["page_id"], row["url"], row["payload"], row["first"]))
+                revisited = revisits_of(decided, row["uid"] >> TASK_BITS) if revisited is None else revisited
+                out[1].write(page_record(row["uid"], row["page_id"], row["url"], row["payload"], revisited.get(row["uid"])))
                 out[2] += 1
                 if out[1].tell() >= archive_bytes:
                     closed()
@@ -114,7 +137,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         names, sizes, counts = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["path", "size", "records"])
 
-    return written(rows.join(revisits, "uid", "left").select("uid", "page_id", "url", "payload", "first").mapInArrow(run, "path string, size long, records long"), "archives")
+    archives = written(rows.mapInArrow(run, "path string, size long, records long"), "archives")
+    removed(spark, decided)
+    return archives
 
 
 class Blocks:
@@ -213,13 +238,14 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
 
     An archive is cut into splits of ``split_bytes`` without looking inside; each task owns the records that start in
     its range, so every record is read once wherever the cuts fall. The digest of every response is verified.
-    ``payloads=False`` leaves the payload column null.
+    ``payloads=False`` leaves the payload column null. No archives, or empty ones, give no rows; repeated archives are
+    read as often as they are listed, and records without an id have a null ``page_id``.
     """
     spark = archives.sparkSession
     bounded(spark)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
     splits = archives.filter("size > 0").select("path", "size", starts.alias("start"))
-    splits = splits.repartition(max(1, splits.count()), "path", "start")
+    splits = splits.repartition(max(1, splits.count()))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
