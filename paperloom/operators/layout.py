@@ -179,6 +179,7 @@ def heading_levels(headings: DataFrame, levels: int = 4) -> DataFrame:
     """``doc_id, pos, level``: a document's heading heights in ``levels`` groups, the tallest first.
 
     Groups minimise the squares within (one-dimensional k-means, solved exactly); a document's headings are one group.
+    Heights count in hundredths, which bounds the distinct ones of a page's format.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,6 +189,7 @@ def heading_levels(headings: DataFrame, levels: int = 4) -> DataFrame:
         level = dict(zip(heights, np.repeat(np.arange(1, len(cut)), np.diff(cut)), strict=True))
         return pd.DataFrame({"doc_id": rows["doc_id"], "pos": rows["pos"], "level": rows["height"].map(level).astype("int32")})
 
+    headings = headings.withColumn("height", F.round("height", 2))
     return headings.groupBy("doc_id").applyInPandas(run, f"doc_id {headings.schema['doc_id'].dataType.simpleString()}, pos {headings.schema['pos'].dataType.simpleString()}, level int")
 
 
@@ -201,7 +203,8 @@ def best_cuts(values: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
     best[0, 0] = 0.0
     for j in range(1, k + 1):
         for b in range(j, n + 1):
-            options = [best[j - 1, a] + cost(a, b) for a in range(j - 1, b)]
+            a = np.arange(j - 1, b)
+            options = best[j - 1, a] + cost(a, b)
             at = int(np.argmin(options))
             best[j, b], back[j, b] = options[at], at + j - 1
     cuts = [n]
@@ -231,17 +234,23 @@ def code_lines(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "out"))), lambda x: x["out"]), "\n").alias("text"))
 
 
-def descendants(tree: DataFrame, kinds: tuple[str, ...], depth: int = 6) -> DataFrame:
-    """``doc_id, block_id, ancestor``: blocks of these kinds under each block, not through removed ones; the tree is
-    ``doc_id, block_id, parent_id, kind, removed`` and at most ``depth`` deep."""
-    alive = tree.filter("NOT removed").select("doc_id", "block_id", "parent_id", "kind")
-    level = alive.select("doc_id", "block_id", F.col("parent_id").alias("ancestor"), "kind").filter("ancestor IS NOT NULL")
-    out = level
-    up = alive.select("doc_id", F.col("block_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    for _ in range(depth - 1):
-        level = level.join(up, ["doc_id", "ancestor"]).filter("next IS NOT NULL").select("doc_id", "block_id", F.col("next").alias("ancestor"), "kind")
-        out = out.unionByName(level)
-    return out.filter(F.col("kind").isin(*kinds)).select("doc_id", "block_id", "ancestor")
+def descendants(tree: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``doc_id, block_id, ancestor``: blocks of these kinds under each block, not through removed ones.
+
+    The tree is ``doc_id, block_id, parent_id, kind, removed``. Links are doubled until nothing new is reached, so the
+    number of joins grows with the logarithm of the depth, which has no bound; a link into a cycle ends there. Each round
+    is checkpointed where the session has a checkpoint folder.
+    """
+    spark = tree.sparkSession
+    alive = tree.filter("NOT removed")
+    top = alive.filter("parent_id IS NOT NULL").select("doc_id", "block_id", F.col("parent_id").alias("ancestor"))
+    known, before = top, -1
+    while (n := known.count()) != before:
+        before = n
+        further = known.join(known.select("doc_id", F.col("block_id").alias("ancestor"), F.col("ancestor").alias("next")), ["doc_id", "ancestor"]).select("doc_id", "block_id", F.col("next").alias("ancestor"))
+        known = known.unionByName(further).distinct()
+        known = known.checkpoint() if spark.sparkContext.getCheckpointDir() else known
+    return known.join(alive.filter(F.col("kind").isin(*kinds)).select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi").select("doc_id", "block_id", "ancestor")
 
 
 def subtitles(spans: DataFrame, titles: DataFrame, close: float = 0.1, ratio: float = 5.0) -> DataFrame:

@@ -46,9 +46,10 @@ PAGE_LINES = 5
 PAGE_WIDTH = PAGE_HEIGHT = 100.0
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """Lines of the texts as positioned blocks, five a page."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    docs = table(spark, sf_dir, "documents")
+    rows = (docs if where is None else docs.filter(where)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     rows = rows.withColumn("page", F.floor(F.col("line_no") / PAGE_LINES).cast("int")).withColumn("block_no", F.col("line_no"))
     rows = rows.withColumn("x0", 10.0 * (F.length("text") % 4)).withColumn("y0", 20.0 * (F.col("line_no") % PAGE_LINES))
     return rows.withColumn("x1", F.col("x0") + 50.0).withColumn("y1", F.col("y0") + 18.0).withColumn("size", 10.0 + F.length("text") % 5)
@@ -62,11 +63,11 @@ LINES = f"""lines AS (
 )"""
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markdown(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """The lines as Markdown with headings, ten a page, some of them blank."""
     n = F.col("line_no")
     text = F.when(n % 7 == 0, F.concat(F.lit("### A"), F.floor(n / 7).cast("string"))).when(n % 7 == 2, F.concat(F.lit("#### B"), n.cast("string"))).when(n % 7 == 4, F.concat(F.lit("##### C"), n.cast("string"))).when(n % 7 == 3, F.lit("")).otherwise(F.col("text"))
-    rows = lines(spark, sf_dir).select("doc_id", F.floor(n / 10).cast("int").alias("page_pos"), (F.floor(n / 10) + 1).cast("int").alias("page_num"), "line_no", text.alias("text"))
+    rows = lines(spark, sf_dir, where).select("doc_id", F.floor(n / 10).cast("int").alias("page_pos"), (F.floor(n / 10) + 1).cast("int").alias("page_num"), "line_no", text.alias("text"))
     return rows
 
 

@@ -26,12 +26,21 @@ def table_html(s, d):
     return bk.html_tables(_cells(s, d).withColumn("is_header", F.lit(False)))
 
 
-@query("table_clean_cells", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN '<b>1,5</b>' WHEN 2 THEN NULL WHEN 3 THEN 'x' ELSE left(text, 5) END AS cell FROM documents WHERE doc_id % 5 <> 4 OR regexp_full_match(left(text, 5), '\\w+')")
+_DIRTY = """dirty AS (SELECT doc_id, line_no, CASE line_no % 6 WHEN 0 THEN text || ' . . . .' WHEN 1 THEN '\\mathbf{1,5}\\quad' || text WHEN 2 THEN ' . '
+  WHEN 3 THEN '\\text{' || replace(text, '}', '') || '}' WHEN 4 THEN '\\mathsf{' || replace(text, '}', '') || '}' ELSE text END AS raw FROM lines)"""
+
+
+def _cleaned(cell: str) -> str:
+    for pattern, to in bk.CELL_RULES:
+        cell = f"regexp_replace({cell}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return cell
+
+
+@query("table_clean_cells", f"WITH {ad.LINES}, {_DIRTY} SELECT doc_id, line_no, CASE WHEN trim(raw) NOT IN ('', '.') THEN {_cleaned('trim(raw)')} END AS cell FROM dirty")
 def table_clean_cells(s, d):
-    n = F.col("doc_id")
-    raw = F.when(n % 5 == 0, "a . . . .").when(n % 5 == 1, "\\mathbf{1,5}\\quad").when(n % 5 == 2, " . ").when(n % 5 == 3, "\\text{x}").otherwise(F.substring("text", 1, 5))
-    rows = ad.table(s, d, "documents").filter((n % 5 != 4) | F.substring("text", 1, 5).rlike(r"^\w+$"))
-    return rows.select("doc_id", bk.clean_cell(raw).alias("cell"))
+    n, text = F.col("line_no") % 6, F.replace("text", F.lit("}"), F.lit(""))
+    raw = F.when(n == 0, F.concat("text", F.lit(" . . . ."))).when(n == 1, F.concat(F.lit("\\mathbf{1,5}\\quad"), "text")).when(n == 2, " . ").when(n == 3, F.concat(F.lit("\\text{"), text, F.lit("}"))).when(n == 4, F.concat(F.lit("\\mathsf{"), text, F.lit("}"))).otherwise(F.col("text"))
+    return ad.lines(s, d).select("doc_id", "line_no", bk.clean_cell(raw).alias("cell"))
 
 
 @query("html_merged_tags", "SELECT doc_id, '<b>a' || doc_id || ' c</b> <i>d</i>' AS html FROM documents")
@@ -40,9 +49,9 @@ def html_merged_tags(s, d):
     return ad.table(s, d, "documents").select("doc_id", bk.merged_tags(text, "b").alias("html"))
 
 
-@query("block_line_height", f"WITH {ad.LINES}, p AS (SELECT doc_id, page, count(*) AS n FROM lines WHERE line_no % 5 <> 4 GROUP BY 1, 2) SELECT doc_id, page, round(100.0 / n, 6) AS height FROM p")
+@query("block_line_height", f"WITH {ad.LINES}, p AS (SELECT doc_id, page, count(*) AS n FROM lines GROUP BY 1, 2) SELECT doc_id, page, round(100.0 / n, 6) AS height FROM p")
 def block_line_height(s, d):
-    lines = ad.lines(s, d).filter("line_no % 5 <> 4").withColumn("block_no", F.lit(0))
+    lines = ad.lines(s, d).withColumn("block_no", F.lit(0))
     blocks = lines.select("doc_id", "page", "block_no").distinct().withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(100.0))
     return bk.line_height(blocks, lines).select("doc_id", "page", F.round("height", 6).alias("height"))
 
@@ -62,11 +71,11 @@ def block_widened_selection(s, d):
     return bk.widened_selection(_kinds(s, d), "table", ("text",), 0.5).select("doc_id", "pos", "kind")
 
 
-@query("block_accepted_rewrite", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND length(trim(left(text, (0.5 * length(text))::INT))) < 0.6 * length(text) THEN text WHEN doc_id % 3 = 2 THEN text ELSE 'new ' || trim(text) END AS text FROM documents WHERE doc_id % 3 <> 1")
+@query("block_accepted_rewrite", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR length(new) < 0.6 * length(text) OR new = '' THEN text ELSE new END AS text FROM (SELECT *, trim(CASE WHEN doc_id % 3 = 1 THEN left(text, length(text) // 2) ELSE 'new ' || trim(text) END) AS new FROM documents)")
 def block_accepted_rewrite(s, d):
     n = F.col("doc_id")
-    new = F.when(n % 3 == 2, F.lit("No corrections needed.")).otherwise(F.concat(F.lit("new "), F.trim("text")))
-    return ad.table(s, d, "documents").filter(n % 3 != 1).select("doc_id", bk.accepted_rewrite("text", new).alias("text"))
+    new = F.when(n % 3 == 2, F.lit("No corrections needed.")).when(n % 3 == 1, F.expr("left(text, length(text) div 2)")).otherwise(F.concat(F.lit("new "), F.trim("text")))
+    return ad.table(s, d, "documents").select("doc_id", bk.accepted_rewrite("text", new).alias("text"))
 
 
 @query("block_reordered", f"WITH {_KINDS} SELECT doc_id, pos AS block_no, CASE WHEN doc_id % 2 = 0 THEN row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) - 1 ELSE row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 END AS place FROM k")

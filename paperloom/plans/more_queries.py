@@ -202,10 +202,15 @@ def reader_dispatch(s, d):
     return ad.table(s, d, "documents").select("doc_id", src.reader_of(path, head).alias("reader"))
 
 
-@query("text_cleaning", "SELECT doc_id, replace(replace(left(text, 40), chr(160), ' '), chr(12288), ' ') AS spaced, regexp_replace('<p>' || left(text, 20) || '</p>', '<[^>]*>', '', 'g') AS plain, 'a_' || doc_id AS asked FROM documents")
+_ONE_SPACE = "text"
+for _c in tx.SPACES:
+    _ONE_SPACE = f"replace({_ONE_SPACE}, chr({ord(_c)}), ' ')"
+
+
+@query("text_cleaning", f"SELECT doc_id, {_ONE_SPACE} AS spaced, regexp_replace('<p>' || text || '</p>', '<[^>]*>', '', 'g') AS plain, 'a_' || doc_id AS asked FROM documents")
 def text_cleaning(s, d):
     rows = ad.table(s, d, "documents")
-    return rows.select("doc_id", tx.one_space(F.substring("text", 1, 40)).alias("spaced"), tx.strip_tags(F.concat(F.lit("<p>"), F.substring("text", 1, 20), F.lit("</p>"))).alias("plain"), F.concat(tx.attribute_question(F.lit("a_cm")), F.lit("_"), F.col("doc_id").cast("string")).alias("asked"))
+    return rows.select("doc_id", tx.one_space("text").alias("spaced"), tx.strip_tags(F.concat(F.lit("<p>"), "text", F.lit("</p>"))).alias("plain"), F.concat(tx.attribute_question(F.lit("a_cm")), F.lit("_"), F.col("doc_id").cast("string")).alias("asked"))
 
 
 @query("fragments_rendered", f"WITH {ad.LINES} SELECT doc_id, page, '## 第 ' || (page + 1) || ' 頁' || chr(10) || chr(10) || '### T' || chr(10) || chr(10) || arg_min(text, line_no) AS md FROM lines GROUP BY 1, 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -220,8 +220,8 @@ _CHUNKS = (
 )
 
 
-def _chunks(s, d):
-    return ch.chunks(ch.demoted(ch.sections(ad.markdown(s, d))), ". ")
+def _chunks(s, d, where=None):
+    return ch.chunks(ch.demoted(ch.sections(ad.markdown(s, d, where))), ". ")
 
 
 @query("chunk_pieces", f"{_CHUNKS} SELECT doc_id, page_pos, section_idx::BIGINT AS section_idx, chunk_idx, text FROM ck")
@@ -318,10 +318,12 @@ def noise_ghost_dedup(s, d):
     return nz.without_ghosts(spans)
 
 
-@query("noise_banned_spans", f"WITH {ad.LINES}, s AS (SELECT doc_id, line_no, regexp_replace(text, '\\s+', '', 'g') AS t, y0 FROM lines), b AS (SELECT doc_id, t, y0 FROM s WHERE line_no % 9 = 0) SELECT doc_id, line_no FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.t = s.t AND abs(b.y0 - s.y0) <= 5.0)")
+@query("noise_banned_spans", f"WITH {ad.LINES}, s AS (SELECT doc_id, line_no, regexp_replace(text, '\\s+', '', 'g') AS t, x0, y0, x1, y1 FROM lines), b AS (SELECT doc_id, t || CASE WHEN line_no % 2 = 0 THEN 'more' ELSE '' END AS t, x0, y0, x1, y1 FROM s WHERE line_no % 9 = 0) SELECT doc_id, line_no FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.t = s.t AND abs(b.y0 - s.y0) <= 5.0) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.t <> s.t AND length(s.t) >= 3 AND contains(b.t, s.t) AND b.x0 - 5 <= s.x0 AND b.y0 - 5 <= s.y0 AND b.x1 + 5 >= s.x1 AND b.y1 + 5 >= s.y1)")
 def noise_banned_spans(s, d):
+    """Every ninth line is banned with its box, half of them as part of a longer text."""
     spans = ad.lines(s, d).select("doc_id", "line_no", "text", "x0", "y0", "x1", "y1")
-    banned = spans.filter("line_no % 9 = 0").select("doc_id", tx.no_space("text").alias("norm_text"), *(F.lit(-1.0).alias(f"b_{c}") if c != "y0" else F.col("y0").alias("b_y0") for c in ("x0", "y0", "x1", "y1")))
+    longer = F.concat(tx.no_space("text"), F.when(F.col("line_no") % 2 == 0, "more").otherwise(""))
+    banned = spans.filter("line_no % 9 = 0").select("doc_id", longer.alias("norm_text"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     return nz.without_banned(spans, banned).select("doc_id", "line_no")
 
 
@@ -330,9 +332,9 @@ def title_pick(s, d):
     return nz.title_of(ad.lines(s, d).withColumn("span_no", F.col("line_no")))
 
 
-@query("title_main", f"WITH {ad.LINES}, b AS (SELECT doc_id, arg_min(text, -size * 1000000 + line_no) AS title FROM lines WHERE page < 3 AND line_no % 2 = 1 GROUP BY 1) SELECT d.doc_id, coalesce(title, 'doc' || d.doc_id) AS title FROM documents d LEFT JOIN b USING (doc_id)")
+@query("title_main", f"WITH {ad.LINES}, b AS (SELECT doc_id, arg_min(text, -size * 1000000 + line_no) AS title FROM lines WHERE page < 3 GROUP BY 1) SELECT d.doc_id, coalesce(title, 'doc' || d.doc_id) AS title FROM documents d LEFT JOIN b USING (doc_id)")
 def title_main(s, d):
-    titles = ad.lines(s, d).filter("line_no % 2 = 1").select("doc_id", F.when(F.col("page") < 3, F.col("line_no")).otherwise(99).alias("page"), "size", F.col("text").alias("title"), F.col("page").alias("p"))
+    titles = ad.lines(s, d).select("doc_id", F.when(F.col("page") < 3, F.col("line_no")).otherwise(99).alias("page"), "size", F.col("text").alias("title"), F.col("page").alias("p"))
     return nz.main_title(titles.filter("p < 3"), ad.files(s, d), pages=99)
 
 
@@ -508,43 +510,61 @@ def _terms(s, d):
 
 
 TERMS = {"the": 1.0, "of": 0.5, "un": 2.0, "die": 1.5}
-_SPARSE = "sp AS (SELECT doc_id, sum(CASE t WHEN 'the' THEN 1.0 WHEN 'of' THEN 0.5 WHEN 'un' THEN 2.0 WHEN 'die' THEN 1.5 END) AS score FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents) WHERE t IN ('the', 'of', 'un', 'die') GROUP BY 1)"
-
-
 @query("search_dense", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def search_dense(s, d):
     return rt.dense_top_k(ad.table(s, d, "embeddings"), _asked(s, d), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("search_dense_filtered", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def _questions(s, d):
+    """Every vector whose id is divisible by 20 is a query against all."""
+    return ad.table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_EACH = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)"
+_PAIRS = f"pr AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_EACH} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"
+
+
+@query("search_dense_filtered", f"WITH {_PAIRS} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pr WHERE label IN (1, 2, 3) QUALIFY rank <= 10")
 def search_dense_filtered(s, d):
-    return rt.dense_top_k(ad.table(s, d, "embeddings"), _asked(s, d), 10, where=F.col("label").isin(1, 2, 3)).select("vec_id", F.round("score", 6).alias("score"))
+    found = rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 10, where=F.col("label").isin(1, 2, 3))
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("search_dense_each", "SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5")
+@query("search_dense_each", f"WITH {_PAIRS} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pr QUALIFY rank <= 5")
 def search_dense_each(s, d):
-    vectors = ad.table(s, d, "embeddings")
-    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return rt.dense_top_k_each(vectors, asked, 5).select("query_id", "vec_id", "rank")
+    return rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 5).select("query_id", "vec_id", "rank")
 
 
-@query("search_sparse", f"WITH {_SPARSE} SELECT doc_id, score::DOUBLE AS score FROM sp ORDER BY score DESC, doc_id LIMIT 20")
+def _asked_terms(s, d):
+    """The four rarest words of each document whose id is divisible by 20, the rarest with the largest weight."""
+    index = _terms(s, d)
+    spread = index.groupBy("term").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("query_id").orderBy("df", "term")
+    own = index.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "term").join(spread, "term").withColumn("place", F.row_number().over(w))
+    return own.filter("place <= 4").select("query_id", "term", (5.0 - F.col("place")).alias("weight"))
+
+
+_SPARSE_EACH = """tf AS (SELECT doc_id, t AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1
+), qt AS (SELECT doc_id AS query_id, term, 5.0 - row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS weight FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0 QUALIFY weight > 0
+), sp AS (SELECT query_id, doc_id, sum(n * weight) AS score FROM tf JOIN qt USING (term) GROUP BY ALL)"""
+
+
+@query("search_sparse", f"WITH {_SPARSE_EACH} SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp QUALIFY rank <= 20")
 def search_sparse(s, d):
-    return rt.sparse_top_k(_terms(s, d), TERMS, 20)
+    return rt.sparse_top_k_each(_terms(s, d), _asked_terms(s, d), 20)
 
 
-@query("search_hybrid_rrf", f"WITH {_SPARSE}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS r FROM embeddings QUALIFY r <= 40), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM sp QUALIFY r <= 40), f AS (SELECT coalesce(a.id, b.id) AS id, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score FROM a FULL JOIN b USING (id)) SELECT id, round(score, 9) AS score FROM f ORDER BY f.score DESC, id LIMIT 8")
+@query("search_hybrid_rrf", f"WITH {_PAIRS}, {_SPARSE_EACH}, a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pr QUALIFY r <= 40), b AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sp QUALIFY r <= 40), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (r + 60)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id) <= 8")
 def search_hybrid_rrf(s, d):
-    dense = rt.dense_top_k(ad.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _asked(s, d), 40, item="id")
-    sparse = rt.sparse_top_k(_terms(s, d).withColumnRenamed("doc_id", "id"), TERMS, 40, item="id")
-    return rt.fused(dense, sparse, 8, "id").select("id", F.round("score", 9).alias("score"))
+    dense = rt.dense_top_k_each(ad.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _questions(s, d), 40, item="id")
+    sparse = rt.sparse_top_k_each(_terms(s, d).withColumnRenamed("doc_id", "id"), _asked_terms(s, d), 40, item="id")
+    return rt.fused_each(dense, sparse, 8, "id").select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("search_fanout", f"SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 4")
+@query("search_fanout", f"WITH {_PAIRS} SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM pr QUALIFY rank <= 4")
 def search_fanout(s, d):
-    asked = F.array(*(F.lit(float(x)) for x in _asked(s, d)))
-    scored = ad.table(s, d, "embeddings").select("label", "vec_id", rt.cosine(F.col("embedding"), asked).alias("score"))
-    return rt.fanned_out(scored, "label", 4, "vec_id").select("label", "vec_id", "rank")
+    return rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 4, by="label").select("query_id", "label", "vec_id", "rank")
 
 
 @query("hits_by_page", f"WITH {ad.HITS} SELECT file_key, page::INT AS page, greatest(0.0, max(score))::DOUBLE AS max_score, arg_min(project, pos) AS project, count(*) AS n_hits FROM hits WHERE page IS NOT NULL GROUP BY 1, 2")
@@ -713,18 +733,34 @@ def html_markdown(s, d):
 
 @query("near_copy_indel")
 def near_copy_indel(s, d):
-    rows = ad.files(s, d).select("lang", "source", F.col("stem").alias("a"))
-    first = rows.groupBy("lang", "source").agg(F.min("a").alias("b"))
-    return rows.join(first, ["lang", "source"]).select("a", "b", F.round(nz.fuzzy_ratio("a", "b"), 6).alias("ratio"))
+    """Distinct lines against the least line that begins with the same twelve characters."""
+    rows = ad.lines(s, d).filter("length(text) > 12").select(F.col("text").alias("a")).distinct().withColumn("head", F.substring("a", 1, 12))
+    first = rows.groupBy("head").agg(F.min("a").alias("b"))
+    return rows.join(first, "head").filter("a <> b").select("a", "b", F.round(nz.fuzzy_ratio("a", "b"), 6).alias("ratio"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Documents to Markdown sections, chunks with ids, a sparse index, a filtered top 8, grouped by file and page."""
-    rows = ch.with_ids(_chunks(s, d), ad.files(s, d))
-    terms = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: x != "")
-    top = rt.sparse_top_k(rt.sparse_index(rows.filter(F.startswith("file_key", F.lit("en/"))), terms, "chunk_id"), TERMS, 8, "chunk_id")
-    hits = top.join(rows.select("chunk_id", "file_key", F.col("page_num").alias("page"), tx.project_of("file_key").alias("project"), F.col("chunk_idx_global").alias("pos")), "chunk_id")
-    return rt.by_page(hits)
+    """Documents to Markdown sections, chunks with ids, a sparse index, a filtered top 8, grouped by file and page.
+
+    The filter stands on the documents, and what the answer shows goes through the index with the chunk's id, so chunks
+    are made once and of the wanted documents only.
+    """
+    english = F.col("lang") == "en"
+    rows = ch.with_ids(_chunks(s, d, english), ad.files(s, d).filter(english))
+    hit = F.struct("chunk_id", "file_key", F.col("page_num").alias("page"), tx.project_of("file_key").alias("project"), F.col("chunk_idx_global").alias("pos"))
+    terms = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: x.isin(list(TERMS)))
+    top = rt.sparse_top_k(rt.sparse_index(rows.withColumn("hit", hit), terms, "hit"), TERMS, 8, "hit")
+    return rt.by_page(top.select("hit.*", "score"))
 
 
 QUERIES["flagship_search"] = flagship
+_WEIGHTS = " + ".join(f"{w} * len(list_filter(w, lambda x: x = '{t}'))" for t, w in TERMS.items())
+SQL["flagship_search"] = f"""{_IDS}, tk AS (
+  SELECT {_UUID} AS id, file_key, page_num, source AS project, row_number() OVER (PARTITION BY doc_id ORDER BY page_pos, section_idx, chunk_idx) AS pos,
+         lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM named
+), sc AS (
+  SELECT *, {_WEIGHTS} AS score FROM tk WHERE lang = 'en'
+), top AS (
+  SELECT * FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 8
+)
+SELECT file_key, page_num AS page, greatest(0, max(score))::DOUBLE AS max_score, arg_min(project, pos) AS project, count(*) AS n_hits FROM top GROUP BY 1, 2"""
