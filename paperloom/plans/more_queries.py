@@ -98,13 +98,25 @@ def table_dollars(s, d):
     return ly.merged_dollar_columns(rows.select("table_id", "row_id", F.posexplode(cells).alias("col_id", "text")).withColumn("colspan", F.lit(1)))
 
 
-@query("table_runs")
+_RUNS = f"""WITH {_KINDS}, t AS (
+  SELECT doc_id, pos // 2 AS page, pos, x0, x0 + 40 AS x1, y0, y1, pos AS n_cols, count(*) OVER (PARTITION BY doc_id, pos // 2) = 1 AS alone FROM k WHERE kind = 'table'
+), p AS (
+  SELECT *, lag(page) OVER w AS p_page, lag(x0) OVER w AS p_x0, lag(x1) OVER w AS p_x1, lag(y0) OVER w AS p_y0, lag(y1) OVER w AS p_y1, lag(n_cols) OVER w AS p_cols, lag(alone) OVER w AS p_alone
+  FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page, pos)
+), s AS (
+  SELECT *, coalesce((p_page = page - 1 AND greatest(y1 - y0, p_y1 - p_y0) / 20 > 0.6 AND (alone OR p_alone))
+    OR (p_page = page AND (p_y1 - p_y0) / (y1 - y0) BETWEEN 0.75 AND 1.25 AND abs(x0 - p_x1) < 20 AND abs(y0 - p_y0) < 20)
+    OR (p_page = page AND abs(y0 - p_y1) < 20 AND abs(x0 - p_x0) < 20 AND abs(n_cols - p_cols) < 2), false) AS same FROM p
+) SELECT doc_id, page, pos, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, pos)::BIGINT AS island FROM s"""
+
+
+@query("table_runs", _RUNS)
 def table_runs(s, d):
     rows = _kinds(s, d).filter("kind = 'table'").withColumn("x1", F.col("x0") + 40).withColumn("n_cols", F.col("pos")).withColumn("page", F.floor(F.col("pos") / 2))
     return ly.table_runs(rows, 20.0).select("doc_id", "page", "pos", "island")
 
 
-@query("list_nesting")
+@query("list_nesting", f"WITH {_KINDS}, li AS (SELECT doc_id, pos, x0 FROM k WHERE kind = 'list') SELECT i.doc_id, 0 AS group_no, i.pos, (SELECT count(*) FROM li j WHERE j.doc_id = i.doc_id AND j.pos < i.pos AND NOT EXISTS (SELECT 1 FROM li b WHERE b.doc_id = i.doc_id AND b.pos > j.pos AND b.pos <= i.pos AND b.x0 <= j.x0 + 1.0))::INT AS level FROM li i")
 def list_nesting(s, d):
     return ly.nested_lists(_kinds(s, d).filter("kind = 'list'").select("doc_id", F.lit(0).alias("group_no"), "pos", F.col("x0").cast("double").alias("x0")), 100.0)
 
@@ -134,7 +146,7 @@ def dehyphenation(s, d):
     return ly.dehyphenated(ad.lines(s, d).withColumn("text", F.when(n % 3 == 0, "ab-").when(n % 3 == 1, "cd").otherwise("Ef-")))
 
 
-@query("code_lines")
+@query("code_lines", f"WITH {ad.LINES}, c AS (SELECT *, sum((x1 - x0)::DOUBLE) OVER w / greatest(sum(length(text)) OVER w, 1) AS width, min(x0) OVER w AS edge FROM lines WINDOW w AS (PARTITION BY doc_id, page)) SELECT doc_id, page, string_agg(repeat(' ', floor((x0 - edge)::DOUBLE / greatest(width, 0.001))::INT) || text, chr(10) ORDER BY line_no) AS text FROM c GROUP BY 1, 2")
 def code_lines(s, d):
     return ly.code_lines(ad.lines(s, d))
 

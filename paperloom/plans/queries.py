@@ -250,9 +250,11 @@ def chunk_links(s, d):
     return ch.with_ids(_chunks(s, d), ad.files(s, d)).select("chunk_id", "chunk_idx_global", "prev_chunk_id", "next_chunk_id", "text_with_prefix")
 
 
-@query("chunk_payload")
+@query("chunk_payload", f"{_IDS}, u AS (SELECT *, {_UUID} AS id FROM named) SELECT id, stem AS file_name, page_num AS page, concat_ws('/', h3, h4, h5) AS breadcrumb, coalesce(h5, h4, h3) AS header, length(text) AS chars, lag(id) OVER (PARTITION BY doc_id ORDER BY page_pos, section_idx, chunk_idx) AS prev_id, false AS has_image FROM u")
 def chunk_payload(s, d):
-    return ch.payload(ch.with_ids(_chunks(s, d), ad.files(s, d))).select("id", F.to_json("payload").alias("payload"))
+    rows = ch.payload(ch.with_ids(_chunks(s, d), ad.files(s, d)))
+    place, shown = "payload.metadata.location", {"file_name": "payload.metadata.source.file_name", "page": "payload.metadata.location.page", "header": "payload.metadata.location.current_header", "chars": "payload.content.char_count", "prev_id": "payload.chunking.prev_chunk_id", "has_image": "payload.visuals.has_image"}
+    return rows.select("id", F.array_join(f"{place}.breadcrumb", "/").alias("breadcrumb"), *(F.col(c).alias(n) for n, c in shown.items()))
 
 
 @query("md_parse", "SELECT doc_id, 0 AS page_pos, 7 AS page_num, 'a' || doc_id AS md FROM documents UNION ALL SELECT doc_id, 1, 8, 'b' || lang FROM documents")
@@ -312,7 +314,17 @@ def noise_page_numbers(s, d):
     return rows.select("doc_id", "line_no", nz.is_page_number(F.col("text"), F.col("y0"), F.col("y1"), 100.0).alias("noise"))
 
 
-@query("noise_ghost_dedup")
+_GHOSTS = f"""WITH RECURSIVE {ad.LINES}, r AS (
+  SELECT doc_id, page, text, line_no AS span_no, x0::DOUBLE AS x0, y0::DOUBLE / 8 AS y0, row_number() OVER (PARTITION BY doc_id, page, text ORDER BY line_no) AS k FROM lines
+), kept AS (
+  SELECT *, x0 AS lx, y0 AS ly, true AS keep FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.doc_id, r.page, r.text, r.span_no, r.x0, r.y0, r.k, CASE WHEN near THEN lx ELSE r.x0 END, CASE WHEN near THEN ly ELSE r.y0 END, NOT near
+  FROM (SELECT r.*, p.lx, p.ly, abs(p.lx - r.x0) <= 3 AND abs(p.ly - r.y0) <= 3 AS near FROM r JOIN kept p ON r.doc_id = p.doc_id AND r.page = p.page AND r.text = p.text AND r.k = p.k + 1) r
+) SELECT doc_id, page, text, span_no, x0, y0 FROM kept WHERE keep"""
+
+
+@query("noise_ghost_dedup", _GHOSTS)
 def noise_ghost_dedup(s, d):
     spans = ad.lines(s, d).select("doc_id", "page", F.col("line_no").alias("span_no"), "text", "x0", (F.col("y0") / 8).alias("y0"))
     return nz.without_ghosts(spans)
@@ -414,9 +426,9 @@ def geom_merged(s, d):
     return ly.merged_boxes(ad.boxes(s, d)[1], ["doc_id"])
 
 
-@query("geom_widened")
+@query("geom_widened", f"WITH {ad.BOXES}, g AS (SELECT a.doc_id, a.block_no, min(sqrt(pow(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + pow(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2))) AS gap FROM bl a JOIN bl b ON a.doc_id = b.doc_id AND a.block_no <> b.block_no GROUP BY 1, 2), w AS (SELECT bl.*, least((x1 - x0) * 0.05, coalesce(gap / 2, 1e300)) AS dx, least((y1 - y0) * 0.05, coalesce(gap / 2, 1e300)) AS dy FROM bl LEFT JOIN g USING (doc_id, block_no)) SELECT doc_id, block_no, round((x0 - dx)::DOUBLE, 6) AS x0, round((y0 - dy)::DOUBLE, 6) AS y0, round((x1 + dx)::DOUBLE, 6) AS x1, round((y1 + dy)::DOUBLE, 6) AS y1 FROM w")
 def geom_widened(s, d):
-    return ly.widened(ad.boxes(s, d)[1])
+    return ly.widened(ad.boxes(s, d)[1]).select("doc_id", "block_no", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query("read_order", f"WITH {ad.BOXES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y0 / 30, 0), x0, line_no) - 1 AS place FROM li")
@@ -449,7 +461,17 @@ def continuation(s, d):
     return ly.continued(rows).select("doc_id", "page", "goes_on")
 
 
-@query("blockquote_levels")
+_QUOTES = f"""WITH RECURSIVE {_KINDS}, r AS (
+  SELECT doc_id, pos, x0, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM k
+), q AS (
+  SELECT *, 0 AS quote_level FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.*, CASE WHEN r.x0 > q.x0 + 5 THEN quote_level + 1 WHEN r.x0 < q.x0 - 5 THEN greatest(0, quote_level - 1) ELSE quote_level END
+  FROM r JOIN q ON r.doc_id = q.doc_id AND r.n = q.n + 1
+) SELECT doc_id, 0 AS page, pos, quote_level FROM q"""
+
+
+@query("blockquote_levels", _QUOTES)
 def blockquote_levels(s, d):
     return ly.blockquotes(_kinds(s, d).select("doc_id", "page", "pos", F.col("x0").cast("double")))
 
@@ -481,7 +503,7 @@ def table_grid(s, d):
     return ly.table_grid(_cells(s, d))
 
 
-@query("table_split_rows")
+@query("table_split_rows", f"WITH {_CELLS}, r AS (SELECT DISTINCT table_id, row_id, q % 3 + 1 AS n FROM cl), u AS (SELECT *, n > 1 AND avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END) OVER (PARTITION BY table_id) >= 0.5 AS used FROM r), sh AS (SELECT *, coalesce(sum(CASE WHEN used THEN n - 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM u) SELECT table_id, (row_id + shift + i)::BIGINT AS row_id, col_id, CASE WHEN used THEN text || '#' || (i + 1) ELSE array_to_string(list_transform(range(1, n + 1), lambda x: text || '#' || x), ' ') END AS text FROM (SELECT cl.*, used, shift, n, unnest(range(0, CASE WHEN used THEN n ELSE 1 END)) AS i FROM cl JOIN sh USING (table_id, row_id))")
 def table_split_rows(s, d):
     rows = _cells(s, d).withColumn("lines", F.transform(F.sequence(F.lit(1), F.col("q") % 3 + 1), lambda k: F.concat("text", F.lit("#"), k.cast("string"))))
     return ly.split_rows(rows.select("table_id", "row_id", "col_id", "lines"))
@@ -721,7 +743,7 @@ def html_links(s, d):
     return ad.table(s, d, "pages").select("page_id", F.array_join(src.html_links("html"), "|").alias("links"))
 
 
-@query("html_text")
+@query("html_text", "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?i)<br\\s*/?>|</(?:p|div|li|h[1-6]|tr|nav|footer)\\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g')) AS text FROM pages")
 def html_text(s, d):
     return ad.table(s, d, "pages").select("page_id", src.html_text("html").alias("text"))
 
