@@ -182,3 +182,92 @@ def quality_issue(c: Column | str) -> Column:
     invalid = n - F.length(F.replace(text, F.lit("�"), F.lit("")))
     ratio = lambda part: F.when(n > 0, part / n).otherwise(0.0)
     return (n == 0) | (ratio(spaces) > 0.7) | (ratio(breaks) > 0.6) | (ratio(alnum) < 0.3) | (invalid > F.greatest(F.lit(6.0), n * 0.03))
+
+
+def delimiter_meant(typed: str) -> str:
+    """A delimiter as it is typed into a form: ``\n``, ``\t`` and other escapes stand for their characters.
+
+    It is a parameter of a plan, so this runs on the driver. What is no escape stays as it is typed.
+    """
+    names = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
+    out, k = [], 0
+    while k < len(typed):
+        if typed[k] == "\\" and k + 1 < len(typed) and typed[k + 1] in names:
+            out.append(names[typed[k + 1]])
+            k += 2
+        else:
+            out.append(typed[k])
+            k += 1
+    return "".join(out)
+
+
+def safe_name(c: Column | str) -> Column:
+    """A file name of letters, digits, spaces and underscores."""
+    return utrim(F.regexp_replace(col(c), r"[^\p{L}\p{N} _]", ""))
+
+
+def image_places(c: Column | str) -> Column:
+    """``array<struct<path, at, size>>``: image references with the place of the reference, from 0, and its length.
+
+    Places are found by the text between references, so they count code points.
+    """
+    pattern = r"!\[[^\]]*\]\([^)\n]+\)"
+    refs, gaps = F.regexp_extract_all(col(c), F.lit(f"({pattern})"), F.lit(1)), F.split(col(c), pattern, -1)
+    before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(refs, F.lit(1), i), F.lit(0), lambda n, r: n + F.length(r))
+    return F.transform(refs, lambda r, i: F.struct(F.regexp_extract(r, r"\(([^)\n]+)\)$", 1).alias("path"), before(i).alias("at"), F.length(r).alias("size")))
+
+
+def without_line_at(c: Column | str, at: Column | int) -> Column:
+    """The text without the line, with its line break, that holds the place ``at`` (from 0)."""
+    text, at = col(c), at if isinstance(at, Column) else F.lit(at)
+    head, tail = F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.length(text))
+    above = F.split(head, "\n", -1)
+    kept = F.when(F.size(above) > 1, F.concat(F.array_join(F.slice(above, F.lit(1), F.size(above) - 1), "\n"), F.lit("\n"))).otherwise("")
+    rest = F.when(F.contains(tail, F.lit("\n")), F.substring(tail, F.instr(tail, "\n") + 1, F.length(tail))).otherwise("")
+    return F.concat(kept, rest)
+
+
+def inserted_at(c: Column | str, new: Column, at: Column | int) -> Column:
+    """The text with ``new`` at a place, at its end where the place is beyond that."""
+    text, at = col(c), at if isinstance(at, Column) else F.lit(at)
+    return F.concat(F.substring(text, F.lit(1), at), new, F.substring(text, at + 1, F.length(text)))
+
+
+def page_body(c: Column | str) -> Column:
+    """A page without its anchor line and the rule at its end, trimmed."""
+    text = F.regexp_replace(col(c), r"^## 第 \d+ 頁[ \t]*\n?", "")
+    return utrim(F.regexp_replace(text, r"\n-{3,}\s*\n?$", ""))
+
+
+def edited_page(page: Column | str, number: Column | str, edited: Column | str) -> Column:
+    """The page after an edit of its body: anchor and closing rule come back around the new body; a body that differs in
+    nothing but white space at its ends leaves the page as it is."""
+    page, new = col(page), utrim(edited)
+    ruled = F.when(page.rlike(r"\n-{3,}\s*\n?$"), "\n---\n").otherwise("")
+    return F.when(new.isNull() | (new == page_body(page)), page).otherwise(F.concat(F.lit("## 第 "), col(number).cast("string"), F.lit(" 頁\n"), new, F.lit("\n"), ruled))
+
+
+def font_formats(flags: Column | str, name: Column | str, weight: Column | str | None = None) -> Column:
+    """The formats of a font as a sorted array: from the bits of a PDF font descriptor (fixed width 1, italic 7, forced
+    bold 19, counted from 1), from its name and from a weight over 500; ``plain`` without any."""
+    flags, name = F.coalesce(col(flags), F.lit(0)), F.lower(F.coalesce(col(name), F.lit("")))
+    bit = lambda n: F.shiftright(flags, n - 1).bitwiseAND(F.lit(1)) == 1
+    heavy = F.coalesce(col(weight) > 500, F.lit(False)) if weight is not None else F.lit(False)
+    found = F.array(F.when(bit(19) | F.contains(name, F.lit("bold")) | heavy, "bold"), F.when(bit(7) | F.contains(name, F.lit("ital")) | F.contains(name, F.lit("oblique")), "italic"), F.when(bit(1) | F.contains(name, F.lit("mono")) | F.contains(name, F.lit("courier")), "code"))
+    kept = F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+    return F.when(F.size(kept) == 0, F.array(F.lit("plain"))).otherwise(kept)
+
+
+def unwrapped(html: Column | str, tag: str) -> Column:
+    """The inside of an element that is all of the text; other texts stay as they are."""
+    return F.regexp_replace(col(html), rf"(?s)^\s*<{tag}(?:\s[^>]*)?>(.*)</{tag}>\s*$", "$1")
+
+
+def merged_math(html: Column | str) -> Column:
+    """Inline formulas that stand side by side as one; display formulas stay apart."""
+    return F.regexp_replace(col(html), r"(?<=[^>])</math>(\s*)<math>", "$1")
+
+
+def utc_text(c: Column | str) -> Column:
+    """A time stamp as ISO 8601 text to the second in UTC, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(c).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

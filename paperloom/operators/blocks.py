@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +118,110 @@ def superscripts(spans: DataFrame) -> DataFrame:
     """Spans with ``superscript``: the first of a footnote, if it begins with digits or marks."""
     w = Window.partitionBy(*PAGE, "block_no").orderBy("span_no")
     return spans.withColumn("superscript", (F.row_number().over(w) == 1) & F.col("text").rlike(r"^[0-9\W]+"))
+
+
+def joined_beside(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:
+    """``table_id, row_id, col_id, text``: pairs of tables under one id, the second to the right of the first.
+
+    They are joined where their numbers of rows differ by less than ``most``; else both stay as they are, the second
+    under its own id ``right_id``. ``right(table_id, right_id, row_id, col_id, text)``; spans count in the numbers.
+    """
+    size = lambda cells: cells.groupBy("table_id").agg(F.max(F.col("row_id") + F.col("rowspan")).alias("rows"), F.max(F.col("col_id") + F.col("colspan")).alias("cols"))
+    both = size(left).join(size(right).select("table_id", F.col("rows").alias("r_rows")), "table_id")
+    fits = both.select("table_id", F.col("cols").alias("shift"), (F.abs(F.col("rows") - F.col("r_rows")) < most).alias("fits"))
+    moved = right.join(fits, "table_id", "left").select(F.when(F.col("fits"), F.col("table_id")).otherwise(F.col("right_id")).alias("table_id"), "row_id", (F.col("col_id") + F.when(F.col("fits"), F.col("shift")).otherwise(0)).alias("col_id"), "text")
+    return left.select("table_id", "row_id", "col_id", "text").unionByName(moved)
+
+
+def same_columns(first: DataFrame, second: DataFrame, most: int = 2) -> DataFrame:
+    """``table_id, fits``: tables that may be joined below each other, as their numbers of columns differ by less than ``most``."""
+    count = lambda cells, name: cells.groupBy("table_id").agg(F.max(F.col("col_id") + F.col("colspan")).alias(name))
+    return count(first, "a").join(count(second, "b"), "table_id").select("table_id", (F.abs(F.col("a") - F.col("b")) < most).alias("fits"))
+
+
+class _Cells(HTMLParser):
+    """The cells of the first table as ``row, spans, header, text``; nested markup counts with its text only."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[list[list]] = []
+        self.open, self.done, self.cell = False, False, None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table" and not self.done:
+            self.open = True
+        elif tag == "tr" and self.open:
+            self.rows.append([])
+        elif tag in ("td", "th") and self.open and self.rows:
+            spans = [next((int(v) for k, v in attrs if k == name and (v or "").isdigit()), 1) for name in ("rowspan", "colspan")]
+            self.cell = [*spans, tag == "th", ""]
+            self.rows[-1].append(self.cell)
+        elif tag == "br" and self.cell is not None:
+            self.cell[3] += "\n"
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th", "tr"):
+            self.cell = None
+        elif tag == "table" and self.open:
+            self.open, self.done, self.cell = False, True, None
+
+    def handle_data(self, data: str) -> None:
+        if self.cell is not None:
+            self.cell[3] += data
+
+
+def placed_cells(page: str) -> list[tuple[int, int, int, int, bool, str]]:
+    """``row, column, row span, column span, header, text``: each cell takes the first place of its row that no span from
+    above covers; spans end at the table's edges, and cells beyond its width or without extent fall away."""
+    reader = _Cells()
+    reader.feed(page)
+    reader.close()
+    width = max((sum(cell[1] for cell in row) for row in reader.rows), default=0)
+    taken: set[tuple[int, int]] = set()
+    out = []
+    for r, row in enumerate(reader.rows):
+        c = 0
+        for down, across, header, text in row:
+            while (r, c) in taken:
+                c += 1
+            if c >= width:
+                break
+            down, across = min(down, len(reader.rows) - r), min(across, width - c)
+            if down and across:
+                taken |= {(y, x) for y in range(r, r + down) for x in range(c, c + across)}
+                out.append((r, c, down, across, header, text.strip()))
+                c += across
+    return out
+
+
+def html_cells(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
+    """``key, row_id, col_id, rowspan, colspan, is_header, text`` of the first table of each HTML text; without one, no rows."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cells = [placed_cells(page or "") for page in part.column(1).to_pylist()]
+            at = [k for k, own in enumerate(cells) for _ in own]
+            columns = list(zip(*(c for own in cells for c in own), strict=True)) or [()] * 6
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[key, "row_id", "col_id", "rowspan", "colspan", "is_header", "text"])
+
+    return tables.select(key, html).mapInArrow(run, f"{key} {tables.schema[key].dataType.simpleString()}, row_id int, col_id int, rowspan int, colspan int, is_header boolean, text string")
+
+
+def escaped(text: Column | str) -> Column:
+    return F.replace(F.replace(F.replace(col(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def block_html(kind: Column | str = "kind", text: Column | str = "text", level: Column | str = "level", goes_on: Column | str = "goes_on", ignored: Column | str = "ignored", alt: Column | str = "alt") -> Column:
+    """A block as HTML by its kind: headings by level 1 to 6, list items by nesting, code, captions, footnotes, images with
+    their alternative text, rules for page breaks; text that goes on from a block before says so. Ignored blocks are ''."""
+    kind, body, level, goes_on, ignored, alt = col(kind), escaped(F.coalesce(col(text), F.lit(""))), col(level), col(goes_on), col(ignored), col(alt)
+    n = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(level, F.lit(2)))).cast("string")
+    attr = F.when(F.coalesce(goes_on, F.lit(False)), F.lit(" class='has-continuation'")).otherwise("")
+    wrapped = lambda tag, a=F.lit(""): F.concat(F.lit(f"<{tag}"), a, F.lit(">"), body, F.lit(f"</{tag}>"))
+    deep = F.coalesce(level, F.lit(0))
+    item = F.concat(F.repeat(F.lit("<ul>"), deep), wrapped("li"), F.repeat(F.lit("</ul>"), deep))
+    image = F.concat(F.lit('<p role="img"><img alt="'), F.replace(escaped(F.coalesce(alt, F.lit(""))), F.lit('"'), F.lit("&quot;")), F.lit('"></p>'))
+    out = F.when(kind == "heading", F.concat(F.lit("<h"), n, F.lit(">"), body, F.lit("</h"), n, F.lit(">"))).when(kind == "list", item).when(kind == "code", F.concat(F.lit("<pre>"), body, F.lit("</pre>")))
+    out = out.when(kind == "caption", wrapped("figcaption")).when(kind == "footnote", wrapped("small")).when(kind == "image", image).when(kind == "equation", F.concat(F.lit('<p><math display="block">'), body, F.lit("</math></p>"))).when(kind == "break", F.lit("<hr>"))
+    return F.when(F.coalesce(ignored, F.lit(False)), "").otherwise(out.otherwise(wrapped("p", attr)))

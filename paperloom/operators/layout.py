@@ -347,3 +347,101 @@ def footnotes_last(blocks: DataFrame) -> DataFrame:
 
 def table_of_contents(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 'heading'").select("doc_id", "page", "pos", F.trim("text").alias("title"), "y0").orderBy("doc_id", "page", "pos")
+
+
+def number_edges(spans: DataFrame, share: float = 0.6, least_lines: int = 4, least_rest: int = 10) -> DataFrame:
+    """``doc_id, page, block_no, line_no, span_no``: line numbers at the starts or ends of a block's lines.
+
+    ``spans(doc_id, page, block_no, line_no, span_no, text)``. A line starts (ends) with a number if it has several spans,
+    its first (last) is digits only and more than ``least_rest`` characters are left; in blocks of ``least_lines`` or more,
+    of whose lines more than ``share`` do, those spans are line numbers.
+    """
+    by_line = Window.partitionBy(*PAGE, "block_no", "line_no")
+    rows = spans.withColumn("n", F.count("*").over(by_line)).withColumn("k", F.row_number().over(by_line.orderBy("span_no"))).withColumn("chars", F.sum(F.length("text")).over(by_line))
+    digits = F.trim("text").rlike(r"^\p{Nd}+$") & (F.col("n") > 1) & (F.col("chars") - F.length(F.trim("text")) > least_rest)
+    block = Window.partitionBy(*PAGE, "block_no")
+    lines = F.count_if(F.col("k") == 1).over(block)
+    first, last = digits & (F.col("k") == 1), digits & (F.col("k") == F.col("n"))
+    rows = rows.withColumn("first", first & (lines >= least_lines) & (F.count_if(first).over(block) / lines > share)).withColumn("last", last & (lines >= least_lines) & (F.count_if(last).over(block) / lines > share))
+    return rows.filter("first OR last").select(*PAGE, "block_no", "line_no", "span_no")
+
+
+def number_blocks(blocks: DataFrame, share: float = 0.6, least: int = 4) -> DataFrame:
+    """``doc_id, page, block_no``: blocks taller than wide whose words, ``least`` or more, are mostly digits."""
+    words = F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda w: w != "")
+    digits = F.size(F.filter("words", lambda w: w.rlike(r"^\p{Nd}+$")))
+    rows = blocks.withColumn("words", words).filter((F.size("words") >= least) & (digits / F.size("words") > share) & (Box.of().height > Box.of().width))
+    return rows.select(*PAGE, "block_no")
+
+
+def aligned_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc_id, page, cell_no, x0..y1``: cells as tall as the lines that are theirs, and clear of other cells' lines.
+
+    A line belongs to the cell with its largest overlap, of equal ones the first. Then a cell's top moves below the
+    bottom of the topmost line in it that belongs elsewhere, and its bottom above the top of the lowest such line, where
+    something is left between.
+    """
+    pairs = side(lines, "a_", "line_no").join(side(cells, "b_", "cell_no"), PAGE).filter(Box.of("a_").meets(Box.of("b_")))
+    area = Box.of("a_").intersection(Box.of("b_"))
+    best = F.row_number().over(Window.partitionBy(*PAGE, "a_id").orderBy(F.desc(area), "b_id")) == 1
+    pairs = pairs.withColumn("own", best)
+    own, other = F.col("own"), ~F.col("own")
+    reach = pairs.groupBy(*PAGE, F.col("b_id").alias("cell_no")).agg(
+        F.min(F.when(own, F.col("a_y0"))).alias("low"), F.max(F.when(own, F.col("a_y1"))).alias("high"),
+        F.min_by(F.when(other, F.col("a_y1")), F.when(other, F.struct("a_y0", "a_id"))).alias("under"), F.max_by(F.when(other, F.col("a_y0")), F.when(other, F.struct(F.col("a_y1"), -F.col("a_id")))).alias("over"),
+    )
+    rows = cells.join(reach, [*PAGE, "cell_no"], "left")
+    y0, y1 = F.least("y0", F.coalesce("low", "y0")), F.greatest("y1", F.coalesce("high", "y1"))
+    new0, new1 = F.greatest(y0, F.coalesce("under", y0)), F.least(y1, F.coalesce("over", y1))
+    fits = F.col("under").isNotNull() & (new0 < new1)
+    return rows.select(*PAGE, "cell_no", "x0", F.when(fits, new0).otherwise(y0).alias("y0"), "x1", F.when(fits, new1).otherwise(y1).alias("y1"))
+
+
+def off_page(lines: DataFrame, width: Column | float, height: Column | float) -> DataFrame:
+    """Pages with a line that is not within the page."""
+    outside = (F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > width) | (F.col("y1") > height)
+    return lines.filter(outside).select(*PAGE).distinct()
+
+
+def relinked(spans: DataFrame, links: DataFrame) -> DataFrame:
+    """Spans with ``url``: each link goes to the first span of its page whose text holds the link's, and to that only;
+    of several links for a span the first counts. ``links(doc_id, page, link_no, link_text, url)``."""
+    own = links.withColumn("link_text", F.trim("link_text")).filter("link_text <> ''")
+    pairs = spans.select(*PAGE, "span_no", "text").join(own, PAGE).filter(F.contains(F.col("text"), F.col("link_text")))
+    first = pairs.groupBy(*PAGE, "link_no").agg(F.min_by(F.struct("span_no", "url"), "span_no").alias("s"))
+    chosen = first.groupBy(*PAGE, F.col("s.span_no").alias("span_no")).agg(F.min_by("s.url", "link_no").alias("url"))
+    return spans.join(chosen, [*PAGE, "span_no"], "left")
+
+
+def interleaved(headings: DataFrame, body: DataFrame) -> DataFrame:
+    """``doc_id, page, text``: inline headings and body lines by their tops; at the same height headings come first."""
+    every = headings.select(*PAGE, "y0", F.lit(0).alias("src"), "seq", "text").unionByName(body.select(*PAGE, "y0", F.lit(1).alias("src"), "seq", "text"))
+    return every.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "src", "seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def raw_text(spans: DataFrame) -> DataFrame:
+    """``doc_id, page, block_no, text``: a block's spans in order, with a line break after each line."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")
+    lines = spans.groupBy(*PAGE, "block_no", "line_no").agg(F.concat(line, F.lit("\n")).alias("text"))
+    return lines.groupBy(*PAGE, "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def placed_boxes(boxes: DataFrame, labels: tuple[str, ...], x: Column | float, y: Column | float, width: Column | float, height: Column | float) -> DataFrame:
+    """Detected boxes of known labels, rescaled to the page, kept within it, with ``place`` by their position."""
+    box = Box.of().rescaled(x, y).within(Box(F.lit(0.0), F.lit(0.0), *(s if isinstance(s, Column) else F.lit(float(s)) for s in (width, height))))
+    rows = boxes.filter(F.col("label").isin(*labels)).select(*PAGE, "position", "label", box.x0.alias("x0"), box.y0.alias("y0"), box.x1.alias("x1"), box.y1.alias("y1"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("position")) - 1)
+
+
+def ordered_lines(lines: DataFrame, tolerance: float = 1.25) -> DataFrame:
+    """Lines with ``place`` in their block: by index, or by reading order where a block mixes ways of extraction (``method``)."""
+    block = Window.partitionBy(*PAGE, "block_no")
+    mixed = F.size(F.collect_set("method").over(block)) > 1
+    rows = lines.withColumn("_m", mixed)
+    key = [F.when(F.col("_m"), reading_row("y0", tolerance)), F.when(F.col("_m"), F.col("x0")), F.col("line_no")]
+    return rows.withColumn("place", F.row_number().over(block.orderBy(*key)) - 1).drop("_m")
+
+
+def of_kinds(blocks: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Only blocks of these kinds at the top of their page (``parent_id`` null)."""
+    return blocks.filter(F.col("parent_id").isNull() & F.col("kind").isin(*kinds))

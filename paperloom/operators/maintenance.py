@@ -59,3 +59,61 @@ def phase_times(log: DataFrame, by: str, phase: str, ts: str, order: list[str])
 def newest(rows: DataFrame, by: list[str], order: list[Column], keep: int) -> DataFrame:
     """The newest ``keep`` rows of each group."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= keep).drop("_n")
+
+
+def upload_plan(files: DataFrame, redo_all: bool = False) -> DataFrame:
+    """Files with ``encode`` and ``action`` of an incremental upload.
+
+    ``files(file_key, status, file_hash, n_chunks, cache_valid, ids_match)``. Protected: ingested files are left alone,
+    encoded ones are uploaded and the others encoded only; ``redo_all`` takes every file for both. Of the chosen files
+    those without chunks are ``empty``; those without a hash are rejected as ``no_hash``, since the ids of their chunks
+    would be those of other files; then come ``invalid_cache`` and ``mismatch``, else ``upload``. Others are ``not_chosen``.
+    """
+    status, hashed = F.coalesce("status", F.lit("")), F.coalesce("file_hash", F.lit("")) != ""
+    chosen = F.lit(redo_all) | (status == "encoded")
+    action = F.when(~chosen, "not_chosen").when(F.coalesce("n_chunks", F.lit(0)) == 0, "empty").when(~hashed, "no_hash").when(~F.coalesce("cache_valid", F.lit(False)), "invalid_cache").when(~F.coalesce("ids_match", F.lit(False)), "mismatch").otherwise("upload")
+    encode = (F.lit(redo_all) | (status != "ingested")) & (F.coalesce("n_chunks", F.lit(0)) > 0) & hashed
+    return files.withColumn("encode", encode).withColumn("action", action)
+
+
+def tracker_entries(files: DataFrame, key: Column, forced: bool = False) -> DataFrame:
+    """``key, file_key, n`` for a rebuilt tracker, the first file of each key; refused where files share keys, unless ``forced``."""
+    rows = files.groupBy(key.alias("key")).agg(F.min("file_key").alias("file_key"), F.count("*").alias("n"))
+    if not forced and not rows.filter("n > 1").isEmpty():
+        raise ValueError("several files share a key; the tracker stays as it is")
+    return rows
+
+
+def without_output(files: DataFrame, outputs: DataFrame, target: Column) -> DataFrame:
+    """Files whose output ``target`` is not among ``outputs(path)`` yet."""
+    return files.withColumn("_t", target).join(outputs.select(F.col("path").alias("_t")).distinct(), "_t", "left_anti").select(*files.columns)
+
+
+def reset_for_rerun(tracker: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """The tracker without entries of files with these extensions, so that they are processed again. Outputs stay."""
+    own = F.lower(F.regexp_extract("file_key", r"(\.[^./\\]*)$", 1))
+    return tracker.filter(~F.coalesce(own.isin(*extensions), F.lit(False)))
+
+
+def file_stats(pages: DataFrame) -> DataFrame:
+    """``doc_id, pages, ok, failed, titled, images, seconds, pages_per_second`` from ``pages(doc_id, ok, title, n_images, seconds)``."""
+    ok = F.coalesce("ok", F.lit(False))
+    rows = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count_if(F.coalesce("title", F.lit("")) != "").alias("titled"), F.coalesce(F.sum("n_images"), F.lit(0)).alias("images"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    return rows.withColumn("pages_per_second", F.when(F.col("seconds") > 0, F.col("pages") / F.col("seconds")))
+
+
+def still_offered(selected: Column | str, offered: Column | str) -> Column:
+    """A stale selection without values that are no longer offered, in its own order."""
+    selected, offered = (F.col(c) if isinstance(c, str) else c for c in (selected, offered))
+    return F.array_intersect(selected, offered)
+
+
+def page_after(rows: DataFrame, key: str, after, size: int = 512) -> DataFrame:
+    """The next ``size`` rows of a scan in order of a unique key, those after ``after`` (None: from the start)."""
+    return (rows if after is None else rows.filter(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def merged_metadata(log: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``by, name, number, text``: the numbers of a name add up, of its texts the last one counts."""
+    said = F.when(F.col("text").isNotNull(), F.struct(*order))
+    return log.groupBy(*by, "name").agg(F.sum("number").alias("number"), F.max_by("text", said).alias("text"))

@@ -115,12 +115,18 @@ def without_banned(spans: DataFrame, banned: DataFrame, tolerance: float = 5.0,
     return rest.join(other, inside, "left_anti").drop("norm_text")
 
 
-def title_of(spans: DataFrame, close: float = 0.1, least_size: float = 0.0) -> DataFrame:
-    """``doc_id, page, title``: the text in the largest font; on inner pages none if several share it, on page 0 the topmost."""
+def title_of(spans: DataFrame, close: float = 0.1, small: float = 0.0, instead: str | None = None) -> DataFrame:
+    """``doc_id, page, title``: the text in the largest font; on inner pages none if several share it, on page 0 the topmost.
+
+    Pages whose largest font is under ``small`` get ``instead``, as going on from the page before; without it, no row.
+    """
     top = F.max("size").over(Window.partitionBy("doc_id", "page"))
-    largest = spans.withColumn("top", top).filter((F.col("top") - F.col("size") < close) & (F.col("top") >= least_size))
-    best = largest.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.min_by("text", F.struct("y0", "span_no")).alias("text"))
-    return best.select("doc_id", "page", F.when((F.col("page") == 0) | (F.col("n") == 1), F.col("text")).alias("title"))
+    largest = spans.withColumn("top", top).filter(F.col("top") - F.col("size") < close)
+    if instead is None:
+        largest = largest.filter(F.col("top") >= small)
+    best = largest.groupBy("doc_id", "page").agg(F.max("top").alias("top"), F.count("*").alias("n"), F.min_by("text", F.struct("y0", "span_no")).alias("text"))
+    title = F.when((F.col("page") == 0) | (F.col("n") == 1), F.col("text"))
+    return best.select("doc_id", "page", F.when(F.col("top") < small, F.lit(instead)).otherwise(title).alias("title"))
 
 
 def main_title(titles: DataFrame, files: DataFrame, pages: int = 3) -> DataFrame:
@@ -157,3 +163,56 @@ def page_score(signals: DataFrame, weights: tuple[float, float, float, float] =
     parts = (F.col("drawings") / 200.0, F.col("images") / 5.0, 1.0 - F.col("chars") / 500.0, F.col("font_sizes") / 8.0)
     one = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * w for p, w in zip(parts, weights, strict=True)]
     return signals.withColumn("score", one[0] + one[1] + one[2] + one[3])
+
+
+#: A list item's mark, which makes a line no title; numbers of sections like 1.1 are none.
+ITEM = r"^(?:[-*•●■◆▪]|\d{1,2}[.)、])\s"
+
+
+def title_candidates(spans: DataFrame, page_width: Column | float, least: int = 2, wide: float = 0.95, long: int = 30) -> DataFrame:
+    """Spans that can be a page's title: not too short, no bare number, no page number, no list item, and not both wide
+    and long as body text is. ``text`` is trimmed and ``size`` rounded to tenths."""
+    rows = spans.withColumn("text", utrim("text")).withColumn("size", F.bround("size", 1))
+    bare = no_space("text")
+    number = F.lit(False)
+    for pattern in PAGE_NUMBERS:
+        number = number | bare.rlike(pattern)
+    width = page_width if isinstance(page_width, Column) else F.lit(float(page_width))
+    body = (width > 0) & ((F.col("x1") - F.col("x0")) / width >= wide) & (F.length("text") >= long)
+    return rows.filter((F.length("text") >= least) & ~F.col("text").rlike(r"^\p{Nd}+$") & ~number & ~F.col("text").rlike(ITEM) & ~body)
+
+
+def looks_scanned(pages: DataFrame, images: DataFrame, chars: int = 20, cover: float = 0.8) -> DataFrame:
+    """Pages ``doc_id, page, scanned``: hardly any text and an image over ``cover`` of the page's area.
+
+    ``pages(doc_id, page, text, width, height)``, ``images(doc_id, page, x0, y0, x1, y1)``.
+    """
+    largest = images.groupBy("doc_id", "page").agg(F.max(Box.of().area).alias("_a"))
+    rows = pages.join(largest, ["doc_id", "page"], "left")
+    few = F.length(utrim(F.coalesce("text", F.lit("")))) < chars
+    large = F.coalesce(F.col("_a") >= F.greatest(F.lit(1.0), F.col("width") * F.col("height")) * cover, F.lit(False))
+    return rows.select("doc_id", "page", (few & large).alias("scanned"))
+
+
+def usable_pages(spans: DataFrame, issue: Column) -> DataFrame:
+    """``doc_id, page, usable``: a page has spans with text, and its text as a whole passes the gate ``issue`` on column ``text``."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), " ")
+    rows = spans.groupBy("doc_id", "page").agg(text.alias("text"))
+    return rows.select("doc_id", "page", ((utrim("text") != "") & ~issue).alias("usable"))
+
+
+def image_decisions(images: DataFrame, page_area: Column | float, tiny: float = 5.0, small: float = 0.01, background: float = 0.9) -> DataFrame:
+    """Images with ``decision``, the first that holds: tiny, off the page, banned, small, background, repeated, kept.
+
+    ``images(doc_id, page, seq, hash, banned, x0..y1)``; the first image of a document with a hash is no repeat.
+    """
+    area = Box.of().area / (page_area if isinstance(page_area, Column) else F.lit(float(page_area)))
+    again = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("page", "seq")) > 1
+    thin = (Box.of().width <= tiny) | (Box.of().height <= tiny)
+    off = (F.col("x1") <= 0) | (F.col("y1") <= 0)
+    return images.withColumn("decision", F.when(thin, "tiny").when(off, "off_page").when(F.coalesce("banned", F.lit(False)), "banned").when(area < small, "small").when(area >= background, "background").when(again, "repeated").otherwise("kept"))
+
+
+def drawn_pages(signals: DataFrame, paths: int = 1000) -> DataFrame:
+    """Pages with more than so many drawn paths."""
+    return signals.filter(F.col("drawings") > paths)
