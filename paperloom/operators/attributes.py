@@ -120,4 +120,14 @@ def gated(cells: DataFrame, least: str = "medium", overwrite: bool = False) -> D
 
 
 def in_first_seen_order(rows: DataFrame, field: str, pos: str) -> DataFrame:
-    return rows.groupBy(field).agg(F.min(pos).alias("first_pos")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_pos")))
+    """``field, first_pos``: distinct values by where they were first seen. ``first_pos`` is the order; a sort by range
+    gives it to any number of values."""
+    return rows.groupBy(field).agg(F.min(pos).alias("first_pos")).orderBy("first_pos")
+
+
+def unmatched_attributes(table: DataFrame, wanted: list[str]) -> list[str]:
+    """The wanted names that are like no attribute of the table, in order; a question's names are few."""
+    spark = table.sparkSession
+    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(wanted)], "wanted string")
+    hit = {r.wanted for r in table.select("attr").distinct().join(F.broadcast(asked), alike(F.col("wanted"), F.col("attr"))).select("wanted").distinct().collect()}
+    return [w for w in dict.fromkeys(wanted) if w not in hit]

@@ -55,9 +55,10 @@ def diff_by_path(old: DataFrame, new: DataFrame, key: str = "file_key", stamp: s
 def diff_by_stem(old: DataFrame, new: DataFrame, written: DataFrame) -> DataFrame:
     """``stem, old_key, new_key, state`` by stem: unchanged, moved, new with or without output, disappeared.
 
-    ``written(stem)`` are stems whose output exists.
+    ``written(stem)`` are stems whose output exists. Of several files with a stem the last by key counts, on each side.
     """
-    both = old.select("stem", F.col("file_key").alias("old_key")).join(new.select("stem", F.col("file_key").alias("new_key")), "stem", "full_outer")
+    last = lambda rows, name: rows.groupBy("stem").agg(F.max("file_key").alias(name))
+    both = last(old, "old_key").join(last(new, "new_key"), "stem", "full_outer")
     both = both.join(written.select("stem", F.lit(True).alias("has")).distinct(), "stem", "left")
     state = F.when(F.col("new_key").isNull(), "disappeared").when(F.col("old_key").isNull(), F.when(F.col("has"), "new_with_output").otherwise("new_without_output")).when(F.col("old_key") == F.col("new_key"), "unchanged").otherwise("moved")
     return both.select("stem", "old_key", "new_key", state.alias("state"))

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions.geometry import Box
 from paperloom.operators import attributes as at
+from paperloom.operators import blocks as bk
 from paperloom.operators import chunking as ch
 from paperloom.operators import layout as ly
 from paperloom.operators import maintenance as mt
+from paperloom.operators import markdown as md
 from paperloom.operators import noise as nz
+from paperloom.plans import adapters as ad
+from paperloom.plans import queries as bound
 from paperloom.sources import files as src
+from paperloom.sources import sinks
 from paperloom.streaming import ingest
+from tests.conftest import SF
 
 
 def one(spark, column, **values):
@@ -151,14 +157,98 @@ def test_sidecar_defaults(spark):
     assert sorted(r.review_status for r in src.sidecars(rows).collect()) == ["ingested", "unprocessed"]
 
 
-def test_stream_ends_like_a_batch(spark, tmp_path):
+def test_stream_keeps_the_newest_row_of_a_key(spark, tmp_path):
     for k in range(3):
-        spark.createDataFrame([(k, f"t{k}"), (0, f"v{k}")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = ingest.document_stream(spark, f"{tmp_path}/in/*", "doc_id long, text string", 1)
-    query = ingest.upsert_stream(stream, lambda b: b.withColumn("n", F.length("text")), "doc_id", f"{tmp_path}/table", f"{tmp_path}/check")
+        spark.createDataFrame([(k, f"t{k}", k), (0, f"v{k}", 10 - k), (0, "old", -1), (None, "n", k)], "doc_id long, text string, at int").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = ingest.document_stream(spark, f"{tmp_path}/in/*", "doc_id long, text string, at int", 1)
+    query = ingest.upsert_stream(stream, lambda b: b.withColumn("n", F.length("text")), "doc_id", ["at"], f"{tmp_path}/table", f"{tmp_path}/check", 4)
     query.awaitTermination(120)
-    last = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "table").iterdir())[-1]
-    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/table/version={last}").collect()) == [0, 1, 2]
+    assert sorted((r.doc_id or -1, r.text) for r in ingest.current_table(spark, f"{tmp_path}/table").collect()) == [(-1, "n"), (-1, "v0"), (1, "t1"), (2, "t2")]
+    assert len({p.parent.name for p in (tmp_path / "table").glob("bucket=*/version=*")}) == len(list((tmp_path / "table").glob("bucket=*/version=*")))
+
+
+def test_bullets(spark):
+    lines = {"■ a": "a", "  - ● b": "  b", "* **• c**": "c", "- plain": "- plain", "**bold**": "**bold**", "●. d": "d", "• ": None, " - ** ": None, "": "", "   ": "   ", "\t◆◆ 、e": "\te", "- ** ● x** y": "x** y"}
+    rows = spark.createDataFrame([(k,) for k in lines], "t string")
+    assert {r.t: r.out for r in rows.select("t", md.without_bullet("t").alias("out")).collect()} == lines
+
+
+def test_deep_trees(spark):
+    rows = spark.createDataFrame([(1, str(k), str(k - 1) if k else None, "text" if k == 30 else "group", False) for k in range(31)], "doc_id int, block_id string, parent_id string, kind string, removed boolean")
+    assert {r.ancestor for r in ly.descendants(rows, ("text",)).collect()} == {str(k) for k in range(30)}
+
+
+def test_fuzzy_queries_against_brute_force(spark):
+    """What SQL cannot say: Indel ratios of near lines and running edges, and the best cut of heading heights."""
+    from itertools import combinations, groupby
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    lines = {x for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for x in r.text.split("\n") if len(x) > 12}
+    want = set()
+    for _, own in groupby(sorted(lines), lambda x: x[:12]):
+        first, *rest = own
+        want |= {(x, first, round(ratio(x, first), 6)) for x in rest}
+    found = bound.QUERIES["near_copy_indel"](spark, SF).collect()
+    assert {(r.a, r.b) for r in found} == {w[:2] for w in want}
+    assert all((r.a, r.b, r.ratio) in want for r in found if len(r.a) * len(r.b) < 10**6)
+
+    edges = [tuple(r) for r in nz.edge_blocks(ad.lines(spark, SF)).select("doc_id", "page", "edge", "text").collect()]
+    common = {(r.doc_id, r.edge): set() for r in nz.common_edges(nz.edge_blocks(ad.lines(spark, SF))).collect()}
+    for r in nz.common_edges(nz.edge_blocks(ad.lines(spark, SF))).collect():
+        common[r.doc_id, r.edge].add(r.text)
+    want = {(d, p, e) for d, p, e, t in edges if any(t == c or ratio(t, c) > 90 for c in common.get((d, e), ()))}
+    assert {tuple(r) for r in nz.ignored_edges(nz.edge_blocks(ad.lines(spark, SF))).select("doc_id", "page", "edge").collect()} == want
+
+    rows = [(1, k, h) for k, h in enumerate((30.0, 29.0, 21.5, 20.0, 12.0, 11.8, 12.1, 8.0, 7.5, 30.0))] + [(2, k, float(h)) for k, h in enumerate((5, 9, 9, 14))]
+    got = {(r.doc_id, r.pos): r.level for r in ly.heading_levels(spark.createDataFrame(rows, "doc_id int, pos int, height double")).collect()}
+    for doc in (1, 2):
+        heights = sorted((h for d, _, h in rows if d == doc), reverse=True)
+        spread = lambda own: sum((x - sum(own) / len(own)) ** 2 for x in own) if own else 1e9
+        distinct = sorted(set(heights), reverse=True)
+        k = min(4, len(distinct))
+        best = min((sum(spread([x for x in heights if a >= x > b]) for a, b in zip((1e9, *cut), (*cut, -1.0), strict=True)), cut) for cut in combinations(distinct[1:], k - 1))
+        level = lambda h, cut=best[1]: 1 + sum(h <= c for c in cut)
+        assert {p: got[doc, p] for d, p, _ in rows if d == doc} == {p: level(h) for d, p, h in rows if d == doc}
+
+
+def test_html_cells_place_spans(spark):
+    page = "<p>x</p><table><tr><th rowspan=2>a</th><th colspan='2'>b &amp; <b>c</b></th></tr><tr><td>d</td><td>e<br>f</td></tr><tr><td colspan=9>g</td></tr></table><table><tr><td>no</td></tr></table>"
+    got = [tuple(r)[1:] for r in bk.html_cells(spark.createDataFrame([(1, page), (2, "no table"), (3, None)], "table_id int, html string")).orderBy("row_id", "col_id").collect()]
+    assert got == [(0, 0, 2, 1, True, "a"), (0, 1, 1, 2, True, "b & c"), (1, 1, 1, 1, False, "d"), (1, 2, 1, 1, False, "e\nf"), (2, 0, 1, 9, False, "g")]
+
+
+def test_tables_are_swapped_in_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    sinks.swapped_in(spark.range(3), path)
+    sinks.swapped_in(spark.read.parquet(path).filter("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert sinks.ensure_table(spark.range(1).withColumn("k", F.lit("a")), f"{path}2", ["k"]) and not sinks.ensure_table(spark.range(1), f"{path}2", [])
+    sinks.save_matrix(spark.createDataFrame([(1, ["a", 'b"c']), (2, [" ", None]), (3, ["d"])], "row_no int, cells array<string>"), f"{path}3")
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "t3").glob("part-*")))
+    assert text.decode() == '\ufeffa,"b""c"\r\nd,\r\n'
+
+
+def test_typed_delimiters():
+    assert tx.delimiter_meant(r"\n\n") == "\n\n" and tx.delimiter_meant(r"a\tb\x") == "a\tb\\x" and tx.delimiter_meant("") == ""
+
+
+def test_trackers_refuse_shared_keys(spark):
+    rows = spark.createDataFrame([("a/x.md",), ("b/x.md",)], "file_key string")
+    with pytest.raises(ValueError):
+        mt.tracker_entries(rows, F.lit("x"))
+    assert mt.tracker_entries(rows, F.lit("x"), forced=True).first().file_key == "a/x.md"
+
+
+def test_names_without_a_match(spark):
+    table = spark.createDataFrame([("Unit price",), ("size",)], "attr string")
+    assert at.unmatched_attributes(table, ["price", "colour", "colour", "SIZE"]) == ["colour"]
 
 
 def test_windowed_stream(spark, tmp_path):
