@@ -88,8 +88,12 @@ class Scratch:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Hands rows to Python in batches of at most 8 MB, so that a worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Hands rows to Python in batches of at most 8 MB, so that a worker's memory does not follow the length of texts.
+
+    The settings are the session's, and they stay, since Spark reads them when a plan runs; lower ones are left as they are.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, 2001):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
@@ -101,10 +105,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Nodes of a plan that give the same rows in the same partitions whenever they run.
+PLAIN = {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "Range", "SubqueryAlias", "Union", "Generate"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` as something whose rows can be numbered more than once: itself if it is a scan, else written first.
+
+    A plan with an exchange, a join or Python in it may deal its rows out anew each time it runs; joining decisions back to
+    rows by their number would then keep the wrong ones.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for m in (re.match(r"[\s:+\-]*(\w+)", line) for line in plan.splitlines() if line.strip()) if m}
+    return df if nodes <= PLAIN else written(df, "input")
+
+
 def row_ids(df: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``df`` with ``uid``, a number of the row: ids may be null or repeat, row numbers do not.
 
-    ``df`` has to be a scan or another plan that gives the same rows in the same partitions whenever it runs.
+    Where rows are numbered more than once, ``df`` has to be ``stable``.
     """
     bounded(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("uid"), *(F.col(f"`{c}`") for c in columns))

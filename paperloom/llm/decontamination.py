@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, as_bytes, bounded, documents, fresh, plain_words, row_ids, written
+from paperloom.llm.common import Scratch, as_bytes, bounded, documents, fresh, plain_words, row_ids, stable, written
 
 #: Words of a window.
 WINDOW = 10
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     so do repeated items. Ids of documents may be null or repeat. Empty tables give no rows or no hits. Other columns are
     not read.
     """
-    spark, source = docs.sparkSession, row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
+    spark, source = docs.sparkSession, row_ids(stable(docs), [key, text]).toDF("uid", "doc_id", "text")
     id_type = docs.schema[key].dataType.simpleString()
     with Scratch(spark) as held:
         blocks = benchmark_blocks(benchmark, item_key, item_text, block_bytes, held)
@@ -237,6 +237,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, how: str = "documents"
                         yield part.set_column(place, part.schema.field(place), cut(part.column(place), hits))
 
             return docs.mapInArrow(run, docs.schema)
+        docs = stable(docs)
         source = row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
         found = hits_by_block(source, itertools.chain([first, second], blocks), window, docs.schema[key].dataType.simpleString(), held, every=False)
         uid, hit = fresh(docs, "uid"), fresh(docs, "hit")

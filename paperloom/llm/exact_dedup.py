@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ASCII_SPACE, Scratch, as_bytes, documents, fresh, row_ids, written
+from paperloom.llm.common import ASCII_SPACE, Scratch, as_bytes, documents, fresh, row_ids, stable, written
 
 #: Bytes of content that one open-addressing table may hold before its bucket is partitioned further.
 TABLE_BYTES = 96 << 20
@@ -218,6 +218,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", table
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, without the later copies of a text."""
+    docs = stable(docs)
     uid = fresh(docs, "uid")
     kept = exact_groups(docs, key, text, table_bytes).filter("kept").select(F.col("uid").alias(uid))
     return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

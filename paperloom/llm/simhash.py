@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, as_bytes, documents, fresh, row_ids, spaced_words, written
+from paperloom.llm.common import Scratch, as_bytes, documents, fresh, row_ids, spaced_words, stable, written
 from paperloom.llm.graph import star_components
 
 BITS = 64
@@ -244,6 +244,7 @@ def members(rows: DataFrame, fps: DataFrame, links: DataFrame, held: Scratch) ->
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates."""
+    docs = stable(docs)
     return kept_rows(docs, near_groups(docs, key, text, **options))
 
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, bounded, qualified, removed, row_ids, shared_dir, store, written
+from paperloom.llm.common import Scratch, bounded, qualified, removed, row_ids, shared_dir, stable, store, written
 
 #: Bytes of payload from which equal payloads are revisited.
 LEAST_BYTES = 0
@@ -90,10 +90,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Null and empty payloads are equal; a very long one is one record. A null id sorts last and is left out of the record;
     a null url is ''. Repeated rows have a record each, all but the first a revisit. Without rows there are no archives.
-    ``pages`` has to be a scan or another plan that gives the same rows in the same partitions whenever it runs.
     """
     spark = pages.sparkSession
-    rows = row_ids(pages, [key, url, html]).toDF("uid", "page_id", "url", "html")
+    rows = row_ids(stable(pages), [key, url, html]).toDF("uid", "page_id", "url", "html")
     rows = rows.select("uid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keys = rows.select("uid", "page_id", "url", F.length("payload").alias("size"), F.sha2("payload", 256).alias("digest")).filter(F.col("size") >= least_bytes)
     folder, decided = qualified(spark, path), qualified(spark, shared_dir(spark, "revisits"))

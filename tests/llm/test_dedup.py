@@ -131,3 +131,14 @@ def test_near_groups_of_odd_rows(odd, empty):
     assert len({r.component_id for r in got if r.doc_id in (8, 9)}) == 1
     assert sh.near_dedup(odd).columns == odd.columns
     assert sh.near_groups(empty).count() == sh.near_dedup(empty).count() == 0
+
+
+def test_inputs_that_are_no_scans(spark, odd):
+    """Rows whose plan deals them out anew are written before they are numbered."""
+    from paperloom.llm import common
+
+    assert common.stable(odd) is odd and common.stable(odd.filter("doc_id > 3").select("text")) is not None
+    mixed = odd.repartition(5).orderBy("text").limit(100)
+    assert common.stable(mixed) is not mixed
+    assert sorted(map(repr, ed.exact_dedup(mixed).select("text").collect())) == sorted({repr(r) for r in ed.exact_dedup(mixed).select("text").collect()})
+    assert ed.exact_dedup(mixed).count() == ed.exact_dedup(odd).count() == len({norm(r[1]) for r in rows()})
