@@ -31,7 +31,7 @@ SEGMENT_BYTES, PART_BYTES, FILES, HELD_BYTES = 256 << 10, 16 << 20, 4, 96 << 20
 #: What is taken off each count of two and more words, and the weight of a longer n-gram, whose context is known, against the shorter ones.
 DISCOUNT, WEIGHT = 0.9, 0.7
 #: Words that are more than one in so many training tokens are broadcast with their exact counts: so many at most.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
 #: Training tokens whose n-grams a task gathers before it sends them on.
 HELD_TOKENS = 1 << 20
 #: Bytes of text whose tokens are looked at together, and distinct words that a task counts before it sends them on.

@@ -99,6 +99,19 @@ def test_store_of_documents(spark):
     assert sorted(tuple(r) for r in token_store.op6_token_store(spark, SF).collect()) == want
 
 
+def test_every_stream_is_rebuilt_from_its_chunks(spark):
+    """All documents of sf0.01: the ids that the stored chunks give are those that the tokenizer gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    store = token_store.write_store(docs, shared_dir(spark, "t"), tokens.vocabulary(FILES[1]))
+    own = docs.select("doc_id", "text").collect()
+    want = {r.doc_id: s for r, s in zip(own, ids_of(FILES[1], [r.text or "" for r in own]), strict=True)}
+    at = 0
+    for r in sorted(token_store.read_documents(store).collect(), key=lambda r: r.doc_id):
+        assert r.start == at and np.array_equal(want[r.doc_id], r.ids)
+        at += len(r.ids)
+    assert at == sum(map(len, want.values()))
+
+
 def test_store_of_odd_rows(spark, odd, empty):
     store = token_store.write_store(odd, shared_dir(spark, "t"), tokens.vocabulary(FILES[1]))
     want = [(r[0], s.tolist()) for r, s in zip(rows(), ids_of(FILES[1], [r[1] or "" for r in rows()]), strict=True)]
