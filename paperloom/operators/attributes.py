@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import norm, to_number
@@ -33,10 +33,18 @@ def alike(a: Column, b: Column) -> Column:
 
 def matched_attributes(table: DataFrame, wanted: list[str]) -> DataFrame:
     """``attr`` of the table that the wanted names mean; each name takes the first that is like it, in order."""
-    spark = table.sparkSession
-    known = table.groupBy("attr").agg(F.min("pos").alias("pos")) if "pos" in table.columns else table.select("attr").distinct().withColumn("pos", F.col("attr"))
-    asked = spark.createDataFrame([(w,) for w in wanted], "wanted string")
-    return known.join(F.broadcast(asked), alike(F.col("wanted"), F.col("attr"))).groupBy("wanted").agg(F.min_by("attr", "pos").alias("attr")).select("attr").distinct()
+    return _named(_attributes(table, F.lit(False)), wanted)
+
+
+def _attributes(table: DataFrame, held: Column) -> DataFrame:
+    """``attr, pos, held``: the table's attributes in order, and whether one of their values is meant. One scan."""
+    pos = F.min("pos") if "pos" in table.columns else F.first("attr")
+    return table.groupBy("attr").agg(pos.alias("pos"), F.max(held).alias("held"))
+
+
+def _named(attributes: DataFrame, wanted: list[str]) -> DataFrame:
+    asked = attributes.select("attr", "pos", F.explode(F.array(*map(F.lit, wanted))).alias("wanted")).filter(alike(F.col("wanted"), F.col("attr")))
+    return asked.groupBy("wanted").agg(F.min_by("attr", "pos").alias("attr")).select("attr").distinct()
 
 
 def looked_up(table: DataFrame, entities: list[str], wanted: list[str], only: list[str] | None = None) -> DataFrame:
@@ -55,14 +63,13 @@ def looked_up(table: DataFrame, entities: list[str], wanted: list[str], only: li
         table = table.filter(hit)
     if not wanted:
         return table
-    names = matched_attributes(table, wanted)
-    terms = [w for w in ("".join(w.split()).lower() for w in wanted) if w]
     held = F.lit(False)
-    for w in terms:
-        held = held | F.contains(norm("value"), F.lit(w))
-    by_value = table.filter(held).select("attr").distinct()
-    any_name = names.agg(F.count("*").alias("n_names"))
-    chosen = names.unionByName(by_value.join(F.broadcast(any_name)).filter("n_names = 0").select("attr")).distinct()
+    for w in ("".join(w.split()).lower() for w in wanted):
+        held = held | F.contains(norm("value"), F.lit(w)) if w else held
+    known = _attributes(table, held)
+    names = _named(known, wanted)
+    none = names.agg((F.count("*") == 0).alias("none"))  # one row
+    chosen = names.unionByName(known.filter("held").select("attr").join(F.broadcast(none)).filter("none").select("attr"))
     return table.join(chosen, "attr", "left_semi")
 
 
@@ -95,20 +102,31 @@ def uniquely_resolved(names: DataFrame, known: DataFrame, block: int = KNOWN_BLO
     return asked.join(found, "name", "left").select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("one")), F.when((F.col("n") > 1) & (F.col("n_ends") == 1), F.col("end"))).alias("project"))
 
 
-def greedily_resolved(mentions: DataFrame, known: DataFrame) -> DataFrame:
+def greedily_resolved(mentions: DataFrame, known: DataFrame, block: int = KNOWN_BLOCK) -> DataFrame:
     """``group_id, idx, project`` for ``mentions(group_id, names)``: in order, each mention takes the first free known name
-    that it holds or that holds it; null where there is none. A known empty name matches everything."""
-    names = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "project"))), lambda x: x["project"]).alias("known"))
-    rows = mentions.join(F.broadcast(names))
+    that it holds or that holds it; null where there is none. A known empty name matches everything.
+
+    Distinct mentions meet the known names ``known(project, pos)``, which are broadcast in blocks of about ``block``; what
+    matches a mention is its list of candidates, and a fold over a group's mentions takes the first free one of each.
+    """
+    every = mentions.select("group_id", F.posexplode("names").alias("idx", "name"))
+    asked = every.select("name").distinct().withColumn("m", norm("name")).filter("m <> ''")
+    matches, blocks = None, -(-known.count() // block) or 1
+    for k in range(blocks):
+        own = F.broadcast(known.filter(F.pmod(F.xxhash64("project"), F.lit(blocks)) == k).select("project", "pos"))
+        part = asked.join(own, F.contains(norm("project"), F.col("m")) | F.contains(F.col("m"), norm("project"))).select("name", "pos", "project")
+        matches = part if matches is None else matches.unionByName(part)
+    lists = matches.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "project"))), lambda x: x["project"]).alias("found"))
+    rows = every.join(lists, "name", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("found", F.array().cast("array<string>")).alias("found"))))
     start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, mention: Column) -> Column:
-        m = norm(mention)
-        free = F.filter(F.col("known"), lambda p: (m != "") & (F.contains(norm(p), m) | F.contains(m, norm(p))) & ~F.array_contains(state["taken"], p))
-        hit = F.get(free, F.lit(0))
+        hit = F.get(F.filter(mention["found"], lambda p: ~F.array_contains(state["taken"], p)), F.lit(0))
         return F.struct(F.when(hit.isNull(), state["taken"]).otherwise(F.concat(state["taken"], F.array(hit))).alias("taken"), F.concat(state["out"], F.array(hit)).alias("out"))
 
-    return rows.select("group_id", F.posexplode(F.aggregate("names", start, step)["out"]).alias("idx", "project"))
+    folded = rows.groupBy("group_id").agg(F.aggregate(ordered, start, step)["out"].alias("out"))
+    return folded.select("group_id", F.posexplode("out").alias("idx", "project"))
 
 
 def gated(cells: DataFrame, least: str = "medium", overwrite: bool = False) -> DataFrame:
