@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import col
-from paperloom.operators.layout import PAGE
+from paperloom.operators.layout import PAGE, descendants
 
 #: Leaders, empty and unclosed LaTeX commands in table cells, in the order in which they are cleaned.
 CELL_RULES = [
@@ -225,3 +225,22 @@ def block_html(kind: Column | str = "kind", text: Column | str = "text", level:
     out = F.when(kind == "heading", F.concat(F.lit("<h"), n, F.lit(">"), body, F.lit("</h"), n, F.lit(">"))).when(kind == "list", item).when(kind == "code", F.concat(F.lit("<pre>"), body, F.lit("</pre>")))
     out = out.when(kind == "caption", wrapped("figcaption")).when(kind == "footnote", wrapped("small")).when(kind == "image", image).when(kind == "equation", F.concat(F.lit('<p><math display="block">'), body, F.lit("</math></p>"))).when(kind == "break", F.lit("<hr>"))
     return F.when(F.coalesce(ignored, F.lit(False)), "").otherwise(out.otherwise(wrapped("p", attr)))
+
+
+def merged_places(cells: DataFrame) -> DataFrame:
+    """``table_id, row_id, col_id, owner_row, owner_col``: the places that each cell with spans covers, its own included."""
+    spans = cells.filter((F.col("rowspan") > 1) | (F.col("colspan") > 1)).select("table_id", F.col("row_id").alias("owner_row"), F.col("col_id").alias("owner_col"), "rowspan", "colspan")
+    rows = spans.withColumn("row_id", F.explode(F.sequence(F.col("owner_row"), F.col("owner_row") + F.col("rowspan") - 1)))
+    return rows.withColumn("col_id", F.explode(F.sequence(F.col("owner_col"), F.col("owner_col") + F.col("colspan") - 1))).select("table_id", "row_id", "col_id", "owner_row", "owner_col")
+
+
+def embedded_images(tree: DataFrame, images: DataFrame) -> DataFrame:
+    """``doc_id, block_id, images``: a map from block to image for each block and all that is below it.
+
+    ``tree`` as in ``descendants``, ``images(doc_id, block_id, image)``. A block's own image counts too.
+    """
+    below = descendants(tree, ("image", "figure")).select("doc_id", F.col("ancestor").alias("holder"), "block_id")
+    own = tree.filter("NOT removed").filter(F.col("kind").isin("image", "figure")).select("doc_id", F.col("block_id").alias("holder"), "block_id")
+    held = below.unionByName(own).join(images, ["doc_id", "block_id"])
+    entries = F.array_sort(F.collect_set(F.struct(F.col("block_id").alias("key"), F.col("image").alias("value"))))
+    return held.groupBy("doc_id", F.col("holder").alias("block_id")).agg(F.map_from_entries(entries).alias("images"))

@@ -222,6 +222,22 @@ def table_cells_back(s, d):
     return bk.html_cells(bk.html_tables(_cells(s, d).withColumn("is_header", F.lit(False))))
 
 
+@query("table_merged_places", f"WITH {_CELLS} SELECT table_id, row_id, unnest([0, 1]) AS col_id, row_id AS owner_row, 0 AS owner_col FROM cl WHERE col_id = 0")
+def table_merged_places(s, d):
+    return bk.merged_places(_cells(s, d))
+
+
+@query("images_embedded", f"WITH {ad.LINES}, im AS (SELECT doc_id, page, string_agg('l' || line_no || '=' || length(text), ',' ORDER BY 'l' || line_no) AS images FROM lines WHERE line_no % 3 = 0 GROUP BY 1, 2) SELECT doc_id, 'p' || page AS block_id, images FROM im UNION ALL SELECT doc_id, 'l' || line_no, 'l' || line_no || '=' || length(text) FROM lines WHERE line_no % 3 = 0")
+def images_embedded(s, d):
+    lines = ad.lines(s, d)
+    own, page, image = F.concat(F.lit("l"), "line_no"), F.concat(F.lit("p"), "page"), F.col("line_no") % 3 == 0
+    tree = lines.select("doc_id", own.alias("block_id"), page.alias("parent_id"), F.when(image, "image").otherwise("text").alias("kind"), F.lit(False).alias("removed"))
+    tops = lines.select("doc_id", page.alias("block_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("page").alias("kind"), F.lit(False).alias("removed")).distinct()
+    images = lines.filter(image).select("doc_id", own.alias("block_id"), F.length("text").cast("string").alias("image"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("images")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return bk.embedded_images(tree.unionByName(tops), images).select("doc_id", "block_id", shown.alias("images"))
+
+
 @query("block_html", f"WITH {ad.LINES}, e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM lines) SELECT doc_id, line_no, CASE WHEN line_no % 11 = 10 THEN '' ELSE CASE line_no % 6 WHEN 0 THEN '<h' || (1 + line_no % 5) || '>' || t || '</h' || (1 + line_no % 5) || '>' WHEN 1 THEN repeat('<ul>', 1 + line_no % 5) || '<li>' || t || '</li>' || repeat('</ul>', 1 + line_no % 5) WHEN 2 THEN '<pre>' || t || '</pre>' WHEN 3 THEN '<p role=\"img\"><img alt=\"' || replace(t, chr(34), '&quot;') || '\"></p>' ELSE '<p' || CASE WHEN line_no % 2 = 0 THEN ' class=''has-continuation''' ELSE '' END || '>' || t || '</p>' END END AS html FROM e")
 def block_html(s, d):
     n = F.col("line_no")

@@ -9,10 +9,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException, PySparkRuntimeError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import file_name, stem_of
+from paperloom.operators.blocks import placed_cells
 
 #: Fixed value: the encodings that are tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5")
@@ -102,10 +104,15 @@ def page_numbers(text: Column | str) -> Column:
 
 
 def reader_of(path: Column | str, head: Column) -> Column:
-    """Which reader a file needs: by its first bytes, else by its extension, else pdf."""
+    """Which reader a file needs: by its first bytes, else by its extension, else pdf. Office files and books are all zip
+    archives, so their extension tells them apart; one of the old binary format goes to the reader of its kind."""
     hexed = F.hex(F.substring(head, 1, 4))
+    start = F.lower(F.ltrim(F.decode(F.regexp_replace(F.decode(F.substring(head, 1, 256), "ISO-8859-1"), "^\u00ef\u00bb\u00bf", "").cast("binary"), "UTF-8"), F.lit(" \t\r\n")))
     ext = F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
-    by_magic = F.when(hexed.startswith("25504446"), "pdf").when(hexed.startswith("89504E47") | hexed.startswith("FFD8FF") | hexed.startswith("47494638"), "image")
+    zipped = F.when(ext.isin("docx", "xlsx", "pptx", "epub"), ext)
+    old = F.when(ext.isin("doc", "xls", "ppt"), F.concat(ext, F.lit("x")))
+    by_magic = F.when(hexed.startswith("25504446"), "pdf").when(hexed.startswith("89504E47") | hexed.startswith("FFD8FF") | hexed.startswith("47494638"), "image").when(hexed == "504B0304", zipped).when(hexed == "D0CF11E0", old)
+    by_magic = F.coalesce(by_magic, F.when(start.startswith("<!doctype html") | start.startswith("<html"), "html"))
     by_ext = F.when(ext.isin("png", "jpg", "jpeg", "gif", "tif", "tiff", "bmp", "webp"), "image").when(ext.isin("docx", "xlsx", "pptx", "epub"), ext).when(ext.isin("html", "htm"), "html")
     return F.coalesce(by_magic, by_ext, F.lit("pdf"))
 
@@ -125,19 +132,64 @@ def html_links(c: Column | str) -> Column:
     return F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']*)[\"']"), F.lit(1))
 
 
+def _pipe_table(match: re.Match) -> str:
+    """An HTML table as a Markdown table: a cell's text at its first place, blanks where it spans, a rule under row one."""
+    cells = placed_cells(match[0])
+    if not cells:
+        return ""
+    height, width = max(r + d for r, _, d, *_ in cells), max(c + a for _, c, _, a, *_ in cells)
+    grid = [[""] * width for _ in range(height)]
+    for r, c, *_, text in cells:
+        grid[r][c] = " ".join(text.split()).replace("|", "\\|")
+    rows = ["| " + " | ".join(row) + " |" for row in grid]
+    return "\n\n" + "\n".join([rows[0], "|" + " --- |" * width, *rows[1:]]) + "\n\n"
+
+
+#: Tags and what stands for them in Markdown, in the order in which they are rewritten.
+MARKDOWN_RULES = [
+    (r"(?is)<(script|style)\b.*?</\1\s*>", ""),
+    (r"(?is)<table\b.*?</table\s*>", _pipe_table),
+    (r"(?is)<math\b[^>]*display=[\"']block[\"'][^>]*>(.*?)</math\s*>", lambda m: "\n\n\0\0" + m[1].strip() + "\0\0\n\n"),
+    (r"(?is)<math\b[^>]*>(.*?)</math\s*>", lambda m: "\0" + m[1].strip() + "\0"),
+    (r"(?is)<h([1-6])[^>]*>(.*?)</h\1\s*>", lambda m: "\n\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n\n"),
+    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", r"**\1**"),
+    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", r"*\1*"),
+    (r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>", r"[\2](\1)"),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
+    (r"(?is)<div\b[^>]*\bclass=[\"']page[\"'][^>]*\bdata-page-id=[\"'](\d+)[\"'][^>]*>", lambda m: "\n\n{" + m[1] + "}" + "-" * 48 + "\n\n"),
+    (r"(?i)</(?:p|div|ul|ol|tr|nav|footer)\s*>", "\n\n"),
+    (r"(?s)<[^>]*>", ""),
+]
+
+
+def markdown_of(page: str) -> str:
+    """One page as Markdown. Dollar signs of the text are escaped, those around formulas are not."""
+    page = page.replace("\0", "").replace("$", "\\$")
+    for pattern, to in MARKDOWN_RULES:
+        page = re.sub(pattern, to, page)
+    formulas = re.compile("(\0\0?)(.*?)\\1", re.S)
+    page = formulas.sub(lambda m: "$" * len(m[1]) + m[2].replace("\\$", "$") + "$" * len(m[1]), page)
+    return re.sub(r"\n{3,}", "\n\n", html.unescape(page)).strip()
+
+
 def html_markdown(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, markdown``: pages as Markdown with headings, emphasis, list items and links, by a small rewriting of tags."""
-    rules = [(r"(?is)<(script|style)\b.*?</\1\s*>", ""), (r"(?is)<h([1-6])[^>]*>(.*?)</h\1\s*>", lambda m: "\n\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n\n"), (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", r"**\1**"), (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", r"*\1*"), (r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>", r"[\2](\1)"), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|ul|ol|tr|nav|footer)\s*>", "\n\n"), (r"(?s)<[^>]*>", "")]
+    """``key, markdown``: pages as Markdown with headings, emphasis, list items, links, tables, formulas, rules and page
+    markers, by a rewriting of tags in Arrow batches."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(re.compile(p), r) for p, r in rules]
         for part in parts:
-            out = []
-            for page in part.column(1).to_pylist():
-                page = page or ""
-                for pattern, repl in compiled:
-                    page = pattern.sub(repl, page)
-                out.append(re.sub(r"\n{3,}", "\n\n", html.unescape(page)).strip())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=[key, "markdown"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([markdown_of(page or "") for page in part.column(1).to_pylist()], pa.string())], names=[key, "markdown"])
 
     return pages.select(key, text).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, markdown string")
+
+
+def loaded_or_last(load, last: DataFrame | None) -> tuple[DataFrame | None, str | None]:
+    """What ``load`` returns, or the last good table and the error where it fails; an empty table is no failure."""
+    try:
+        rows = load()
+        rows.isEmpty()
+    except (AnalysisException, PySparkRuntimeError, OSError) as error:
+        return last, str(error)
+    return rows, None

@@ -257,3 +257,32 @@ def test_windowed_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+@pytest.mark.parametrize(("page", "markdown"), [
+    ("<h2> A </h2><p>x <b>y</b> <i>z</i></p><ul><li>1</li><li>2</li></ul>", "## A\n\nx **y** *z*\n\n- 1\n- 2"),
+    ("costs $5 &amp; <math>a$b</math> or <math display='block'>c^2</math>", "costs \\$5 & $a$b$ or \n\n$$c^2$$"),
+    ("<table><tr><th colspan=2>a|b</th></tr><tr><td>c</td><td>d</td></tr></table>after", "| a\\|b |  |\n| --- | --- |\n| c | d |\n\nafter"),
+    ("<div class='page' data-page-id='3'><p>p</p></div><a href='u'>l</a><hr>", "{3}" + "-" * 48 + "\n\np\n\n[l](u)\n\n---"),
+    ("<script>x</script>&lt;kept&gt;", "<kept>"), ("", ""),
+])
+def test_html_markdown(page, markdown):
+    assert src.markdown_of(page) == markdown
+
+
+def test_every_page_becomes_markdown(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.markdown for r in bound.QUERIES["html_markdown"](spark, SF).collect()}
+    assert got == {r.page_id: src.markdown_of(r.html or "") for r in pages.collect()}
+
+
+def test_readers_by_content(spark):
+    rows = [("a.docx", b"PK\x03\x04", "docx"), ("a.bin", b"PK\x03\x04", "pdf"), ("a.ppt", b"\xd0\xcf\x11\xe0", "pptx"), ("a", b" \n<!DOCTYPE HTML>", "html"), ("a.pdf", b"\xef\xbb\xbf<html lang=x>", "html"), ("a.png", b"%PDF-1", "pdf"), ("a.epub", b"", "epub")]
+    table = spark.createDataFrame(rows, "path string, head binary, want string")
+    assert [r.path for r in table.filter(src.reader_of("path", F.col("head")) != F.col("want")).collect()] == []
+
+
+def test_last_good_table(spark):
+    last = spark.range(2)
+    assert src.loaded_or_last(lambda: spark.read.parquet("/tmp/there/is/no/such/folder"), last)[0] is last
+    assert src.loaded_or_last(lambda: spark.range(0), last)[0].count() == 0
