@@ -36,6 +36,8 @@ FREQUENT = 1 << 20
 HELD_TOKENS = 1 << 20
 #: Bytes of text whose tokens are looked at together, and distinct words that a task counts before it sends them on.
 TEXT_BYTES, HELD_WORDS = 4 << 20, 150_000
+#: N-grams looked up together.
+PROBED = 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,16 +75,15 @@ class TokenTable:
     """The tokens of some texts as numbers, and the hash of each distinct one."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        numbers: dict[bytes, int] = {}
-        at, sizes = [], []
+        words, ends = [], []
         for text in texts:
-            words = spaced_words(text)
+            words += spaced_words(text)
             words.append(END)
-            at += [numbers.setdefault(w, len(numbers)) for w in words]
-            sizes.append(len(words))
-        self.words = list(numbers)
-        self.numbers = np.array(at, np.int64)
-        self.sizes = np.array(sizes, np.int64)
+            ends.append(len(words))
+        told = pa.array(words, pa.binary()).dictionary_encode()
+        self.words = told.dictionary.to_pylist()
+        self.numbers = told.indices.to_numpy().astype(np.int64)
+        self.sizes = np.diff(ends, prepend=0).astype(np.int64)
         self.hashes = np.fromiter((word_hash(w) for w in self.words), np.uint64, len(self.words))
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
 
@@ -123,18 +124,18 @@ def positions(rests: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator
     a = mixed(rests ^ np.uint64(level * int(GOLDEN) & (1 << 64) - 1))
     b = mixed(a) | np.uint64(1)
     for k in range(PROBES):
-        yield (a + np.uint64(k) * b) % bits
+        yield (a + np.uint64(k) * b >> np.uint64(32)) * bits >> np.uint64(32)
 
 
 def filled(rests: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
     """Bits and bytes of a segment that holds these n-grams: an entry for every level up to an n-gram's own."""
     levels = level_of(counts)
     bits = max(64, int(levels.sum()) * ENTRY_BITS)
-    segment = np.zeros(-(-bits // 8), np.uint8)
+    segment = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for p in positions(rests[levels >= level], level, np.uint64(bits)):
-            np.bitwise_or.at(segment, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7))).astype(np.uint8))
-    return bits, segment
+            segment[p.astype(np.int64)] = True
+    return bits, np.packbits(segment, bitorder="little")
 
 
 class Part:
@@ -153,13 +154,18 @@ class Part:
             at += len(own)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each n-gram; looked up some at a time, which stay in the processor's cache."""
+        return np.concatenate([self.levels_of(keys[k : k + PROBED]) for k in range(0, len(keys), PROBED)] or [np.zeros(0, np.int64)])
+
+    def levels_of(self, keys: np.ndarray) -> np.ndarray:
         segment, rests = (keys >> np.uint64(32)).astype(np.int64) - self.first, keys & np.uint64(0xFFFFFFFF)
         out, at = np.zeros(len(keys), np.int64), np.flatnonzero(self.base[segment] >= 0)
         for level in range(1, LEVELS + 1):
-            base, there = self.base[segment[at]], np.ones(len(at), bool)
+            base, there = self.base[segment[at]], None
             for p in positions(rests[at], level, self.bits[segment[at]]):
-                there &= self.flat[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
-            at = at[there]
+                found = self.flat[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)
+                there = found if there is None else there & found
+            at = at[there & 1 > 0]
             if not len(at):
                 break
             out[at] = level
