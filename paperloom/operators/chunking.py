@@ -35,10 +35,9 @@ def with_heading_path(lines: DataFrame, by: list[str], order: list[str]) -> Data
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.length(F.regexp_extract("text", HEADING, 1))
     rows = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", F.when(level > 0, utrim(F.regexp_extract("text", HEADING, 2)))).withColumn("at", F.row_number().over(w))
-    for n in LEVELS:
-        last = F.max(F.when(F.col("level") == n, F.struct("at", "title"))).over(so_far)
-        cut = F.max(F.when(F.col("level") < n, F.col("at"))).over(so_far)
-        rows = rows.withColumn(f"_l{n}", last).withColumn(f"_c{n}", cut)
+    last = [F.max(F.when(F.col("level") == n, F.struct("at", "title"))).over(so_far).alias(f"_l{n}") for n in LEVELS]
+    cut = [F.max(F.when(F.col("level") < n, F.col("at"))).over(so_far).alias(f"_c{n}") for n in LEVELS]
+    rows = rows.select("*", *last, *cut)  # one window operator for all levels
     for n in LEVELS:
         rows = rows.withColumn(f"h{n}", F.when(F.col(f"_l{n}.at") > F.coalesce(F.col(f"_c{n}"), F.lit(-1)), F.col(f"_l{n}.title")))
     return rows.drop("at", *(f"_{k}{n}" for n in LEVELS for k in "lc"))
