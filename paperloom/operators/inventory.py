@@ -40,9 +40,23 @@ def zero_filled(rows: DataFrame, field: str, domain: DataFrame) -> DataFrame:
     return F.broadcast(domain).join(value_counts(rows, field), "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def collisions(rows: DataFrame, key: Column, item: str) -> DataFrame:
-    """Keys that several items share: ``key, n, items`` with the items in order."""
-    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(item)), "|").alias("items")).filter("n > 1")
+def in_parts(rows: DataFrame, key: Column, item: Column, facts: list[Column], size: int) -> DataFrame:
+    """``rows`` with ``key``, the group's ``facts`` and a ``part``: groups of any size in parts of about ``size`` members.
+
+    A member's part follows from a hash of it, so no task orders or numbers a whole group; facts are partial sums, and the
+    join of members to them splits a hot group. A null key is a group of its own.
+    """
+    keyed = rows.withColumn("key", key)
+    own = keyed.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("n"), *facts)
+    both = keyed.join(own, F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
+    digest = F.conv(F.substring(F.md5(item.cast("string")), 1, 8), 16, 10).cast("long")
+    return both.withColumn("part", F.pmod(digest, F.ceil(F.col("n") / size)).cast("int"))
+
+
+def collisions(rows: DataFrame, key: Column, item: str, size: int = 1000) -> DataFrame:
+    """Keys that several items share: ``key, n, part, items`` with the items of a part in order."""
+    shared = in_parts(rows, key, F.col(item), [], size).filter("n > 1")
+    return shared.groupBy("key", "n", "part").agg(F.array_join(F.sort_array(F.collect_list(item)), "|").alias("items"))
 
 
 def diff_by_path(old: DataFrame, new: DataFrame, key: str = "file_key", stamp: str = "mtime") -> DataFrame:
@@ -110,9 +124,10 @@ def transitions(rows: DataFrame, old: str, new: str) -> DataFrame:
     return rows.groupBy(F.col(old).alias("old_value"), F.col(new).alias("new_value")).agg(F.count("*").alias("n"))
 
 
-def ids_by_file(rows: DataFrame, file: str, item: str, source: str, order: str) -> DataFrame:
-    """Per file its items in order and the source of the first."""
-    return rows.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col(item))), ",").alias("items"), F.min_by(source, order).alias("source"))
+def ids_by_file(rows: DataFrame, file: str, item: str, source: str, order: str, size: int = 1000) -> DataFrame:
+    """``file, n, part, items, source``: a file's items in parts, each in order, and the source of the file's first."""
+    parts = in_parts(rows, F.col(file), F.col(item), [F.min_by(source, order).alias("first_source")], size)
+    return parts.groupBy(F.col("key").alias("file"), "n", "part", F.col("first_source").alias("source")).agg(F.array_join(F.sort_array(F.collect_list(F.col(item))), ",").alias("items"))
 
 
 def folders(files: DataFrame) -> DataFrame:

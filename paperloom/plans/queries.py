@@ -85,9 +85,12 @@ def inv_processed(s, d):
     return inv.processed(ad.new_files(s, d), ad.files(s, d).filter("doc_id % 4 = 0"))
 
 
-@query("inv_collisions", f"WITH {ad.FILES} SELECT file_hash AS key, count(*) AS n, string_agg(file_key, '|' ORDER BY file_key) AS items FROM files GROUP BY 1 HAVING count(*) > 1")
+_PART = "(('0x' || substr(md5({}::VARCHAR), 1, 8))::BIGINT % ceil(n / 40)::BIGINT)::INT"
+
+
+@query("inv_collisions", f"WITH {ad.FILES}, p AS (SELECT *, count(*) OVER (PARTITION BY file_hash) AS n FROM files) SELECT file_hash AS key, n, {_PART.format('file_key')} AS part, string_agg(file_key, '|' ORDER BY file_key) AS items FROM p WHERE n > 1 GROUP BY 1, 2, 3")
 def inv_collisions(s, d):
-    return inv.collisions(ad.files(s, d), F.col("file_hash"), "file_key")
+    return inv.collisions(ad.files(s, d), F.col("file_hash"), "file_key", 40)
 
 
 @query("inv_tail_or_stem_match", f"WITH {ad.SNAPSHOTS}, t AS (SELECT source || '/' || stem || '.md' AS tail, max(file_key) AS by_tail FROM new_files GROUP BY 1), st AS (SELECT stem, count(*) AS n, min(file_key) AS by_stem FROM new_files GROUP BY 1) SELECT file_key, coalesce(by_tail, CASE WHEN n = 1 THEN by_stem END) AS new_key, CASE WHEN by_tail IS NOT NULL THEN 'tail' WHEN n = 1 THEN 'stem' WHEN n > 1 THEN 'ambiguous' ELSE 'orphan' END AS how FROM old_files o LEFT JOIN t ON t.tail = o.source || '/' || o.stem || '.md' LEFT JOIN st ON st.stem = o.stem")
@@ -101,10 +104,10 @@ def inv_transitions(s, d):
     return inv.transitions(both, "status", "lang")
 
 
-@query("inv_ids_by_file", f"WITH {ad.FILES} SELECT lang || '/' || source AS file, count(*) AS n, string_agg(lpad(doc_id::VARCHAR, 9, '0'), ',' ORDER BY doc_id) AS items, arg_min(file_hash, doc_id) AS source FROM files GROUP BY 1")
+@query("inv_ids_by_file", f"WITH {ad.FILES}, p AS (SELECT lang || '/' || source AS file, lpad(doc_id::VARCHAR, 9, '0') AS item, count(*) OVER w AS n, first_value(file_hash) OVER (w ORDER BY doc_id) AS source FROM files WINDOW w AS (PARTITION BY lang || '/' || source)) SELECT file, n, {_PART.format('item')} AS part, source, string_agg(item, ',' ORDER BY item) AS items FROM p GROUP BY 1, 2, 3, 4")
 def inv_ids_by_file(s, d):
     rows = ad.files(s, d).select(F.concat("lang", F.lit("/"), "source").alias("file"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("item"), "file_hash", "doc_id")
-    return inv.ids_by_file(rows, "file", "item", "file_hash", "doc_id")
+    return inv.ids_by_file(rows, "file", "item", "file_hash", "doc_id", 40)
 
 
 @query("inv_folders", f"WITH {ad.FILES} SELECT DISTINCT lang AS folder, 1 AS depth FROM files UNION SELECT DISTINCT lang || '/' || source, 2 FROM files")
@@ -594,9 +597,9 @@ def hits_by_page(s, d):
     return rt.by_page(ad.hits(s, d))
 
 
-@query("context_grouped", f"WITH {ad.HITS} SELECT entity, min(pos) AS first_pos, count(*) AS n_hits, string_agg('[' || pos || '] ' || text, chr(10) ORDER BY pos) AS context FROM hits GROUP BY 1")
+@query("context_grouped", f"WITH {ad.HITS}, p AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n, min(pos) OVER (PARTITION BY entity) AS first_pos FROM hits) SELECT entity, first_pos, n AS n_hits, {_PART.format('pos')} AS part, string_agg('[' || pos || '] ' || text, chr(10) ORDER BY pos) AS context FROM p GROUP BY 1, 2, 3, 4")
 def context_grouped(s, d):
-    return rt.context_by_entity(ad.hits(s, d))
+    return rt.context_by_entity(ad.hits(s, d), 40)
 
 
 # --- attributes
