@@ -26,6 +26,19 @@ def parsed_long(rows: DataFrame) -> DataFrame:
     return rows.filter(~blank).withColumn("rejected", lacks).withColumn("number", to_number("value"))
 
 
+def loaded(rows: DataFrame, key: str = "project") -> DataFrame:
+    """``project, attr, value, number, rejected`` of an attribute table in either form, which its header tells.
+
+    With columns project, attr and value it is long, and rows without project or attribute are marked as rejected; else
+    every column but ``key`` is an attribute. White space around header names does not count.
+    """
+    rows = rows.toDF(*(c.strip() for c in rows.columns))
+    if {"project", "attr", "value"} <= set(rows.columns):
+        return parsed_long(rows).select("project", "attr", "value", "number", "rejected")
+    lacks = F.trim(F.coalesce("project", F.lit(""))) == ""
+    return melted(rows, key, [c for c in rows.columns if c != key]).withColumn("rejected", lacks)
+
+
 def alike(a: Column, b: Column) -> Column:
     """One name holds the other, white space and case aside."""
     return (norm(a) != "") & (F.contains(norm(b), norm(a)) | F.contains(norm(a), norm(b)))

@@ -171,6 +171,11 @@ def used_elsewhere(refs: DataFrame) -> DataFrame:
     return refs.withColumn("_a", F.min("page").over(w)).withColumn("_b", F.max("page").over(w)).filter("_a <> _b").drop("_a", "_b")
 
 
-def shard(files: DataFrame, part: int, parts: int, key: str = "file_key") -> DataFrame:
-    """The ``part``-th of ``parts`` portions of the files. A hash deals them, so no order over all files is needed."""
-    return files.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+def shard(files: DataFrame, part: int, parts: int, key: str = "file_key", most: int | None = None) -> DataFrame:
+    """The ``part``-th of ``parts`` portions of the files, of these the first ``most`` by key where a limit is asked for.
+
+    A hash deals them, so no order over all files is needed; a portion's limit keeps so many rows a task.
+    """
+    digest = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long")
+    own = files.filter(F.pmod(digest, F.lit(parts)) == part)
+    return own if most is None else own.orderBy(key).limit(most)

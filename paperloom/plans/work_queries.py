@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.operators import attributes as at
 from paperloom.operators import blocks as bk
+from paperloom.operators import inventory as inv
 from paperloom.operators import layout as ly
 from paperloom.operators import maintenance as mt
 from paperloom.operators import noise as nz
@@ -78,6 +80,27 @@ def metadata_merged(s, d):
     return mt.merged_metadata(log, ["user_id"], ["event_id"])
 
 
+@query("inv_shard", f"WITH {ad.FILES} SELECT file_key FROM files WHERE ('0x' || substr(md5(file_key), 1, 8))::BIGINT % 3 = 1")
+def inv_shard(s, d):
+    return inv.shard(ad.files(s, d), 1, 3).select("file_key")
+
+
+@query("inv_shard_first", f"WITH {ad.FILES} SELECT file_key FROM files WHERE ('0x' || substr(md5(file_key), 1, 8))::BIGINT % 3 = 2 ORDER BY file_key LIMIT 10")
+def inv_shard_first(s, d):
+    return inv.shard(ad.files(s, d), 2, 3, most=10).select("file_key")
+
+
+@query("attrs_loaded_wide", f"WITH {ad.ATTRIBUTES} SELECT project, attr, value, number, false AS rejected FROM attrs")
+def attrs_loaded_wide(s, d):
+    return at.loaded(ad.attributes(s, d).withColumnRenamed("brand", " brand ").withColumnRenamed("project", "project "))
+
+
+@query("attrs_loaded_long", f"WITH {ad.ATTRIBUTES}, l AS (SELECT CASE WHEN hash % 5 = 0 THEN ' ' ELSE project END AS project, attr, value, number FROM (SELECT *, length(value) AS hash FROM attrs)) SELECT project, attr, value, number, project = ' ' AS rejected FROM l")
+def attrs_loaded_long(s, d):
+    rows = at.melted(ad.attributes(s, d), "project", ad.FIELDS)
+    return at.loaded(rows.select(F.when(F.length("value") % 5 == 0, " ").otherwise(F.col("project")).alias("project"), "attr", "value"))
+
+
 # --- titles and pages
 
 
