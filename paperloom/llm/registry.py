@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, exact_dedup, language, licenses, lm, packing, sharding, simhash, token_store, warc
+from paperloom.llm import decontamination, exact_dedup, hard_negatives, language, licenses, lm, packing, sharding, simhash, token_store, warc
 
 import corpus_pipeline
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_licenses": licenses.op9_licenses,
         "op10_lm_scoring": lm.op10_lm_scoring,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
