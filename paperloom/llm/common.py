@@ -66,10 +66,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.tables = spark, []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """As ``written``, for this operator's own use."""
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """As ``written``, for this operator's own use; ``options`` are the writer's."""
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((path, out))
         return out

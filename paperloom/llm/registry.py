@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, decontamination, exact_dedup, hard_negatives, language, licenses, lm, packing, sharding, simhash, token_store, warc
+from paperloom.llm import alignment, bpe, decontamination, exact_dedup, hard_negatives, language, licenses, lm, packing, sharding, simhash, token_store, warc
 
 import corpus_pipeline
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": licenses.op9_licenses,
         "op10_lm_scoring": lm.op10_lm_scoring,
         "op11_bpe": bpe.op11_bpe,
+        "op12_alignment": alignment.op12_alignment,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
