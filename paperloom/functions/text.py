@@ -133,14 +133,21 @@ def one_space(c: Column | str) -> Column:
     return F.translate(col(c), SPACES, " " * len(SPACES))
 
 
+#: An image reference ends its line, and its path may hold parentheses; what stands alone goes with its line.
+IMAGE_REF = r"!\[[^\]\n]*\]\((.+)\)[ \t]*$"
+IMAGE_LINE = r"^[ \t]*!\[[^\]\n]*\]\(.+\)[ \t]*\n?"
+#: Only a line feed ends a line.
+LINES = "(?md)"
+
+
 def strip_image_refs(c: Column | str) -> Column:
     """Markdown without image references, those on lines of their own with the line."""
-    text = F.regexp_replace(col(c), r"(?m)^[ \t]*!\[[^\]]*\]\([^)]*\)[ \t]*\n?", "")
-    return squeeze_blank_lines(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", ""))
+    return squeeze_blank_lines(F.regexp_replace(F.regexp_replace(col(c), LINES + IMAGE_LINE, ""), LINES + IMAGE_REF, ""))
 
 
 def image_paths(c: Column | str) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(r"!\[([^\]]*)\]\(([^)\n]+)\)"), F.lit(2))
+    """The paths of image references; a reference goes to the last closing parenthesis of its line."""
+    return F.regexp_extract_all(col(c), F.lit(LINES + IMAGE_REF), F.lit(1))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -172,16 +179,27 @@ def clean_title(c: Column | str, most: int = 20) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
 
 
+#: White space in the Unicode sense, as the inside of a character class.
+WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def quality_issue(c: Column | str) -> Column:
-    """True where extracted text looks broken: mostly spaces, mostly line breaks, too few letters and digits, or many
-    replacement characters."""
+    """True where extracted text looks broken: no text, mostly runs of white space, mostly runs of line breaks, too few
+    letters and digits beside blanks and line breaks, or many replacement characters.
+
+    A run counts once, however long: it is held against the runs and the other characters together.
+    """
     text = F.coalesce(col(c), F.lit(""))
     n = F.length(text)
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    spaces, breaks, alnum = n - left(r"[ \t]+"), n - left(r"\n+"), n - left(r"[\p{L}\p{N}]")
+    runs = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    share = lambda part, whole: F.when(whole > 0, part / whole)
+    spaces, breaks = runs(f"[{WHITE}]+"), runs(r"\n+")
+    dense = left(r"[ \n]")
+    alnum = F.coalesce(share(n - left(r"[\p{L}\p{N}]"), dense), F.lit(1.0))
     invalid = n - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    ratio = lambda part: F.when(n > 0, part / n).otherwise(0.0)
-    return (n == 0) | (ratio(spaces) > 0.7) | (ratio(breaks) > 0.6) | (ratio(alnum) < 0.3) | (invalid > F.greatest(F.lit(6.0), n * 0.03))
+    bad = (share(spaces, spaces + left(f"[{WHITE}]+")) > 0.7) | (share(breaks, breaks + left(r"\n+")) > 0.6) | (alnum < 0.3) | (invalid > F.greatest(F.lit(6.0), n * 0.03))
+    return (n == 0) | F.coalesce(bad, F.lit(False))
 
 
 def delimiter_meant(typed: str) -> str:
@@ -209,12 +227,12 @@ def safe_name(c: Column | str) -> Column:
 def image_places(c: Column | str) -> Column:
     """``array<struct<path, at, size>>``: image references with the place of the reference, from 0, and its length.
 
-    Places are found by the text between references, so they count code points.
+    Places are found by the text between references, so they count code points. A reference includes the blanks behind it.
     """
-    pattern = r"!\[[^\]]*\]\([^)\n]+\)"
-    refs, gaps = F.regexp_extract_all(col(c), F.lit(f"({pattern})"), F.lit(1)), F.split(col(c), pattern, -1)
+    whole = f"({IMAGE_REF})"
+    refs, paths, gaps = F.regexp_extract_all(col(c), F.lit(LINES + whole), F.lit(1)), image_paths(c), F.split(col(c), LINES + IMAGE_REF, -1)
     before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(refs, F.lit(1), i), F.lit(0), lambda n, r: n + F.length(r))
-    return F.transform(refs, lambda r, i: F.struct(F.regexp_extract(r, r"\(([^)\n]+)\)$", 1).alias("path"), before(i).alias("at"), F.length(r).alias("size")))
+    return F.transform(refs, lambda r, i: F.struct(F.get(paths, i).alias("path"), before(i).alias("at"), F.length(r).alias("size")))
 
 
 def without_line_at(c: Column | str, at: Column | int) -> Column:

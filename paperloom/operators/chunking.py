@@ -107,7 +107,9 @@ def chunks(secs: DataFrame, delimiter: str | None = None) -> DataFrame:
 def with_ids(parts: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks with ids, links to their neighbours, their file, and the text that is embedded.
 
-    ``files(doc_id, file_key, file_hash)``. Ids are version-5 UUIDs of hash, page, section and chunk.
+    ``files(doc_id, file_key, file_hash)``. Ids are version-5 UUIDs of hash, page, section and chunk:
+    copies of a file share ids, so an order by id needs the file's key behind it, and ``maintenance.upload_plan`` keeps files
+    without a hash from sharing theirs.
     """
     rows = parts.join(files.select("doc_id", "file_key", "file_hash"), "doc_id")
     own = F.when(F.coalesce("file_hash", F.lit("")) == "", "NOHASH").otherwise(F.col("file_hash"))

@@ -273,7 +273,11 @@ def pages_stitched(s, d):
     return sinks.stitched(sinks.rendered_pages(pages), F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
 
 
-@query("text_quality_gate", "SELECT doc_id, n = 0 OR sp / n > 0.7 OR nl / n > 0.6 OR al / n < 0.3 OR inv > greatest(6.0, n * 0.03) AS bad FROM (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[ \\t]+', '', 'g')) AS sp, length(text) - length(regexp_replace(text, '\\n+', '', 'g')) AS nl, length(text) - length(regexp_replace(text, '[\\p{L}\\p{N}]', '', 'g')) AS al, length(text) - length(replace(text, chr(65533), '')) AS inv FROM documents)")
+_RUNS = "len(regexp_extract_all(text, '{0}'))"
+_WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@query("text_quality_gate", f"SELECT doc_id, n = 0 OR sp / (sp + nsp) > 0.7 OR nl / (nl + nnl) > 0.6 OR coalesce(al / nullif(dense, 0), 1) < 0.3 OR inv > greatest(6.0, n * 0.03) AS bad FROM (SELECT doc_id, length(text) AS n, {_RUNS.format(_WHITE)} AS sp, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS nsp, {_RUNS.format(chr(92) + 'n+')} AS nl, length(replace(text, chr(10), '')) AS nnl, length(replace(replace(text, chr(10), ''), ' ', '')) AS dense, length(text) - length(regexp_replace(text, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS al, length(text) - length(replace(text, chr(65533), '')) AS inv FROM documents)")
 def text_quality_gate(s, d):
     return ad.table(s, d, "documents").select("doc_id", tx.quality_issue("text").alias("bad"))
 
@@ -786,6 +790,6 @@ SQL["flagship_search"] = f"""{_IDS}, tk AS (
 ), sc AS (
   SELECT *, {_WEIGHTS} AS score FROM tk WHERE lang = 'en'
 ), top AS (
-  SELECT * FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 8
+  SELECT * FROM sc WHERE score > 0 ORDER BY score DESC, id, file_key, page_num, project, pos LIMIT 8
 )
 SELECT file_key, page_num AS page, greatest(0, max(score))::DOUBLE AS max_score, arg_min(project, pos) AS project, count(*) AS n_hits FROM top GROUP BY 1, 2"""

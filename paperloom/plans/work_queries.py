@@ -277,12 +277,18 @@ def text_edits(s, d):
     return ad.table(s, d, "documents").select("doc_id", tx.inserted_at("text", F.lit("[new]"), 5).alias("inserted"), tx.without_line_at("text", 0).alias("shorter"), tx.safe_name("text").alias("name"))
 
 
-@query("image_places", "SELECT doc_id, 'a.png@' || strlen_head || ',b/c.jpg@' || (strlen_head + 11 + length(text)) AS places FROM (SELECT doc_id, text, length(text) AS strlen_head FROM documents WHERE NOT contains(text, '!['))")
+_REFS = "len(regexp_extract_all(text, '(?m)!\\[[^\\]\\n]*\\]\\(.+\\)[ \\t]*$'))"
+
+
+@query("image_places", f"SELECT doc_id, r + 2 AS n_refs, 'im(1) ' || doc_id || '.png@' || (length(text) + 1) || ',b/c).jpg@' || (2 * length(text) + 21 + length(doc_id::VARCHAR)) AS places FROM (SELECT *, 2 * {_REFS} AS r FROM documents)")
 def image_places(s, d):
-    rows = ad.table(s, d, "documents").filter(~F.contains("text", F.lit("![")))
-    text = F.concat("text", F.lit("![x](a.png)"), "text", F.lit("![](b/c.jpg)"))
-    shown = F.transform(tx.image_places("t"), lambda r: F.concat(r["path"], F.lit("@"), r["at"].cast("string")))
-    return rows.select("doc_id", text.alias("t")).select("doc_id", F.array_join(shown, ",").alias("places"))
+    """A reference behind the text and one at the end, whose paths hold parentheses; references of the text itself are counted."""
+    name = F.concat(F.lit("im(1) "), F.col("doc_id").cast("string"), F.lit(".png"))
+    text = F.concat("text", F.lit("\n![x]("), name, F.lit(")  \n"), "text", F.lit("\n![](b/c).jpg)"))
+    places = ad.table(s, d, "documents").select("doc_id", "text", tx.image_places(text).alias("p"))
+    own = F.filter("p", lambda r: r["path"].startswith("im(1) ") | (r["path"] == "b/c).jpg"))
+    shown = F.transform(own, lambda r: F.concat(r["path"], F.lit("@"), r["at"].cast("string")))
+    return places.select("doc_id", F.size("p").cast("long").alias("n_refs"), F.array_join(shown, ",").alias("places"))
 
 
 @query("page_edits", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR b = 'new ' || doc_id THEN page ELSE '## 第 7 頁' || chr(10) || 'new ' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '---' || chr(10) ELSE '' END END AS page FROM (SELECT doc_id, '## 第 7 頁' || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '---' || chr(10) ELSE chr(10) || 'x' END AS page, '' AS b FROM documents)")
