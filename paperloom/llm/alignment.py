@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,11 @@ from paperloom.llm.common import Scratch, documents, row_ids, written
 from paperloom.llm.tokens import BYTE_LETTERS, WordwiseEncoder, vocabulary
 
 #: Pairs of ids that a task gathers before it adds them up and sends them on, and salts that its sums are dealt out by.
-HELD_PAIRS, SALTS = 1 << 21, 16
+HELD_PAIRS, SALTS = 1 << 20, 16
 #: Pairs that are more than one in so many of all documents' pairs are broadcast with their counts: fewer than so many.
 FREQUENT = 1 << 20
-#: Words that are encoded together.
-ENCODED = 4000
+#: Words that are encoded together, and characters of texts, and bytes of ids, that are looked at together.
+ENCODED, TEXT_CHARS, ID_BYTES = 4000, 1 << 20, 1 << 20
 #: A run of spaces and what stands before the next.
 UNIT = re.compile(" +[^ ]*")
 SPACE = "▁"
@@ -32,7 +33,7 @@ class ByteTokens:
     """Ids of a byte-level file: of texts with a space before them, and each id's bytes."""
 
     def __init__(self, path: str) -> None:
-        self.own = WordwiseEncoder(path)
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as file:
             shape = json.load(file)
         byte_of = {chr(c): b for b, c in BYTE_LETTERS.items()} | {chr(b): b for b in range(256) if b not in BYTE_LETTERS}
@@ -42,8 +43,13 @@ class ByteTokens:
             self.bytes[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.own = self.own or WordwiseEncoder(self.path)
         return [np.frombuffer(ids, "<u4") for ids in self.own.encode([" " + t for t in texts])]
 
+    def release(self) -> None:
+        """Gives up the kept words, for tasks that only look at ids."""
+        self.own = None
+
 
 class PieceTokens:
     """Ids of a sentence-piece model, which puts a space before each text by itself, and each id's bytes.
@@ -76,10 +82,14 @@ class PieceTokens:
             part = new[at : at + ENCODED]
             # A unit without anything in it is a space at the end of a text; the model has no ids for an empty text.
             for unit, ids in zip(part, self._ids([u or " " for u in part]), strict=True):
-                extra[unit] = np.array(ids if unit else self.alone(), "<u4").tobytes()
+                extra[unit] = array("I", ids if unit else self.alone()).tobytes()
                 self.kept.put(unit, extra[unit])
         return [np.frombuffer(b"".join(ids if None not in ids else [extra[u] if x is None else x for u, x in zip(us, ids, strict=True)]), "<u4") for us, ids in zip(units, found, strict=True)]
 
+    def release(self) -> None:
+        """Gives up the kept words, for tasks that only look at ids."""
+        self.kept = Kept()
+
     def alone(self) -> list[int]:
         """The ids of one space."""
         return [self.model.piece_to_id(SPACE)]
@@ -92,6 +102,18 @@ def tokenizer(path: str):
     return ByteTokens(path) if path.endswith(".json") else PieceTokens(path)
 
 
+def runs(sizes: list[int], most: int) -> Iterator[range]:
+    """Runs of consecutive places whose sizes add up to about ``most``; a larger one is a run of its own."""
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield range(start, k)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield range(start, len(sizes))
+
+
 class Aligner:
     """Both tokenizers of a worker, with what follows from their vocabularies alone."""
 
@@ -104,22 +126,34 @@ class Aligner:
 
     def encoded(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """The ids by both of each text; none where the text is empty or the tokens do not make up its bytes."""
-        there = [k for k, t in enumerate(texts) if t]
         out = ([b""] * len(texts), [b""] * len(texts))
-        both = [t.encode([texts[k] for k in there]) for t in (self.a, self.b)]
-        for k, a, b in zip(there, *both, strict=True):
-            want = b" " + texts[k].encode()
-            if all(b"".join(map(t.bytes.__getitem__, ids.tolist())) == want for t, ids in ((self.a, a), (self.b, b))):
-                for side, ids, kind in zip(out, (a, b), self.kinds, strict=True):
-                    side[k] = ids.astype(kind).tobytes()
+        for own in runs([len(t or "") for t in texts], TEXT_CHARS):
+            there = [k for k in own if texts[k]]
+            both = [t.encode([texts[k] for k in there]) for t in (self.a, self.b)]
+            for k, a, b in zip(there, *both, strict=True):
+                want = b" " + texts[k].encode()
+                if all(b"".join(map(t.bytes.__getitem__, ids.tolist())) == want for t, ids in ((self.a, a), (self.b, b))):
+                    for side, ids, kind in zip(out, (a, b), self.kinds, strict=True):
+                        side[k] = ids.astype(kind).tobytes()
         return out
 
 
-def aligner(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str, encodes: bool = False) -> Aligner:
     """One per worker process and pair of files."""
     if (path_a, path_b) not in _OWN:
         _OWN[path_a, path_b] = Aligner(path_a, path_b)
-    return _OWN[path_a, path_b]
+    own = _OWN[path_a, path_b]
+    if not encodes:
+        own.a.release()
+        own.b.release()
+    return own
+
+
+def linked(own: Aligner, part: pa.RecordBatch) -> Iterator[tuple[range, Links]]:
+    """The links of the documents of a batch, some of them at a time."""
+    a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+    for run in runs([len(x) + len(y) for x, y in zip(a, b, strict=True)], ID_BYTES):
+        yield run, Links(own, a[run.start : run.stop], b[run.start : run.stop])
 
 
 class Links:
@@ -171,7 +205,7 @@ def token_table(docs: DataFrame, path_a: str, path_b: str, key: str, text: str)
     id_type = docs.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
+        own = aligner(path_a, path_b, encodes=True)
         for part in parts:
             a, b = own.encoded(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["uid", "doc_id", "a", "b"])
@@ -192,10 +226,10 @@ def pair_counts(tokens: DataFrame, path_a: str, path_b: str, held: int = HELD_PA
             return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.full(len(pair), salt)), pa.array(n)], names=["pair", "salt", "n"])
 
         for part in parts:
-            _, pair, _ = Links(own, part.column(0).to_pylist(), part.column(1).to_pylist()).distinct()
-            keys.append(pair)
-            if sum(map(len, keys)) >= held:
-                yield out()
+            for _, links in linked(own, part):
+                keys.append(links.distinct()[1])
+                if sum(map(len, keys)) >= held:
+                    yield out()
         if keys:
             yield out()
 
@@ -210,20 +244,20 @@ def document_rows(tokens: DataFrame, path_a: str, path_b: str, known, id_type: s
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (pairs, counts, best) = aligner(path_a, path_b), known.value
         for part in parts:
-            links = Links(own, part.column("a").to_pylist(), part.column("b").to_pylist())
-            doc, pair, times = links.distinct()
-            at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
-            there = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
-            sums = np.zeros(part.num_rows, np.int64)
-            bests = np.zeros(part.num_rows, np.int64)
-            np.add.at(sums, doc[there], times[there] * counts[at[there]])
-            np.add.at(bests, doc[there], times[there] * best[at[there]])
-            own_columns = [pa.array(x.astype(np.int64)) for x in (links.n_a, links.n_b, links.n_groups, links.n_links, bests, sums)]
-            rest = [pa.nulls(part.num_rows, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), *own_columns, pa.array(links.digests(), pa.string()), *rest], names=names)
-            other = np.flatnonzero(~there)
-            none = [pa.nulls(len(other), t) for t in (part.schema.field("doc_id").type, *[pa.int64()] * 6, pa.string())]
-            yield pa.RecordBatch.from_arrays([part.column("uid").take(pa.array(doc[other])), *none, pa.array(pair[other]), pa.array(times[other])], names=names)
+            for at, links in linked(own, part):
+                ids = part.slice(at.start, len(at)).select(["uid", "doc_id"])
+                doc, pair, times = links.distinct()
+                place = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+                there = pairs[place] == pair if len(pairs) else np.zeros(len(pair), bool)
+                sums, bests = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                np.add.at(sums, doc[there], times[there] * counts[place[there]])
+                np.add.at(bests, doc[there], times[there] * best[place[there]])
+                own_columns = [pa.array(x.astype(np.int64)) for x in (links.n_a, links.n_b, links.n_groups, links.n_links, bests, sums)]
+                rest = [pa.nulls(len(at), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*ids.columns, *own_columns, pa.array(links.digests(), pa.string()), *rest], names=names)
+                other = np.flatnonzero(~there)
+                none = [pa.nulls(len(other), t) for t in (part.schema.field("doc_id").type, *[pa.int64()] * 6, pa.string())]
+                yield pa.RecordBatch.from_arrays([ids.column("uid").take(pa.array(doc[other])), *none, pa.array(pair[other]), pa.array(times[other])], names=names)
 
     return tokens.mapInArrow(run, f"uid long, doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, pair long, k long")
 
