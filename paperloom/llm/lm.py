@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, OrderedDict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import as_bytes, documents, id_remainder, qualified, row_ids, shared_dir, spaced_words, store, written
+from paperloom.llm.common import Scratch, as_bytes, documents, id_remainder, qualified, removed, row_ids, shared_dir, spaced_words, stable, store, written
 
 #: The token that ends every text; no word has a space.
 END = b" "
@@ -26,18 +26,14 @@ ORDER = 3
 ENTRY_BITS, PROBES = 10, 4
 #: Level q of a count is for counts from 2 ** (q - 1); levels go no further than this.
 LEVELS = 48
-#: Bytes of a segment of the filter and of a part of whole segments, files of a part, and bytes of parts that a worker holds at once.
-SEGMENT_BYTES, PART_BYTES, FILES, HELD_BYTES = 256 << 10, 16 << 20, 4, 96 << 20
+#: Bytes of a segment of the filter, which stays in the processor's cache, and of a part of whole segments, which a task fills and probes.
+SEGMENT_BYTES, PART_BYTES = 256 << 10, 4 << 20
 #: What is taken off each count of two and more words, and the weight of a longer n-gram, whose context is known, against the shorter ones.
 DISCOUNT, WEIGHT = 0.9, 0.7
 #: Words that are more than one in so many training tokens are broadcast with their exact counts: so many at most.
 FREQUENT = 1 << 20
-#: Training tokens whose n-grams a task gathers before it sends them on.
-HELD_TOKENS = 1 << 20
 #: Bytes of text whose tokens are looked at together, and distinct words that a task counts before it sends them on.
 TEXT_BYTES, HELD_WORDS = 4 << 20, 150_000
-#: N-grams looked up together.
-PROBED = 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,18 +103,6 @@ class TokenTable:
         return single, pair, triple
 
 
-def portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``TEXT_BYTES``; a longer text is a run of its own."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > TEXT_BYTES:
-            yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def positions(rests: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """The places of the n-grams' entries for a level, one array for each probe."""
     a = mixed(rests ^ np.uint64(level * int(GOLDEN) & (1 << 64) - 1))
@@ -138,82 +122,21 @@ def filled(rests: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
     return bits, np.packbits(segment, bitorder="little")
 
 
-class Part:
-    """Some segments of the log-frequency filter.
+def probed(rests: np.ndarray, bits: int, own: np.ndarray) -> np.ndarray:
+    """The level of each n-gram in a segment: one entry after another until one is missing.
 
-    Probing goes up level by level until an entry is missing; so a count is never underestimated, and it is overestimated
-    by one more level only with the filter's error rate.
+    So a count is never underestimated, and it is overestimated by one more level only with the filter's error rate.
     """
-
-    def __init__(self, first: int, most: int, segments: list[int], bits: list[int], filters: list[np.ndarray]) -> None:
-        self.first, self.flat = first, np.concatenate([*filters, np.zeros(1, np.uint8)])
-        self.bits, self.base = np.full(most, 64, np.uint64), np.full(most, -1, np.int64)
-        at = 0
-        for segment, n, own in zip(segments, bits, filters, strict=True):
-            self.bits[segment - first], self.base[segment - first] = n, at
-            at += len(own)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each n-gram; looked up some at a time, which stay in the processor's cache."""
-        return np.concatenate([self.levels_of(keys[k : k + PROBED]) for k in range(0, len(keys), PROBED)] or [np.zeros(0, np.int64)])
-
-    def levels_of(self, keys: np.ndarray) -> np.ndarray:
-        segment, rests = (keys >> np.uint64(32)).astype(np.int64) - self.first, keys & np.uint64(0xFFFFFFFF)
-        out, at = np.zeros(len(keys), np.int64), np.flatnonzero(self.base[segment] >= 0)
-        for level in range(1, LEVELS + 1):
-            base, there = self.base[segment[at]], None
-            for p in positions(rests[at], level, self.bits[segment[at]]):
-                found = self.flat[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)
-                there = found if there is None else there & found
-            at = at[there & 1 > 0]
-            if not len(at):
-                break
-            out[at] = level
-        return out
-
-
-class Filter:
-    """The parts of a filter in a shared folder, ``part=k`` for ``each`` segments from ``each * k``.
-
-    A worker that scores holds parts of ``HELD_BYTES`` at most, whatever their number, and reads the others again.
-    """
-
-    def __init__(self, folder: str, segments: int, each: int) -> None:
-        self.folder, self.segments, self.each = folder, segments, each
-        self.held: OrderedDict[int, Part] = OrderedDict()
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"held": OrderedDict()}
-
-    def part(self, k: int) -> Part:
-        if k in self.held:
-            self.held.move_to_end(k)
-            return self.held[k]
-        while self.held and sum(len(p.flat) for p in self.held.values()) + self.each * SEGMENT_BYTES > HELD_BYTES:
-            self.held.popitem(last=False)
-        files, place = store(f"{self.folder}/part={k}")
-        segments, bits, filters = [], [], []
-        for info in files.get_file_info(pafs.FileSelector(place, allow_not_found=True)):
-            if info.base_name.startswith("part-"):
-                with files.open_input_file(info.path) as file:
-                    table = pq.read_table(file)
-                segments += table.column("segment").to_pylist()
-                bits += table.column("bits").to_pylist()
-                filters += [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("filter")]
-        self.held[k] = Part(k * self.each, self.each, segments, bits, filters)
-        return self.held[k]
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        keys, parts = placed(keys, self.segments), -(-self.segments // self.each)
-        part = (keys >> np.uint64(32)).astype(np.int64) // self.each
-        by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-        cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
-        out = np.zeros(len(keys), np.int64)
-        for k in sorted(range(parts), key=lambda k: k not in self.held):
-            at = by_part[cuts[k] : cuts[k + 1]]
-            if len(at):
-                out[at] = self.part(k).levels(keys[at])
-        return out
+    out, at = np.zeros(len(rests), np.int64), np.arange(len(rests))
+    for level in range(1, LEVELS + 1):
+        there = np.ones(len(at), bool)
+        for p in positions(rests[at], level, np.uint64(bits)):
+            there &= (own[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at = at[there]
+        if not len(at):
+            break
+        out[at] = level
+    return out
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -239,94 +162,158 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys of one segment by byte planes, whose upper ones compress, then the counts over 1 with their places."""
-    more = np.flatnonzero(counts > 1)
+    """Sorted keys of one part with their counts: the sizes of the runs of a segment, the keys' lower halves by byte planes, whose
+    upper ones compress, then the counts other than 1 with their places."""
+    segments = (keys >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], segments[1:] != segments[:-1])))
+    runs = np.stack((segments[starts], np.diff(np.append(starts, len(keys))))).astype("<u4")
     planes = np.ascontiguousarray((keys & np.uint64(0xFFFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4).T)
-    return b"".join([len(keys).to_bytes(8, "little"), planes.tobytes(), more.astype("<u4").tobytes(), np.minimum(counts[more], 2**32 - 1).astype("<u4").tobytes()])
+    other = np.flatnonzero(counts != 1)
+    return b"".join([len(starts).to_bytes(8, "little"), len(keys).to_bytes(8, "little"), runs.tobytes(), planes.tobytes(), other.astype("<u4").tobytes(), np.minimum(counts[other], 2**32 - 1).astype("<u4").tobytes()])
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    keys = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 8).reshape(4, n).T).view(">u4").reshape(-1).astype(np.uint64)
-    rest = np.frombuffer(blob, "<u4", -1, 8 + 4 * n).reshape(2, -1)
+    runs, n = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    segments, sizes = np.frombuffer(blob, "<u4", 2 * runs, 16).reshape(2, -1).astype(np.int64)
+    at = 16 + 8 * runs
+    keys = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).view(">u4").reshape(-1).astype(np.uint64)
+    keys |= np.repeat(segments, sizes).astype(np.uint64) << np.uint64(32)
+    places, other = np.frombuffer(blob, "<u4", -1, at + 4 * n).reshape(2, -1)
     counts = np.ones(n, np.int64)
-    counts[rest[0]] = rest[1]
+    counts[places] = other
     return keys, counts
 
 
-def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with their counts summed up."""
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    by_key = np.argsort(keys)
-    keys, counts = keys[by_key], counts[by_key]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+class Portion:
+    """Some consecutive rows of a task, of about ``TEXT_BYTES``: their tokens and distinct n-grams.
+
+    What is a portion depends on the order of the task's rows only, not on the batches they come in, so that a later task
+    over the same rows makes the same ones.
+    """
+
+    def __init__(self, number: int, rows: list[tuple], segments: int) -> None:
+        self.number, self.rows = number, rows
+        self.tokens = TokenTable([r[-1] for r in rows])
+        single, pair, triple = self.tokens.grams()
+        self.cuts = np.cumsum([len(single), len(pair)])
+        self.placed = placed(np.concatenate((single, pair, triple)), segments)
+
+    def distinct(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams, sorted, and how often each stands in the rows that are learned from."""
+        tokens = self.tokens
+        of_token = np.repeat(learned, tokens.sizes)
+        weights = np.concatenate((np.bincount(tokens.numbers[of_token], minlength=len(tokens.words)), of_token, of_token))
+        weights[self.cuts[1] + tokens.starts] = 0  # a text's first token ends no triple
+        keys, back = np.unique(self.placed, return_inverse=True)
+        return keys, np.bincount(back, weights=weights, minlength=len(keys)).astype(np.int64)
+
+    def levels(self, known: np.ndarray) -> list[np.ndarray]:
+        """The levels of words, pairs and triples from those of the distinct n-grams."""
+        _, back = np.unique(self.placed, return_inverse=True)
+        if len(known) != (back.max(initial=-1) + 1):
+            raise RuntimeError("the rows of a task are not those whose n-grams were looked up")
+        return np.split(known[back], self.cuts)
+
+
+def portions_of(parts: Iterator[pa.RecordBatch], segments: int) -> Iterator[Portion]:
+    """The portions of a task's rows, which have the text in the last column."""
+    held, size, number = [], 0, 0
+    for part in parts:
+        columns = [column.to_pylist() for column in part.columns[:-1]]
+        for row in zip(*columns, as_bytes(part.column(part.num_columns - 1)), strict=True):
+            if held and size + len(row[-1]) > TEXT_BYTES:
+                yield Portion(number, held, segments)
+                held, size, number = [], 0, number + 1
+            held.append(row)
+            size += len(row[-1])
+    if held:
+        yield Portion(number, held, segments)
+
+
+def gram_parts(rows: DataFrame, segments: int, each: int) -> DataFrame:
+    """``task, portion, part, grams``: distinct n-grams of each portion of ``rows(uid, learn, text)``, with the counts to learn, by part of the filter."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in portions_of(parts, segments):
+            keys, counts = portion.distinct(np.array([r[1] for r in portion.rows], bool))
+            part = (keys >> np.uint64(32)).astype(np.int64) // each
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            ends = np.append(starts[1:], len(keys)).tolist()
+            blobs = [packed(keys[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+            own = [pa.array(np.full(len(starts), x)) for x in (portion.rows[0][0] >> 33, portion.number)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(part[starts]), pa.array(blobs, pa.binary())], names=["task", "portion", "part", "grams"])
+
+    return rows.select("uid", "learn", "text").mapInArrow(run, "task long, portion long, part long, grams binary")
 
 
-def gram_segments(rows: DataFrame, segments: int) -> DataFrame:
-    """``segment, grams``: hashes and counts of the n-grams of some texts, packed by segment."""
+def looked_up(grams: DataFrame, probes: Callable[[int], None] = lambda n: None) -> DataFrame:
+    """``task, portion, part, levels``: each part of the filter is filled once, from all counts of its n-grams, and probed once
+    for each distinct n-gram; what was found goes back to the portions that asked. ``probes`` is told of each part, for tests."""
 
-    def cut(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, counts = added(held)
-        held.clear()
+    def answers(blobs: list[bytes]) -> list[bytes]:
+        asked = [unpacked(b) for b in blobs]
+        keys, counts = added(asked)
         segment = (keys >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        ends = np.append(starts[1:], len(keys))
-        blobs = [packed(keys[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(segment[starts]), pa.array(blobs, pa.binary())], names=["segment", "grams"])
+        levels = np.empty(len(keys), np.uint8)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True):
+            rests, own = keys[a:b] & np.uint64(0xFFFFFFFF), counts[a:b]
+            bits, held = filled(rests[own > 0], own[own > 0])
+            levels[a:b] = probed(rests, bits, held)
+        probes(len(keys))
+        return [levels[np.searchsorted(keys, own)].tobytes() for own, _ in asked]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in parts:
-            texts = as_bytes(part.column(0))
-            for a, b in portions(texts):
-                tokens = TokenTable(texts[a:b])
-                single, pair, triple = tokens.grams()
-                held.append(np.unique(placed(np.concatenate((single[tokens.numbers], pair, np.delete(triple, tokens.starts))), segments), return_counts=True))
-                size += len(tokens.numbers)
-                if size >= HELD_TOKENS:
-                    yield cut(held)
-                    size = 0
-        if held:
-            yield cut(held)
+        part, rows = None, []
 
-    return rows.select("text").mapInArrow(run, "segment long, grams binary")
+        def out() -> pa.RecordBatch:
+            levels = answers([r[3] for r in rows])
+            return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(levels, pa.binary())], names=["task", "portion", "part", "levels"])
+
+        for batch in parts:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[2] != part and rows:
+                    yield out()
+                    rows = []
+                part = row[2]
+                rows.append(row)
+        if rows:
+            yield out()
 
+    return grams.repartition("part").sortWithinPartitions("part").mapInArrow(run, "task long, portion long, part long, levels binary")
 
-def segment_filters(grams: DataFrame, each: int) -> DataFrame:
-    """``part, segment, bits, filter``: all counts of a segment added up, as its entries of the filter."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(segment: int, blobs: list[bytes]) -> pa.RecordBatch:
-            bits, own = filled(*added([unpacked(b) for b in blobs]))
-            return pa.RecordBatch.from_arrays([pa.array([segment // each]), pa.array([segment]), pa.array([bits]), pa.array([own.tobytes()], pa.binary())], names=["part", "segment", "bits", "filter"])
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with their counts summed up."""
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    by_key = np.argsort(keys)
+    keys, counts = keys[by_key], counts[by_key]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
 
-        segment, blobs = None, []
-        for part in parts:
-            for own, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if own != segment and blobs:
-                    yield batch(segment, blobs)
-                    blobs = []
-                segment = own
-                blobs.append(blob)
-        if blobs:
-            yield batch(segment, blobs)
 
-    files = (F.floor(F.col("segment") / each), F.col("segment") % FILES)
-    return grams.repartition(*files).sortWithinPartitions("segment").mapInArrow(run, "part long, segment long, bits long, filter binary")
+def held_levels(folder: str, task: int) -> dict[int, np.ndarray]:
+    """The levels of a task's portions, each read once from the shared folder."""
+    files, place = store(f"{folder}/task={task}")
+    found: dict[int, list] = {}
+    for info in files.get_file_info(pafs.FileSelector(place, allow_not_found=True)):
+        if info.base_name.startswith("part-"):
+            with files.open_input_file(info.path) as file:
+                table = pq.read_table(file)
+            for portion, part, levels in zip(*(table.column(c).to_pylist() for c in ("portion", "part", "levels")), strict=True):
+                found.setdefault(portion, []).append((part, levels))
+    return {k: np.frombuffer(b"".join(levels for _, levels in sorted(own)), np.uint8) for k, own in found.items()}
 
 
 class Model:
-    """What scoring needs: the filter, and the numbers of tokens and of distinct tokens in training."""
+    """What scoring needs besides the levels of n-grams: the numbers of tokens and of distinct tokens in training."""
 
-    def __init__(self, held: Filter, tokens: int, vocabulary: int) -> None:
-        self.held, self.tokens, self.vocabulary = held, tokens, vocabulary
+    def __init__(self, tokens: int, vocabulary: int) -> None:
+        self.tokens, self.vocabulary = tokens, vocabulary
 
-    def logs(self, tokens: TokenTable) -> np.ndarray:
+    def logs(self, tokens: TokenTable, levels: list[np.ndarray]) -> np.ndarray:
         """log10 of each token's probability: what the triple and then the pair that end there are of those that begin alike, mixed with its own share."""
-        grams = tokens.grams()
-        cuts = np.cumsum([len(g) for g in grams])[:-1]
-        single, pair, triple = (count_of(x) for x in np.split(self.held.levels(np.concatenate(grams)), cuts))
+        single, pair, triple = (count_of(x.astype(np.int64)) for x in levels)
         context = single[tokens.before()]
         earlier = np.concatenate((context[:1], pair[:-1]))
         earlier[tokens.starts] = context[tokens.starts]
@@ -337,74 +324,89 @@ class Model:
         return np.log10(out)
 
 
-def fitted(rows: DataFrame, tokens: int, vocabulary: int, part_bytes: int = PART_BYTES) -> Model:
-    """The model of ``rows(text)``, which have so many tokens and distinct tokens.
-
-    Every n-gram of ``ORDER`` words or fewer is held, however rare. An n-gram has no more entries than places in the
-    texts, so the segments that their number asks for, dealt by hash, hold about ``SEGMENT_BYTES`` each at most.
-    """
-    spark, each = rows.sparkSession, max(1, part_bytes // SEGMENT_BYTES)
-    segments = max(1, -(-ORDER * tokens * ENTRY_BITS // (8 * SEGMENT_BYTES)))
-    folder = shared_dir(spark, "log-frequency-filter")
-    filters = segment_filters(gram_segments(rows, segments), each)
-    filters.write.option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("part").parquet(folder)
-    return Model(Filter(qualified(spark, folder), segments, each), tokens, vocabulary)
-
-
-def scored(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
+def scored(docs: DataFrame, training: DataFrame | Column, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Counts come from all of ``training(text)``. ``base_score`` adds up log10((c + 1) / (N + V + 1)) with exact counts:
-    words over one in ``frequent`` training tokens, of which there are fewer than that, are broadcast; a document's other
-    words are joined to their counts, and as none of those is frequent, the join has no hot key. ``score`` is the model's
-    log10 probability; all its counts come from probes of the log-frequency filter, whose parts go to every worker
-    through the shared folder, some at a time: ``part_bytes`` and ``frequent`` do not change a result.
+    Counts come from all of ``training``: a condition on ``docs``, or a table of its own with ``text``. ``base_score`` adds up
+    log10((c + 1) / (N + V + 1)) with exact counts: words over one in ``frequent`` training tokens, of which there are fewer
+    than that, are broadcast; a document's other words are joined to their counts, and as none of those is frequent, the join
+    has no hot key. ``score`` is the model's log10 probability; all its counts come from probes of the log-frequency filter.
+
+    Every n-gram of ``ORDER`` words or fewer is held, however rare, so the filter grows with the corpus. It is cut by hash into
+    parts; portions of text send their distinct n-grams and counts to the parts, each part is filled and probed once, and
+    levels go back to the portions: what is moved and read is in proportion to the texts. ``part_bytes`` and ``frequent`` do
+    not change a result.
 
     Null and empty texts have the end token only; very long ones are looked at as a whole. Ids may be null or repeat,
     and every row is scored. Without training rows every count is 0; an empty table gives an empty result. Other columns
     are not read.
     """
     spark, id_type = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    counts = written(word_counts(training), "word-counts")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = F.col("n") * F.lit(frequent) > F.lit(total)
-    known = spark.sparkContext.broadcast({bytes(w): n for w, n in counts.filter(often).collect()})  # under ``frequent`` rows
-    model = spark.sparkContext.broadcast(fitted(training, total, vocabulary, part_bytes))
-    schema = f"uid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, word binary, k long"
-    both = written(row_ids(docs, [key, text]).toDF("uid", "doc_id", "text").mapInArrow(text_scores(known, model), schema), "scores")
-    rare = both.filter("word IS NOT NULL").select("uid", "word", "k").join(counts.filter(~often), "word")
-    rest = rare.groupBy("uid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_base"))
-    found = both.filter("word IS NULL").drop("word", "k").join(rest, "uid", "left")
-    known_words, base = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("base_score") + F.coalesce("more_base", F.lit(0.0))
-    return found.select("doc_id", "n_tokens", known_words.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-def text_scores(known, model):
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.coalesce(training, F.lit(False)) if isinstance(training, Column) else F.lit(False)).alias("learn"), F.lit(True).alias("wanted"))
+    if not isinstance(training, Column):
+        own = own.unionByName(training.select(F.lit(None).cast(id_type).alias("doc_id"), F.col("text"), F.lit(True).alias("learn"), F.lit(False).alias("wanted")))
+    rows = row_ids(stable(own), ["doc_id", "learn", "wanted", "text"])
+    with Scratch(spark) as scratch:
+        counts = scratch.written(word_counts(rows.filter("learn")), "word-counts")
+        total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        often = F.col("n") * F.lit(frequent) > F.lit(total)
+        table = counts.filter(often).toArrow()  # under ``frequent`` rows
+        known = spark.sparkContext.broadcast(dict(zip((bytes(w) for w in table.column("word").to_pylist()), table.column("n").to_pylist(), strict=True)))
+        # An n-gram has no more entries than places in the texts, so a segment holds about ``SEGMENT_BYTES`` at most.
+        segments, each = max(1, -(-ORDER * total * ENTRY_BITS // (8 * SEGMENT_BYTES))), max(1, part_bytes // SEGMENT_BYTES)
+        folder = shared_dir(spark, "gram-levels")
+        found = looked_up(gram_parts(rows, segments, each))
+        found.repartition("task").sortWithinPartitions("task", "portion", "part").write.option("compression", "zstd").partitionBy("task").parquet(folder)
+        schema = f"uid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, word binary, k long"
+        scores = text_scores(known, Model(total, vocabulary), qualified(spark, folder), segments)
+        both = scratch.written(rows.select("uid", "doc_id", "wanted", "text").mapInArrow(scores, schema), "scores")
+        removed(spark, folder)
+        rare = both.filter("word IS NOT NULL").select("uid", "word", "k").join(counts.filter(~often), "word")
+        rest = rare.groupBy("uid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_base"))
+        mixed = both.filter("word IS NULL").drop("word", "k").join(rest, "uid", "left")
+        known_words, base = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("base_score") + F.coalesce("more_base", F.lit(0.0))
+        out = mixed.select("doc_id", "n_tokens", known_words.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        return written(out, "scored")
+
+
+def text_scores(known, model: Model, folder: str, segments: int):
     """A row for each text, with what its frequent words add to the base score, and one for each of its other words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = model.value, ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "k"]
-        each = math.log10(own.tokens + own.vocabulary + 1)
-        for part in parts:
-            texts = as_bytes(part.column(2))
-            for a, b in portions(texts):
-                tokens, uid = TokenTable(texts[a:b]), part.column(0).slice(a, b - a)
-                c = np.fromiter((known.value.get(w, 0) for w in tokens.words), np.int64, len(tokens.words))
-                base = tokens.summed(np.log10(c + 1.0)[tokens.numbers]) - tokens.sizes * each
-                n_known = tokens.summed((c > 0).astype(np.int64)[tokens.numbers]).astype(np.int64)
-                score, none = tokens.summed(own.logs(tokens)), pa.nulls(b - a, pa.binary())
-                yield pa.RecordBatch.from_arrays([uid, part.column(1).slice(a, b - a), pa.array(tokens.sizes), pa.array(n_known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), none, pa.nulls(b - a, pa.int64())], names=names)
-                other = c[tokens.numbers] == 0
-                pairs, k = np.unique(np.repeat(np.arange(b - a), tokens.sizes)[other] * len(tokens.words) + tokens.numbers[other], return_counts=True)
-                words = pa.array(tokens.words, pa.binary()).take(pa.array(pairs % len(tokens.words)))
-                empty = [pa.nulls(len(pairs), kind) for kind in (part.schema.field(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([uid.take(pa.array(pairs // len(tokens.words))), *empty, words, pa.array(k)], names=names)
+        names = ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "k"]
+        each, levels, id_type = math.log10(model.tokens + model.vocabulary + 1), None, None
+
+        def typed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal id_type
+            for part in parts:
+                id_type = part.schema.field(1).type
+                yield part
+
+        for portion in portions_of(typed(parts), segments):
+            rows, tokens = portion.rows, portion.tokens
+            if levels is None:
+                levels = held_levels(folder, rows[0][0] >> 33)
+            wanted = np.array([r[2] for r in rows], bool)
+            at = np.flatnonzero(wanted)
+            if not len(at):
+                continue
+            c = np.fromiter((known.value.get(w, 0) for w in tokens.words), np.int64, len(tokens.words))
+            base = tokens.summed(np.log10(c + 1.0)[tokens.numbers]) - tokens.sizes * each
+            n_known = tokens.summed((c > 0).astype(np.int64)[tokens.numbers]).astype(np.int64)
+            score = tokens.summed(model.logs(tokens, portion.levels(levels.get(portion.number, np.zeros(0, np.uint8)))))
+            uid, ids = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], id_type)
+            own = [uid.take(pa.array(at)), ids.take(pa.array(at)), *(pa.array(x[at]) for x in (tokens.sizes, n_known, base, score))]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64())], names=names)
+            other = (c[tokens.numbers] == 0) & np.repeat(wanted, tokens.sizes)
+            pairs, k = np.unique(np.repeat(np.arange(len(rows)), tokens.sizes)[other] * len(tokens.words) + tokens.numbers[other], return_counts=True)
+            words = pa.array(tokens.words, pa.binary()).take(pa.array(pairs % len(tokens.words)))
+            empty = [pa.nulls(len(pairs), kind) for kind in (id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(pairs // len(tokens.words))), *empty, words, pa.array(k)], names=names)
 
     return run
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    known = docs.filter(F.coalesce(id_remainder("doc_id", MODULUS) != HELD_OUT, F.lit(True))).select(F.col("text"))
-    found = scored(docs.select("doc_id", "text"), known)
-    return found.select("doc_id", F.coalesce(id_remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = F.coalesce(id_remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False))
+    found = scored(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
