@@ -16,9 +16,11 @@ from paperloom.operators import maintenance as mt
 from paperloom.operators import noise as nz
 from paperloom.operators import retrieval as rt
 from paperloom.operators import sessions as ss
+from paperloom.operators import vector_index as vi
 from paperloom.plans import adapters as ad
 from paperloom.sources import files as src
 from paperloom.sources import sinks
+from paperloom.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -564,11 +566,10 @@ def search_dense_each(s, d):
     return rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 5).select("query_id", "vec_id", "rank")
 
 
-def _asked_terms(s, d):
-    """The four rarest words of each document whose id is divisible by 20, the rarest with the largest weight."""
-    index = _terms(s, d)
+def _asked_terms(index, order=("df", "term")):
+    """Four words of each document whose id is divisible by 20, the first with the largest weight: the rarest ones, or by another order."""
     spread = index.groupBy("term").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("query_id").orderBy("df", "term")
+    w = Window.partitionBy("query_id").orderBy(*order)
     own = index.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "term").join(spread, "term").withColumn("place", F.row_number().over(w))
     return own.filter("place <= 4").select("query_id", "term", (5.0 - F.col("place")).alias("weight"))
 
@@ -581,13 +582,55 @@ _SPARSE_EACH = """tf AS (SELECT doc_id, t AS term, count(*) AS n FROM (SELECT do
 
 @query("search_sparse", f"WITH {_SPARSE_EACH} SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp QUALIFY rank <= 20")
 def search_sparse(s, d):
-    return rt.sparse_top_k_each(_terms(s, d), _asked_terms(s, d), 20)
+    index = written(_terms(s, d), "terms")
+    return rt.sparse_top_k_each(index, _asked_terms(index), 20)
+
+
+_COMMON = _SPARSE_EACH.replace("ORDER BY df, term", "ORDER BY df DESC, term")
+
+
+def _block_search(s, d):
+    index = written(_terms(s, d), "terms")
+    blocks = written(rt.posting_blocks(index), "blocks")
+    asked = written(_asked_terms(index, (F.desc("df"), "term")), "asked")
+    return blocks, asked, written(rt.block_plan(blocks, asked, 20)[0], "plan")
+
+
+@query("search_sparse_blocks", f"WITH {_COMMON} SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp QUALIFY rank <= 20")
+def search_sparse_blocks(s, d):
+    """The four most frequent words of each document are asked: blocks that cannot hold a hit are left out."""
+    blocks, asked, plan = _block_search(s, d)
+    return rt.sparse_top_k_blocks(blocks, asked, 20, plan).withColumnRenamed("item", "doc_id")
+
+
+@query("search_sparse_read")
+def search_sparse_read(s, d):
+    """How many of the postings of each query's words ``search_sparse_blocks`` reads for candidates."""
+    return rt.postings_read(_block_search(s, d)[2])
+
+
+@query("search_index")
+def search_index(s, d):
+    """Approximate top 10 by an inverted file: 40 of 64 lists are looked at."""
+    vectors = ad.table(s, d, "embeddings")
+    lists = vi.fitted(vectors)
+    return vi.top_k_each(vi.built(vectors, lists), vectors, _questions(s, d), lists, 10, probes=40, refine=2).select("query_id", "vec_id", "rank")
+
+
+@query("search_index_whole", f"WITH {_PAIRS} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pr QUALIFY rank <= 10")
+def search_index_whole(s, d):
+    """All lists looked at: the index has every vector, and the codes tell enough to find the exact top 10."""
+    vectors = ad.table(s, d, "embeddings")
+    lists = vi.fitted(vectors)
+    found = vi.top_k_each(vi.built(vectors, lists), vectors, _questions(s, d), lists, 10, probes=64, refine=8)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_hybrid_rrf", f"WITH {_PAIRS}, {_SPARSE_EACH}, a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pr QUALIFY r <= 40), b AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sp QUALIFY r <= 40), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (r + 60)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id) <= 8")
 def search_hybrid_rrf(s, d):
     dense = rt.dense_top_k_each(ad.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _questions(s, d), 40, item="id")
-    sparse = rt.sparse_top_k_each(_terms(s, d).withColumnRenamed("doc_id", "id"), _asked_terms(s, d), 40, item="id")
+    index = written(_terms(s, d), "terms")
+    sparse = rt.sparse_top_k_each(index.withColumnRenamed("doc_id", "id"), _asked_terms(index), 40, item="id")
     return rt.fused_each(dense, sparse, 8, "id").select("query_id", "id", F.round("score", 9).alias("score"))
 
 
