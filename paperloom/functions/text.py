@@ -31,6 +31,12 @@ def norm(c: Column | str) -> Column:
     return F.lower(no_space(c))
 
 
+def grams(c: Column | str, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text; none where it is shorter."""
+    text = col(c)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def filled(c: Column | str) -> Column:
     """Null for an empty string, as missing values count."""
     return F.nullif(col(c), F.lit(""))

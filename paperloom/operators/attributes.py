@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import norm, to_number
+from paperloom.functions.text import grams, norm, to_number
 
 CONFIDENCE = {"low": 0, "medium": 1, "high": 2}
-#: Known names of a broadcast block.
-KNOWN_BLOCK = 100_000
 
 
 def melted(wide: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -96,39 +94,55 @@ def as_markdown(rows: DataFrame) -> DataFrame:
     return rows.select("attr", "project", F.concat_ws("", F.lit("| "), F.concat_ws(" | ", "project", "attr", "value", number), F.lit(" |")).alias("line"))
 
 
-def uniquely_resolved(names: DataFrame, known: DataFrame, block: int = KNOWN_BLOCK) -> DataFrame:
+def held_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """``part, whole``: the pairs of ``parts(part)`` and ``wholes(whole)``, both distinct, where the whole contains the part.
+
+    A whole that contains a part has all its runs of three characters, so it is found by the one of them that the fewest
+    wholes have; a part of one or two characters is a run itself. Both ways are joins on runs: no name meets all others.
+    Empty parts and nulls match nothing here.
+    """
+    runs = wholes.select("whole", F.explode(grams("whole", 3)).alias("gram"))
+    asked = parts.filter(F.length("part") >= 3).select("part", F.explode(grams("part", 3)).alias("gram"))
+    # A part that has a run which no whole has is in no whole.
+    rarest = asked.join(runs.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("of"))
+    found = rarest.filter("of.n > 0").select("part", F.col("of.gram").alias("gram")).join(runs, "gram").filter(F.contains("whole", "part"))
+    short = parts.filter(F.length("part").isin(1, 2)).select("part", F.col("part").alias("gram"))
+    few = wholes.select("whole", F.explode(F.concat(grams("whole", 1), grams("whole", 2))).alias("gram"))
+    return found.select("part", "whole").unionByName(short.join(few, "gram").select("part", "whole"))
+
+
+def uniquely_resolved(names: DataFrame, known: DataFrame) -> DataFrame:
     """``name, project``: equal, else the one known name that holds it, else the one that ends with it, else null.
 
-    Equal names of ``known(project)`` are found by a join on them; what is left is matched against all known names,
-    which are broadcast in blocks of about ``block``, and the counts of the blocks are added up.
+    Equal names of ``known(project)`` are found by a join on them, what is left by ``held_in``.
     """
     known = known.filter("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("copies"))
     asked = names.select("name").distinct().withColumn("key", F.trim("name"))
     asked = asked.join(known.select(F.col("project").alias("same")), (F.col("key") != "") & (F.col("key") == F.col("same")), "left")
-    rest = asked.filter("same IS NULL AND key <> ''").select("name", "key")
-    ends, parts, blocks = F.endswith(F.col("project"), F.col("key")), None, -(-known.count() // block) or 1
-    for k in range(blocks):
-        own = F.broadcast(known.filter(F.pmod(F.xxhash64("project"), F.lit(blocks)) == k))
-        part = rest.join(own, F.contains(F.col("project"), F.col("key"))).groupBy("name").agg(F.sum("copies").alias("n"), F.min("project").alias("one"), F.sum(F.when(ends, F.col("copies"))).alias("n_ends"), F.min(F.when(ends, F.col("project"))).alias("end"))
-        parts = part if parts is None else parts.unionByName(part)
-    found = parts.groupBy("name").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum("n_ends").alias("n_ends"), F.min("end").alias("end"))
-    return asked.join(found, "name", "left").select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("one")), F.when((F.col("n") > 1) & (F.col("n_ends") == 1), F.col("end"))).alias("project"))
+    rest = asked.filter("same IS NULL AND key <> ''").select(F.col("key").alias("part")).distinct()
+    ends = F.endswith(F.col("project"), F.col("key"))
+    pairs = held_in(rest, known.select(F.col("project").alias("whole"))).select(F.col("part").alias("key"), F.col("whole").alias("project")).join(known, "project")
+    found = pairs.groupBy("key").agg(F.sum("copies").alias("n"), F.min("project").alias("one"), F.sum(F.when(ends, F.col("copies"))).alias("n_ends"), F.min(F.when(ends, F.col("project"))).alias("end"))
+    return asked.join(found, "key", "left").select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("one")), F.when((F.col("n") > 1) & (F.col("n_ends") == 1), F.col("end"))).alias("project"))
 
 
-def greedily_resolved(mentions: DataFrame, known: DataFrame, block: int = KNOWN_BLOCK) -> DataFrame:
+def greedily_resolved(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """``group_id, idx, project`` for ``mentions(group_id, names)``: in order, each mention takes the first free known name
     that it holds or that holds it; null where there is none. A known empty name matches everything.
 
-    Distinct mentions meet the known names ``known(project, pos)``, which are broadcast in blocks of about ``block``; what
-    matches a mention is its list of candidates, and a fold over a group's mentions takes the first free one of each.
+    Distinct mentions meet the known names ``known(project, pos)`` in both directions by ``held_in``; what matches a mention
+    is its list of candidates, and a fold over a group's mentions takes the first free one of each.
     """
     every = mentions.select("group_id", F.posexplode("names").alias("idx", "name"))
     asked = every.select("name").distinct().withColumn("m", norm("name")).filter("m <> ''")
-    matches, blocks = None, -(-known.count() // block) or 1
-    for k in range(blocks):
-        own = F.broadcast(known.filter(F.pmod(F.xxhash64("project"), F.lit(blocks)) == k).select("project", "pos"))
-        part = asked.join(own, F.contains(norm("project"), F.col("m")) | F.contains(F.col("m"), norm("project"))).select("name", "pos", "project")
-        matches = part if matches is None else matches.unionByName(part)
+    own = known.select("project", "pos", norm("project").alias("k"))
+    ms, ks = asked.select("m").distinct(), own.select("k").filter("k <> ''").distinct()
+    within = held_in(ms.withColumnRenamed("m", "part"), ks.withColumnRenamed("k", "whole")).select(F.col("part").alias("m"), F.col("whole").alias("k"))
+    around = held_in(ks.withColumnRenamed("k", "part"), ms.withColumnRenamed("m", "whole")).select(F.col("whole").alias("m"), F.col("part").alias("k"))
+    pairs = within.unionByName(around).distinct().join(own, "k").select("m", "pos", "project")
+    empty = own.filter("k = ''").agg(F.collect_list(F.struct("pos", "project")).alias("all"))  # one row
+    everywhere = ms.crossJoin(F.broadcast(empty)).select("m", F.explode("all").alias("e")).select("m", "e.pos", "e.project")
+    matches = asked.join(pairs.unionByName(everywhere), "m").select("name", "pos", "project")
     lists = matches.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "project"))), lambda x: x["project"]).alias("found"))
     rows = every.join(lists, "name", "left")
     ordered = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("found", F.array().cast("array<string>")).alias("found"))))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +97,79 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Characters of a run in the fuzzy join.
+RUN = 3
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], least_ratio: float = 90.0) -> DataFrame:
+    """``*on, a, b, ratio``: the pairs of ``left(*on, a)`` and ``right(*on, b)``, both distinct, with equal ``on`` and a ratio over ``least_ratio``.
+
+    Equal texts are joined. Others are so close that few of a text's runs of three characters can be gone: a ratio over 90
+    leaves at most a tenth of both lengths to insert or delete, and each deletion takes three runs, each insertion breaks two.
+    So two texts share one of the rarest runs of both, as many as could be gone and one more, and only those that do are
+    compared. No pair is lost; a ratio at which too few runs are sure to stay is refused.
+    """
+    loss = 1 - least_ratio / 100
+    gone = max(RUN / (1 + loss), (RUN - 1) / (1 - loss)) * 2 * loss
+    unsure = (RUN - 1) / (1 - gone) if gone < 1 else float("inf")  # shorter texts may share no run
+    if unsure * 2 * loss / (1 - loss) >= 1:
+        raise ValueError(f"at a ratio of {least_ratio} near texts need not share any run of characters")
+
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on)
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.filter(F.col(name).isNotNull()).select(*on, F.md5(name).alias("key"), F.length(name).alias("size"), F.col(name).alias("text"))
+
+    def runs(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(counted_runs, f"{kinds}, key string, size int, gram string, nth int")
+
+    a, b = keyed(left, "a"), keyed(right, "b")
+    own, other = runs(a), runs(b)
+    spread = own.select("gram", "nth").unionAll(other.select("gram", "nth")).groupBy("gram", "nth").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, side: str) -> DataFrame:
+        kept = F.slice("all", F.lit(1), F.floor(F.col("size") * F.lit(gone + 1e-9)).cast("int") + 1)
+        by_rarity = rows.join(spread, ["gram", "nth"]).groupBy(*on, "key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "nth"))).alias("all"))
+        return by_rarity.select(*on, F.col("key").alias(f"key_{side}"), F.col("size").alias(f"size_{side}"), F.explode(kept).alias("of")).select(*on, f"key_{side}", f"size_{side}", "of.gram", "of.nth")
+
+    likely = (200.0 * F.least("size_a", "size_b") / (F.col("size_a") + F.col("size_b")) > least_ratio) & (F.col("key_a") != F.col("key_b"))
+    pairs = rarest(own, "a").join(rarest(other, "b"), [*on, "gram", "nth"]).filter(likely).select(*on, "key_a", "key_b").distinct()
+    texts = [rows.select(*on, F.col("key").alias(f"key_{side}"), F.col("text").alias(side)) for rows, side in ((a, "a"), (b, "b"))]
+    near = pairs.join(texts[0], [*on, "key_a"]).join(texts[1], [*on, "key_b"]).select(*on, "a", "b").withColumn("ratio", fuzzy_ratio("a", "b"))
+    same = left.withColumn("b", F.col("a")).join(right, [*on, "b"]).select(*on, "a", "b", F.lit(100.0).alias("ratio"))
+    return near.filter(F.col("ratio") > least_ratio).unionByName(same)
+
+
+def counted_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of ``RUN`` characters of the last column, one row each in its place; the same run a second time is another one."""
+    for part in parts:
+        rows, runs, nth = [], [], []
+
+        def out(part=part, rows=rows, runs=runs, nth=nth) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            batch = pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns[:-1]), pa.array(runs, pa.string()), pa.array(nth, pa.int32())], names=[*part.schema.names[:-1], "gram", "nth"])
+            rows.clear(), runs.clear(), nth.clear()
+            return batch
+
+        for k, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+            seen: Counter = Counter()
+            for i in range(len(text) - RUN + 1):
+                run = text[i : i + RUN]
+                rows.append(k)
+                runs.append(run)
+                nth.append(seen[run])
+                seen[run] += 1
+            if len(rows) > 50_000:
+                yield out()
+        yield out()
+
+
 def ignored_edges(edges: DataFrame, least_ratio: float = 90.0) -> DataFrame:
     """Edge blocks that are like a common text of their document and edge: ``doc_id, page, edge``."""
-    common = common_edges(edges).select("doc_id", "edge", F.col("text").alias("common"))
-    shorter, longer = F.least(F.length("text"), F.length("common")), F.greatest(F.length("text"), F.length("common"))
-    likely = (F.col("text") == F.col("common")) | (200.0 * shorter / (shorter + longer) > least_ratio)
-    return edges.join(common, ["doc_id", "edge"]).filter(likely).filter(fuzzy_ratio("text", "common") > least_ratio).select("doc_id", "page", "edge").distinct()
+    common = common_edges(edges).select("doc_id", "edge", F.col("text").alias("b"))
+    texts = edges.select("doc_id", "edge", F.col("text").alias("a")).distinct()
+    like = fuzzy_pairs(texts, common, ["doc_id", "edge"], least_ratio).select("doc_id", "edge", F.col("a").alias("text")).distinct()
+    return edges.join(like, ["doc_id", "edge", "text"], "left_semi").select("doc_id", "page", "edge").distinct()
 
 
 def without_banned(spans: DataFrame, banned: DataFrame, tolerance: float = 5.0, least: int = 3) -> DataFrame:

@@ -90,7 +90,7 @@ def packed(rows: DataFrame, most: int, names: tuple[str, str, str]) -> DataFrame
             own = pa.ListArray.from_arrays(pa.array([0, len(item)], pa.int32()), item)
             yield pa.RecordBatch.from_arrays([table.column(0)[:1].combine_chunks(), pa.array([len(item)]), own, pa.array([b"".join(table.column("data").to_pylist())], pa.binary())], names=["list", count, items, data])
 
-    dealt = rows.select("list", "item", "data").hint("rebalance", "list").sortWithinPartitions("list")
+    dealt = rows.select("list", "item", "data").hint("rebalance", "list").sortWithinPartitions("list", "item")
     return dealt.mapInArrow(run, f"list long, {count} long, {items} array<{kind}>, {data} binary")
 
 
@@ -144,10 +144,15 @@ def candidates(index: DataFrame, queries: DataFrame, lists: Lists, probes: int,
                 codes = np.frombuffer(row["codes"].as_buffer(), np.int8).reshape(n, -1) * lists.steps
                 asked = np.frombuffer(row["vectors"].as_buffer(), "<f4").reshape(m, -1).astype(np.float64)
                 asked = widened(asked, codes.shape[1])
-                scores = asked @ codes.T + (asked @ lists.centroids[own])[:, None]
-                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if n > keep else np.tile(np.arange(n), (m, 1))
-                who = np.repeat(np.arange(m), best.shape[1])
-                yield pa.RecordBatch.from_arrays([row["queries"].values.take(pa.array(who)), row["items"].values.take(pa.array(best.ravel())), pa.array(scores[who, best.ravel()])], names=["query_id", "item", "score"])
+                scores = np.round(asked @ codes.T + (asked @ lists.centroids[own])[:, None], 9)
+                fit = scores >= np.partition(scores, n - keep, axis=1)[:, n - keep, None] if n > keep else np.ones(scores.shape, bool)
+                who, where = np.nonzero(fit)  # by query, then by item, as slices are in order of items
+                order = np.lexsort((where, -scores[who, where], who))
+                who, where = who[order], where[order]
+                begins = np.searchsorted(who, np.arange(m))
+                first = np.arange(len(who)) - begins[who] < keep  # of equal scores the first items
+                who, where = who[first], where[first]
+                yield pa.RecordBatch.from_arrays([row["queries"].values.take(pa.array(who)), row["items"].values.take(pa.array(where)), pa.array(scores[who, where])], names=["query_id", "item", "score"])
 
     pairs = probed(queries, lists, probes).join(index, "list")
     query, item = pairs.schema["queries"].dataType.elementType.simpleString(), pairs.schema["items"].dataType.elementType.simpleString()

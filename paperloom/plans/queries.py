@@ -805,10 +805,10 @@ def html_markdown(s, d):
 
 @query("near_copy_indel")
 def near_copy_indel(s, d):
-    """Distinct lines against the least line that begins with the same twelve characters."""
-    rows = ad.lines(s, d).filter("length(text) > 12").select(F.col("text").alias("a")).distinct().withColumn("head", F.substring("a", 1, 12))
-    first = rows.groupBy("head").agg(F.min("a").alias("b"))
-    return rows.join(first, "head").filter("a <> b").select("a", "b", F.round(nz.fuzzy_ratio("a", "b"), 6).alias("ratio"))
+    """All pairs of different lines of a document that are nearly the same."""
+    rows = ad.lines(s, d).select("doc_id", "text").distinct()
+    pairs = nz.fuzzy_pairs(rows.withColumnRenamed("text", "a"), rows.withColumnRenamed("text", "b"), ["doc_id"])
+    return pairs.filter("a < b").select("doc_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
