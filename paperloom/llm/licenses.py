@@ -28,8 +28,8 @@ PASSAGES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program": "gpl",
     "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
 }
-#: Words of a gram of a short template and of one of more than SHORT words.
-K, LONG_K, SHORT = 2, 5, 24
+#: Words of a gram. With two, a passage whose kept words stand in pairs at least has all of them in grams, whatever its length.
+K = 2
 #: Diagonals apart that still merge, share of a passage's words that a span needs, longest span against the passage in halves.
 GAP, COVER, STRETCH_HALVES = 3, 0.8, 3
 #: A span's length in the order that its window looks along; every template's own length is scaled to it.
@@ -52,19 +52,18 @@ def template_grams(phrases: dict[str, str], passages: dict[str, str]) -> list[tu
     rows = []
     for number, (text, label, exact) in enumerate([(t, v, True) for t, v in phrases.items()] + [(t, v, False) for t, v in passages.items()]):
         words = text.split()
-        k = K if len(words) <= SHORT else LONG_K
         if len(words) < K:
             raise ValueError(f"a template has {K} words or more, not {len(words)}")
-        span = (len(words) if exact else len(words) * STRETCH_HALVES // 2) - k + 1
-        rows += [(number, label, exact, len(words), k, span, at, *words[at : at + k], *[None] * (LONG_K - k)) for at in range(len(words) - k + 1)]
+        span = (len(words) if exact else len(words) * STRETCH_HALVES // 2) - K + 1
+        rows += [(number, label, exact, len(words), K, span, at, *words[at : at + K]) for at in range(len(words) - K + 1)]
     return rows
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str]) -> DataFrame:
     """The grams of the templates with their hash ``gram``, and template -1 for the row that each document sends ahead; fixed and small."""
-    rows = [(-1, "", False, 1, 0, 1, 0, *[None] * LONG_K), *template_grams(phrases, passages)]
-    schema = "template int, label string, exact boolean, words int, k int, span int, at int, " + ", ".join(f"t{j} string" for j in range(LONG_K))
-    gram = F.when(F.col("k") == 0, F.lit(0).cast("long")).when(F.col("k") == K, gram_hash("t", K)).otherwise(gram_hash("t", LONG_K))
+    rows = [(-1, "", False, 1, 0, 1, 0, *[None] * K), *template_grams(phrases, passages)]
+    schema = "template int, label string, exact boolean, words int, k int, span int, at int, " + ", ".join(f"t{j} string" for j in range(K))
+    gram = F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(gram_hash("t", K))
     return spark.createDataFrame(rows, schema).withColumn("gram", gram)
 
 
@@ -92,14 +91,12 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: d
     spark = docs.sparkSession
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("doc_id"), F.concat(F.array(F.lit("")), words_of(F.col(f"`{text}`"))).alias("doc_words"))
     places = source.select("uid", "doc_id", F.size("doc_words").alias("n"), "doc_words", F.posexplode("doc_words").alias("i", "w0"))
-    places = places.select("uid", "doc_id", "n", (F.col("i") - 1).alias("i"), "w0", *(F.get("doc_words", F.col("i") + j).alias(f"w{j}") for j in range(1, LONG_K)))
+    places = places.select("uid", "doc_id", "n", (F.col("i") - 1).alias("i"), "w0", *(F.get("doc_words", F.col("i") + j).alias(f"w{j}") for j in range(1, K)))
     ahead = F.col("i") < 0
-    short = F.when(ahead, F.lit(0).cast("long")).when(F.col(f"w{K - 1}").isNotNull(), gram_hash("w", K))
-    long = F.when(~ahead & F.col(f"w{LONG_K - 1}").isNotNull(), gram_hash("w", LONG_K))
-    grams = places.withColumn("gram", F.explode(F.array(short, long)))
-    alike = [F.col(f"w{j}") == F.col(f"t{j}") for j in range(LONG_K)]
-    first, rest = reduce(Column.__and__, alike[:K]), reduce(Column.__and__, alike[K:])
-    same = ahead & (F.col("k") == 0) | ~ahead & (F.col("k") > 0) & first & ((F.col("k") == K) | rest)
+    gram = F.when(ahead, F.lit(0).cast("long")).when(F.col(f"w{K - 1}").isNotNull(), gram_hash("w", K))
+    grams = places.withColumn("gram", gram)
+    alike = reduce(Column.__and__, [F.col(f"w{j}") == F.col(f"t{j}") for j in range(K)])
+    same = ahead & (F.col("k") == 0) | ~ahead & (F.col("k") > 0) & alike
     votes = grams.join(F.broadcast(templates(spark, phrases, passages)), "gram").filter(same)
     votes = votes.select("uid", "doc_id", "n", "template", "label", "exact", "words", "k", "span", "i", "at", (F.col("i") - F.col("at")).alias("diagonal")).repartition("uid")
     along = Window.partitionBy("uid", "template").orderBy("diagonal", "i")
@@ -137,7 +134,7 @@ WITH d AS (
   SELECT * FROM (VALUES {_template_rows()}) AS v(template, label, exact, words, k, span, place, gram)
 ), g AS (
   SELECT uid, i - 1 AS i, k, array_to_string(w[i:i + k - 1], ' ') AS gram
-  FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES ({K}), ({LONG_K})) AS s(k) WHERE len(w) >= k)
+  FROM (SELECT uid, w, {K} AS k, unnest(range(1, len(w) - {K} + 2)) AS i FROM d WHERE len(w) >= {K})
 ), votes AS (
   SELECT uid, template, label, exact, words, tg.k AS k, span, i, place, i - place AS diagonal FROM g JOIN tg ON g.k = tg.k AND g.gram = tg.gram
 ), marked AS (

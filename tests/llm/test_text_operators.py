@@ -165,6 +165,17 @@ def test_slot_maps_are_versions(spark, tmp_path):
     assert third.filter("shard = 2").count() == 2 * (32 // 3)
 
 
+def test_every_passage_is_found_with_every_fifth_word_changed(spark):
+    """Four words in five stay, which is what a span needs, whatever the passage's length."""
+    changed = [(label, " ".join("zz" if k % 5 == 4 else w for k, w in enumerate(t.split()))) for t, label in licenses.PASSAGES.items()]
+    kept = {t: 1 - t.split().count("zz") / len(t.split()) for _, t in changed}
+    found = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame([(t, t) for _, t in changed], "doc_id string, text string")).collect()}
+    for label, text in changed:
+        alone = len(text.split()) % 5 == 1  # then the last word stands alone behind a changed one, in no pair
+        if kept[text] >= licenses.COVER and not alone:
+            assert label in found[text].labels.split(","), text
+
+
 def test_licenses_of_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in licenses.scanned(odd).collect()}
     assert licenses.scanned(odd).count() == len(rows())
