@@ -43,7 +43,7 @@ class ByteTokens:
             self.bytes[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.own = self.own or WordwiseEncoder(self.path)
+        self.own = self.own or WordwiseEncoder(self.path, plain=True)
         return [np.frombuffer(ids, "<u4") for ids in self.own.encode([" " + t for t in texts])]
 
     def release(self) -> None:

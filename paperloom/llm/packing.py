@@ -30,12 +30,12 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, n, length)]
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, length: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, length: int, end_id: int, plain: bool) -> DataFrame:
     """A row per piece, with the task that made it and the piece's number among those of its length in that task."""
     end = end_bytes(end_id)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, made = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        own, task, made = encoder(tokenizer_path, plain), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for part in parts:
             ids, texts = part.column(0), part.column(1).to_pylist()
             for at in range(0, len(texts), TEXTS):
@@ -165,7 +165,7 @@ class Slots:
         return sequence, offset
 
 
-def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END, plain: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     One scan encodes the texts and writes the pieces (no ids) to the shared folder, each with its number among the
@@ -174,11 +174,12 @@ def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     histogram of lengths, which has ``length`` numbers whatever the input; its broadcast has as many rows as patterns
     exist at most.
 
+    Names of special tokens in a text are those tokens, as the tokenizers have it, or ordinary text with ``plain``.
     Null texts are empty: one piece with the end id. Null or repeated ids and repeated rows are packed row by row.
     An empty table gives an empty result; other columns are not read.
     """
     bounded(docs.sparkSession)
-    made = written(pieces(docs, key, text, tokenizer_path, length, end_id), "pieces")
+    made = written(pieces(docs, key, text, tokenizer_path, length, end_id, plain), "pieces")
     counts = made.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("task", "length", "n", F.coalesce("before", F.lit(0)).alias("before")), "piece-counts")
     histogram = np.zeros(length + 1, np.int64)

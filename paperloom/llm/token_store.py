@@ -102,13 +102,13 @@ class Store:
         return self.spark.read.schema("part int, n_docs long, n_tokens long, root string").parquet(f"{self.path}/manifest")
 
 
-def cut_documents(source: DataFrame, tokenizer_path: str, end_id: int, id_type: str) -> DataFrame:
+def cut_documents(source: DataFrame, tokenizer_path: str, end_id: int, id_type: str, plain: bool) -> DataFrame:
     """Chunks and recipes as rows of one table, ``kind, place, uid, doc_id, sizes, data``; a task sends a chunk once."""
     end = end_bytes(end_id)
     names = ["kind", "place", "uid", "doc_id", "sizes", "data"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sent = encoder(tokenizer_path), set()
+        own, sent = encoder(tokenizer_path, plain), set()
         for part in parts:
             uids, doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
             for first in range(0, len(texts), TEXTS):
@@ -175,7 +175,7 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
     return inner.withColumnRenamed("run", "pos").groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), node("root").alias("root"))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END) -> Store:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END, plain: bool = False) -> Store:
     """Encodes every whole text, appends the end id, and writes the ids as a store.
 
     Texts are encoded once. Each stream of ids is cut where a rolling hash says so, and chunks meet by their SHA-256 in
@@ -183,13 +183,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc
     as many rows as there are tasks at most. Recipes (digests and sizes of a document's chunks) are written in ascending
     order of doc_id, with the Merkle root over the digests; the manifest has a root over each part's documents.
 
+    Names of special tokens in a text are those tokens, as the tokenizers have it, or ordinary text with ``plain``.
     A null text is the end id alone. A null id sorts first; rows with equal ids follow each other in the order of the
     table. An empty table gives an empty store. Other columns are not read.
     """
     spark, id_type = docs.sparkSession, docs.schema[key].dataType.simpleString()
     store = Store(spark, path, id_type)
     source = row_ids(docs, [key, text]).toDF("uid", "doc_id", "text")
-    mixed = cut_documents(source, tokenizer_path, end_id, id_type)
+    mixed = cut_documents(source, tokenizer_path, end_id, id_type, plain)
     sorted_rows = mixed.repartition("place").sortWithinPartitions("kind", "place")
     sorted_rows.mapInArrow(once, mixed.schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/draft")
     draft = spark.read.schema(mixed.schema).parquet(f"{path}/draft")

@@ -24,7 +24,7 @@ SIMPLE = re.compile(f"([{_L}]+)([{_P}]*)(?:\n([{_L}]+)([{_P}]*))?")
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: The cuts that never change ids: before a space that follows a non-space or precedes one.
 SAFE_CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
-_ENCODERS: dict[str, WordwiseEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordwiseEncoder] = {}
 
 
 def byte_letters() -> dict[int, int]:
@@ -50,14 +50,17 @@ class WordwiseEncoder:
     The tokenizers cut at white space before they merge, so a text's ids are those of its words one after another, each
     word with the space before it. Texts are cut before spaces only, and where spaces stand next to other white space
     only before the last of them, which is where the tokenizers cut too.
+
+    A special token's name inside a text is that token, as the tokenizers have it; with ``plain`` it is ordinary text.
+    A text with such a name is encoded by the tokenizer as a whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
+        self.tokenizer.encode_special_tokens = plain
         #: Ids of words with a space before them, by the word, and of what starts a text.
         self.spaced: dict[str, bytes] = {}
         self.met, self.met_pieces = bytearray(MET), bytearray(MET)
@@ -67,10 +70,11 @@ class WordwiseEncoder:
         self.pieces: dict[str, bytes] = {"": b""}
         with open(path, encoding="utf-8") as file:
             shape = json.load(file)
-        cut, plain = shape["pre_tokenizer"]["type"], shape["normalizer"]
-        lowers = bool(plain) and any(x["type"] == "Lowercase" for x in plain.get("normalizers", []))
+        self.names = [] if plain else [x["content"] for x in shape["added_tokens"]]
+        cut, normal = shape["pre_tokenizer"]["type"], shape["normalizer"]
+        lowers = bool(normal) and any(x["type"] == "Lowercase" for x in normal.get("normalizers", []))
         #: True: a piece has the space before it. False: lower-cased, spaces dropped. None: words are not taken apart here.
-        self.spaces = True if cut == "ByteLevel" and not plain else False if lowers and shape["model"]["end_of_word_suffix"] == "</w>" else None
+        self.spaces = True if cut == "ByteLevel" and not normal else False if lowers and shape["model"]["end_of_word_suffix"] == "</w>" else None
 
     def _piece(self, before: str, letters: str) -> bytes:
         piece = before + letters
@@ -137,6 +141,10 @@ class WordwiseEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        named = {k for name in self.names for k, text in enumerate(texts) if name in text}
+        if named:
+            others = iter(self.encode([t for k, t in enumerate(texts) if k not in named]))
+            return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if k in named else next(others) for k, t in enumerate(texts)]
         starts, rest = [], []
         for text in texts:
             if UNSAFE.search(text):
@@ -152,11 +160,11 @@ class WordwiseEncoder:
         return [b"".join(h + t) for h, t in zip(heads, tails, strict=True)]
 
 
-def encoder(path: str) -> WordwiseEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordwiseEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> WordwiseEncoder:
+    """One encoder per worker process, file and treatment of special tokens' names."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = WordwiseEncoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def end_bytes(end_id: int) -> bytes:

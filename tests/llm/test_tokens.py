@@ -13,9 +13,11 @@ from tests.llm.conftest import rows
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {f: (tokens.WordwiseEncoder(tokens.vocabulary(f)), Tokenizer.from_file(tokens.vocabulary(f))) for f in FILES}
-for _, plain in ENCODERS.values():
-    plain.encode_special_tokens = True
-PIECES = [" ", "  ", "\n", "\t", " ", "\x1c", "\x85", "a", "B", "é", "́", "'s", "'", "12", "!", "<|endoftext|>", "中", "İ", "Σ", "ß", "×", "　", "word", "Don't", ". ", ".\n", "X\nY"]
+#: Encoders to which the names of special tokens are ordinary text.
+PLAIN = {f: (tokens.WordwiseEncoder(tokens.vocabulary(f), plain=True), Tokenizer.from_file(tokens.vocabulary(f))) for f in FILES}
+for _, library in PLAIN.values():
+    library.encode_special_tokens = True
+PIECES = [" ", "  ", "\n", "\t", " ", "\x1c", "\x85", "a", "B", "é", "́", "'s", "'", "12", "!", "<|endoftext|>", "<|startoftext|>", "<|", "中", "İ", "Σ", "ß", "×", "　", "word", "Don't", ". ", ".\n", "X\nY"]
 
 
 def ids_of(file, texts):
@@ -25,7 +27,7 @@ def ids_of(file, texts):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=10))
 def test_wordwise_ids_are_the_tokenizers(pieces):
-    for own, plain in ENCODERS.values():
+    for own, plain in [*ENCODERS.values(), *PLAIN.values()]:
         text = "".join(pieces)
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -37,6 +39,14 @@ def test_wordwise_ids_of_any_text(text):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_names_of_special_tokens():
+    """As the tokenizers have it, and spelt out where that is asked for."""
+    for file, text in (("byte_bpe_50k.json", "a <|endoftext|> b"), ("word_bpe_49k.json", "a <|startoftext|> b<|endoftext|>")):
+        ids, spelt = (np.frombuffer(e[file][0].encode([text, "c"])[0], "<u4").tolist() for e in (ENCODERS, PLAIN))
+        assert ids == Tokenizer.from_file(tokens.vocabulary(file)).encode(text, add_special_tokens=False).ids
+        assert spelt == PLAIN[file][1].encode(text, add_special_tokens=False).ids != ids
+
+
 def checked_packing(got, streams):
     """Every id once, pieces cut as they should be, sequences gapless and short enough."""
     by_doc = {}
