@@ -1,4 +1,4 @@
-"""Page layout: lines to blocks, reading order, groups, tables. Every spatial join has document and page as equal keys."""
+"""Page layout: lines to blocks, reading order, groups, tables. Spatial joins have document, page and a tile of the page as equal keys."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.geometry import Box, reading_row
+from paperloom.operators.tiles import meeting_pairs, nearest
 
 PAGE = ["doc_id", "page"]
 
@@ -19,7 +20,7 @@ def side(rows: DataFrame, prefix: str, item: str) -> DataFrame:
 
 def largest_overlap(lines: DataFrame, blocks: DataFrame, line: str = "line_no", block: str = "block_no") -> DataFrame:
     """``doc_id, page, line, block, area``: each line's block with the largest overlap, of equal ones the first."""
-    pairs = side(lines, "a_", line).join(side(blocks, "b_", block), PAGE).filter(Box.of("a_").meets(Box.of("b_")))
+    pairs = meeting_pairs(side(lines, "a_", line), side(blocks, "b_", block))
     area = Box.of("a_").intersection(Box.of("b_"))
     return pairs.groupBy(*PAGE, F.col("a_id").alias(line)).agg(F.max_by("b_id", F.struct(area, -F.col("b_id"))).alias(block), F.max(area).alias("area"))
 
@@ -28,10 +29,10 @@ def nearest_block(lines: DataFrame, blocks: DataFrame, most: float = 20.0, x_wei
     """``doc_id, page, line, block``: for lines that overlap no block, the nearest by centre, null beyond ``most``."""
     own = largest_overlap(lines, blocks, line, block).select(*PAGE, line)
     alone = lines.join(own, [*PAGE, line], "left_anti")
-    pairs = side(alone, "a_", line).join(side(blocks, "b_", block), PAGE, "left")
     far = Box.of("a_").center_distance(Box.of("b_"), x_weight=x_weight)
-    best = pairs.groupBy(*PAGE, F.col("a_id").alias(line)).agg(F.min_by("b_id", F.struct(far, F.col("b_id"))).alias("_b"), F.min(far).alias("_d"))
-    return best.select(*PAGE, line, F.when(F.col("_d") < most, F.col("_b")).alias(block))
+    best = nearest(side(alone, "a_", line), side(blocks, "b_", block), far, lambda w, h: F.least(w * x_weight**0.5, h))
+    own = best.filter(F.col("far") < most).select(*PAGE, F.col("a_id").alias(line), F.col("b_id").alias(block))
+    return alone.select(*PAGE, line).join(own, [*PAGE, line], "left")
 
 
 def assigned(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -41,33 +42,36 @@ def assigned(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def coverage(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id, page, share``: the part of a page's blocks that at least one line meets."""
-    hit = side(blocks, "a_", "block_no").join(side(lines, "b_", "line_no"), PAGE).filter(Box.of("a_").meets(Box.of("b_"))).select(*PAGE, F.col("a_id").alias("block_no")).distinct()
+    hit = meeting_pairs(side(blocks, "a_", "block_no"), side(lines, "b_", "line_no")).select(*PAGE, F.col("a_id").alias("block_no")).distinct()
     rows = blocks.select(*PAGE, "block_no").join(hit.withColumn("hit", F.lit(1)), [*PAGE, "block_no"], "left")
     return rows.groupBy(*PAGE).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
 
 
 def crowded_pages(lines: DataFrame, most: int = 2) -> DataFrame:
     """Pages where a line meets more than ``most`` lines, itself included."""
-    pairs = side(lines, "a_", "line_no").join(side(lines, "b_", "line_no"), PAGE).filter(Box.of("a_").meets(Box.of("b_")))
+    pairs = meeting_pairs(side(lines, "a_", "line_no"), side(lines, "b_", "line_no"))
     return pairs.groupBy(*PAGE, "a_id").count().filter(F.col("count") > most).select(*PAGE).distinct()
 
 
 def largest_mutual_share(blocks: DataFrame) -> DataFrame:
     """``doc_id, page, share``: the largest part of a block that another covers."""
-    pairs = side(blocks, "a_", "block_no").join(side(blocks, "b_", "block_no"), PAGE).filter("a_id <> b_id")
-    return pairs.groupBy(*PAGE).agg(F.max(Box.of("a_").share_inside(Box.of("b_"))).alias("share"))
+    pairs = meeting_pairs(side(blocks, "a_", "block_no"), side(blocks, "b_", "block_no")).filter("a_id <> b_id")
+    most = pairs.groupBy(*PAGE).agg(F.max(Box.of("a_").share_inside(Box.of("b_"))).alias("share"))
+    several = blocks.groupBy(*PAGE).agg(F.countDistinct("block_no").alias("n")).filter("n > 1").drop("n")
+    return several.join(most, PAGE, "left").select(*PAGE, F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def not_covered(blocks: DataFrame, tables: DataFrame, share: float = 0.95) -> DataFrame:
     """Blocks that no table covers by more than ``share``."""
-    hidden = side(blocks, "a_", "block_no").join(side(tables, "b_", "block_no"), PAGE).filter((F.col("a_id") != F.col("b_id")) & (Box.of("a_").share_inside(Box.of("b_")) > share))
+    hidden = meeting_pairs(side(blocks, "a_", "block_no"), side(tables, "b_", "block_no")).filter((F.col("a_id") != F.col("b_id")) & (Box.of("a_").share_inside(Box.of("b_")) > share))
     return blocks.join(hidden.select(*PAGE, F.col("a_id").alias("block_no")).distinct(), [*PAGE, "block_no"], "left_anti")
 
 
 def nearest_corner(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """``doc_id, page, ref_no, block_no``: for each reference the block with the nearest upper left corner."""
-    pairs = side(points, "a_", "ref_no").join(side(blocks, "b_", "block_no"), PAGE)
-    return pairs.groupBy(*PAGE, F.col("a_id").alias("ref_no")).agg(F.min_by("b_id", F.struct(Box.of("a_").corner_distance(Box.of("b_")), F.col("b_id"))).alias("block_no"))
+    far = Box.of("a_").corner_distance(Box.of("b_"))
+    best = nearest(side(points, "a_", "ref_no"), side(blocks, "b_", "block_no"), far, F.least, lambda box: (box.x0, box.y0))
+    return best.select(*PAGE, F.col("a_id").alias("ref_no"), F.col("b_id").alias("block_no"))
 
 
 def merged_boxes(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -267,9 +271,9 @@ def subtitles(spans: DataFrame, titles: DataFrame, close: float = 0.1, ratio: fl
 
 def placed_orphans(blocks: DataFrame, orphans: DataFrame, y_weight: float = 5.0) -> DataFrame:
     """``doc_id, page, block_no, place``: blocks in order with each orphan behind the nearest block."""
-    pairs = side(orphans, "a_", "block_no").join(side(blocks, "b_", "block_no"), PAGE)
     far = Box.of("a_").center_distance(Box.of("b_"), y_weight=y_weight, absolute=True)
-    anchor = pairs.groupBy(*PAGE, F.col("a_id").alias("block_no")).agg(F.min_by("b_id", F.struct(far, F.col("b_id"))).alias("anchor"))
+    best = nearest(side(orphans, "a_", "block_no"), side(blocks, "b_", "block_no"), far, lambda w, h: F.least(w, h * y_weight))
+    anchor = best.select(*PAGE, F.col("a_id").alias("block_no"), F.col("b_id").alias("anchor"))
     every = blocks.select(*PAGE, "block_no", F.col("block_no").alias("anchor"), F.lit(0).alias("late")).unionByName(orphans.select(*PAGE, "block_no").join(anchor, [*PAGE, "block_no"], "left").select(*PAGE, "block_no", "anchor", F.lit(1).alias("late")))
     w = Window.partitionBy(*PAGE).orderBy(F.asc_nulls_last("anchor"), "late", "block_no")
     return every.withColumn("place", F.row_number().over(w) - 1).select(*PAGE, "block_no", "place")
