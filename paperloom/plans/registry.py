@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import block_queries, more_queries, work_queries  # noqa: F401  they register their queries
+from paperloom.plans import block_queries, edit_queries, more_queries, work_queries  # noqa: F401  they register their queries
 from paperloom.plans import queries as bound
 
 flagship = bound.flagship
