@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import html
 import io
 import re
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import file_name, stem_of
-from paperloom.operators.blocks import placed_cells
+from paperloom.sources.html_tree import markdown_of
 
 #: Fixed value: the encodings that are tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5")
@@ -132,51 +131,8 @@ def html_links(c: Column | str) -> Column:
     return F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']*)[\"']"), F.lit(1))
 
 
-def _pipe_table(match: re.Match) -> str:
-    """An HTML table as a Markdown table: a cell's text at its first place, blanks where it spans, a rule under row one."""
-    cells = placed_cells(match[0])
-    if not cells:
-        return ""
-    height, width = max(r + d for r, _, d, *_ in cells), max(c + a for _, c, _, a, *_ in cells)
-    grid = [[""] * width for _ in range(height)]
-    for r, c, *_, text in cells:
-        grid[r][c] = " ".join(text.split()).replace("|", "\\|")
-    rows = ["| " + " | ".join(row) + " |" for row in grid]
-    return "\n\n" + "\n".join([rows[0], "|" + " --- |" * width, *rows[1:]]) + "\n\n"
-
-
-#: Tags and what stands for them in Markdown, in the order in which they are rewritten.
-MARKDOWN_RULES = [
-    (r"(?is)<(script|style)\b.*?</\1\s*>", ""),
-    (r"(?is)<table\b.*?</table\s*>", _pipe_table),
-    (r"(?is)<math\b[^>]*display=[\"']block[\"'][^>]*>(.*?)</math\s*>", lambda m: "\n\n\0\0" + m[1].strip() + "\0\0\n\n"),
-    (r"(?is)<math\b[^>]*>(.*?)</math\s*>", lambda m: "\0" + m[1].strip() + "\0"),
-    (r"(?is)<h([1-6])[^>]*>(.*?)</h\1\s*>", lambda m: "\n\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n\n"),
-    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", r"**\1**"),
-    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", r"*\1*"),
-    (r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>", r"[\2](\1)"),
-    (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)<br\s*/?>", "\n"),
-    (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-    (r"(?is)<div\b[^>]*\bclass=[\"']page[\"'][^>]*\bdata-page-id=[\"'](\d+)[\"'][^>]*>", lambda m: "\n\n{" + m[1] + "}" + "-" * 48 + "\n\n"),
-    (r"(?i)</(?:p|div|ul|ol|tr|nav|footer)\s*>", "\n\n"),
-    (r"(?s)<[^>]*>", ""),
-]
-
-
-def markdown_of(page: str) -> str:
-    """One page as Markdown. Dollar signs of the text are escaped, those around formulas are not."""
-    page = page.replace("\0", "").replace("$", "\\$")
-    for pattern, to in MARKDOWN_RULES:
-        page = re.sub(pattern, to, page)
-    formulas = re.compile("(\0\0?)(.*?)\\1", re.S)
-    page = formulas.sub(lambda m: "$" * len(m[1]) + m[2].replace("\\$", "$") + "$" * len(m[1]), page)
-    return re.sub(r"\n{3,}", "\n\n", html.unescape(page)).strip()
-
-
 def html_markdown(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, markdown``: pages as Markdown with headings, emphasis, list items, links, tables, formulas, rules and page
-    markers, by a rewriting of tags in Arrow batches."""
+    """``key, markdown``: pages as Markdown (see ``html_tree``), in Arrow batches; a null page is empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
