@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import edits as ed
+from paperloom.operators import positions as ps
 from paperloom.operators import spans as sp
 from paperloom.plans import adapters as ad
 from paperloom.plans.queries import query
@@ -94,3 +95,28 @@ def _by_heading(row: dict) -> str:
 def pages_routed(s, d):
     """Pages without a heading raise an error in their route, and go the fast way with a mark."""
     return qu.routed(ad.table(s, d, "pages").select("page_id", "html"), _by_heading).select("page_id", "route", "route_fallback")
+
+
+def _pages(s, d):
+    return ad.lines(s, d).select("doc_id", "page").distinct()
+
+
+_PAGES = f"{ad.LINES}, pg AS (SELECT DISTINCT doc_id, page FROM lines), nr AS (SELECT *, row_number() OVER (ORDER BY doc_id, page) - 1 AS k FROM pg)"
+
+
+@query("pages_to_recognise", f"WITH {_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (k % 3 = 1 OR k % 5 = 0) AS n_bad, count(*) FILTER (k % 3 = 1 OR k % 5 = 0) >= count(*) * 0.5 AS recognise FROM nr GROUP BY 1")
+def pages_to_recognise(s, d):
+    """Labels without keys, made in the order of the pages, are scattered back by position."""
+    told = ps.numbered(_pages(s, d), "doc_id", "page", name="k").select("k", F.when((F.col("k") % 3 == 1) | (F.col("k") % 5 == 0), "bad").otherwise("good").alias("label"))
+    return ps.pages_to_recognise(_pages(s, d), told, ["k"])
+
+
+@query("tables_page_text", f"WITH {ad.LINES}, tb AS (SELECT doc_id, page, line_no FROM lines WHERE line_no % 4 < 2), pt AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS page_text FROM lines GROUP BY 1, 2) SELECT doc_id, page, line_no, md5(page_text) AS page_text FROM tb JOIN pt USING (doc_id, page)")
+def tables_page_text(s, d):
+    """Each page with tables is read once, and what comes back in order of pages goes to its tables by position."""
+    lines = ad.lines(s, d)
+    tables = lines.filter("line_no % 4 < 2").select("doc_id", "page", "line_no")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    texts = lines.groupBy("doc_id", "page").agg(body.alias("t")).join(tables.select("doc_id", "page").distinct(), ["doc_id", "page"])
+    answers = ps.numbered(texts, "doc_id", "page", name="k").select("k", F.md5("t").alias("page_text"))
+    return ps.gathered_per_page(tables, answers, ["k"]).select("doc_id", "page", "line_no", "page_text")
