@@ -12,7 +12,7 @@ from paperloom.operators import layout as ly
 from paperloom.operators import markdown as md
 from paperloom.operators import retrieval as rt
 from paperloom.plans import adapters as ad
-from paperloom.plans.queries import _COS, _KINDS, _asked, _kinds, query
+from paperloom.plans.queries import _KINDS, _kinds, _PAIRS, _questions, query
 from paperloom.sources import files as src
 from paperloom.sources import sinks
 
@@ -159,25 +159,30 @@ def geom_scalars(s, d):
     return pairs.select("doc_id", F.col("a_id").alias("line_no"), F.round(a.area, 6).alias("area"), F.round(a.gap(b), 6).alias("gap"), a.normalised(200, 200)[0].alias("nx0"))
 
 
-@query("search_reranked", f"WITH t AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 10) SELECT vec_id, rank, (vec_id * 7919 % 101)::DOUBLE AS score FROM t ORDER BY score DESC, vec_id LIMIT 3")
+@query("search_reranked", f"WITH {_PAIRS}, t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pr QUALIFY rank <= 10) SELECT query_id, vec_id, rank, (vec_id * 7919 % 101)::DOUBLE AS score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vec_id * 7919 % 101 DESC, vec_id) <= 3")
 def search_reranked(s, d):
-    top = rt.dense_top_k(ad.table(s, d, "embeddings"), _asked(s, d), 10)
-    return rt.reranked(top, (F.col("vec_id") * 7919 % 101).cast("double"), "vec_id").select("vec_id", "rank", "score")
+    top = rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 10)
+    return rt.reranked_each(top, (F.col("vec_id") * 7919 % 101).cast("double"), "vec_id")
 
 
-def _by_label(s, d):
-    asked = F.array(*(F.lit(float(x)) for x in _asked(s, d)))
-    return ad.table(s, d, "embeddings").select(F.concat(F.lit("l"), "label").alias("entity"), "vec_id", rt.cosine(F.col("embedding"), asked).alias("score"))
+def _routed(s, d):
+    """Every question is a comparison; by its id it names two known labels and an unknown one, a single one, or none."""
+    third = F.floor(F.col("query_id") / 20) % 3
+    some = lambda *names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    asked = _questions(s, d).select("query_id", F.lit("compare").alias("intent"), F.when(third == 0, some("l1", "l2", "l9x")).when(third == 1, some("l3")).otherwise(some()).alias("entities"), F.when(third == 0, some("l1", "l2", "l3")).when(third == 1, some("l3")).otherwise(some()).alias("only"))
+    named = ad.table(s, d, "embeddings").withColumn("entity", F.concat(F.lit("l"), "label"))
+    best = rt.dense_top_k_each(named, _questions(s, d), 5, by="entity")
+    return rt.route_and_search_each(best, rt.routes(asked), 5, 2, "entity", "vec_id").select("query_id", "entity", "vec_id", "rank", "intent")
 
 
-@query("route_compare", f"SELECT 'l' || label AS entity, vec_id, rank, 'compare' AS intent FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings WHERE label IN (1, 2)) WHERE rank <= 2")
+@query("route_compare", f"WITH {_PAIRS} SELECT query_id, 'l' || label AS entity, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank, 'compare' AS intent FROM pr WHERE label IN (1, 2) AND query_id // 20 % 3 = 0 QUALIFY rank <= 2")
 def route_compare(s, d):
-    return rt.route_and_search(_by_label(s, d), "compare", ["l1", "l2", "l9x"], ["l1", "l2", "l3"], 8, 2, "entity", "vec_id").select("entity", "vec_id", "rank", "intent")
+    return _routed(s, d).filter("intent = 'compare'")
 
 
-@query("route_fact", f"SELECT 'l' || label AS entity, vec_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank, 'fact' AS intent FROM embeddings WHERE label = 3 QUALIFY rank <= 5")
+@query("route_fact", f"WITH {_PAIRS} SELECT query_id, 'l' || label AS entity, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, 'fact' AS intent FROM pr WHERE query_id // 20 % 3 = 2 OR (query_id // 20 % 3 = 1 AND label = 3) QUALIFY rank <= 5")
 def route_fact(s, d):
-    return rt.route_and_search(_by_label(s, d), "compare", ["l3"], ["l3"], 5, 2, "entity", "vec_id").select("entity", "vec_id", "rank", "intent")
+    return _routed(s, d).filter("intent = 'fact'")
 
 
 @query("inv_located", f"WITH {ad.SNAPSHOTS}, r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN file_key ELSE lang || '/renamed/' || stem || '.md' END AS ref, lang, stem FROM files) SELECT ref, coalesce(s.file_key, n.file_key) AS file_key FROM r LEFT JOIN new_files s ON s.file_key = r.ref LEFT JOIN new_files n ON n.lang = r.lang AND n.stem = r.stem")

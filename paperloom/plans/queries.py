@@ -528,22 +528,11 @@ def numbered_lines(s, d):
 
 # --- retrieval
 
-_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
-_COS = f"list_cosine_similarity(embedding::DOUBLE[], {_Q})"
-
-
-def _asked(s, d):
-    return list(ad.table(s, d, "embeddings").filter("vec_id = 0").first().embedding)
-
-
 def _terms(s, d):
     return rt.sparse_index(ad.table(s, d, "documents"), F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: x != ""))
 
 
 TERMS = {"the": 1.0, "of": 0.5, "un": 2.0, "die": 1.5}
-@query("search_dense", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
-def search_dense(s, d):
-    return rt.dense_top_k(ad.table(s, d, "embeddings"), _asked(s, d), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 def _questions(s, d):
@@ -555,6 +544,11 @@ _EACH = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE
 _PAIRS = f"pr AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_EACH} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"
 
 
+@query("search_dense", f"WITH {_PAIRS} SELECT query_id, vec_id, round(score, 6) AS score FROM pr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pr.score DESC, vec_id) <= 10")
+def search_dense(s, d):
+    return rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("search_dense_filtered", f"WITH {_PAIRS} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pr WHERE label IN (1, 2, 3) QUALIFY rank <= 10")
 def search_dense_filtered(s, d):
     found = rt.dense_top_k_each(ad.table(s, d, "embeddings"), _questions(s, d), 10, where=F.col("label").isin(1, 2, 3))

@@ -69,3 +69,11 @@ def test_posting_blocks_lose_nothing(spark, seed, size, k):
     assert got == want
     read = rt.postings_read(rt.block_plan(blocks, queries, k)[0]).agg(F.sum("n_all").alias("a"), F.sum("n_read").alias("r")).first()
     assert read.r < read.a or k == 10
+
+
+def test_routes_of_many_questions_are_those_of_one(spark):
+    rng = random.Random(3)
+    names = ["a", "b", "c", "d"]
+    asked = [(k, rng.choice(["compare", "fact", "structured", "other"]), rng.choices(names, k=rng.randrange(4)), rng.sample(names, rng.randrange(3))) for k in range(60)]
+    got = {r.query_id: (r.kind, r.kept) for r in rt.routes(spark.createDataFrame(asked, "query_id long, intent string, entities array<string>, only array<string>"), most=3).collect()}
+    assert got == {k: rt.routed(intent, entities, only, most=3) for k, intent, entities, only in asked}
