@@ -10,16 +10,16 @@ def matched_edits(log: DataFrame, by: str = "file_key") -> DataFrame:
     """The deletions of a log ``by, entry_id, action, path`` with ``undone_by``, the entry that took each back, and ``state``.
 
     ``delete`` puts a path on the file's stack, ``undo`` takes the last one back, ``undo_all`` takes back all that are left,
-    ``discard`` empties the stack, so that what was on it stays deleted. An undo of an empty stack does nothing. States are
-    ``restored``, ``deleted`` (it can still be undone) and ``discarded``.
+    ``save`` empties the stack, so that what was on it stays deleted. An undo of an empty stack does nothing. States are
+    ``restored``, ``deleted`` (it can still be undone) and ``saved``.
 
     The running depth of a stack tells its levels; between two entries that empty the stack, deletions and undos of a
     level take turns, so a deletion's undo is the next entry of its level.
     """
     order = Window.partitionBy(by).orderBy("entry_id")
-    ends = F.col("action").isin("undo_all", "discard")
+    ends = F.col("action").isin("undo_all", "save")
     before = F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = log.filter(F.col("action").isin("delete", "undo", "undo_all", "discard")).withColumn("part", before)
+    rows = log.filter(F.col("action").isin("delete", "undo", "undo_all", "save")).withColumn("part", before)
     part = Window.partitionBy(by, "part").orderBy("entry_id")
     step = F.when(F.col("action") == "delete", 1).when(F.col("action") == "undo", -1).otherwise(0)
     rows = rows.withColumn("sum", F.sum(step).over(part)).withColumn("low", F.least(F.lit(0), F.min("sum").over(part)))
@@ -30,7 +30,7 @@ def matched_edits(log: DataFrame, by: str = "file_key") -> DataFrame:
     level = Window.partitionBy(by, "part", "level").orderBy("entry_id")
     turns = rows.filter(~ends).withColumn("undo_id", F.lead("entry_id").over(level)).filter("action = 'delete'").join(closing, [by, "part"], "left")
     undone = F.coalesce("undo_id", F.when(F.col("end") == "undo_all", F.col("end_id")))
-    state = F.when(F.col("undo_id").isNotNull() | (F.col("end") == "undo_all"), "restored").when(F.col("end") == "discard", "discarded").otherwise("deleted")
+    state = F.when(F.col("undo_id").isNotNull() | (F.col("end") == "undo_all"), "restored").when(F.col("end") == "save", "saved").otherwise("deleted")
     return turns.select(by, "entry_id", "path", undone.alias("undone_by"), state.alias("state"))
 
 

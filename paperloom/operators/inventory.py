@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.positions import numbered
+
 from paperloom.functions.text import extension_of, file_name, path_parts
 
 
@@ -179,3 +181,12 @@ def shard(files: DataFrame, part: int, parts: int, key: str = "file_key", most:
     digest = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long")
     own = files.filter(F.pmod(digest, F.lit(parts)) == part)
     return own if most is None else own.orderBy(key).limit(most)
+
+
+def shard_in_order(files: DataFrame, part: int, parts: int, key: str = "file_key", most: int | None = None) -> DataFrame:
+    """The ``part``-th of ``parts`` runs of the files in order of their key, each of the same length but the last; of these the
+    first ``most``. The files are numbered by the counts of sorted tasks, and no task sees them all."""
+    rows = numbered(files, key, name="_ordinal")
+    size = F.ceil(F.lit(files.count()) / parts)
+    end = (part + 1) * size if most is None else F.least((part + 1) * size, part * size + most)
+    return rows.filter((F.col("_ordinal") >= part * size) & (F.col("_ordinal") < end)).drop("_ordinal")

@@ -117,3 +117,21 @@ def merged_metadata(log: DataFrame, by: list[str], order: list[str]) -> DataFram
     """``by, name, number, text``: the numbers of a name add up, of its texts the last one counts."""
     said = F.when(F.col("text").isNotNull(), F.struct(*order))
     return log.groupBy(*by, "name").agg(F.sum("number").alias("number"), F.max_by("text", said).alias("text"))
+
+
+def review_states(log: DataFrame, by: str = "file_key") -> DataFrame:
+    """``by, status`` of files after a log ``by, entry_id, action`` of ``edit``, ``save``, ``discard``, ``encode`` and ``ingest``.
+
+    A file is ``unprocessed`` until something happens; ``encode`` and ``ingest`` make it ``encoded`` and ``ingested``. An edit or a save
+    makes it ``processing``. ``discard`` goes back to the encoded or ingested state before the edit, but not once a save
+    has changed the file since then, nor to ``unprocessed``.
+    """
+    done = F.col("action").isin("encode", "ingest")
+    last = Window.partitionBy(by).orderBy("entry_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = log.withColumn("since", F.max(F.when(done, F.col("entry_id"))).over(last))
+    later = F.col("since").isNull() | (F.col("entry_id") > F.col("since"))
+    touched = F.when(later & F.col("action").isin("edit", "discard"), F.col("entry_id"))
+    base = F.max_by(F.when(F.col("action") == "encode", "encoded").otherwise("ingested"), F.when(done, F.col("entry_id")))
+    facts = rows.groupBy(by).agg(F.when(F.count_if(done) > 0, base).alias("base"), F.count_if(later & (F.col("action") == "save")).alias("saves"), F.count_if(later & (F.col("action") == "edit")).alias("edits"), F.max_by("action", touched).alias("end"))
+    open_edit = (F.col("saves") > 0) | ((F.col("edits") > 0) & ((F.col("end") == "edit") | F.col("base").isNull()))
+    return facts.select(by, F.when(open_edit, "processing").otherwise(F.coalesce("base", F.lit("unprocessed"))).alias("status"))

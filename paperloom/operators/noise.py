@@ -266,8 +266,8 @@ def looks_scanned(pages: DataFrame, images: DataFrame, chars: int = 20, cover: f
 
 
 def usable_pages(spans: DataFrame, issue: Column) -> DataFrame:
-    """``doc_id, page, usable``: a page has spans with text, and its text as a whole passes the gate ``issue`` on column ``text``."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), " ")
+    """``doc_id, page, usable``: a page has spans with text, and its spans as lines pass the gate ``issue`` on column ``text``."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: F.concat(F.lit(" "), x["text"], F.lit("\n"))), "")
     rows = spans.groupBy("doc_id", "page").agg(text.alias("text"))
     return rows.select("doc_id", "page", ((utrim("text") != "") & ~issue).alias("usable"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import edits as ed
+from paperloom.operators import maintenance as mt
 from paperloom.operators import positions as ps
 from paperloom.operators import spans as sp
 from paperloom.plans import adapters as ad
@@ -13,26 +14,26 @@ from paperloom.sources import quarantine as qu
 
 
 def edit_log(s, d):
-    """Events as edits: a user is a file; two in five are undos, now and then all are undone or discarded."""
+    """Events as edits: a user is a file; two in five are undos, now and then all are undone or saved."""
     n = F.col("event_id")
-    action = F.when(n % 61 == 7, "undo_all").when(n % 53 == 11, "discard").when(n % 5 < 2, "undo").otherwise("delete")
+    action = F.when(n % 61 == 7, "undo_all").when(n % 53 == 11, "save").when(n % 5 < 2, "undo").otherwise("delete")
     return ad.table(s, d, "events").select(F.col("user_id").alias("file_key"), n.alias("entry_id"), action.alias("action"), F.concat("event_type", F.lit("/"), (n % 7).cast("string")).alias("path"))
 
 
 #: A fold over each file's entries, with the stack as a list.
 _FOLDED = """WITH RECURSIVE l AS (
-  SELECT user_id AS file_key, event_id AS entry_id, CASE WHEN event_id % 61 = 7 THEN 'undo_all' WHEN event_id % 53 = 11 THEN 'discard' WHEN event_id % 5 < 2 THEN 'undo' ELSE 'delete' END AS action,
+  SELECT user_id AS file_key, event_id AS entry_id, CASE WHEN event_id % 61 = 7 THEN 'undo_all' WHEN event_id % 53 = 11 THEN 'save' WHEN event_id % 5 < 2 THEN 'undo' ELSE 'delete' END AS action,
          event_type || '/' || (event_id % 7) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events
 ), f AS (
   SELECT file_key, 0::BIGINT AS k, []::BIGINT[] AS stack, NULL::BIGINT AS entry_id, []::BIGINT[] AS back, []::BIGINT[] AS gone FROM (SELECT DISTINCT file_key FROM l)
   UNION ALL
   SELECT l.file_key, l.k, CASE action WHEN 'delete' THEN list_append(stack, l.entry_id) WHEN 'undo' THEN stack[:-2] ELSE [] END, l.entry_id,
-         CASE action WHEN 'undo' THEN stack[-1:] WHEN 'undo_all' THEN stack ELSE [] END, CASE action WHEN 'discard' THEN stack ELSE [] END
+         CASE action WHEN 'undo' THEN stack[-1:] WHEN 'undo_all' THEN stack ELSE [] END, CASE action WHEN 'save' THEN stack ELSE [] END
   FROM f JOIN l ON l.file_key = f.file_key AND l.k = f.k + 1
 ), back AS (SELECT file_key, unnest(back) AS entry_id, entry_id AS undone_by FROM f
 ), gone AS (SELECT file_key, unnest(gone) AS entry_id FROM f
 ), m AS (
-  SELECT l.file_key, l.entry_id, path, undone_by, CASE WHEN undone_by IS NOT NULL THEN 'restored' WHEN gone.entry_id IS NOT NULL THEN 'discarded' ELSE 'deleted' END AS state
+  SELECT l.file_key, l.entry_id, path, undone_by, CASE WHEN undone_by IS NOT NULL THEN 'restored' WHEN gone.entry_id IS NOT NULL THEN 'saved' ELSE 'deleted' END AS state
   FROM l LEFT JOIN back USING (file_key, entry_id) LEFT JOIN gone USING (file_key, entry_id) WHERE action = 'delete'
 )"""
 
@@ -120,3 +121,24 @@ def tables_page_text(s, d):
     texts = lines.groupBy("doc_id", "page").agg(body.alias("t")).join(tables.select("doc_id", "page").distinct(), ["doc_id", "page"])
     answers = ps.numbered(texts, "doc_id", "page", name="k").select("k", F.md5("t").alias("page_text"))
     return ps.gathered_per_page(tables, answers, ["k"]).select("doc_id", "page", "line_no", "page_text")
+
+
+_ACTIONS = "CASE event_id % 7 WHEN 0 THEN 'encode' WHEN 1 THEN 'save' WHEN 2 THEN 'ingest' WHEN 3 THEN 'discard' WHEN 4 THEN 'open' ELSE 'edit' END"
+
+
+@query("review_states", f"""WITH RECURSIVE l AS (SELECT user_id AS file_key, {_ACTIONS} AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events
+), f AS (
+  SELECT file_key, 0::BIGINT AS k, 'unprocessed' AS status, NULL::VARCHAR AS prior, false AS dirty FROM (SELECT DISTINCT file_key FROM l)
+  UNION ALL
+  SELECT l.file_key, l.k, CASE WHEN action = 'encode' THEN 'encoded' WHEN action = 'ingest' THEN 'ingested' WHEN action IN ('edit', 'save') THEN 'processing' WHEN action = 'discard' AND prior IS NOT NULL AND NOT dirty THEN prior ELSE status END,
+         CASE WHEN action IN ('encode', 'ingest') THEN NULL WHEN action IN ('edit', 'save') AND status IN ('encoded', 'ingested') THEN status WHEN action = 'discard' AND NOT dirty THEN NULL ELSE prior END,
+         CASE WHEN action IN ('encode', 'ingest') THEN false WHEN action = 'save' THEN true WHEN action = 'edit' AND status IN ('encoded', 'ingested') THEN false WHEN action = 'discard' AND prior IS NOT NULL THEN dirty ELSE dirty END
+  FROM f JOIN l ON l.file_key = f.file_key AND l.k = f.k + 1
+) SELECT file_key, arg_max(status, k) AS status FROM f GROUP BY 1""")
+def review_states(s, d):
+    """Events as what happens to files: a user is a file."""
+    names = {0: "encode", 1: "save", 2: "ingest", 3: "discard", 4: "open"}
+    action = F.lit("edit")
+    for k, name in names.items():
+        action = F.when(F.col("event_id") % 7 == k, name).otherwise(action)
+    return mt.review_states(ad.table(s, d, "events").select(F.col("user_id").alias("file_key"), F.col("event_id").alias("entry_id"), action.alias("action")))

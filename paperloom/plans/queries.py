@@ -279,7 +279,13 @@ _RUNS = "len(regexp_extract_all(text, '{0}'))"
 _WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@query("text_quality_gate", f"SELECT doc_id, n = 0 OR sp / (sp + nsp) > 0.7 OR nl / (nl + nnl) > 0.6 OR coalesce(al / nullif(dense, 0), 1) < 0.3 OR inv > greatest(6.0, n * 0.03) AS bad FROM (SELECT doc_id, length(text) AS n, {_RUNS.format(_WHITE)} AS sp, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS nsp, {_RUNS.format(chr(92) + 'n+')} AS nl, length(replace(text, chr(10), '')) AS nnl, length(replace(replace(text, chr(10), ''), ' ', '')) AS dense, length(text) - length(regexp_replace(text, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS al, length(text) - length(replace(text, chr(65533), '')) AS inv FROM documents)")
+def broken_sql(source: str, keys: str) -> str:
+    """``keys, bad`` of a table with ``text``, by the rules of ``text.quality_issue``."""
+    lengths = f"length(text) AS n, {_RUNS.format(_WHITE)} AS sp, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS nsp, {_RUNS.format(chr(92) + 'n+')} AS nl, length(replace(text, chr(10), '')) AS nnl, length(replace(replace(text, chr(10), ''), ' ', '')) AS dense, length(text) - length(regexp_replace(text, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS al, length(text) - length(replace(text, chr(65533), '')) AS inv"
+    return f"SELECT {keys}, n = 0 OR sp / (sp + nsp) > 0.7 OR nl / (nl + nnl) > 0.6 OR coalesce(al / nullif(dense, 0), 1) < 0.3 OR inv > greatest(6.0, n * 0.03) AS bad FROM (SELECT *, {lengths} FROM {source})"
+
+
+@query("text_quality_gate", broken_sql("documents", "doc_id"))
 def text_quality_gate(s, d):
     return ad.table(s, d, "documents").select("doc_id", tx.quality_issue("text").alias("bad"))
 

@@ -12,7 +12,7 @@ from paperloom.operators import layout as ly
 from paperloom.operators import maintenance as mt
 from paperloom.operators import noise as nz
 from paperloom.plans import adapters as ad
-from paperloom.plans.queries import _CELLS, _KINDS, _cells, _kinds, query
+from paperloom.plans.queries import broken_sql, _CELLS, _KINDS, _cells, _kinds, query
 from paperloom.sources import sinks
 
 _PLANNED = """pl AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ingested' WHEN 1 THEN 'encoded' WHEN 2 THEN 'encoded' END AS status,
@@ -90,6 +90,11 @@ def inv_shard_first(s, d):
     return inv.shard(ad.files(s, d), 2, 3, most=10).select("file_key")
 
 
+@query("inv_shard_ordered", f"WITH {ad.FILES}, o AS (SELECT file_key, row_number() OVER (ORDER BY file_key) - 1 AS k, count(*) OVER () AS n FROM files) SELECT file_key FROM o WHERE k // CAST(ceil(n / 3) AS BIGINT) = 1")
+def inv_shard_ordered(s, d):
+    return inv.shard_in_order(ad.files(s, d), 1, 3).select("file_key")
+
+
 @query("attrs_loaded_wide", f"WITH {ad.ATTRIBUTES} SELECT project, attr, value, number, false AS rejected FROM attrs")
 def attrs_loaded_wide(s, d):
     return at.loaded(ad.attributes(s, d).withColumnRenamed("brand", " brand ").withColumnRenamed("project", "project "))
@@ -126,10 +131,10 @@ def page_scanned(s, d):
     return nz.looks_scanned(pages, images, chars=60)
 
 
-@query("page_usable", f"WITH {ad.LINES}, p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_no) AS text FROM lines GROUP BY 1, 2) SELECT doc_id, page, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND length(text) >= 40 AS usable FROM p")
+@query("page_usable", f"WITH {ad.LINES}, p AS (SELECT doc_id, page, string_agg(' ' || text || chr(10), '' ORDER BY line_no) AS text FROM lines GROUP BY 1, 2) SELECT doc_id, page, NOT bad AND regexp_matches(text, '[^ \\n]') AS usable FROM ({broken_sql('p', 'doc_id, page, text')})")
 def page_usable(s, d):
     spans = ad.lines(s, d).select("doc_id", "page", F.col("line_no").alias("span_no"), "text")
-    return nz.usable_pages(spans, F.length("text") < 40)
+    return nz.usable_pages(spans, tx.quality_issue("text"))
 
 
 @query("image_decisions", f"WITH {ad.LINES}, i AS (SELECT doc_id, page, line_no AS seq, length(text) % 50 AS hash, length(text) % 13 = 5 AS banned, length(text) % 9 = 4 AS off, length(text) % 101 AS w FROM lines) SELECT doc_id, seq, CASE WHEN w <= 5 THEN 'tiny' WHEN off THEN 'off_page' WHEN banned THEN 'banned' WHEN w * 98.0 / 10000 < 0.2 THEN 'small' WHEN w * 98.0 / 10000 >= 0.9 THEN 'background' WHEN row_number() OVER (PARTITION BY doc_id, hash ORDER BY page, seq) > 1 THEN 'repeated' ELSE 'kept' END AS decision FROM i")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import edits as ed
+from paperloom.operators import maintenance as mt
 from paperloom.operators import spans as sp
 from paperloom.plans import edit_queries as eq
 from paperloom.sources import quarantine as qu
@@ -23,9 +24,9 @@ def folded(log):
             out[entry] = [file, entry, path, None, "deleted"]
         elif action == "undo" and stack:
             out[stack.pop()][3:] = [entry, "restored"]
-        elif action in ("undo_all", "discard"):
+        elif action in ("undo_all", "save"):
             for e in stack:
-                out[e][3:] = [entry, "restored"] if action == "undo_all" else [None, "discarded"]
+                out[e][3:] = [entry, "restored"] if action == "undo_all" else [None, "saved"]
             stack.clear()
     return sorted(map(tuple, out.values()))
 
@@ -33,14 +34,14 @@ def folded(log):
 @pytest.mark.parametrize("seed", range(4))
 def test_undo_is_last_in_first_out(spark, seed):
     rng = random.Random(seed)
-    actions = ["delete"] * 5 + ["undo"] * (3 + seed) + ["undo_all", "discard", "other"]
+    actions = ["delete"] * 5 + ["undo"] * (3 + seed) + ["undo_all", "save", "other"]
     log = [(rng.randrange(4), k, rng.choice(actions), f"p{rng.randrange(5)}") for k in range(300)]
     got = ed.matched_edits(spark.createDataFrame(log, "file_key long, entry_id long, action string, path string"))
     assert sorted(tuple(r) for r in got.collect()) == folded([r for r in log if r[2] != "other"])
 
 
 def test_undo_of_several_images(spark):
-    log = [(1, 1, "delete", "a"), (1, 2, "delete", "b"), (1, 3, "undo", None), (1, 4, "undo", None), (1, 5, "undo", None), (1, 6, "delete", "a"), (1, 7, "discard", None), (1, 8, "undo_all", None)]
+    log = [(1, 1, "delete", "a"), (1, 2, "delete", "b"), (1, 3, "undo", None), (1, 4, "undo", None), (1, 5, "undo", None), (1, 6, "delete", "a"), (1, 7, "save", None), (1, 8, "undo_all", None)]
     got = ed.image_states(spark.createDataFrame(log, "file_key long, entry_id long, action string, path string")).collect()
     assert {(r.path, r.trashed) for r in got} == {("a", True), ("b", False)}
 
@@ -138,3 +139,23 @@ def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
     gone = qu.listed(spark, str(tmp_path / "none")).collect()
     assert len(gone) == 1 and gone[0].error
     assert qu.folder_sizes(qu.listed(spark, str(tmp_path / "a/b"))).select(F.sum("bytes")).first()[0] == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_review_states_are_those_of_a_fold(spark, seed):
+    rng = random.Random(seed)
+    log = [(rng.randrange(60), k, rng.choice(["edit", "edit", "save", "discard", "discard", "encode", "ingest", "open"])) for k in range(300)]
+    states = {}
+    for file, _, action in log:
+        status, prior, dirty = states.get(file, ("unprocessed", None, False))
+        if action in ("encode", "ingest"):
+            status, prior, dirty = {"encode": "encoded", "ingest": "ingested"}[action], None, False
+        elif action in ("edit", "save"):
+            if status in ("encoded", "ingested"):
+                prior, dirty = status, False
+            status, dirty = "processing", dirty or action == "save"
+        elif action == "discard" and prior and not dirty:
+            status, prior = prior, None
+        states[file] = (status, prior, dirty)
+    got = mt.review_states(spark.createDataFrame(log, "file_key long, entry_id long, action string"))
+    assert {r.file_key: r.status for r in got.collect()} == {f: s[0] for f, s in states.items()}
