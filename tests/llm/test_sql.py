@@ -12,4 +12,4 @@ def test_query_equals_sql(name, spark, duck):
 
 
 def test_every_number_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 14))
