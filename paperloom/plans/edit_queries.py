@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import edits as ed
 from paperloom.operators import maintenance as mt
 from paperloom.operators import positions as ps
+from paperloom.operators import recognition as rc
 from paperloom.operators import spans as sp
 from paperloom.plans import adapters as ad
 from paperloom.plans.queries import query
@@ -142,3 +143,27 @@ def review_states(s, d):
     for k, name in names.items():
         action = F.when(F.col("event_id") % 7 == k, name).otherwise(action)
     return mt.review_states(ad.table(s, d, "events").select(F.col("user_id").alias("file_key"), F.col("event_id").alias("entry_id"), action.alias("action")))
+
+
+@query("lines_merged")
+def lines_merged(s, d):
+    """Lines of an order as pieces of formulas: wide ones of a row overlap."""
+    lines = ad.boxes(s, d)[0].withColumn("block_no", F.lit(0)).withColumn("y0", F.floor(F.col("line_no") / 3) * 36.0)
+    return rc.merged_lines(lines.withColumn("y1", F.col("y0") + 10.0))
+
+
+@query("read_by_mode", f"WITH {ad.LINES}, b AS (SELECT doc_id, page, block_no, count(*) AS n, max(line_no) % 3 AS m FROM lines GROUP BY 1, 2, 3) SELECT b.doc_id, b.page, b.block_no, CASE WHEN m = 1 OR n > 2 THEN l.line_no END AS line_no FROM b JOIN lines l ON l.doc_id = b.doc_id AND l.page = b.page AND l.block_no = b.block_no WHERE (m = 1 OR n > 2) OR l.line_no = (SELECT min(line_no) FROM lines k WHERE k.doc_id = b.doc_id AND k.page = b.page AND k.block_no = b.block_no)")
+def read_by_mode(s, d):
+    """Blocks of every third kind, and those of more than two lines, are read line by line."""
+    lines = ad.lines(s, d).select("doc_id", "page", "block_no", "line_no")
+    blocks = lines.groupBy("doc_id", "page", "block_no").agg((F.max("line_no") % 3).alias("m"))
+    blocks = blocks.select("doc_id", "page", "block_no", F.when(F.col("m") == 1, "Table").otherwise("Text").alias("kind"), F.lit(1.0).alias("height"), F.lit(100.0).alias("page_height"))
+    none = lines.select("doc_id", "page").distinct().withColumn("share", F.lit(0.0))
+    return rc.read_by_mode(blocks, lines, none, most_lines=2)
+
+
+@query("table_row_batches", "WITH c AS (SELECT l_suppkey AS table_id, l_orderkey AS row_id, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS k FROM lineitem), n AS (SELECT *, max(k) OVER (PARTITION BY table_id) AS n FROM c) SELECT table_id, batch, count(*) AS n_cells, min(row_id) AS first_row FROM (SELECT *, ((k - 1) // 60)::INT AS batch FROM n WHERE n <= 175) GROUP BY 1, 2")
+def table_row_batches(s, d):
+    """A supplier's orders as the rows of a table."""
+    cells = ad.table(s, d, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_orderkey").alias("row_id"))
+    return rc.row_batches(cells).groupBy("table_id", "batch").agg(F.count("*").alias("n_cells"), F.min("row_id").alias("first_row"))
