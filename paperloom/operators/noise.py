@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.geometry import Box
 from paperloom.functions.text import no_space, utrim, without_numbers_at_ends
+from paperloom.sources.scratch import written
 
 #: What a page number looks like once white space is gone.
 PAGE_NUMBERS = [r"^\d{1,4}$", r"^\d{1,4}[/／]\d{1,4}$", r"^第?\d{1,4}[頁页]$", r"^[-–—]\d{1,4}[-–—]$", r"^[Pp](?:age)?\.?\d{1,4}$"]
@@ -99,22 +100,118 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 #: Characters of a run in the fuzzy join.
 RUN = 3
+#: Characters of a group's texts up to which one task compares them.
+IN_TASK = 1 << 20
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], least_ratio: float = 90.0) -> DataFrame:
-    """``*on, a, b, ratio``: the pairs of ``left(*on, a)`` and ``right(*on, b)``, both distinct, with equal ``on`` and a ratio over ``least_ratio``.
-
-    Equal texts are joined. Others are so close that few of a text's runs of three characters can be gone: a ratio over 90
-    leaves at most a tenth of both lengths to insert or delete, and each deletion takes three runs, each insertion breaks two.
-    So two texts share one of the rarest runs of both, as many as could be gone and one more, and only those that do are
-    compared. No pair is lost; a ratio at which too few runs are sure to stay is refused.
-    """
+def runs_gone(least_ratio: float) -> float:
+    """The share of a text's runs that can be gone in a near one, by its length; a ratio at which near texts need not share any is refused."""
     loss = 1 - least_ratio / 100
     gone = max(RUN / (1 + loss), (RUN - 1) / (1 - loss)) * 2 * loss
     unsure = (RUN - 1) / (1 - gone) if gone < 1 else float("inf")  # shorter texts may share no run
     if unsure * 2 * loss / (1 - loss) >= 1:
         raise ValueError(f"at a ratio of {least_ratio} near texts need not share any run of characters")
+    return gone + 1e-9
+
 
+def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], least_ratio: float = 90.0) -> DataFrame:
+    """``*on, a, b, ratio``: the pairs of ``left(*on, a)`` and ``right(*on, b)``, both distinct, with equal ``on`` and a ratio over ``least_ratio``.
+
+    Texts are so close that few of a text's runs of three characters can be gone: a ratio over 90 leaves at most a tenth of
+    both lengths to insert or delete, and each deletion takes three runs, each insertion breaks two. So two texts are equal
+    or share one of the rarest runs of both, as many as could be gone and one more, and only those that do are compared. No
+    pair is lost; a ratio at which too few runs are sure to stay is refused.
+
+    The texts of a group with equal ``on`` meet in one task, whole, and their runs stay there. Only the runs of groups with
+    more than ``IN_TASK`` characters are shuffled. Both sides are read twice: write what is dear to compute.
+    """
+    gone = runs_gone(least_ratio)
+    a, b = left.select(*on, F.col("a").alias("text"), F.lit(1).alias("side")), right.select(*on, F.col("b").alias("text"), F.lit(2).alias("side"))
+    both = a.unionAll(b).dropna(subset=[*on, "text"])
+    large = both.groupBy(*on).agg(F.sum(F.length("text").cast("long")).alias("n")).filter(F.col("n") > IN_TASK).select(*on)
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on)
+    near = lambda rows: rows.repartition(*on).sortWithinPartitions(*on).mapInArrow(near_in_groups(on, least_ratio, gone), f"{kinds}, a string, b string, ratio double")
+    if large.isEmpty():
+        return near(both)
+    apart = [rows.join(large, on, "left_semi") for rows in (left, right)]
+    return near(both.join(large, on, "left_anti")).unionByName(fuzzy_pairs_by_runs(*apart, on, least_ratio))
+
+
+def near_in_groups(on: list[str], least_ratio: float, gone: float):
+    """A function over rows ``*on, text, side`` sorted by ``on``: the near pairs of texts of side 1 and side 2 of each group."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, kinds = None, {}, []
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * (len(on) + 3)
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, [*kinds, pa.string(), pa.string(), pa.float64()], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*on, "a", "b", "ratio"])
+
+        for part in parts:
+            kinds, found = part.schema.types[: len(on)], []
+            for *own, text, side in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if own != key:
+                    for pair in near_texts(sides, least_ratio, gone):
+                        found.append((*key, *pair))
+                        if len(found) >= 10_000:
+                            yield out(found)
+                            found = []
+                    key, sides = own, {}
+                sides[text] = sides.get(text, 0) | side
+            yield out(found)
+        if sides:
+            yield out([(*key, *pair) for pair in near_texts(sides, least_ratio, gone)])
+
+    return run
+
+
+def runs_of(text: str) -> list[str]:
+    """A text's runs; the same run a second time is another one, with its number."""
+    runs = [text[i : i + RUN] for i in range(len(text) - RUN + 1)]
+    if len(set(runs)) == len(runs):
+        return runs
+    seen: Counter = Counter()
+    for k, run in enumerate(runs):
+        if seen[run]:
+            runs[k] = f"{run}{seen[run]}"
+        seen[run] += 1
+    return runs
+
+
+def near_texts(sides: dict[str, int], least_ratio: float, gone: float) -> Iterator[tuple[str, str, float]]:
+    """``a, b, ratio`` of a group's texts, whose sides are bits."""
+    texts = list(sides)
+    runs = [runs_of(t) for t in texts]
+    spread: Counter = Counter()
+    for own in runs:
+        spread.update(own)
+    holders: dict[str, list[int]] = {}
+    for k, (text, own) in enumerate(zip(texts, runs, strict=True)):
+        if sides[text] == 3:
+            yield text, text, 100.0
+        first = int(len(text) * gone) + 1
+        counts = [spread[r] for r in own]
+        if counts.count(1) >= first:  # its rarest runs are its own
+            continue
+        likely = set()
+        for n, run in sorted(zip(counts, own, strict=True))[:first]:
+            if n > 1:
+                others = holders.setdefault(run, [])
+                likely.update(others)
+                others.append(k)
+        for j in likely:
+            other = texts[j]
+            ways = (sides[text] & 1 and sides[other] & 2, sides[other] & 1 and sides[text] & 2)
+            if any(ways) and 200.0 * min(len(text), len(other)) / (len(text) + len(other)) > least_ratio:
+                ratio = indel_ratio(text, other)
+                if ratio > least_ratio:
+                    yield from ((x, y, ratio) for way, x, y in ((ways[0], text, other), (ways[1], other, text)) if way)
+
+
+def fuzzy_pairs_by_runs(left: DataFrame, right: DataFrame, on: list[str], least_ratio: float = 90.0) -> DataFrame:
+    """``fuzzy_pairs`` where a group's texts are too many for a task: the rarest runs of all texts are shuffled and joined."""
+    gone = runs_gone(least_ratio)
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on)
 
     def keyed(rows: DataFrame, name: str) -> DataFrame:
@@ -128,7 +225,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], least_ratio: f
     spread = own.select("gram", "nth").unionAll(other.select("gram", "nth")).groupBy("gram", "nth").agg(F.count("*").alias("n"))
 
     def rarest(rows: DataFrame, side: str) -> DataFrame:
-        kept = F.slice("all", F.lit(1), F.floor(F.col("size") * F.lit(gone + 1e-9)).cast("int") + 1)
+        kept = F.slice("all", F.lit(1), F.floor(F.col("size") * F.lit(gone)).cast("int") + 1)
         by_rarity = rows.join(spread, ["gram", "nth"]).groupBy(*on, "key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "nth"))).alias("all"))
         return by_rarity.select(*on, F.col("key").alias(f"key_{side}"), F.col("size").alias(f"size_{side}"), F.explode(kept).alias("of")).select(*on, f"key_{side}", f"size_{side}", "of.gram", "of.nth")
 
@@ -166,8 +263,10 @@ def counted_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ignored_edges(edges: DataFrame, least_ratio: float = 90.0) -> DataFrame:
     """Edge blocks that are like a common text of their document and edge: ``doc_id, page, edge``."""
-    common = common_edges(edges).select("doc_id", "edge", F.col("text").alias("b"))
-    texts = edges.select("doc_id", "edge", F.col("text").alias("a")).distinct()
+    edges = written(edges, "edges")
+    common = written(common_edges(edges).select("doc_id", "edge", F.col("text").alias("b")), "common-edges")
+    where = common.select("doc_id", "edge").distinct()
+    texts = edges.select("doc_id", "edge", F.col("text").alias("a")).join(where, ["doc_id", "edge"], "left_semi").distinct()
     like = fuzzy_pairs(texts, common, ["doc_id", "edge"], least_ratio).select("doc_id", "edge", F.col("a").alias("text")).distinct()
     return edges.join(like, ["doc_id", "edge", "text"], "left_semi").select("doc_id", "page", "edge").distinct()
 

@@ -806,7 +806,7 @@ def html_markdown(s, d):
 @query("near_copy_indel")
 def near_copy_indel(s, d):
     """All pairs of different lines of a document that are nearly the same."""
-    rows = ad.lines(s, d).select("doc_id", "text").distinct()
+    rows = written(ad.lines(s, d).select("doc_id", "text").distinct(), "lines")
     pairs = nz.fuzzy_pairs(rows.withColumnRenamed("text", "a"), rows.withColumnRenamed("text", "b"), ["doc_id"])
     return pairs.filter("a < b").select("doc_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 

@@ -37,6 +37,20 @@ def test_fuzzy_join_loses_no_pair(spark, seed, least):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [0, 900])
+def test_large_groups_give_the_same_pairs(spark, monkeypatch, most):
+    """Groups with more characters than a task takes go by their runs."""
+    monkeypatch.setattr(nz, "IN_TASK", most)
+    test_fuzzy_join_loses_no_pair(spark, 5, 90.0)
+
+
+def test_runs_of_small_groups_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "some line of text"), (1, "some line of texts"), (None, "x"), (2, None)], "g long, a string")
+    got = nz.fuzzy_pairs(df, df.withColumnRenamed("a", "b"), ["g"])
+    assert got.count() == 4
+    assert "gram" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_low_ratios_are_refused(spark):
     df = spark.createDataFrame([(1, "a")], "g long, a string")
     with pytest.raises(ValueError, match="need not share"):
