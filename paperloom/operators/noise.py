@@ -180,16 +180,22 @@ def runs_of(text: str) -> list[str]:
 
 
 def near_texts(sides: dict[str, int], least_ratio: float, gone: float) -> Iterator[tuple[str, str, float]]:
-    """``a, b, ratio`` of a group's texts, whose sides are bits."""
-    texts = list(sides)
+    """``a, b, ratio`` of a group's texts, whose sides are bits.
+
+    Texts without another one of nearly their length are left out at once; of the likely pairs, those that share as many
+    runs as must stay are compared.
+    """
+    alike = lambda n, m: 200.0 * min(n, m) > least_ratio * (n + m)
+    yield from ((t, t, 100.0) for t, side in sides.items() if side == 3)
+    texts = sorted(sides, key=len)
+    after = [alike(len(t), len(u)) for t, u in zip(texts, texts[1:], strict=False)]
+    texts = [t for t, up, down in zip(texts, [False, *after], [*after, False], strict=False) if up or down]
     runs = [runs_of(t) for t in texts]
     spread: Counter = Counter()
     for own in runs:
         spread.update(own)
     holders: dict[str, list[int]] = {}
     for k, (text, own) in enumerate(zip(texts, runs, strict=True)):
-        if sides[text] == 3:
-            yield text, text, 100.0
         first = int(len(text) * gone) + 1
         counts = [spread[r] for r in own]
         if counts.count(1) >= first:  # its rarest runs are its own
@@ -200,10 +206,13 @@ def near_texts(sides: dict[str, int], least_ratio: float, gone: float) -> Iterat
                 others = holders.setdefault(run, [])
                 likely.update(others)
                 others.append(k)
+        own = set(own)
         for j in likely:
             other = texts[j]
+            if not alike(len(text), len(other)) or len(own.intersection(runs[j])) < max(len(own) - int(len(text) * gone), len(runs[j]) - int(len(other) * gone)):
+                continue
             ways = (sides[text] & 1 and sides[other] & 2, sides[other] & 1 and sides[text] & 2)
-            if any(ways) and 200.0 * min(len(text), len(other)) / (len(text) + len(other)) > least_ratio:
+            if any(ways):
                 ratio = indel_ratio(text, other)
                 if ratio > least_ratio:
                     yield from ((x, y, ratio) for way, x, y in ((ways[0], text, other), (ways[1], other, text)) if way)
