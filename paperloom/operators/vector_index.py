@@ -2,7 +2,7 @@
 
 Lists belong to k-means centroids of a bounded sample. Every vector is in one list, as one byte a component of what its
 centroid leaves over. A search looks at the lists nearest to the query, and the best candidates are scored exactly.
-``retrieval.dense_top_k_each`` is the exact way; probing all lists and refining all candidates gives the same rows.
+``retrieval.dense_top_k_each`` is the exact way; probing all lists gives the same rows.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def packed(rows: DataFrame, most: int, names: tuple[str, str, str]) -> DataFrame
 
 
 def built(vectors: DataFrame, lists: Lists, item: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """The index ``list, n, items, codes``: every vector that has a direction, in the list of its nearest centroid.
+    """The index ``list, n, items, codes``: every vector that has a direction, in the list of its nearest centroid, with the
+    length of what its codes leave over.
 
     Vectors without one (null, zero, a component that is null or not finite) are in no list and are never found, as they
     have no cosine. Write it once and search it often.
@@ -107,9 +108,13 @@ def built(vectors: DataFrame, lists: Lists, item: str = "vec_id", vec: str = "em
             own, _ = nearest(points, lists.centroids)
             points, middles = same_width(points, lists.centroids)
             steps = np.append(lists.steps, np.full(points.shape[1] - len(lists.steps), 1.0 / CODES))
-            codes = np.clip(np.rint((points - middles[own]) / steps), -CODES, CODES).astype(np.int8)[:, : len(lists.steps)]
+            codes = np.clip(np.rint((points - middles[own]) / steps), -CODES, CODES).astype(np.int8)
+            codes[:, len(lists.steps) :] = 0
+            # What the codes leave over bounds the error of every score; rounded up in four bytes.
+            left = np.sqrt(((points - middles[own] - codes * steps) ** 2).sum(1)) * (1 + 1e-6)
+            data = np.hstack([codes[:, : len(lists.steps)], left.astype("<f4")[:, None].view(np.int8)])
             at = pa.array(np.flatnonzero(sound))
-            yield pa.RecordBatch.from_arrays([pa.array(own).take(at), part.column(0).take(at), pa.array([c.tobytes() for c in codes], pa.binary()).take(at)], names=["list", "item", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(own).take(at), part.column(0).take(at), pa.array([c.tobytes() for c in data], pa.binary()).take(at)], names=["list", "item", "data"])
 
     kind = vectors.schema[item].dataType.simpleString()
     return packed(vectors.select(item, vec).mapInArrow(run, f"list long, item {kind}, data binary"), SLICE, ("n", "items", "codes"))
@@ -133,15 +138,21 @@ def probed(queries: DataFrame, lists: Lists, probes: int) -> DataFrame:
     return packed(rows, TILE, ("n_queries", "queries", "vectors"))
 
 
-def candidates(index: DataFrame, queries: DataFrame, lists: Lists, probes: int, keep: int) -> DataFrame:
-    """``query_id, item, score``: of each query and each slice that it looks at, the ``keep`` best by their codes."""
+#: What scores by codes lose in rounding.
+SLACK = 1e-6
+
+
+def candidates(index: DataFrame, queries: DataFrame, lists: Lists, probes: int, keep: int, k: int) -> DataFrame:
+    """``query_id, item, score, error``: of each query and each slice that it looks at, the ``keep`` best by their codes, and all
+    others that may be among the first ``k``: their scores and errors reach the k-th score less its error."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(part.num_rows):
                 row = {name: part.column(name)[at] for name in part.schema.names}
                 n, m, own = row["n"].as_py(), row["n_queries"].as_py(), row["list"].as_py()
-                codes = np.frombuffer(row["codes"].as_buffer(), np.int8).reshape(n, -1) * lists.steps
+                stored = np.frombuffer(row["codes"].as_buffer(), np.int8).reshape(n, -1)
+                codes, error = stored[:, :-4] * lists.steps, np.ascontiguousarray(stored[:, -4:]).view("<f4")[:, 0].astype(np.float64) + SLACK
                 asked = np.frombuffer(row["vectors"].as_buffer(), "<f4").reshape(m, -1).astype(np.float64)
                 asked = widened(asked, codes.shape[1])
                 scores = np.round(asked @ codes.T + (asked @ lists.centroids[own])[:, None], 9)
@@ -151,24 +162,31 @@ def candidates(index: DataFrame, queries: DataFrame, lists: Lists, probes: int,
                 who, where = who[order], where[order]
                 begins = np.searchsorted(who, np.arange(m))
                 first = np.arange(len(who)) - begins[who] < keep  # of equal scores the first items
-                who, where = who[first], where[first]
-                yield pa.RecordBatch.from_arrays([row["queries"].values.take(pa.array(who)), row["items"].values.take(pa.array(where)), pa.array(scores[who, where])], names=["query_id", "item", "score"])
+                fit[:] = False
+                fit[who[first], where[first]] = True
+                if n > k:
+                    fit |= scores + error >= np.partition(scores - error, n - k, axis=1)[:, n - k, None]
+                who, where = np.nonzero(fit)
+                yield pa.RecordBatch.from_arrays([row["queries"].values.take(pa.array(who)), row["items"].values.take(pa.array(where)), pa.array(scores[who, where]), pa.array(error[where])], names=["query_id", "item", "score", "error"])
 
     pairs = probed(queries, lists, probes).join(index, "list")
     query, item = pairs.schema["queries"].dataType.elementType.simpleString(), pairs.schema["items"].dataType.elementType.simpleString()
-    return pairs.mapInArrow(run, f"query_id {query}, item {item}, score double")
+    return pairs.mapInArrow(run, f"query_id {query}, item {item}, score double, error double")
 
 
 def top_k_each(index: DataFrame, vectors: DataFrame, queries: DataFrame, lists: Lists, k: int, item: str = "vec_id", vec: str = "embedding", probes: int = 32, refine: int = 4) -> DataFrame:
     """``query_id, item, score, rank``: about the ``k`` nearest by cosine of each query ``query_id, query``, ties by item.
 
-    A query looks at ``probes`` lists; the ``refine * k`` best candidates by their codes get exact scores from ``vectors``.
+    A query looks at ``probes`` lists; the ``refine * k`` best candidates by their codes get exact scores from ``vectors``, and so
+    do all others that the errors of the codes do not rule out: what is found is exact among the vectors of these lists.
     Tiles of queries and slices of lists meet by list in one join, whose skewed lists the adaptive planner splits; only
     candidates are shuffled again. Queries without a direction find nothing. Scores count to twelve digits, as in the exact search.
     """
     keep = refine * k
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
-    found = candidates(index, queries, lists, probes, keep).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    own, low = Window.partitionBy("query_id"), F.col("score") - F.col("error")
+    found = candidates(index, queries, lists, probes, keep, k).withColumn("rank", F.row_number().over(w)).withColumn("place", F.row_number().over(own.orderBy(F.desc(low))))
+    found = found.withColumn("kth", F.max(F.when(F.col("place") == k, low)).over(own)).filter((F.col("rank") <= keep) | F.col("kth").isNull() | (F.col("score") + F.col("error") >= F.col("kth")))
     exact = found.select("query_id", F.col("item").alias(item)).join(vectors.select(item, vec), item).join(queries.select("query_id", "query"), "query_id")
     scored = exact.select("query_id", item, F.round(cosine(F.col(vec), F.col("query")), 12).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), item))).filter(F.col("rank") <= k)
