@@ -38,20 +38,28 @@ def triage_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def matrix(rows: DataFrame, cells: str = "cells", order: str = "row_no") -> DataFrame:
-    """``row_no, cells``: rows of a matrix padded to the longest, without those of blank cells only."""
+def matrix_rows(rows: DataFrame, cells: str = "cells", order: str = "row_no") -> DataFrame:
+    """``row_no, cells, blanks``: a matrix's rows without those of blank cells only, and how many blank cells each lacks to the longest.
+
+    A matrix has as many cells as its longest row in each row, so it is made only where all of them are asked for.
+    """
     kept = rows.filter(F.exists(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
     width = kept.agg(F.max(F.size(cells)).alias("_w"))
-    padded = F.concat(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), F.col("_w") - F.size(cells)))
-    return kept.join(F.broadcast(width)).select(order, padded.alias(cells))
+    own = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
+    return kept.join(F.broadcast(width)).select(order, own.alias(cells), (F.col("_w") - F.size(cells)).alias("blanks"))
+
+
+def matrix(rows: DataFrame, cells: str = "cells", order: str = "row_no") -> DataFrame:
+    """``row_no, cells``: rows of a matrix padded to the longest, without those of blank cells only."""
+    return matrix_rows(rows, cells, order).select(order, F.concat(cells, F.array_repeat(F.lit(""), F.col("blanks"))).alias(cells))
 
 
 def save_matrix(rows: DataFrame, path: str, cells: str = "cells", order: str = "row_no") -> None:
     """A matrix as CSV files in order, with the byte order mark that spreadsheets look for at the head of the first."""
-    table = matrix(rows, cells, order)
+    table = matrix_rows(rows, cells, order)
     quoted = F.transform(cells, lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
     first = table.agg(F.min(order)).first()[0]
-    line = F.concat(F.when(F.col(order) == F.lit(first), F.lit("﻿")).otherwise(""), F.array_join(quoted, ","))
+    line = F.concat(F.when(F.col(order) == F.lit(first), F.lit("\ufeff")).otherwise(""), F.array_join(quoted, ","), F.repeat(F.lit(","), F.col("blanks")))
     table.orderBy(order).select(line.alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
