@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,15 +188,42 @@ def heading_levels(headings: DataFrame, levels: int = 4) -> DataFrame:
     Heights count in hundredths, which bounds the distinct ones of a page's format.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        heights = np.sort(rows["height"].unique())[::-1]
-        counts = rows["height"].value_counts()
-        cut = best_cuts(heights, counts.reindex(heights).to_numpy(float), min(levels, len(heights)))
-        level = dict(zip(heights, np.repeat(np.arange(1, len(cut)), np.diff(cut)), strict=True))
-        return pd.DataFrame({"doc_id": rows["doc_id"], "pos": rows["pos"], "level": rows["height"].map(level).astype("int32")})
-
-    headings = headings.withColumn("height", F.round("height", 2))
-    return headings.groupBy("doc_id").applyInPandas(run, f"doc_id {headings.schema['doc_id'].dataType.simpleString()}, pos {headings.schema['pos'].dataType.simpleString()}, level int")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, {}
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            heights = rows.column("height").to_numpy()
+            level = np.empty(len(heights), np.int32)
+            starts = document_starts(rows.column("doc_id"))
+            for a, b in zip(starts, [*starts[1:], len(heights)], strict=True):
+                own, at, counts = np.unique(-heights[a:b], return_inverse=True, return_counts=True)
+                key = (own.tobytes(), counts.tobytes())
+                if key not in known:  # documents of one format have the same heights
+                    if len(known) >= 10_000:
+                        known.clear()
+                    known[key] = np.repeat(np.arange(1, min(levels, len(own)) + 1), np.diff(best_cuts(-own, counts.astype(float), min(levels, len(own)))))
+                level[a:b] = known[key][at]
+            return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), rows.column("pos").combine_chunks(), pa.array(level)], names=["doc_id", "pos", "level"])
+
+        for part in parts:
+            rows = pa.Table.from_batches([part])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            cut = int(document_starts(rows.column("doc_id"))[-1]) if part.num_rows else 0
+            if cut:  # what comes before the part's last document is whole
+                cut += held.num_rows - part.num_rows
+                yield out(held[:cut])
+                held = held[cut:]
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    headings = headings.select("doc_id", "pos", F.round("height", 2).cast("double").alias("height")).repartition("doc_id").sortWithinPartitions("doc_id")
+    return headings.mapInArrow(run, f"doc_id {headings.schema['doc_id'].dataType.simpleString()}, pos {headings.schema['pos'].dataType.simpleString()}, level int")
+
+
+def document_starts(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where each document of rows in order begins; null ids are one document."""
+    codes = ids.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
 
 
 def best_cuts(values: np.ndarray, weights: np.ndarray, k: int) -> list[int]:

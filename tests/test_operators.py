@@ -281,3 +281,25 @@ def test_last_good_table(spark):
     last = spark.range(2)
     assert src.loaded_or_last(lambda: spark.read.parquet("/tmp/there/is/no/such/folder"), last)[0] is last
     assert src.loaded_or_last(lambda: spark.range(0), last)[0].count() == 0
+
+
+def test_heading_levels_across_batches(spark):
+    """Documents that reach over Arrow batches keep one grouping; no group of Pandas rows is made for each document."""
+    rows = [(d if d else None, p, float((p * 7 + (d or 0) % 3) % 11)) for d in range(40) for p in range(1 + d * 3 % 17)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = ly.heading_levels(spark.createDataFrame(rows, "doc_id int, pos int, height double"))
+        got = {(r.doc_id, r.pos): r.level for r in frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString()
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        alone = {(r.doc_id, r.pos): r.level for r in ly.heading_levels(spark.createDataFrame(own, "doc_id int, pos int, height double")).collect()} if d in (None, 5, 38) else {}
+        assert alone.items() <= got.items()
+
+
+def test_matrix_rows_say_what_they_lack(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, [" ", None]), (3, ["d"])], "row_no int, cells array<string>")
+    assert sorted((r.row_no, r.cells, r.blanks) for r in sinks.matrix_rows(rows).collect()) == [(1, ["a", "b", "c"], 0), (3, ["d"], 2)]
+    assert sorted((r.row_no, r.cells) for r in sinks.matrix(rows).collect()) == [(1, ["a", "b", "c"]), (3, ["d", "", ""])]
