@@ -590,23 +590,27 @@ _COMMON = _SPARSE_EACH.replace("ORDER BY df, term", "ORDER BY df DESC, term")
 
 
 def _block_search(s, d):
+    """Blocks, questions, who asks the same, and the plan of each question that differs."""
     index = written(_terms(s, d), "terms")
     blocks = written(rt.posting_blocks(index), "blocks")
     asked = written(_asked_terms(index, (F.desc("df"), "term")), "asked")
-    return blocks, asked, written(rt.block_plan(blocks, asked, 20)[0], "plan")
+    same = written(rt.asked_once(asked), "same")
+    firsts = asked.join(same.filter("query_id = asked").select("query_id"), "query_id")
+    return blocks, asked, same, written(rt.block_plan(blocks, firsts, 20)[0], "plan")
 
 
 @query("search_sparse_blocks", f"WITH {_COMMON} SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp QUALIFY rank <= 20")
 def search_sparse_blocks(s, d):
     """The four most frequent words of each document are asked: blocks that cannot hold a hit are left out."""
-    blocks, asked, plan = _block_search(s, d)
+    blocks, asked, _, plan = _block_search(s, d)
     return rt.sparse_top_k_blocks(blocks, asked, 20, plan).withColumnRenamed("item", "doc_id")
 
 
 @query("search_sparse_read")
 def search_sparse_read(s, d):
     """How many of the postings of each query's words ``search_sparse_blocks`` reads for candidates."""
-    return rt.postings_read(_block_search(s, d)[2])
+    _, _, same, plan = _block_search(s, d)
+    return same.join(rt.postings_read(plan).withColumnRenamed("query_id", "asked"), "asked").drop("asked")
 
 
 @query("search_index")

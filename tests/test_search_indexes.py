@@ -102,3 +102,18 @@ def test_routes_of_many_questions_are_those_of_one(spark):
     asked = [(k, rng.choice(["compare", "fact", "structured", "other"]), rng.choices(names, k=rng.randrange(4)), rng.sample(names, rng.randrange(3))) for k in range(60)]
     got = {r.query_id: (r.kind, r.kept) for r in rt.routes(spark.createDataFrame(asked, "query_id long, intent string, entities array<string>, only array<string>"), most=3).collect()}
     assert got == {k: rt.routed(intent, entities, only, most=3) for k, intent, entities, only in asked}
+
+
+def test_equal_questions_are_one_search_with_a_bound(spark):
+    """The same items are the best for all terms, so a bound needs more postings than ``k``; what is read stays far below all of them."""
+    rng = random.Random(8)
+    rows = [(t, d, float(w * (1 + d % 3))) for d in range(3000) for w in [1 + 400 // (d + 1)] for t in "abcd"]
+    index = spark.createDataFrame(rows, "term string, doc_id long, weight double").cache()
+    asked = [[(t, float(4 - k)) for k, t in enumerate(rng.sample("abcd", 4))] for _ in range(3)]
+    queries = spark.createDataFrame([(q, t, w) for q in range(30) for t, w in asked[q % 3]], "query_id long, term string, weight double").cache()
+    blocks = rt.posting_blocks(index, size=16).cache()
+    assert rt.asked_once(queries).select("asked").distinct().count() == 3
+    read = rt.postings_read(rt.block_plan(blocks, queries, 5)[0]).agg(F.sum("n_all").alias("a"), F.sum("n_read").alias("r")).first()
+    assert read.r * 20 < read.a
+    want = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in rt.sparse_top_k_each(index, queries, 5).collect()}
+    assert {(r.query_id, r["rank"]): (r["item"], r.score) for r in rt.sparse_top_k_blocks(blocks, queries, 5).collect()} == want
