@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.shares import shared_out
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -103,9 +105,11 @@ MARKDOWN = (
 )
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines and blocks with boxes, made of line items; an order is a document of one page."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
+def boxes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines and blocks with boxes, made of line items; an order is a document of one page. ``dealt``: in shares of a bounded
+    number of rows, those of an order in one."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = (shared_out(items, "l_orderkey") if dealt else items).groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
     rows = rows.withColumn("page", F.lit(0))
 
     def box(x: Column, y: Column, w: float, h: float, number: str) -> DataFrame:

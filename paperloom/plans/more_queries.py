@@ -87,7 +87,7 @@ def layout_orphans(s, d):
 
 @query("layout_fitted_cells", f"WITH {ad.BOXES} SELECT doc_id, b.block_no AS cell_no, least(b.x0, l.x0) AS x0, least(b.y0, l.y0) AS y0, greatest(b.x1, l.x1) AS x1, greatest(b.y1, l.y1) AS y1 FROM bl b JOIN li l USING (doc_id) WHERE l.line_no = b.block_no")
 def layout_fitted_cells(s, d):
-    lines, blocks = ad.boxes(s, d)
+    lines, blocks = ad.boxes(s, d, dealt=True)
     return ly.fitted_cells(blocks.withColumnRenamed("block_no", "cell_no"), lines.withColumnRenamed("line_no", "cell_no")).drop("page")
 
 
