@@ -31,10 +31,8 @@ def nearest_block(lines: DataFrame, blocks: DataFrame, most: float = 20.0, x_wei
     """``doc_id, page, line, block``: for lines that overlap no block, the nearest by centre, null beyond ``most``."""
     own = largest_overlap(lines, blocks, line, block).select(*PAGE, line)
     alone = lines.join(own, [*PAGE, line], "left_anti")
-    far = Box.of("a_").center_distance(Box.of("b_"), x_weight=x_weight)
-    best = nearest(side(alone, "a_", line), side(blocks, "b_", block), far, lambda w, h: F.least(w * x_weight**0.5, h))
-    own = best.filter(F.col("far") < most).select(*PAGE, F.col("a_id").alias(line), F.col("b_id").alias(block))
-    return alone.select(*PAGE, line).join(own, [*PAGE, line], "left")
+    best = nearest(side(alone, "a_", line), side(blocks, "b_", block), lambda a, b: a.center_distance(b, x_weight=x_weight), lambda w, h: F.least(w * x_weight**0.5, h))
+    return best.select(*PAGE, F.col("a_id").alias(line), F.when(F.col("far") < most, F.col("b_id")).alias(block))
 
 
 def assigned(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -71,9 +69,8 @@ def not_covered(blocks: DataFrame, tables: DataFrame, share: float = 0.95) -> Da
 
 def nearest_corner(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """``doc_id, page, ref_no, block_no``: for each reference the block with the nearest upper left corner."""
-    far = Box.of("a_").corner_distance(Box.of("b_"))
-    best = nearest(side(points, "a_", "ref_no"), side(blocks, "b_", "block_no"), far, F.least, lambda box: (box.x0, box.y0))
-    return best.select(*PAGE, F.col("a_id").alias("ref_no"), F.col("b_id").alias("block_no"))
+    best = nearest(side(points, "a_", "ref_no"), side(blocks, "b_", "block_no"), lambda a, b: a.corner_distance(b), F.least, lambda box: (box.x0, box.y0))
+    return best.filter("b_id IS NOT NULL").select(*PAGE, F.col("a_id").alias("ref_no"), F.col("b_id").alias("block_no"))
 
 
 def merged_boxes(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -300,8 +297,7 @@ def subtitles(spans: DataFrame, titles: DataFrame, close: float = 0.1, ratio: fl
 
 def placed_orphans(blocks: DataFrame, orphans: DataFrame, y_weight: float = 5.0) -> DataFrame:
     """``doc_id, page, block_no, place``: blocks in order with each orphan behind the nearest block."""
-    far = Box.of("a_").center_distance(Box.of("b_"), y_weight=y_weight, absolute=True)
-    best = nearest(side(orphans, "a_", "block_no"), side(blocks, "b_", "block_no"), far, lambda w, h: F.least(w, h * y_weight))
+    best = nearest(side(orphans, "a_", "block_no"), side(blocks, "b_", "block_no"), lambda a, b: a.center_distance(b, y_weight=y_weight, absolute=True), lambda w, h: F.least(w, h * y_weight))
     anchor = best.select(*PAGE, F.col("a_id").alias("block_no"), F.col("b_id").alias("anchor"))
     every = blocks.select(*PAGE, "block_no", F.col("block_no").alias("anchor"), F.lit(0).alias("late")).unionByName(orphans.select(*PAGE, "block_no").join(anchor, [*PAGE, "block_no"], "left").select(*PAGE, "block_no", "anchor", F.lit(1).alias("late")))
     w = Window.partitionBy(*PAGE).orderBy(F.asc_nulls_last("anchor"), "late", "block_no")

@@ -105,7 +105,7 @@ MARKDOWN = (
 )
 
 
-def boxes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+def boxes(spark: SparkSession, sf_dir: str, dealt: bool = True) -> tuple[DataFrame, DataFrame]:
     """Lines and blocks with boxes, made of line items; an order is a document of one page. ``dealt``: in shares of a bounded
     number of rows, those of an order in one."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")

@@ -21,3 +21,9 @@ def test_boxes_come_in_shares(spark, monkeypatch):
     monkeypatch.setattr(shares, "ROWS", 500)
     for side in ad.boxes(spark, "/root/testdata/sf0.001", dealt=True):
         assert side.rdd.getNumPartitions() >= 12
+
+
+def test_boxes_of_every_query_come_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(shares, "ROWS", 500)
+    for side in ad.boxes(spark, "/root/testdata/sf0.001"):
+        assert side.rdd.getNumPartitions() >= 12

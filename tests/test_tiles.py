@@ -70,3 +70,20 @@ def test_nearest_is_that_of_all_pairs(spark, seed, n):
         near[p[:3]] = min(near.get(p[:3], (float("inf"), 0)), ((dx * dx * 5 + dy * dy) ** 0.5, q[2]))
     got = {(r.doc_id, r.page, r.line_no): r.block_no for r in ly.nearest_block(lines, blocks).collect()}
     assert got == {p[:3]: near[p[:3]][1] if p[:3] in near and near[p[:3]][0] < 20 else None for p in a if p[:3] not in overlapping}
+
+
+def test_boxes_with_nothing_to_be_near_to(spark):
+    """A box without a corner, one of a page without others and one without a page have nothing near; none is lost."""
+    a = [(1, 0, 0, 1.0, 1.0, 2.0, 2.0), (1, 0, 1, None, 1.0, 2.0, 2.0), (2, 0, 2, 1.0, 1.0, 2.0, 2.0), (3, None, 3, 1.0, 1.0, 2.0, 2.0)]
+    b = [(1, 0, 7, 5.0, 5.0, 6.0, 6.0), (1, 0, 6, 5.0, 5.0, 6.0, 6.0), (3, None, 8, 1.0, 1.0, 2.0, 2.0)]
+    lines, blocks = spark.createDataFrame(a, SCHEMA.format("line_no")), spark.createDataFrame(b, SCHEMA.format("block_no"))
+    got = tiles.nearest(ly.side(lines, "a_", "line_no"), ly.side(blocks, "b_", "block_no"), lambda p, q: p.center_distance(q), F.least)
+    assert {r.a_id: r.b_id for r in got.collect()} == {0: 6, 1: None, 2: None, 3: None}
+    assert tiles.meeting_pairs(ly.side(lines, "a_", "line_no"), ly.side(lines, "b_", "line_no")).count() == 2
+    assert {r.line_no: r.block_no for r in ly.nearest_block(lines, blocks).collect()} == {0: 6, 1: None, 2: None, 3: None}
+
+
+def test_sides_are_not_joined_to_their_grid(spark):
+    blocks = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), F.col("id").alias("block_no"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0))))
+    plan = tiles.meeting_pairs(ly.side(blocks, "a_", "block_no"), ly.side(blocks, "b_", "block_no"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
