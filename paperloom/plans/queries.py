@@ -17,6 +17,7 @@ from paperloom.operators import noise as nz
 from paperloom.operators import retrieval as rt
 from paperloom.operators import sessions as ss
 from paperloom.operators import vector_index as vi
+from paperloom.operators.shares import shared_out
 from paperloom.plans import adapters as ad
 from paperloom.sources import files as src
 from paperloom.sources import sinks
@@ -502,7 +503,8 @@ def missing_blocks(s, d):
 
 
 def _cells(s, d):
-    return ad.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_id")).agg(F.max("l_quantity").cast("int").alias("q")).withColumn("col_id", F.explode(F.array(F.lit(0), F.lit(2)))).withColumn("colspan", F.when(F.col("col_id") == 0, 2).otherwise(1)).withColumn("rowspan", F.lit(1)).withColumn("text", F.concat("q", F.lit("/"), "col_id"))
+    items = shared_out(ad.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    return items.groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_id")).agg(F.max("l_quantity").cast("int").alias("q")).withColumn("col_id", F.explode(F.array(F.lit(0), F.lit(2)))).withColumn("colspan", F.when(F.col("col_id") == 0, 2).otherwise(1)).withColumn("rowspan", F.lit(1)).withColumn("text", F.concat("q", F.lit("/"), "col_id"))
 
 
 _CELLS = "cl AS (SELECT table_id, row_id, q, col_id, CASE WHEN col_id = 0 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, q || '/' || col_id AS text FROM (SELECT *, unnest([0, 2]) AS col_id FROM (SELECT l_orderkey AS table_id, l_linenumber AS row_id, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL)))"

@@ -1,8 +1,14 @@
 """Worked examples of rules whose SQL could repeat a fault."""
 
+import random
+
 import pytest
 
 from paperloom.functions import text as tx
+from paperloom.operators import blocks as bk
+from paperloom.operators import shares
+from paperloom.plans import queries
+from tests.conftest import SF
 
 
 def one(spark, text, column):
@@ -45,3 +51,22 @@ def test_places_of_image_references(spark):
     got = one(spark, text, tx.image_places("t"))
     assert [(r.path, text[r["at"] : r["at"] + r["size"]]) for r in got] == [("b (c).jpg", "![a](b (c).jpg) "), ("d.png", "![](d.png)")]
 
+
+
+def test_flat_tables_are_read_as_by_the_parser(monkeypatch):
+    """Tables without spans over rows are cut into cells by a pattern; the parser gives the same cells."""
+    rng = random.Random(3)
+    pages = ["<table><tbody></tbody></table>", "<table><tbody><tr></tr><tr><td>a</td></tr></tbody></table>", "<table><tbody><tr><td>a</th></tr></tbody></table>", "no table"]
+    for _ in range(300):
+        cell = lambda: (lambda t, n: f"<t{t}{n}>{rng.choice(['', ' a ', 'x' * 5, '1\n2', 'b>c', 'ü'])}</t{t}>")(rng.choice("dh"), rng.choice(["", "", ' colspan="0"', ' colspan="2"', ' colspan="3"']))
+        pages.append("<table><tbody>" + "".join("<tr>" + "".join(cell() for _ in range(rng.randrange(5))) + "</tr>" for _ in range(rng.randrange(5))) + "</tbody></table>")
+    flat = [bk.flat_cells(page) for page in pages]
+    assert flat[2] is None and flat[3] is None and sum(cells is not None for cells in flat) == len(pages) - 2
+    assert all(bk.flat_cells(p) is None for p in ('<table><tbody><tr><td rowspan="2">a</td></tr></tbody></table>', "<table><tbody><tr><td>a&amp;b</td></tr></tbody></table>"))
+    monkeypatch.setattr(bk, "flat_cells", lambda page: None)
+    assert all(cells is None or cells == bk.placed_cells(page) for page, cells in zip(pages, flat, strict=True))
+
+
+def test_cells_come_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(shares, "ROWS", 500)
+    assert queries._cells(spark, SF).rdd.getNumPartitions() >= 12
