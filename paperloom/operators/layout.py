@@ -449,10 +449,25 @@ def interleaved(headings: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def raw_text(spans: DataFrame) -> DataFrame:
-    """``doc_id, page, block_no, text``: a block's spans in order, with a line break after each line."""
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")
-    lines = spans.groupBy(*PAGE, "block_no", "line_no").agg(F.concat(line, F.lit("\n")).alias("text"))
-    return lines.groupBy(*PAGE, "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("text"))
+    """``doc_id, page, block_no, text``: a block's spans in order, with a line break after each line.
+
+    Spans are rows ``span_no, text`` of a line, or its array ``spans`` of both. An array is joined in its row, so a line is one
+    row in the one shuffle there is; rows of spans are collected once, for their block.
+    """
+    if "spans" in spans.columns:
+        line = F.array_join(F.transform(F.array_sort("spans"), lambda x: x["text"]), "")
+        rows = spans.select(*PAGE, "block_no", F.struct("line_no", F.concat(line, F.lit("\n")).alias("text")).alias("own"))
+    else:
+        rows = spans.select(*PAGE, "block_no", F.struct("line_no", "span_no", "text").alias("own"))
+
+    def text(own: Column) -> Column:
+        if "spans" in spans.columns:
+            return F.array_join(F.transform(own, lambda x: x["text"]), "")
+        last = lambda x, i: ~F.get(own, i + 1)["line_no"].eqNullSafe(x["line_no"]) | (i + 1 == F.size(own))
+        return F.array_join(F.transform(own, lambda x, i: F.concat(F.coalesce(x["text"], F.lit("")), F.when(last(x, i), "\n").otherwise(""))), "")
+
+    grouped = rows.groupBy(*PAGE, "block_no").agg(F.array_sort(F.collect_list("own")).alias("own"))
+    return grouped.select(*PAGE, "block_no", text(F.col("own")).alias("text"))
 
 
 def placed_boxes(boxes: DataFrame, labels: tuple[str, ...], x: Column | float, y: Column | float, width: Column | float, height: Column | float) -> DataFrame:

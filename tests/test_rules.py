@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators import blocks as bk
+from paperloom.operators import layout as ly
 from paperloom.operators import shares
 from paperloom.plans import queries
 from tests.conftest import SF
@@ -67,6 +69,19 @@ def test_flat_tables_are_read_as_by_the_parser(monkeypatch):
     assert all(cells is None or cells == bk.placed_cells(page) for page, cells in zip(pages, flat, strict=True))
 
 
+def test_raw_text_is_the_same_of_rows_and_of_arrays(spark):
+    rng = random.Random(4)
+    rows = [(1, k % 3, k % 2, line, span, rng.choice(["a", " b", "", None])) for k in range(6) for line in (1, 2, None) for span in rng.sample(range(9), 4)]
+    spans = spark.createDataFrame(rows, "doc_id long, page int, block_no int, line_no int, span_no int, text string")
+    arrays = spans.groupBy("doc_id", "page", "block_no", "line_no").agg(F.collect_list(F.struct("span_no", "text")).alias("spans"))
+    want = {}
+    for d, p, b, line, _, t in sorted(rows, key=lambda r: (r[:3], r[3] is not None, r[3] or 0, r[4])):
+        want.setdefault((d, p, b), {}).setdefault(line, []).append(t or "")
+    want = {k: "".join("".join(v) + "\n" for v in lines.values()) for k, lines in want.items()}
+    for given in (spans, arrays):
+        assert {(r.doc_id, r.page, r.block_no): r.text for r in ly.raw_text(given).collect()} == want
+
+
 def test_cells_come_in_shares(spark, monkeypatch):
     monkeypatch.setattr(shares, "ROWS", 500)
     assert queries._cells(spark, SF).rdd.getNumPartitions() >= 12
