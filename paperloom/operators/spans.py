@@ -28,25 +28,28 @@ def formatted_spans(chars: DataFrame, by: list[str], tags: dict[str, str] = TAGS
     known = "|".join(tags)
     opening = F.regexp_extract("text", rf"^<({known})(?:\s[^>]*)?>", 1)
     closing = F.regexp_extract("text", rf"^</({known})>", 1)
-    rows = chars.withColumn("opens", F.nullif(opening, F.lit(""))).withColumn("closes", F.nullif(closing, F.lit("")))
+    tag = F.startswith(F.col("text"), F.lit("<"))
+    rows = chars.withColumn("opens", F.when(tag, F.nullif(opening, F.lit("")))).withColumn("closes", F.when(tag, F.nullif(closing, F.lit(""))))
     formats = sorted(set(tags.values()))
     own = lambda f, column: F.col(column).isin([t for t, name in tags.items() if name == f])
-    for f in formats:
-        event = F.when(own(f, "opens"), True).when(own(f, "closes"), False)
-        rows = rows.withColumn(f"was_{f}", F.coalesce(F.last(event, ignorenulls=True).over(earlier), F.lit(False)))
+    event = lambda f: F.when(own(f, "opens"), True).when(own(f, "closes"), False)
+    # In one projection the columns over one window are one pass over the rows.
+    rows = rows.select("*", *(F.coalesce(F.last(event(f), ignorenulls=True).over(earlier), F.lit(False)).alias(f"was_{f}") for f in formats))
     begun = reduce(Column.__or__, [own(f, "opens") & ~F.col(f"was_{f}") for f in formats])
     ended = reduce(Column.__or__, [own(f, "closes") & F.col(f"was_{f}") for f in formats])
     rows = rows.withColumn("break", F.col("text") == "<br>").withColumn("begun", F.coalesce(begun, F.lit(False))).withColumn("ended", F.coalesce(ended, F.lit(False)))
-    now = [F.when((F.col(f"was_{f}") & ~F.coalesce(own(f, "closes"), F.lit(False))) | F.coalesce(own(f, "opens"), F.lit(False)), F.lit(f)) for f in formats]
-    rows = rows.withColumn("formats", F.array_sort(F.filter(F.array(F.lit("plain"), *now), lambda x: x.isNotNull())))
+    now = [((F.col(f"was_{f}") & ~F.coalesce(own(f, "closes"), F.lit(False))) | F.coalesce(own(f, "opens"), F.lit(False))).alias(f"is_{f}") for f in formats]
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(stream)
-    rows = rows.withColumn("brs", count(F.col("break"))).withColumn("island", count(F.col("break") | F.col("begun") | F.col("ended")))
+    rows = rows.select("*", *now, count(F.col("break")).alias("brs"), count(F.col("break") | F.col("begun") | F.col("ended")).alias("island"))
     formula = F.col("begun") & (F.col("opens") == "math") if "math" in tags else F.lit(False)
     shown = rows.withColumn("formula", F.coalesce(formula, F.lit(False))).filter(~F.col("break") & (F.col("formula") | (~F.col("begun") & F.col("closes").isNull())))
     letters = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("formula"), "").otherwise(F.col("text")).alias("t"))))
     head = lambda c: F.min_by(c, "pos")
-    around = [F.when(F.array_contains(F.first("formats"), "math"), head(c)).otherwise(f(c)).alias(c) for c, f in zip(BOX, (F.min, F.min, F.max, F.max), strict=True)]
-    spans = shown.groupBy(*by, "brs", "island").agg(F.min("pos").alias("first"), F.array_join(F.transform(letters, lambda x: x["t"]), "").alias("text"), F.first("formats").alias("formats"), *around)
+    math = F.first("is_math") if "math" in formats else F.lit(False)
+    around = [F.when(math, head(c)).otherwise(f(c)).alias(c) for c, f in zip(BOX, (F.min, F.min, F.max, F.max), strict=True)]
+    spans = shown.groupBy(*by, "brs", "island").agg(F.min("pos").alias("first"), F.array_join(F.transform(letters, lambda x: x["t"]), "").alias("text"), *(F.first(f"is_{f}").alias(f"is_{f}") for f in formats), *around)
+    named = F.array_sort(F.filter(F.array(F.lit("plain"), *(F.when(F.col(f"is_{f}"), f) for f in formats)), lambda x: x.isNotNull()))
+    spans = spans.withColumn("formats", named)
     line = F.dense_rank().over(Window.partitionBy(*by).orderBy("brs")) - 1
     in_line = Window.partitionBy(*by, "brs").orderBy("first")
     last = F.lead("first").over(in_line).isNull()

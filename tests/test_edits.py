@@ -159,3 +159,9 @@ def test_review_states_are_those_of_a_fold(spark, seed):
         states[file] = (status, prior, dirty)
     got = mt.review_states(spark.createDataFrame(log, "file_key long, entry_id long, action string"))
     assert {r.file_key: r.status for r in got.collect()} == {f: s[0] for f, s in states.items()}
+
+
+def test_windows_over_a_stream_are_two_passes(spark):
+    chars = spark.range(1).selectExpr("id AS doc_id", "0 AS pos", "'a' AS text", "0D AS x0", "0D AS y0", "1D AS x1", "1D AS y1")
+    plan = sp.formatted_spans(chars, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Window [") == 4  # two over characters, two over spans
