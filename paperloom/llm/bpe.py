@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import bounded, documents
-from paperloom.llm.tokens import BYTE_LETTERS, vocabulary
+from paperloom.llm.tokens import BYTE_LETTERS, known_cuts, vocabulary
 
 #: Entries of each generation of a worker's table of ids, and the longest text that it keeps.
 KEPT, KEPT_CHARS = 120_000, 60
@@ -29,10 +29,7 @@ SHORT = 24
 WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 #: White space that all files know as such.
 BLANKS = "\t\n\x0b\x0c\r"
-#: A widespread pattern of words, and the normalizer that goes with it. For texts of the letters below, which
-#: are their own normal form, lower-casing and this pattern with the letters spelt out do the same.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Texts of letters that are their own normal form, and ``PATTERN`` with the letters spelt out.
 COMMON = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 COMMON_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 
@@ -270,8 +267,7 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in shape["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         #: Cutting between white space is right where no word has any and no pattern looks around itself.
-        known = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-        self.drops_blanks = shape["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZER} and shape["pre_tokenizer"] == known
+        self.drops_blanks = known_cuts(shape)
         self.chunks, self.words = Kept(), Kept()
 
     def cut(self, text: str) -> list[str]:

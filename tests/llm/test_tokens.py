@@ -39,6 +39,27 @@ def test_wordwise_ids_of_any_text(text):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aBéÀßÿ'strevlmd09.,!<|> \t\n\x0b\r"), max_size=40))
+def test_common_texts_are_cut_into_pieces_at_once(text):
+    own, plain = ENCODERS[FILES[1]]
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_common_texts_need_no_words():
+    own, text = tokens.WordwiseEncoder(tokens.vocabulary(FILES[1])), "Un été, l'Straße don't 12\nGo. " * 40_000
+    assert tokens.COMMON_TEXT.fullmatch(text) and len(tokens.BLOCK.findall(text)) == 2
+    assert np.frombuffer(own.encode([text, "a 中"])[0], "<u4").tolist() == ENCODERS[FILES[1]][1].encode(text, add_special_tokens=False).ids
+    assert not {"don't", "été,"} & own.spaced.keys() and "été" in own.pieces
+
+
+def test_kept_pieces_are_bounded():
+    made = []
+    own = tokens.Pieces(lambda p: made.append(p) or p.encode(), 4)
+    assert [own[p] for p in "abcabcdefdefdef"] == [p.encode() for p in "abcabcdefdefdef"]
+    assert len(own) == 4 and made.count("a") == 1 and made.count("f") == 3
+
+
 def test_names_of_special_tokens():
     """As the tokenizers have it, and spelt out where that is asked for."""
     for file, text in (("byte_bpe_50k.json", "a <|endoftext|> b"), ("word_bpe_49k.json", "a <|startoftext|> b<|endoftext|>")):
