@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.shares import ROWS, shares
+from paperloom.sources.scratch import written
+
 
 def matched_edits(log: DataFrame, by: str = "file_key") -> DataFrame:
     """The deletions of a log ``by, entry_id, action, path`` with ``undone_by``, the entry that took each back, and ``state``.
@@ -40,25 +45,42 @@ def image_states(log: DataFrame, by: str = "file_key") -> DataFrame:
     return last.select(by, "path", (F.col("state") != "restored").alias("trashed"))
 
 
-def final_ids(ids: DataFrame, replaced: DataFrame, by: str = "doc_id") -> DataFrame:
-    """``by, block_id, final_id``: what stands in a block's place after all replacements ``by, seq, old_id, new_id``, in order of ``seq``.
+def linked_edits(replaced: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Replacements ``by, seq, old_id, new_id`` with ``next``, the first later one that takes the new block away, in shares."""
+    event = written(replaced.select(by, "seq", "old_id", "new_id"), "edits")
+    made = F.struct(F.col("new_id").alias("id"), F.lit(False).alias("use"))
+    use = F.struct(F.col("old_id").alias("id"), F.lit(True).alias("use"))
+    both = event.select("*", F.inline(F.array(made, use))).repartition(shares(event, ROWS // 2), by, "id")
+    # Of equal seq a block's making comes first, so that an edit is not its own next one.
+    later = Window.partitionBy(by, "id").orderBy(F.desc("seq"), "use").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    next_use = F.last(F.when(F.col("use") & F.col("id").isNotNull(), F.col("seq")), ignorenulls=True).over(later)
+    return both.withColumn("next", next_use).filter(~F.col("use")).select(by, "seq", "old_id", "new_id", "next")
+
+
+def ends_of(replaced: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``by, block_id, end_id``: what stands in the place of each block that was replaced, in the end.
 
     A replacement that comes before a block was put in does not touch it. Chains of replacements are followed by doubling
     links, so the rounds grow with the logarithm of the longest chain; ``seq`` grows along a chain, so there are no circles.
+    Each round is written, in files of a share each, and dealt out in shares again, so a task's memory does not follow the
+    table. Links that have come to their end stay where they were written.
     """
-    event = replaced.select(by, "seq", F.col("old_id"), "new_id")
-    later = event.select(by, F.col("old_id").alias("new_id"), F.col("seq").alias("next"))
-    links = event.join(later, [by, "new_id"], "left").filter("next IS NULL OR next > seq").groupBy(by, "seq").agg(F.min("next").alias("next"))
-    # An event all of whose later ones are earlier in order has no next one.
-    links = event.select(by, "seq", "new_id").join(links, [by, "seq"], "left")
-    while not links.filter("next IS NOT NULL").isEmpty():
-        ahead = links.select(by, F.col("seq").alias("next"), F.col("new_id").alias("new_ahead"), F.col("next").alias("next_ahead"))
-        joined = links.join(ahead, [by, "next"], "left")
-        links = joined.select(by, "seq", F.coalesce("new_ahead", "new_id").alias("new_id"), F.col("next_ahead").alias("next"))
-        links = links.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else links
-    first = event.groupBy(by, F.col("old_id").alias("block_id")).agg(F.min("seq").alias("seq"))
-    ends = first.join(links.select(by, "seq", F.col("new_id").alias("end_id")), [by, "seq"]).select(by, "block_id", "end_id")
-    return ids.select(by, "block_id").distinct().join(ends, [by, "block_id"], "left").select(by, "block_id", F.coalesce("end_id", "block_id").alias("final_id"))
+    links, done = written(linked_edits(replaced, by), "edit-links"), []
+    n = shares(links)
+    while not (going := links.filter("next IS NOT NULL")).isEmpty():
+        done.append(links.filter("next IS NULL"))
+        every = reduce(DataFrame.unionByName, done, going)
+        ahead = every.select(by, F.col("seq").alias("next"), F.col("new_id").alias("new_ahead"), F.col("next").alias("next_ahead"))
+        joined = going.repartition(n, by, "next").join(ahead.repartition(n, by, "next"), [by, "next"], "left")
+        links = written(joined.select(by, "seq", "old_id", F.coalesce("new_ahead", "new_id").alias("new_id"), F.col("next_ahead").alias("next")), "edit-links")
+    every = reduce(DataFrame.unionByName, done, links)
+    return written(every.repartition(n, by, "old_id").groupBy(by, F.col("old_id").alias("block_id")).agg(F.min_by("new_id", "seq").alias("end_id")), "edit-ends")
+
+
+def final_ids(ids: DataFrame, replaced: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``by, block_id, final_id``: what stands in a block's place after all replacements ``by, seq, old_id, new_id``, in order of ``seq``."""
+    rows = ids.select(by, "block_id").distinct().join(ends_of(replaced, by), [by, "block_id"], "left")
+    return rows.select(by, "block_id", F.coalesce("end_id", "block_id").alias("final_id"))
 
 
 def replaced_structure(structure: DataFrame, replaced: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -66,12 +88,14 @@ def replaced_structure(structure: DataFrame, replaced: DataFrame, by: str = "doc
 
     In a list that has a block twice the first place is the one that is replaced.
     """
-    finals = final_ids(structure.select(by, "block_id").unionByName(structure.select(by, F.col("parent_id").alias("block_id")).filter("block_id IS NOT NULL")), replaced, by)
+    ends = ends_of(replaced, by)
+    n = max(shares(structure), shares(ends))
+    parents = ends.select(by, F.col("block_id").alias("parent_id"), F.col("end_id").alias("final_parent"))
     first = F.row_number().over(Window.partitionBy(by, "parent_id", "block_id").orderBy("pos")) == 1
-    rows = structure.withColumn("first", first).join(finals, [by, "block_id"], "left")
-    rows = rows.withColumn("block_id", F.when(F.col("first"), F.col("final_id")).otherwise(F.col("block_id"))).drop("first", "final_id")
-    parents = finals.select(by, F.col("block_id").alias("parent_id"), F.col("final_id").alias("final_parent"))
-    return rows.join(parents, [by, "parent_id"], "left").select(by, F.coalesce("final_parent", "parent_id").alias("parent_id"), "pos", "block_id")
+    rows = structure.repartition(n, by, "parent_id").withColumn("first", first).join(parents.repartition(n, by, "parent_id"), [by, "parent_id"], "left")
+    rows = rows.repartition(n, by, "block_id").join(ends.repartition(n, by, "block_id"), [by, "block_id"], "left")
+    block = F.when(F.col("first"), F.coalesce("end_id", "block_id")).otherwise(F.col("block_id"))
+    return rows.select(by, F.coalesce("final_parent", "parent_id").alias("parent_id"), "pos", block.alias("block_id"))
 
 
 def tombstoned(blocks: DataFrame, replaced: DataFrame, by: str = "doc_id") -> DataFrame:

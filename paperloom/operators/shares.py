@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 ROWS = 100_000
 
 
+def shares(rows: DataFrame, size: int | None = None) -> int:
+    """How many shares of about ``size`` rows there are, at least one for each core. The rows are counted, which costs nothing for a Parquet table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (size or ROWS)))
+
+
 def shared_out(rows: DataFrame, *by: Column | str, size: int | None = None) -> DataFrame:
     """``rows`` dealt out by ``by`` in shares of about ``size`` rows, at least one for each core.
 
-    Joins, groups and windows over these columns and more stay within a share, so what a task sorts and holds follows from ``size``.
+    Groups and windows over these columns and more stay within a share, and joins over exactly these, if both sides have as
+    many shares; so what a task sorts and holds follows from ``size``. Joins over more columns are dealt out anew.
     The adaptive planner merges shuffled parts by their compressed bytes, which narrow rows exceed thirty times in a sort.
-    The rows are counted, which costs nothing for a Parquet table.
     """
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(least, -(-rows.count() // (size or ROWS))), *by)
+    return rows.repartition(shares(rows, size), *by)

@@ -9,6 +9,7 @@ from paperloom.operators import maintenance as mt
 from paperloom.operators import positions as ps
 from paperloom.operators import recognition as rc
 from paperloom.operators import spans as sp
+from paperloom.operators.shares import shared_out
 from paperloom.plans import adapters as ad
 from paperloom.plans.queries import query
 from paperloom.sources import quarantine as qu
@@ -51,11 +52,13 @@ def image_trash(s, d):
 
 def _structure(s, d):
     """An order is a document: its lines are blocks under block 0; some were replaced, some of these again, and the top as well."""
-    lines = ad.table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    rows = ad.table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("n"))
+    lines = shared_out(rows, "doc_id").distinct()
     structure = lines.select("doc_id", F.lit(0).cast("long").alias("parent_id"), F.col("n").alias("pos"), F.col("n").alias("block_id"))
     top = lines.select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("block_id"))
-    step = lambda when, seq, old, new: lines.filter(when).select("doc_id", (F.col("n") + seq).alias("seq"), (F.col("n") + old).alias("old_id"), (F.col("n") + new).alias("new_id"))
-    replaced = step("(doc_id + n) % 2 = 0", 100, 0, 100).unionByName(step("(doc_id + n) % 4 = 0", 200, 100, 200)).unionByName(step("(doc_id + n) % 8 = 0", 300, 200, 300)).unionByName(step("n = 1 AND doc_id % 3 = 0", 0, -1, 999))
+    step = lambda when, seq, old, new: F.when(F.expr(when), F.struct((F.col("n") + seq).alias("seq"), (F.col("n") + old).alias("old_id"), (F.col("n") + new).alias("new_id")))
+    steps = F.array(step("(doc_id + n) % 2 = 0", 100, 0, 100), step("(doc_id + n) % 4 = 0", 200, 100, 200), step("(doc_id + n) % 8 = 0", 300, 200, 300), step("n = 1 AND doc_id % 3 = 0", 0, -1, 999))
+    replaced = lines.select("doc_id", F.inline(F.filter(steps, lambda x: x.isNotNull())))
     return structure.unionByName(top), replaced
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import edits as ed
 from paperloom.operators import maintenance as mt
+from paperloom.operators import shares
 from paperloom.operators import spans as sp
+from paperloom.plans import adapters as ad
 from paperloom.plans import edit_queries as eq
 from paperloom.sources import quarantine as qu
 from tests.conftest import SF
@@ -74,6 +76,24 @@ def test_replacements_in_order(spark, seed):
     assert sorted((tuple(r) for r in got.select("doc_id", "parent_id", "pos", "block_id").collect()), key=repr) == want
 
 
+def test_replaced_blocks_come_in_shares(spark, monkeypatch):
+    """More rows make more shares, in every step: chains over many rounds, in one document and in many."""
+    monkeypatch.setattr(shares, "ROWS", 200)
+    monkeypatch.setattr(ed, "ROWS", 200)
+    monkeypatch.setitem(ad.__dict__, "table", lambda s, d, name: s.range(6000).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4 + 1).alias("l_linenumber")))
+    structure, replaced = eq._structure(spark, "")
+    for own in (structure, replaced):
+        dealt = own.groupBy(F.spark_partition_id().alias("share")).count().agg(F.max("count"), F.count("*")).first()
+        assert dealt[0] < 600 and dealt[1] > 20
+    links = ed.linked_edits(replaced)
+    assert links.groupBy(F.spark_partition_id().alias("share")).count().agg(F.max("count")).first()[0] < 400
+    assert ed.replaced_structure(structure, replaced).count() == 7500
+    chain = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").alias("seq"), F.col("id").alias("old_id"), (F.col("id") + 1).alias("new_id"))
+    ends = ed.ends_of(chain)
+    assert ends.count() == 3000 and ends.filter("end_id = 3000").count() == 3000
+    assert ed.linked_edits(chain).groupBy(F.spark_partition_id().alias("share")).count().agg(F.max("count")).first()[0] < 400
+
+
 def walked(chars):
     """One stream, character by character."""
     tags = {f"<{t}>": (True, f) for t, f in sp.TAGS.items()} | {f"</{t}>": (False, f) for t, f in sp.TAGS.items()}
