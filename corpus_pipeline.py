@@ -28,9 +28,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group with a similarity of 0.8 or more of five-word shingles.
 
-    Fingerprints within a few bits do not tell that similarity (README), so the stage does not compare them at the anchors of a
-    covering code as ``simhash`` does for its own links: candidates share a shingle of a prefix that no similar pair can
-    miss, and whole sets of shingles are compared.
+    Fingerprints are compared at the anchors of a covering code, as in ``simhash``, and what they find is verified on whole sets
+    of shingles. Fingerprints within a few bits do not tell that similarity (README), so the documents that are not joined by
+    then get an exact search for the rest: a shingle of a prefix that no similar pair can miss.
     """
     return similarity.similar_dedup(docs)
 

@@ -43,8 +43,12 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: bit j is 1 if it is set in over half of the shingles' hashes; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    """The SimHash of a text's shingles."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit j is 1 if it is set in over half of the shingles' hashes; 0 without any."""
     last = len(hashes)
     if not last:
         return 0

@@ -1,4 +1,4 @@
-"""Near duplicates by the exact similarity of their word shingles: a prefix-filtered join that loses no pair."""
+"""Near duplicates by the similarity of their word shingles: fingerprints at anchors find them, a prefix-filtered join finds the rest."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, as_bytes, row_ids, stable
 from paperloom.llm.graph import star_components
-from paperloom.llm.simhash import distinct, kept_rows, members, shingle_hashes
+from paperloom.llm.simhash import distinct, fingerprint_of, kept_rows, members, near_links, shingle_hashes
 
 #: Words of a shingle, and the least similarity of a link in tenths: shared shingles by all shingles of both.
 SHINGLE, TENTHS = 5, 8
@@ -28,8 +28,11 @@ ROWS, FILTER_BITS = 200_000, 1 << 23
 
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text without words has the hash 0 alone."""
-    found = np.unique(shingle_hashes(text, SHINGLE))
-    return found if len(found) else np.zeros(1, np.uint64)
+    return set_of(shingle_hashes(text, SHINGLE))
+
+
+def set_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -224,12 +227,31 @@ def verified(source: DataFrame, heads: DataFrame, pairs: DataFrame, held: Scratc
     return out
 
 
+def anchored(texts: DataFrame, firsts: DataFrame, heads: DataFrame, held: Scratch) -> DataFrame:
+    """The links ``a, b`` that SimHash fingerprints find: those that meet at anchors of the covering code (see ``near_links``) are
+    the candidates, and so are the sets of one fingerprint; each link is verified on the whole sets."""
+    prints = held.written(firsts.groupBy("fp").agg(F.min("print").alias("print")), "set-fingerprints")
+    first = held.written(prints.groupBy("print").agg(F.min("fp").alias("first")), "first-sets")
+    near = near_links(first.select(F.col("print").alias("fp")))
+    apart = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = prints.join(first, "print").filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    return verified(texts, heads, apart.unionByName(equal), held)
+
+
+def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that no links join."""
+    roots = star_components(links)
+    rooted = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    return rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``uid, doc_id, fp, component_id, kept``.
 
     Documents link whose sets of ``SHINGLE``-word shingles have a similarity of ``TENTHS`` tenths or more, and links
-    chain; ``fp`` is a hash of the set. Candidates are all that share one of the first shingles of both (see ``prefix``),
-    so no similar pair is lost; every link is verified on the whole sets. Rare shingles come first, so a very common line
+    chain; ``fp`` is a hash of the set. Links are looked for by SimHash fingerprints at the anchors of a covering code first.
+    Fingerprints cannot promise to find all, so of documents that these links do not join yet all that share one of the
+    first shingles of both (see ``prefix``) are candidates, too: no similar pair is lost, and every link is verified on the whole sets. Rare shingles come first, so a very common line
     attracts only documents that consist of little else. Documents with a common shingle are compared with a few heads
     first, then each with those that it isn't linked to yet and that share enough more. Ids, null texts and empty tables as in ``near_groups``.
     """
@@ -239,19 +261,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def ids(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            firsts, nodes = [], []
-            for grams in sets_of(part):
+            firsts, nodes, prints = [], [], []
+            for text in as_bytes(part.column(1)):
+                hashes = shingle_hashes(text, SHINGLE)
+                grams = set_of(hashes)
+                prints.append(fingerprint_of(hashes))
                 both = len(grams) << CENTRAL_BITS | centrality(grams, slots.value)
                 firsts.append(np.concatenate((np.array([both], np.uint64), prefix(grams, slots.value))).tobytes())
                 nodes.append(node_of(grams))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *longs(np.array(nodes, np.uint64)), pa.array(firsts, pa.binary())], names=["uid", "doc_id", "fp", "first"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *longs(np.array(nodes, np.uint64), np.array(prints, np.uint64)), pa.array(firsts, pa.binary())], names=["uid", "doc_id", "fp", "print", "first"])
 
     with Scratch(source.sparkSession) as held:
-        return linked(source, held.written(source.select("uid", "text", "doc_id").mapInArrow(ids, "uid long, doc_id long, fp long, first binary"), "shingle-prefixes"), held)
+        return linked(source, held.written(source.select("uid", "text", "doc_id").mapInArrow(ids, "uid long, doc_id long, fp long, print long, first binary"), "shingle-prefixes"), held)
 
 
 def linked(source: DataFrame, firsts: DataFrame, held: Scratch) -> DataFrame:
-    """The groups of ``source(uid, doc_id, text)`` with their first shingles ``firsts(uid, doc_id, fp, first)``."""
+    """The groups of ``source(uid, doc_id, text)`` with their fingerprints and first shingles ``firsts(uid, doc_id, fp, print, first)``."""
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -264,7 +289,8 @@ def linked(source: DataFrame, firsts: DataFrame, held: Scratch) -> DataFrame:
     heads = distinct(rows, held)
     grams = firsts.select("fp", "first").mapInArrow(spread, "gram long, fp long, n long").repartition("gram").sortWithinPartitions("gram")
     found = held.written(grams.mapInArrow(in_groups(candidates, ["gram", "a", "b", "n", "m"]), "gram long, a long, b long, n long, m long"), "candidates")
-    links = verified(texts, heads, enough(found), held)
+    links = anchored(texts, firsts, heads, held)
+    links = links.unionByName(verified(texts, heads, unlinked(enough(found), links), held))
     common = found.filter("gram <> 0").select("gram", F.col("a").alias("node"), "n")
     if not common.isEmpty():
         own = Window.partitionBy("node")

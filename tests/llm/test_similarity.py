@@ -54,6 +54,28 @@ def test_near_stage_leaves_no_similar_pair(spark):
     assert kept == set(roots(texts).values())
 
 
+def test_anchors_find_links_first(spark, monkeypatch):
+    """Fingerprints at anchors link long copies with one word changed; the search for the rest gets what is not joined then."""
+    random.seed(5)
+    words = [[f"w{random.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    texts = {2 * k: " ".join(own) for k, own in enumerate(words)} | {2 * k + 1: " ".join([*own[:-1], "changed"]) for k, own in enumerate(words)}
+    found, rest = [], []
+    anchors, unlinked = similarity.anchored, similarity.unlinked
+
+    def kept(to, call):
+        def run(*given):
+            to.append(written(call(*given), "t"))
+            return to[-1]
+
+        return run
+
+    monkeypatch.setattr(similarity, "anchored", kept(found, anchors))
+    monkeypatch.setattr(similarity, "unlinked", kept(rest, unlinked))
+    table = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "t")
+    assert {r.doc_id: r.component_id for r in similarity.similar_groups(table).collect()} == roots(texts)
+    assert found[0].count() > 20 and found[0].count() + rest[0].count() == 30
+
+
 def test_odd_rows(odd, empty):
     got = similarity.similar_groups(odd).collect()
     assert len(got) == odd.count() and len({r.component_id for r in got if r.doc_id in (3, 4, 5)}) == 1
