@@ -163,6 +163,15 @@ def tiles(visiting: DataFrame) -> DataFrame:
     return visiting.hint("rebalance", "list").sortWithinPartitions("list").mapInArrow(run, "list long, aids array<long>, anchor_labels array<long>, anchor_vecs binary, low array<long>, high array<long>, kth array<long>")
 
 
+def met(tiling: DataFrame, index: DataFrame) -> DataFrame:
+    """A row for each tile and slice of the same list.
+
+    Merged, since Spark takes tiles for as large as the anchors that they are made of: an anchor is in a tile of each list
+    that it visits, so few anchors by their bytes would be broadcast as very many tiles.
+    """
+    return tiling.hint("merge").join(index.hint("merge"), "list")
+
+
 def best_of_pairs(pairs: DataFrame, centroids: np.ndarray, width: int, k: int, same: bool) -> DataFrame:
     """``aid, w, score, id, uid``: the first ``k`` rows of a slice for each anchor and window of a tile that visits it."""
 
@@ -215,7 +224,7 @@ def searched(index: DataFrame, anchors: DataFrame, centroids: np.ndarray, radii:
     order = Window.partitionBy("aid", "w").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "uid")
 
     def visited(states: DataFrame, until: int | None, skip: int, before: DataFrame | None) -> DataFrame:
-        pairs = tiles(visits(states, centroids, radii, width, until, skip)).join(index, "list")
+        pairs = met(tiles(visits(states, centroids, radii, width, until, skip)), index)
         new = best_of_pairs(pairs, centroids, width, k, same)
         new = new if before is None else new.unionByName(before.drop("place"))
         return scratch.written(new.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k), "nearest")

@@ -69,6 +69,15 @@ def test_hard_negatives_of_an_empty_table(spark):
     assert hard_negatives.hard_negatives(df, "vec_id % 100 = 0").collect() == []
 
 
+def test_tiles_are_not_broadcast(spark, monkeypatch):
+    """However few bytes anchors have, their tiles may be very many."""
+    plans, own = [], hard_negatives.best_of_pairs
+    monkeypatch.setattr(hard_negatives, "best_of_pairs", lambda pairs, *more: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or own(pairs, *more))
+    hard_negatives.op13_hard_negatives(spark, SF).count()
+    last = [next(line for line in p.splitlines() if "Join" in line) for p in plans]
+    assert len(last) == 4 and all("SortMergeJoin" in line for line in last)
+
+
 def test_hard_negatives_refuse_what_does_not_fit(spark):
     df = spark.createDataFrame([(100, 1, [1e30]), (2, 1, [1.0])], "vec_id long, label int, embedding array<double>")
     with pytest.raises(Exception, match="does not fit"):
