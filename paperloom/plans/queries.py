@@ -635,8 +635,9 @@ def search_index_whole(s, d):
 @query("search_hybrid_rrf", f"WITH {_PAIRS}, {_SPARSE_EACH}, a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pr QUALIFY r <= 40), b AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sp QUALIFY r <= 40), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (r + 60)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id) <= 8")
 def search_hybrid_rrf(s, d):
     dense = rt.dense_top_k_each(ad.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _questions(s, d), 40, item="id")
-    index = written(_terms(s, d), "terms")
-    sparse = rt.sparse_top_k_each(index.withColumnRenamed("doc_id", "id"), _asked_terms(index), 40, item="id")
+    counted = written(rt.counted_terms(ad.table(s, d, "documents").withColumnRenamed("doc_id", "id"), F.lower("text"), "id"), "counted")
+    index = counted.select(F.col("id").alias("doc_id"), F.explode(F.split("terms", " ")).alias("term"))
+    sparse = rt.sparse_top_k_counted(counted, written(_asked_terms(index), "asked"), 40, "id")
     return rt.fused_each(dense, sparse, 8, "id").select("query_id", "id", F.round("score", 9).alias("score"))
 
 

@@ -2,11 +2,15 @@
 
 import random
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import retrieval as rt
 from paperloom.operators import vector_index as vi
+from paperloom.plans import queries, registry
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -117,3 +121,67 @@ def test_equal_questions_are_one_search_with_a_bound(spark):
     assert read.r * 20 < read.a
     want = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in rt.sparse_top_k_each(index, queries, 5).collect()}
     assert {(r.query_id, r["rank"]): (r["item"], r.score) for r in rt.sparse_top_k_blocks(blocks, queries, 5).collect()} == want
+
+
+@pytest.mark.parametrize(("rows", "found"), [(131_072, 2_000_000), (5, 20)])
+def test_counted_items_give_the_same_as_postings(spark, monkeypatch, rows, found):
+    """Also with null and repeated ids, texts without words, and in small blocks."""
+    monkeypatch.setattr(rt, "ASKED", rows)
+    monkeypatch.setattr(rt, "FOUND", found)
+    monkeypatch.setattr(rt, "DOCS", 90)
+    rng = random.Random(11)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    docs = [(rng.choice([k, k, k, 7, None]), " ".join(rng.choices(words, range(1, 13), k=rng.randrange(12))).upper()) for k in range(500)] + [(900, None), (901, ""), (902, "12 é!"), (-5, "WA,wb\nWc")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).cache()
+    index = rt.sparse_index(docs, F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: x != "")).cache()
+    queries = spark.createDataFrame([(q, t, rng.choice((0.5, 1.0, 4.0))) for q in range(25) for t in rng.sample([*words, "none"], rng.randrange(1, 5))], "query_id long, term string, weight double").cache()
+    counted = rt.counted_terms(docs, F.lower("text")).cache()
+    rows_of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows_of(counted.select("doc_id", F.explode(F.split("terms", " ")).alias("term"))) == rows_of(index.select("doc_id", "term"))
+    want = rows_of(rt.sparse_top_k_each(index, queries, 6).select("query_id", "doc_id", "score", "rank"))
+    assert rows_of(rt.sparse_top_k_counted(counted, queries, 6).select("query_id", "doc_id", "score", "rank")) == want and len(want) > 100
+    assert rt.sparse_top_k_counted(counted, queries.limit(0), 6).collect() == rt.sparse_top_k_counted(counted.limit(0), queries, 6).collect() == []
+
+
+def test_pairs_of_queries_and_items_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    own = [{t: rng.randrange(1, 9) for t in rng.sample("abcdef", rng.randrange(1, 6))} for _ in range(60)]
+    asked = [(t, q, float(rng.randrange(1, 4))) for t in "abd" for q in range(4) if rng.random() < 0.7]
+    starts = np.searchsorted([t for t, _, _ in asked], ["a", "b", "d", "e"])
+    columns = pa.array([" ".join(d) for d in own]), pa.array([np.array([*d.values()], "<i4").tobytes() for d in own]), pa.array(["a", "b", "d"]), starts, np.array([q for _, q, _ in asked]), np.array([w for _, _, w in asked])
+    want = {}
+    for row, d in enumerate(own):
+        for t, q, w in asked:
+            if t in d:
+                want[q, row] = want.get((q, row), 0) + w * d[t]
+    for pairs in (1_000_000, 7, 1):
+        monkeypatch.setattr(rt, "PAIRS", pairs)
+        pieces = list(rt.paired(*columns, 4))
+        assert {(q, row): s for piece in pieces for q, row, s in zip(*(x.tolist() for x in piece), strict=True)} == want
+        assert sum(len(q) for q, _, _ in pieces) == len(want) and (len(pieces) == 1) == (pairs > 1000)
+
+
+def test_hybrid_search_does_not_move_every_pair(spark, tmp_path):
+    """Where all documents ask for the same words, each query and each document are a pair; only the best of a task are shuffled."""
+    spark.range(1200).selectExpr("id AS doc_id", "concat('rare words stay here ', repeat('rare ', int(id % 9))) AS text").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "embeddings.parquet").symlink_to("/root/testdata/sf0.001/embeddings.parquet")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before, con = shuffled(), duckdb.connect()
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as if the tables were large
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        got = sorted(tuple(r) for r in queries.search_hybrid_rrf(spark, str(tmp_path)).collect())
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert shuffled() - before < 60 * 1200 / 2
+    for name, path in (("documents", "documents.parquet/*.parquet"), ("embeddings", "embeddings.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{path}'")
+    assert got == sorted(con.execute(registry.oracle_sql()["search_hybrid_rrf"]).fetchall())
