@@ -78,9 +78,14 @@ def block_tombstones(s, d):
     return ed.tombstoned(structure.filter("parent_id = 0").select("doc_id", "block_id", F.lit(False).alias("removed")), replaced).select("doc_id", "block_id", "removed")
 
 
+#: Words of a share, about: what a task holds and sorts.
+WORDS = 250_000
+
+
 def tagged_words(s, d):
     """The words of each document as characters, with tags and line breaks at fixed distances."""
-    words = ad.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("k", "w"))
+    docs = shared_out(ad.table(s, d, "documents").select("doc_id", "text"), "doc_id", size=WORDS, each=F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("k", "w"))
     k = F.col("k")
     tag = F.when(k % 7 == 3, "<b>").when(k % 11 == 5, "</b>").when(k % 13 == 4, "<i>").when(k % 17 == 2, "</i>").when(k % 31 == 8, "<math display='inline'>").when(k % 37 == 9, "</math>").when(k % 41 < 2, "<br>")
     x, y = (k % 50).cast("double"), F.floor(k / 50).cast("double")
